@@ -167,3 +167,8 @@ def clean_filename(text: Column, fold: bool = True) -> Column:
     name = F.regexp_replace(F.replace(name, F.lit("/"), F.lit("_")), "_{2,}", "_")
     name = F.substring(F.lower(name), 1, 200)
     return F.when(name == "", F.lit("untitled")).otherwise(name)
+
+
+def name_field(name: Column, pattern: str, default: str = "unknown") -> Column:
+    """First group of a pattern in a name, or a default."""
+    return F.coalesce(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")), F.lit(default))

@@ -123,3 +123,8 @@ def list_literal(text: Column) -> Column:
     return F.when(
         text.startswith("[") & text.endswith("]"), F.transform(F.split(inner, ","), strip)
     ).otherwise(F.array(text))
+
+
+def with_prefix(prompt: Column, lines: list[str] | None) -> Column:
+    """System prompt lines in front of the prompt, only when configured."""
+    return F.concat(F.lit("\n".join(lines)), prompt) if lines else prompt

@@ -356,7 +356,7 @@ def _(spark, sf):
     """SELECT o_orderpriority AS name, CASE WHEN o_orderpriority = '5-LOW' THEN 'changed' ELSE 'complete' END AS status,
   count(*) AS "rows", count(DISTINCT o_orderkey // 100) AS shards, md5(count(*)::VARCHAR) AS source_before,
   md5(count(*)::VARCHAR || CASE WHEN o_orderpriority = '5-LOW' THEN 'x' ELSE '' END) AS source_after,
-  strftime(max(o_orderdate), '%Y-%m-%d') AS completed_at FROM orders GROUP BY ALL""",
+  strftime(max(o_orderdate), '%Y-%m-%d') AS completed_at FROM orders GROUP BY o_orderpriority""",
 )
 def _(spark, sf):
     orders = table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "name")
