@@ -110,8 +110,8 @@ def _(spark, sf):
 @query(
     "p2_visible_text_prompt",
     f"""SELECT conv_id, turn, {prompt_sql('clean', 'texts')} AS prompt, clean, array_to_string(texts, '|') AS texts FROM (
-SELECT a.conv_id, a.turn, {clean_sql('d.text')} AS clean, {TEXTS_SQL} AS texts
-FROM ({ANNOTATED_SQL}) a LEFT JOIN documents d ON d.doc_id = a.conv_id)""",
+SELECT img.conv_id, img.turn, {clean_sql('d.text')} AS clean, {TEXTS_SQL} AS texts
+FROM ({ANNOTATED_SQL}) img LEFT JOIN documents d ON d.doc_id = img.conv_id)""",
 )
 def _(spark, sf):
     turns = annotated_turns(spark, sf).drop("text")
