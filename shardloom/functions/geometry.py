@@ -9,23 +9,23 @@ from pyspark.sql import Column, functions as F, types as T
 
 
 def nearest_bucket(ratio: Column, table: list[tuple[str, int, int]]) -> Column:
-    """``struct(distance, ordinal, ratio, h, w)`` of the nearest table entry, first entry on ties.
+    """``struct(ordinal, ratio, h, w)`` of the nearest table entry, first entry on ties.
 
-    The table is a literal array in the plan, so the theta join needs neither shuffle nor broadcast.
+    The table is literal in the plan, so the theta join needs neither shuffle nor
+    broadcast and stays inside generated code.
     """
-    entries = F.array(
-        *[
-            F.struct(
-                F.abs(F.lit(float(r)) - ratio).alias("distance"),
-                F.lit(i).alias("ordinal"),
-                F.lit(r).alias("ratio"),
-                F.lit(h).alias("h"),
-                F.lit(w).alias("w"),
-            )
-            for i, (r, h, w) in enumerate(table)
-        ]
+    distances = F.array(*[F.abs(F.lit(float(r)) - ratio) for r, _, _ in table])
+    place = F.array_position(distances, F.array_min(distances)).cast("int")
+
+    def entry(values: list) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), place - 1)
+
+    return F.struct(
+        (place - 1).alias("ordinal"),
+        entry([r for r, _, _ in table]).alias("ratio"),
+        entry([h for _, h, _ in table]).alias("h"),
+        entry([w for _, _, w in table]).alias("w"),
     )
-    return F.array_min(entries)
 
 
 def cover_resize(h: Column, w: Column, bucket_h: Column, bucket_w: Column) -> tuple[Column, Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.fixed_values import MAX_NAN_RUN
+from ..functions.fixed_values import BUCKET_CACHE_ITEM_BYTES, BUCKET_CACHE_THRESHOLD_BYTES, MAX_NAN_RUN
 from ..functions.names import format_duration
 from .index import BLOCK_ROWS, positions
 
@@ -102,3 +102,30 @@ def step_windows(df: DataFrame, keys: list[str], step: str, value: str, weight:
     return df.groupBy(*keys, window.alias("interval")).agg(
         (F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("average"), F.count(F.lit(1)).alias("n")
     )
+
+
+def shard_totals(shards: DataFrame) -> DataFrame:
+    """Files, samples and bytes of a shard list; a missing size counts as nothing."""
+    return shards.agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum("nsamples").alias("samples"),
+        F.sum(F.coalesce("filesize", F.lit(0))).alias("bytes"),
+    )
+
+
+def outcome_counters(df: DataFrame, keys: list[str], outcome: str) -> DataFrame:
+    """How many rows were new, existed already, or were skipped."""
+    return df.groupBy(*keys).agg(
+        *[F.count_if(F.col(outcome) == kind).alias(kind) for kind in ("new", "existing", "skipped")]
+    )
+
+
+def run_summary(samples: DataFrame, bucket: str) -> DataFrame:
+    """Samples, buckets and where a bucket cache of that size belongs."""
+    size = F.count(F.lit(1)) * F.lit(BUCKET_CACHE_ITEM_BYTES).cast("bigint")
+    return samples.agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.count_distinct(bucket).alias("buckets"),
+        size.alias("cache_bytes"),
+        F.when(size > BUCKET_CACHE_THRESHOLD_BYTES, "file").otherwise("memory").alias("cache_kind"),
+    )

@@ -74,7 +74,7 @@ def _(spark, sf):
 
 
 RANKED_SQL = f"SELECT idx % 4 AS rank, * FROM ({bucketed_sql(SIZED_SQL, ASPECT_RATIO_512)})"
-PLACED_SQL = f"""SELECT rank, ratio, idx, pos // 16 AS batch_no, (pos // 16 + 1) * 16 <= n AS full FROM (
+PLACED_SQL = f"""SELECT rank, ratio, idx, pos // 16 AS batch_no, (pos // 16 + 1) * 16 <= n AS is_full FROM (
   SELECT rank, ratio, idx, row_number() OVER (PARTITION BY rank, ratio ORDER BY idx) - 1 AS pos, count(*) OVER (PARTITION BY rank, ratio) AS n FROM ({RANKED_SQL}))"""
 
 
@@ -85,7 +85,7 @@ def placed_rows(spark, sf, drop_last):
     )
 
 
-@query("w5_same_bucket_batches", f"SELECT rank, ratio, idx, batch_no FROM ({PLACED_SQL}) WHERE full")
+@query("w5_same_bucket_batches", f"SELECT rank, ratio, idx, batch_no FROM ({PLACED_SQL}) WHERE is_full")
 def _(spark, sf):
     return placed_rows(spark, sf, True).select("rank", "ratio", "idx", "batch_no")
 
