@@ -36,7 +36,7 @@ from .projections import slice_samples, SLICE_SQL
 @query(
     "a1_shard_totals",
     """SELECT count(*) AS files, sum(n)::BIGINT AS samples, sum(coalesce(bytes, 0))::BIGINT AS bytes FROM (
-SELECT l_suppkey, count(*) AS n, CASE WHEN l_suppkey % 5 <> 0 THEN sum(trunc(l_extendedprice)::BIGINT)::BIGINT END AS bytes FROM lineitem GROUP BY ALL)""",
+SELECT l_suppkey, count(*) AS n, CASE WHEN l_suppkey % 5 <> 0 THEN sum(trunc(l_extendedprice)::BIGINT)::BIGINT END AS bytes FROM lineitem GROUP BY l_suppkey)""",
 )
 def _(spark, sf):
     size = F.when(F.col("l_suppkey") % 5 != 0, F.sum(F.col("l_extendedprice").cast("bigint")))
