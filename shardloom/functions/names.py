@@ -160,7 +160,7 @@ def clean_filename(text: Column, fold: bool = True) -> Column:
     """Safe lower-case file name of at most 200 characters; ``untitled`` when nothing is left."""
     from .text import strip
 
-    name = F.regexp_replace(strip(text), r"^\.+|\.+$", "")
+    name = F.trim(strip(text), F.lit("."))
     if fold:
         # Texts that are ASCII already never reach the Python worker's slow path.
         name = ascii_fold(name)

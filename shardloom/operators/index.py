@@ -79,11 +79,13 @@ def positions(
     if size_name:
         scope = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         offsets = offsets.withColumn(size_name, F.sum("__rows").over(scope))
+    # Rank first: the rows are then spread by (keys, block), not by the keys of the small table.
     in_block = Window.partitionBy(*keys, "__block").orderBy(index)
+    ranked = blocked.withColumn("__rank", F.row_number().over(in_block) - 1)
     return (
-        blocked.join(offsets.drop("__rows"), [*keys, "__block"])
-        .withColumn(name, F.col("__before") + F.row_number().over(in_block) - 1)
-        .drop("__block", "__before")
+        ranked.join(offsets.drop("__rows"), [*keys, "__block"])
+        .withColumn(name, F.col("__before") + F.col("__rank"))
+        .drop("__block", "__before", "__rank")
     )
 
 

@@ -251,7 +251,8 @@ SHORT_LINES_SQL = f"""list_filter(list_transform(string_split(text, chr(10)), la
 
 
 def short_lines(text):
-    return F.filter(F.split(text, "\n"), lambda t: F.length(tx.squeeze(t)) < 40)
+    lines = F.transform(F.split(text, "\n"), tx.squeeze)
+    return F.filter(lines, lambda t: (F.length(t) > 0) & (F.length(t) < 40))
 
 
 @query(
@@ -261,7 +262,7 @@ WHERE {squeeze_sql('text')} <> '' AND array_to_string({SHORT_LINES_SQL}, ' ') <>
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents")
-    rows = docs.select("doc_id", tx.squeeze(F.col("text")).alias("p"), tx.join_visible_texts(short_lines("text")).alias("visible_text"))
+    rows = docs.select("doc_id", tx.squeeze(F.col("text")).alias("p"), F.array_join(short_lines("text"), " ").alias("visible_text"))
     return rows.where((F.length("p") > 0) & (F.length("visible_text") > 0)).drop("p")
 
 
