@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import SPACE, squeeze, strip
+from .text import squeeze, strip
 
 ANNOTATION = "struct<polygon:array<array<float>>,text:string,valid:boolean,rec_score:double>"
 
@@ -68,11 +68,8 @@ def from_positional(payload: Column) -> Column:
 
 def prompt_texts(annotations: Column) -> Column:
     """Texts that go into the prompt, in stored order: not explicitly invalid, not blank."""
-    kept = F.filter(
-        annotations,
-        lambda a: F.coalesce(a["valid"], F.lit(True)) & F.coalesce(a["text"].rlike(f"[^{SPACE[1:]}"), F.lit(False)),
-    )
-    return F.transform(F.coalesce(kept, F.array().cast(f"array<{ANNOTATION}>")), lambda a: squeeze(a["text"]))
+    lines = F.transform(annotations, lambda a: F.when(F.coalesce(a["valid"], F.lit(True)), squeeze(a["text"])))
+    return F.coalesce(F.filter(lines, lambda t: F.length(t) > 0), F.array().cast("array<string>"))
 
 
 def centre(polygon: Column) -> tuple[Column, Column]:
@@ -100,14 +97,13 @@ def reading_entries(annotations: Column, keep, min_score: float) -> Column:
 
     def entry(a: Column, i: Column) -> Column:
         y, x = centre(a["polygon"])
+        text = strip(a["text"])
         survives = (
             keep(a)
             & (F.coalesce(a["rec_score"], F.lit(1.0)) >= F.lit(float(min_score)))
-            & F.coalesce(a["text"].rlike(f"[^{SPACE[1:]}"), F.lit(False))
-        )
-        return F.when(
-            survives, F.struct(y.alias("y"), x.alias("x"), i.alias("ordinal"), strip(a["text"]).alias("text"))
+            & F.coalesce(F.length(text) > 0, F.lit(False))
         )
+        return F.when(survives, F.struct(y.alias("y"), x.alias("x"), i.alias("ordinal"), text.alias("text")))
 
     return F.array_sort(F.array_compact(F.transform(annotations, entry)))
 

@@ -2,41 +2,58 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 import struct
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 
+def _constants(values: list) -> Column:
+    """A constant array out of SQL literals: one call, folded into the plan."""
+    return F.expr(f"array({', '.join(map(str, values))})")
+
+
 def nearest_bucket(ratio: Column, table: list[tuple[str, int, int]]) -> Column:
-    """``struct(ordinal, ratio, h, w)`` of the nearest entry of an ascending table, first entry on ties.
+    """Ordinal of the nearest entry of an ascending table, first entry on ties.
 
     The table is literal in the plan, so the theta join needs neither shuffle nor
-    broadcast: neighbours are compared along a balanced tree, about six
-    comparisons for forty buckets, all inside generated code.
+    broadcast.  A grid of cells narrower than half the closest pair of midpoints
+    gives the first candidate; at most two comparisons with the following
+    entries settle the rest.  The expression is small on purpose: the JVM does
+    not compile methods above 8000 bytes, and a comparison per entry is above that.
     """
     values = [float(r) for r, _, _ in table]
     if values != sorted(values):
         raise ValueError("The ratio table must be ascending")
+    middles = [(a + b) / 2 for a, b in zip(values, values[1:])]
+    step = min([b - a for a, b in zip(middles, middles[1:])] or [1.0]) / 2
+    low = values[0]
+    cells = math.ceil((values[-1] - low) / step) + 2
+    # One cell of slack below, so rounding at a cell edge never skips the true entry.
+    first = [bisect.bisect_left(middles, low + (c - 1) * step) for c in range(cells)]
+    cell = F.greatest(F.lit(0.0), F.least(F.lit(float(cells - 1)), F.floor((ratio - low) / step).cast("double")))
+    start = F.get(_constants(first), cell.cast("int"))
+    padded = _constants([f"{v!r}D" for v in values + [1e300, 1e300]])
+
+    def distance(offset: int) -> Column:
+        return F.abs(F.get(padded, start + offset) - ratio)
+
+    return start + F.when(distance(0) <= distance(1), 0).when(distance(1) <= distance(2), 1).otherwise(2)
 
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        nearer = F.abs(F.lit(values[mid]) - ratio) <= F.abs(F.lit(values[mid + 1]) - ratio)
-        return F.when(nearer, search(low, mid)).otherwise(search(mid + 1, high))
 
-    place = F.when(ratio.isNotNull(), search(0, len(table) - 1))
+def bucket_entry(ordinal: Column, table: list[tuple[str, int, int]]) -> dict[str, Column]:
+    """Ratio text, height and width of a table entry."""
 
     def entry(column: list) -> Column:
-        return F.get(F.array(*[F.lit(v) for v in column]), place)
+        return F.get(_constants(column), ordinal)
 
-    return F.struct(
-        place.alias("ordinal"),
-        entry([r for r, _, _ in table]).alias("ratio"),
-        entry([h for _, h, _ in table]).alias("h"),
-        entry([w for _, _, w in table]).alias("w"),
-    )
+    return {
+        "ratio": entry([f"'{r}'" for r, _, _ in table]),
+        "bucket_h": entry([h for _, h, _ in table]),
+        "bucket_w": entry([w for _, _, w in table]),
+    }
 
 
 def cover_resize(h: Column, w: Column, bucket_h: Column, bucket_w: Column) -> tuple[Column, Column]:

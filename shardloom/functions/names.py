@@ -7,6 +7,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from .binding import let
+
 
 def image_key(index: Column) -> Column:
     """``NNNNN/imgNNNNNNNN.png``; longer indices are never cut."""
@@ -84,9 +86,14 @@ def dirname(path: Column) -> Column:
     return F.when(F.regexp_like(head, F.lit(r"^/+$")), head).otherwise(F.regexp_replace(head, r"/+$", ""))
 
 
+def _parsed(url: Column) -> Column:
+    return F.struct(*[c.alias(n) for n, c in url_parts(url).items()])
+
+
 def url_dir(url: Column) -> Column:
-    p = url_parts(url)
-    return url_build(p["scheme"], p["netloc"], dirname(p["path"]), p["query"], p["fragment"])
+    return let(
+        _parsed(url), lambda p: url_build(p["scheme"], p["netloc"], dirname(p["path"]), p["query"], p["fragment"])
+    )
 
 
 def normalise_path(path: Column) -> Column:
@@ -105,22 +112,28 @@ def normalise_path(path: Column) -> Column:
 
     parts = F.aggregate(steps, F.array().cast("array<string>"), step)
     joined = F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
-    return F.when(joined == "", F.lit(".")).otherwise(joined)
+    return F.coalesce(F.nullif(joined, F.lit("")), F.lit("."))
 
 
 def url_merge(base: Column, url: Column) -> Column:
     """Missing parts come from ``base``; query and fragment only from ``url``; absolute paths win."""
-    b, u = url_parts(base), url_parts(url)
-    b["path"] = F.regexp_replace(b["path"], r";[^/]*$", "")
-    slash = F.when((b["path"] == "") | b["path"].endswith("/"), F.lit("")).otherwise(F.lit("/"))
-    merged = F.when(u["path"].startswith("/"), u["path"]).otherwise(
-        normalise_path(F.concat(b["path"], slash, u["path"]))
-    )
 
-    def pick(part: str) -> Column:
-        return F.when(u[part] != "", u[part]).otherwise(b[part])
+    def merge(b: Column, u: Column) -> Column:
+        base_path = F.regexp_replace(b["path"], r";[^/]*$", "")
+        slash = F.when((base_path == "") | base_path.endswith("/"), F.lit("")).otherwise(F.lit("/"))
+        path = F.when(u["path"].startswith("/"), u["path"]).otherwise(
+            let(F.concat(base_path, slash, u["path"]), normalise_path)
+        )
+
+        def pick(part: str) -> Column:
+            return F.when(u[part] != "", u[part]).otherwise(b[part])
+
+        return let(
+            F.struct(pick("scheme").alias("s"), pick("netloc").alias("n"), path.alias("p")),
+            lambda m: url_build(m["s"], m["n"], m["p"], u["query"], u["fragment"]),
+        )
 
-    return url_build(pick("scheme"), pick("netloc"), merged, u["query"], u["fragment"])
+    return let(F.struct(_parsed(base).alias("b"), _parsed(url).alias("u")), lambda x: merge(x["b"], x["u"]))
 
 
 def format_duration(seconds: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed_values import ASPECT_RATIO_512
-from ..functions.geometry import cover_resize, nearest_bucket
+from ..functions.geometry import bucket_entry, cover_resize, nearest_bucket
 from ..functions.hashing import uniform
 from .index import BLOCK_ROWS, positions
 
@@ -13,12 +13,9 @@ from .index import BLOCK_ROWS, positions
 def with_bucket(df: DataFrame, height: str, width: str, table=ASPECT_RATIO_512) -> DataFrame:
     """Nearest bucket by height/width: ``ratio``, ``bucket_h``, ``bucket_w``, ``bucket_no``."""
     near = nearest_bucket(F.col(height).cast("double") / F.col(width), table)
-    return df.withColumn("__b", near).select(
-        *df.columns,
-        F.col("__b.ratio").alias("ratio"),
-        F.col("__b.h").alias("bucket_h"),
-        F.col("__b.w").alias("bucket_w"),
-        F.col("__b.ordinal").alias("bucket_no"),
+    found = df.withColumn("bucket_no", near)
+    return found.select(
+        *df.columns, *[c.alias(n) for n, c in bucket_entry(F.col("bucket_no"), table).items()], "bucket_no"
     )
 
 

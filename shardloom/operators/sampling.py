@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.fixed_values import SEED_EPOCH_STRIDE
 from ..functions.hashing import standard_normal, uniform
-from .index import expand_counts, total_rows
+from .index import expand_counts
 
 
 def weighted_caption(
@@ -52,9 +52,14 @@ def sample_rows(df: DataFrame, key: str, count: int, seed) -> DataFrame:
 
     The action that runs this fails when fewer rows are eligible.
     """
+    columns = df.columns
     drawn = df.withColumn("__u", uniform(seed, F.col(key))).orderBy("__u", key).limit(count)
-    enough = F.when(total_rows(drawn) < count, F.raise_error(F.lit("Not enough eligible rows"))).otherwise(F.lit(True))
-    return drawn.where(enough).drop("__u")
+    # At most `count` rows by now; one line even when there are none, so that the check always runs.
+    packed = drawn.agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    enough = F.when(
+        F.size("rows") < count, F.raise_error(F.lit("Not enough eligible rows")).cast("boolean")
+    ).otherwise(F.lit(True))
+    return packed.where(enough).select(F.inline("rows"))
 
 
 def epoch_seed(seed: int, epoch: int) -> int:

@@ -106,11 +106,11 @@ def _(spark, sf):
     prompt = F.col("prompt")
     rows = flagged_prompts(spark, sf).select("item_id", "prompt", tx.prompt_ratio(prompt).alias("ar"))
     near = rows.withColumn("b", geo.nearest_bucket(F.col("ar"), ASPECT_RATIO_1024)).withColumn("hw", tx.flag_pair(prompt, "hw"))
+    entry = geo.bucket_entry(F.col("b"), ASPECT_RATIO_1024)
     return near.select(
-        "item_id", tx.before_flags(prompt).alias("clean"), "ar", F.col("b.ratio").alias("ratio"),
-        F.col("b.h").alias("bucket_h"), F.col("b.w").alias("bucket_w"),
-        F.coalesce(F.col("hw")[0], F.col("b.h").cast("double")).alias("out_h"),
-        F.coalesce(F.col("hw")[1], F.col("b.w").cast("double")).alias("out_w"),
+        "item_id", tx.before_flags(prompt).alias("clean"), "ar", *[c.alias(n) for n, c in entry.items()],
+        F.coalesce(F.col("hw")[0], entry["bucket_h"].cast("double")).alias("out_h"),
+        F.coalesce(F.col("hw")[1], entry["bucket_w"].cast("double")).alias("out_w"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions.annotations import keep_all, reading_entries
+from ...functions.binding import with_value_where
 from ...functions.fixed_values import ASPECT_RATIO_512, SEED_CLASS_STRIDE, SEED_EPOCH_STRIDE
 from ...functions.hashing import stable_seed
 from ...functions.names import row_key, shard_name, shard_prefix, parent_dir
@@ -309,9 +310,11 @@ WHERE doc_id NOT IN (SELECT item_id * 5 FROM benchmark) AND array_to_string({SHO
 ORDER BY {uniform_sql(20, 'doc_id')}, doc_id LIMIT 10""",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.array_join(short_lines("text"), " ").alias("visible_text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     excluded = table(spark, sf, "benchmark").select((F.col("item_id") * 5).alias("doc_id"))
-    eligible = docs.where("visible_text <> ''").join(excluded, "doc_id", "left_anti")
+    kept = docs.join(excluded, "doc_id", "left_anti")
+    shown = F.array_join(short_lines("text"), " ")
+    eligible = with_value_where(kept, "visible_text", shown, lambda v: v != "").drop("text")
     return sampling.sample_rows(eligible, "doc_id", 10, 20)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...functions import annotations as ann
 from ...functions import text as tx
 from ...functions.fixed_values import TEXT_TEMPLATE_HEAD, TEXT_TEMPLATE_TAIL
+from ...functions.binding import with_value_where
 from ...functions.geometry import header_size
 from ...functions.hashing import uniform
 from ...functions.names import file_extension
@@ -261,9 +262,9 @@ def short_lines(text):
 WHERE {squeeze_sql('text')} <> '' AND array_to_string({SHORT_LINES_SQL}, ' ') <> ''""",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
-    rows = docs.select("doc_id", tx.squeeze(F.col("text")).alias("p"), F.array_join(short_lines("text"), " ").alias("visible_text"))
-    return rows.where((F.length("p") > 0) & (F.length("visible_text") > 0)).drop("p")
+    docs = table(spark, sf, "documents").where(F.regexp_like("text", F.lit(f"[^{tx.SPACE[1:]}")))
+    shown = F.array_join(short_lines("text"), " ")
+    return with_value_where(docs, "visible_text", shown, lambda v: F.length(v) > 0).select("doc_id", "visible_text")
 
 
 @query(
@@ -314,9 +315,9 @@ def _(spark, sf):
   {squeeze_sql('text')} AS line FROM documents) WHERE line <> '' AND n_tokens <= 256""",
 )
 def _(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
-    n = F.size("t") + 2
-    return rows.where((F.size("t") > 0) & (n <= 256)).select("doc_id", n.alias("n_tokens"))
+    n = F.size(tx.tokens(F.col("text"))) + 2
+    docs = with_value_where(table(spark, sf, "documents"), "n_tokens", n, lambda v: v.between(3, 256))
+    return docs.select("doc_id", "n_tokens")
 
 
 @query(

@@ -26,6 +26,8 @@ def build_session(app_name: str = "shardloom", master: str | None = None, shuffl
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The JVM leaves methods above 8000 bytes uncompiled; smaller ones win over one fused stage.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
