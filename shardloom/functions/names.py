@@ -175,8 +175,9 @@ def clean_filename(text: Column, fold: bool = True) -> Column:
 
     name = F.trim(strip(text), F.lit("."))
     if fold:
-        # Texts that are ASCII already never reach the Python worker's slow path.
-        name = ascii_fold(name)
+        # Texts that are ASCII already travel to the Python worker as nulls.
+        foreign = F.length(name) != F.octet_length(name)
+        name = F.coalesce(ascii_fold(F.when(foreign, name)), name)
     name = F.regexp_replace(F.replace(name, F.lit("/"), F.lit("_")), "_{2,}", "_")
     name = F.substring(F.lower(name), 1, 200)
     return F.when(name == "", F.lit("untitled")).otherwise(name)

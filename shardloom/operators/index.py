@@ -135,20 +135,16 @@ def dense_renumber(df: DataFrame, index: str, excluded: DataFrame, source_count:
     The exclusion list is turned into ranges of kept indices with their shift,
     so samples take part in one binned range join and no window.
     """
-    listed = excluded.select(F.col(index).cast("bigint").alias("__x")).where(
-        (F.col("__x") >= 0) & (F.col("__x") < source_count)
+    listed = excluded.select(F.col(index).cast("bigint").alias("stop")).where(
+        (F.col("stop") >= 0) & (F.col("stop") < source_count)
     ).distinct()
-    cuts = listed.withColumn("__no", F.lit(0))
-    line = Window.partitionBy("__no").orderBy("__x")
-    cuts = cuts.select(
-        (F.lag("__x").over(line) + 1).alias("prev"), F.col("__x"), (F.row_number().over(line) - 1).alias("shift")
+    # An excluded index ends the kept range that starts after its predecessor in the list.
+    cuts = positions(listed, "stop", name="shift")
+    before = cuts.select((F.col("shift") + 1).alias("shift"), (F.col("stop") + 1).alias("start"))
+    kept = cuts.join(before, "shift", "left").select(
+        F.coalesce("start", F.lit(0).cast("bigint")).alias("start"), "stop", F.col("shift").cast("bigint").alias("shift")
     )
-    kept = cuts.select(
-        F.coalesce("prev", F.lit(0)).cast("bigint").alias("start"),
-        F.col("__x").alias("stop"),
-        F.col("shift").cast("bigint").alias("shift"),
-    )
-    tail = listed.agg(F.max("__x").alias("m"), F.count(F.lit(1)).alias("n")).select(
+    tail = listed.agg(F.max("stop").alias("m"), F.count(F.lit(1)).alias("n")).select(
         F.coalesce(F.col("m") + 1, F.lit(0)).cast("bigint").alias("start"),
         F.lit(source_count).cast("bigint").alias("stop"),
         F.col("n").cast("bigint").alias("shift"),

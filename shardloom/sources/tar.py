@@ -19,6 +19,10 @@ from .files import _open_input
 from .sinks import cached_table, open_target
 
 MEMBER_SCHEMA = "shard string, member_ordinal int, name string, offset long, size long, content binary"
+MEMBER_ARROW = [
+    ("shard", pa.string()), ("member_ordinal", pa.int32()), ("name", pa.string()), ("offset", pa.int64()),
+    ("size", pa.int64()), ("content", pa.binary()),
+]
 INDEX_SCHEMA = "shard string, member_ordinal int, name string, offset long, size long"
 
 
@@ -133,12 +137,24 @@ class TarShardReader(DataSourceReader):
         if partition is None:
             return
         with_content = "content" in self.fields
+        rows, held = [], 0
         for ordinal, name, offset, size, content in _members(partition.uri, self.extensions, with_content):
-            row = {
-                "shard": partition.uri, "member_ordinal": ordinal, "name": name, "offset": offset, "size": size,
-                "content": content,
-            }
-            yield tuple(row[f] for f in self.fields)
+            rows.append(
+                {"shard": partition.uri, "member_ordinal": ordinal, "name": name, "offset": offset, "size": size,
+                 "content": content}
+            )
+            held += len(content) if content is not None else 0
+            if len(rows) == 4096 or held > 1 << 25:
+                yield self._batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    def _batch(self, rows: list[dict]) -> pa.RecordBatch:
+        """Members travel to Spark as Arrow batches of bounded size."""
+        fields = [(n, t) for n, t in MEMBER_ARROW if n in self.fields]
+        fields.sort(key=lambda f: self.fields.index(f[0]))
+        return pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
 
 
 class TarShardSource(DataSource):
@@ -201,7 +217,10 @@ def assemble_samples(members: DataFrame, value: str = "content") -> DataFrame:
 
 @udtf(returnType="member_ordinal int, name string, size long, content binary")
 class TarMembers:
-    """``LATERAL tar_members(content)``: members of an archive held in a binary column."""
+    """``LATERAL tar_members(content)``: members of an archive held in a binary column.
+
+    For archives that fit in a row; ``read_members`` streams archives of any size.
+    """
 
     def eval(self, content: bytes):
         with tarfile.open(fileobj=io.BytesIO(content), mode="r:") as archive:
