@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession, functions as F
 
 from ..functions.vectors import norm
+from .metrics import weighted_mean
 
-
-def weighted_mean(value: Column, weight: Column) -> Column:
-    return F.sum(value * weight) / F.sum(weight)
+__all__ = ["cosine_centroid", "ema_at", "register_prompt_flags", "weighted_mean"]
 
 
 def ema_at(value: Column, position: Column, size: Column, decay: float) -> Column:

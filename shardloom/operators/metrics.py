@@ -9,6 +9,12 @@ from ..functions.names import format_duration
 from .index import BLOCK_ROWS, positions
 
 
+def weighted_mean(value: Column, weight: Column) -> Column:
+    """Aggregate ``sum(v*w) / sum(w)``; without any weight there is no mean (NaN)."""
+    total = F.sum(weight)
+    return F.when(total == 0, F.lit(float("nan"))).otherwise(F.sum(value * weight) / F.nullif(total, F.lit(0)))
+
+
 def last_n(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """Newest ``n`` rows per key; tasks cut to ``n`` per key before the shuffle."""
     newest = Window.partitionBy(*keys).orderBy(F.col(order).desc())
@@ -18,7 +24,7 @@ def last_n(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
 def weighted_average(df: DataFrame, keys: list[str], order: str, value: str, weight: str, n: int = 0) -> DataFrame:
     """Count-weighted mean of the last ``n`` values per metric; 0 means all."""
     window = df if n == 0 else last_n(df, keys, order, n)
-    return window.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("average"))
+    return window.groupBy(*keys).agg(weighted_mean(F.col(value), F.col(weight)).alias("average"))
 
 
 def rolling_stats(
@@ -100,7 +106,7 @@ def step_windows(df: DataFrame, keys: list[str], step: str, value: str, weight:
     """Weighted mean per logging interval: intervals end at the first step and at every multiple of ``every``."""
     window = F.when(F.col(step) <= 1, F.lit(0)).otherwise(F.ceil(F.col(step) / every)).cast("bigint")
     return df.groupBy(*keys, window.alias("interval")).agg(
-        (F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("average"), F.count(F.lit(1)).alias("n")
+        weighted_mean(F.col(value), F.col(weight)).alias("average"), F.count(F.lit(1)).alias("n")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fixed_values import MAX_NAN_RUN
+from ..operators.metrics import weighted_mean
 
 
 def windowed_average(
@@ -14,7 +15,7 @@ def windowed_average(
     return (
         stream.withWatermark(ts, delay)
         .groupBy(F.window(ts, width).alias("w"), *keys)
-        .agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("average"), F.count(F.lit(1)).alias("n"))
+        .agg(weighted_mean(F.col(value), F.col(weight)).alias("average"), F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "average", "n")
     )
 
