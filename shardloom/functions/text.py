@@ -50,14 +50,13 @@ def clean_caption(caption: Column) -> Column:
 
 def visible_text_prompt(clean: Column, texts: Column) -> Column:
     """Append the quoted visible texts to a clean caption; unchanged without texts."""
-    quoted = F.transform(texts, lambda t: F.concat(F.lit('"'), t, F.lit('"')))
     n = F.size(texts)
-    last = F.element_at(quoted, -1)
-    head = F.slice(quoted, F.lit(1), F.greatest(n - 1, F.lit(0)))
+    last = F.element_at(texts, -1)
+    head = F.array_join(F.slice(texts, F.lit(1), F.greatest(n - 1, F.lit(0))), '", "')
     visible = (
-        F.when(n == 1, F.concat(F.lit(VISIBLE_ONE), last))
-        .when(n == 2, F.concat(F.lit(VISIBLE_MANY), F.array_join(head, ", "), F.lit(" and "), last))
-        .otherwise(F.concat(F.lit(VISIBLE_MANY), F.array_join(head, ", "), F.lit(", and "), last))
+        F.when(n == 1, F.concat(F.lit(VISIBLE_ONE + '"'), last, F.lit('"')))
+        .when(n == 2, F.concat(F.lit(VISIBLE_MANY + '"'), head, F.lit('" and "'), last, F.lit('"')))
+        .otherwise(F.concat(F.lit(VISIBLE_MANY + '"'), head, F.lit('", and "'), last, F.lit('"')))
     )
     base = F.rtrim(clean, F.lit(" ."))
     return F.when(n <= 0, clean).otherwise(F.concat(base, F.lit(VISIBLE_LINK), visible, F.lit(VISIBLE_END)))

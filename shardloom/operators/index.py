@@ -20,34 +20,35 @@ def total_rows(df: DataFrame) -> Column:
 
 
 def with_row_index(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet rows with ``source_file`` and their physical ``source_row``; no shuffle, no window."""
+    """Parquet rows with ``source_file``, ``source_path`` and their physical ``source_row``; no shuffle, no window."""
     df = spark.read.parquet(path)
     chosen = [F.col(c) for c in (columns or df.columns)]
     return df.select(
         *chosen,
         F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_path").alias("source_path"),
         F.col("_metadata.row_index").alias("source_row"),
     )
 
 
 def file_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """One line per file: rows and the global index of its first row, files in name order."""
+    """One line per file: rows and the global index of its first row, files in path order."""
     files = (
         spark.read.parquet(path)
-        .groupBy(F.col("_metadata.file_name").alias("source_file"))
+        .groupBy(F.col("_metadata.file_path").alias("source_path"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    return running_before(files, "source_file", "rows", "first_index")
+    return running_before(files, "source_path", "rows", "first_index")
 
 
 def with_global_index(
     spark: SparkSession, path: str, columns: list[str] | None = None, name: str = "global_index"
 ) -> DataFrame:
-    """Global row index over files in name order: file offset plus row index."""
+    """Global row index over files in path order: file offset plus row index."""
     rows = with_row_index(spark, path, columns)
-    offsets = file_offsets(spark, path).select("source_file", "first_index")
-    return rows.join(offsets, "source_file").withColumn(name, F.col("first_index") + F.col("source_row")).drop(
-        "first_index"
+    offsets = file_offsets(spark, path).select("source_path", "first_index")
+    return rows.join(offsets, "source_path").withColumn(name, F.col("first_index") + F.col("source_row")).drop(
+        "first_index", "source_path"
     )
 
 

@@ -192,6 +192,18 @@ def _(spark, sf):
     return found.join(docs, F.col("wanted") == F.col("doc_id")).select("wanted", "url", "inner_index", "lang", "n_chars")
 
 
+@query(
+    "s11_name_lookup",
+    f"""SELECT shard, name, strlen(body)::BIGINT AS size FROM ({PAGE_MEMBERS_SQL}) WHERE slot = 1 AND page_id IN (SELECT item_id FROM benchmark)""",
+)
+def _(spark, sf):
+    folder = scratch_path(spark, "tars")
+    page_shards(spark, sf, folder)
+    wanted = table(spark, sf, "benchmark").select(F.format_string("page-%09d.json", F.col("item_id")).alias("name"))
+    found = tar.find_members(tar.member_index(spark, folder, scratch_path(spark, "tar-index")), wanted)
+    return found.select(_base("shard").alias("shard"), "name", "size")
+
+
 @query(
     "s12_decode_members",
     """SELECT conv_id, turn, text AS as_text, turn::INTEGER AS as_class, role AS json_role FROM conversations""",

@@ -44,9 +44,9 @@ def _(spark, sf):
 def _(spark, sf):
     out, state = scratch_path(spark, "converted"), scratch_path(spark, "state")
     config = {"resolution": 256}
-    incremental.convert(event_stream(spark, sf), out, state, config, convert_events)
+    incremental.convert(event_stream(spark, sf), out, state, config, convert_events, (sf, "events.parquet"))
     # The second run finds every input in the checkpoint and adds nothing.
-    again = incremental.convert(event_stream(spark, sf), out, state, config, convert_events)
+    again = incremental.convert(event_stream(spark, sf), out, state, config, convert_events, (sf, "events.parquet"))
     return again.groupBy("label").agg(F.count(F.lit(1)).alias("samples"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.fixed_values import DESCRIPTOR_VERSION, DESCRIPTOR_VERSION_FIELD
 from ..functions.names import url_dir, url_merge
+from .files import require_rows
 from .sinks import write_documents
 
 _SHARD = "url:string,nsamples:long,filesize:long,weight:double,name:string,dataset:string,source_url:string"
@@ -101,7 +102,7 @@ def read_descriptor(spark: SparkSession, path: str, base: str | None = None) ->
         components = loaded.select(
             F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("source_url"), F.struct("*").alias("c")
         )
-    return resolve(docs, components).orderBy("component", "pos")
+    return require_rows(resolve(docs, components).orderBy("component", "pos"), "No shards found")
 
 
 def merge(lines: DataFrame, scalars: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.fixed_values import OPTIONAL_COLUMNS, REQUIRED_COLUMNS
 from ..functions.names import file_extension
 from ..functions.text import squeeze, strip
+from .sinks import filesystem_of
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
@@ -54,13 +55,6 @@ def image_payload(df: DataFrame, image: str = "image") -> DataFrame:
     ).drop(image)
 
 
-def _open_input(uri: str):
-    from pyarrow import fs
-
-    filesystem, path = fs.FileSystem.from_uri(uri.replace("file:///", "/").replace("file:/", "/"))
-    return filesystem, path
-
-
 def inventory(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
     """Listing plus rows and rows per row group, read from the footers, one task per file."""
 
@@ -70,7 +64,7 @@ def inventory(spark: SparkSession, path: str, pattern: str = "*.parquet") -> Dat
         for batch in batches:
             groups = []
             for uri in batch["path"]:
-                filesystem, local = _open_input(uri)
+                filesystem, local = filesystem_of(uri)
                 meta = pq.read_metadata(local, filesystem=filesystem)
                 groups.append([meta.row_group(i).num_rows for i in range(meta.num_row_groups)])
             yield batch.assign(rows=[sum(g) for g in groups], row_groups=groups)
@@ -87,7 +81,7 @@ def fingerprint_files(spark: SparkSession, path: str, pattern: str = "*") -> Dat
         for batch in batches:
             sha, md, sizes = [], [], []
             for uri in batch["path"]:
-                filesystem, local = _open_input(uri)
+                filesystem, local = filesystem_of(uri)
                 a, b, size = hashlib.sha256(), hashlib.md5(), 0
                 with filesystem.open_input_stream(local) as stream:
                     while block := stream.read(1 << 20):
@@ -128,6 +122,13 @@ def read_sidecars(spark: SparkSession, path: str, suffix: str, value_type: str =
     return explode_sidecar(texts, "__text", value_type)
 
 
+def require_rows(df: DataFrame, message: str) -> DataFrame:
+    """The same rows; no row at all is an error."""
+    if df.isEmpty():
+        raise ValueError(message)
+    return df
+
+
 def image_store(images: DataFrame, labels: DataFrame, extensions: list[str], key: str = "key") -> DataFrame:
     """Distinct keys with a supported extension and their label; ``\\`` and ``/`` are the same in label keys."""
     from ..operators.joins import strict_lookup
@@ -145,6 +146,11 @@ def folder_captions(names: DataFrame, texts: DataFrame, extensions: list[str], n
     return base.join(texts.select("base", line.alias("caption")), "base")
 
 
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """Prompt lines of text files; a file set without any prompt is refused."""
+    return require_rows(prompt_lines(spark.read.text(path).withColumnRenamed("value", "prompt"), "prompt"), "No prompts")
+
+
 def prompt_lines(lines: DataFrame, text: str) -> DataFrame:
     """Normalised non-empty prompt lines."""
     return lines.withColumn(text, squeeze(F.col(text))).where(F.length(text) > 0)

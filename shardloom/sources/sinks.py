@@ -9,11 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def open_target(uri: str):
-    """Filesystem and path of a target below a shared folder, its parent created."""
+def filesystem_of(uri: str):
+    """Filesystem and path of a URI as Spark names it (local paths, ``file:``, ``s3a:``, ``gs:``, ``hdfs:``)."""
     from pyarrow import fs
 
-    filesystem, path = fs.FileSystem.from_uri(uri.replace("file:///", "/").replace("file:/", "/"))
+    if uri.startswith("file:"):
+        uri = "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def open_target(uri: str):
+    """Filesystem and path of a target below a shared folder, its parent created."""
+    filesystem, path = filesystem_of(uri)
     filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
     return filesystem, path
 

@@ -15,8 +15,7 @@ from pyspark.sql.functions import udtf
 from ..functions.fixed_values import SHARD_SIZE
 from ..functions.names import shard_name, split_name
 from ..session import materialise
-from .files import _open_input
-from .sinks import cached_table, open_target
+from .sinks import cached_table, filesystem_of, open_target
 
 MEMBER_SCHEMA = "shard string, member_ordinal int, name string, offset long, size long, content binary"
 MEMBER_ARROW = [
@@ -95,7 +94,7 @@ def write_shards(
 
 def _members(uri: str, extensions: set[str] | None, with_content: bool):
     """Regular members of one archive in order; reading streams, so archive size does not matter."""
-    filesystem, path = _open_input(uri)
+    filesystem, path = filesystem_of(uri)
     with filesystem.open_input_file(path) as stream, tarfile.open(fileobj=stream, mode="r:") as archive:
         ordinal = 0
         for member in archive:
@@ -125,12 +124,14 @@ class TarShardReader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
 
-        filesystem, path = _open_input(self.path)
+        filesystem, path = filesystem_of(self.path)
+        whole = self.path.rstrip("/")
+        scheme = whole.removesuffix(path.rstrip("/")) if "://" in whole else ""
         if filesystem.get_file_info(path).type == fs.FileType.Directory:
             found = filesystem.get_file_info(fs.FileSelector(path, recursive=True))
-            urls = sorted(f.path for f in found if f.path.endswith(".tar"))
+            urls = sorted(scheme + f.path for f in found if f.path.endswith(".tar"))
         else:
-            urls = [path]
+            urls = [scheme + path]
         return [_Shard(u) for u in urls] or [None]
 
     def read(self, partition):
@@ -191,6 +192,11 @@ def member_index(spark: SparkSession, folder: str, index_path: str) -> DataFrame
     return cached_table(spark, index_path, lambda: read_members(spark, folder, content=False))
 
 
+def find_members(index: DataFrame, names: DataFrame) -> DataFrame:
+    """Index lines of the members with the given names."""
+    return index.join(names.select("name").distinct(), "name", "left_semi")
+
+
 def keep_sample_members(members: DataFrame, name: str = "name") -> DataFrame:
     """Members that belong to a sample: named, not a pax header, with a dot in the name."""
     named = (F.length(name) > 0) & (F.col(name) != ".") & F.contains(F.col(name), F.lit("."))
@@ -206,6 +212,8 @@ def assemble_samples(members: DataFrame, value: str = "content") -> DataFrame:
     """
     key, ext = split_name(F.col("name"))
     split = keep_sample_members(members).withColumn("key", key).withColumn("ext", ext)
+    # Both aggregations run on this one partitioning: payloads are shuffled once.
+    split = split.repartition("shard", "key")
     single = split.groupBy("shard", "key", "ext").agg(
         F.max_by(value, "member_ordinal").alias("v"), F.min("member_ordinal").alias("first")
     )

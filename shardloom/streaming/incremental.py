@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.files import list_files
+
 
 def open_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, files_per_batch: int | None = None):
     """Parquet files of a folder as a stream; files seen by the checkpoint are not read again."""
@@ -34,13 +36,42 @@ def guard_config(spark: SparkSession, state: str, config: dict) -> None:
         raise ValueError("Conversion settings changed: resume refused")
 
 
-def convert(stream: DataFrame, out: str, state: str, config: dict, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def guard_sources(spark: SparkSession, state: str, folder: str, pattern: str) -> None:
+    """Inputs seen by an earlier run must be unchanged; new ones are welcome. Remembers the current listing."""
+    from pyspark.errors import AnalysisException
+
+    path = f"{state}/sources"
+    current = list_files(spark, folder, pattern).select("name", "size_bytes", "mtime")
+    run = 0
+    try:
+        known = spark.read.parquet(path)
+        run = known.agg(F.max("run")).first()[0] + 1
+        last = known.where(F.col("run") == run - 1).drop("run")
+        changed = last.join(current, ["name", "size_bytes", "mtime"], "left_anti")
+        if not changed.isEmpty():
+            raise ValueError(f"Converted input changed: {changed.first()['name']}")
+    except AnalysisException:
+        pass
+    current.write.parquet(f"{path}/run={run}")
+
+
+def convert(
+    stream: DataFrame,
+    out: str,
+    state: str,
+    config: dict,
+    transform: Callable[[DataFrame], DataFrame],
+    source: tuple[str, str] | None = None,
+) -> DataFrame:
     """Convert everything not converted yet and return the whole output table.
 
     Progress is the stream checkpoint; the file sink commits a batch once.
+    With ``source`` (folder, pattern) a changed input refuses to resume as well.
     """
     spark = stream.sparkSession
     guard_config(spark, state, config)
+    if source:
+        guard_sources(spark, state, *source)
     result = transform(stream)
     query = (
         result.writeStream.format("parquet")

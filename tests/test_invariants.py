@@ -235,6 +235,24 @@ def test_conversion_resumes_and_refuses_other_settings(spark, tmp_path):
         run({"size": 2})
 
 
+def test_conversion_refuses_changed_inputs(spark, tmp_path):
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    spark.range(10).coalesce(1).write.parquet(str(source))
+    schema = spark.range(1).schema
+
+    def run():
+        stream = incremental.open_stream(spark, str(source), "*.parquet", schema)
+        return incremental.convert(stream, out, state, {}, lambda s: s, (str(source), "*.parquet")).count()
+
+    assert run() == 10
+    spark.range(10, 15).coalesce(1).write.mode("append").parquet(str(source))
+    assert run() == 15
+    first = next(source.glob("*.parquet"))
+    first.write_bytes(first.read_bytes() + b"x")
+    with pytest.raises(ValueError, match="changed"):
+        run()
+
+
 def test_inserts_are_idempotent_over_batches(spark, tmp_path):
     source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
     spark.range(10).coalesce(1).write.parquet(source)
@@ -256,6 +274,24 @@ def test_stateful_batches_carry_their_rest_over(spark, tmp_path):
     assert sorted(r.batch_no for r in done if r.bucket == "even") == [0, 1]
 
 
+def test_latest_checkpoint_prefers_named_steps(spark):
+    from shardloom.operators import retention
+
+    schema = "path string, mtime bigint"
+    named = spark.createDataFrame([("r/epoch=1-step=5.ckpt", 9), ("r/epoch=0-step=70.ckpt", 1), ("r/last.ckpt", 99)], schema)
+    assert retention.latest(named).first()["path"] == "r/epoch=0-step=70.ckpt"
+    plain = spark.createDataFrame([("r/a.ckpt", 9), ("r/b.ckpt", 10)], schema)
+    assert retention.latest(plain).first()["path"] == "r/b.ckpt"
+
+
+def test_prompt_files_without_prompts_are_refused(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("  a  b \n\n c\n")
+    assert sorted(r.prompt for r in files.read_prompts(spark, str(tmp_path / "p.txt")).collect()) == ["a b", "c"]
+    (tmp_path / "q.txt").write_text(" \n\n")
+    with pytest.raises(ValueError, match="No prompts"):
+        files.read_prompts(spark, str(tmp_path / "q.txt"))
+
+
 def test_registry_rules():
     own = registry.Registry("own")
     own.register("a")(lambda x, y=1: (x, y))
