@@ -69,13 +69,12 @@ def pair_report(members: DataFrame, shards: DataFrame) -> DataFrame:
     per_key = members.groupBy("shard", "key").agg(
         F.count_if(F.col("ext") == "jpg").alias("images"),
         F.count_if(F.col("ext") == "json").alias("records"),
-        F.min(F.struct("width", "height")).alias("lo"),
-        F.max(F.struct("width", "height")).alias("hi"),
+        ((F.min("width") != F.max("width")) | (F.min("height") != F.max("height"))).alias("conflict"),
     )
     found = per_key.groupBy("shard").agg(
         F.count(F.lit(1)).alias("found"),
         F.count_if((F.col("images") == 0) | (F.col("records") == 0)).alias("unpaired"),
-        F.count_if(~F.col("lo").eqNullSafe(F.col("hi"))).alias("size_conflicts"),
+        F.count_if("conflict").alias("size_conflicts"),
     )
     zero = F.lit(0).cast("bigint")
     return shards.join(found, "shard", "full_outer").select(

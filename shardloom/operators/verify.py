@@ -17,60 +17,60 @@ def violations(df: DataFrame, keys: list[str], rules: list[Column]) -> DataFrame
     return df.select(*keys, F.explode(F.array_compact(F.array(*rules))).alias("rule"))
 
 
-def member_violations(members: DataFrame) -> DataFrame:
-    """Rules on single members: ``shard, key, ext, record`` (JSON text of json members, null for images)."""
+def member_flags(members: DataFrame) -> DataFrame:
+    """0/1 columns for the rules on single members: ``ext`` and ``record`` (JSON text, null for images).
+
+    Texts are judged where they are read; only the flags travel further.
+    """
     record = F.try_parse_json(F.col("record"))
     is_json = F.col("ext") == "json"
-    fields = [
-        rule(~is_json | F.get_json_object("record", f"$.{f}").isNotNull(), f"missing {f}") for f in SAMPLE_FIELDS
-    ]
     prompt = F.try_variant_get(record, "$.prompt", "string")
-    texts = F.try_variant_get(record, "$.texts", "array<string>")
-    inside = F.forall(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.contains(prompt, t))
-    return violations(
-        members,
-        ["shard", "key"],
-        [
-            rule(F.col("ext").isin(SHARD_EXTENSIONS), "unexpected member"),
-            rule(~is_json | record.isNotNull(), "unreadable record"),
-            *fields,
-            rule(~is_json | inside, "text not in prompt"),
-        ],
-    )
-
-
-def pair_violations(members: DataFrame) -> DataFrame:
-    """Rules on keys: image and record present, one size."""
-    per_key = members.groupBy("shard", "key").agg(
-        F.count_if(F.col("ext") == "jpg").alias("images"),
-        F.count_if(F.col("ext") == "json").alias("records"),
-        F.min(F.struct("width", "height")).alias("lo"),
-        F.max(F.struct("width", "height")).alias("hi"),
-    )
-    return violations(
-        per_key,
-        ["shard", "key"],
-        [
-            rule((F.col("images") > 0) & (F.col("records") > 0), "incomplete pair"),
-            rule(F.col("lo").eqNullSafe(F.col("hi")), "sizes differ"),
-        ],
+    texts = F.coalesce(F.try_variant_get(record, "$.texts", "array<string>"), F.array().cast("array<string>"))
+    rules = {
+        "unexpected member": F.col("ext").isin(SHARD_EXTENSIONS),
+        "unreadable record": ~is_json | record.isNotNull(),
+        "text not in prompt": ~is_json | F.forall(texts, lambda t: F.contains(prompt, t)),
+    }
+    for field in SAMPLE_FIELDS:
+        rules[f"missing {field}"] = ~is_json | F.get_json_object("record", f"$.{field}").isNotNull()
+    flags = [(~F.coalesce(ok, F.lit(False))).cast("int").alias(name) for name, ok in rules.items()]
+    return members.select("shard", "key", "ext", "width", "height", *flags)
+
+
+def sample_rules(members: DataFrame) -> DataFrame:
+    """One line per key with the broken rules of the sample: its members, its pair, its size."""
+    flagged = member_flags(members)
+    names = flagged.columns[5:]
+    n, sized = F.count(F.lit(1)), F.count("width")
+    per_key = flagged.groupBy("shard", "key").agg(
+        *[F.max(F.col(f"`{name}`")).alias(name) for name in names],
+        (F.count_if(F.col("ext") == "jpg") * F.count_if(F.col("ext") == "json") > 0).alias("paired"),
+        (
+            ((sized == n) | (sized == 0))
+            & F.min("width").eqNullSafe(F.max("width"))
+            & F.min("height").eqNullSafe(F.max("height"))
+        ).alias("one_size"),
     )
-
-
-def count_violations(members: DataFrame, shards: DataFrame) -> DataFrame:
-    found = members.groupBy("shard").agg(F.count_distinct("key").alias("found"))
-    joined = shards.select("shard", "nsamples").join(found, "shard", "full_outer")
-    wrong = ~F.col("nsamples").cast("bigint").eqNullSafe(F.col("found"))
-    return joined.where(wrong).select("shard", F.lit(None).cast("string").alias("key"), F.lit("wrong count").alias("rule"))
+    broken = [F.when(F.col(f"`{name}`") == 1, F.lit(name)) for name in names]
+    broken += [rule(F.col("paired"), "incomplete pair"), rule(F.col("one_size"), "sizes differ")]
+    return per_key.select("shard", "key", F.array_compact(F.array(*broken)).alias("rules"))
 
 
 def verify_shards(members: DataFrame, shards: DataFrame) -> DataFrame:
-    """All shard rules as one table ``shard, key, rule``; empty means the shards are fine."""
-    return (
-        member_violations(members)
-        .unionByName(pair_violations(members))
-        .unionByName(count_violations(members, shards))
+    """All shard rules as one table ``shard, key, rule``; empty means the shards are fine.
+
+    Archives are read once: every sample also counts one towards its shard,
+    the shard list counts its declared number down, and what is not zero is wrong.
+    """
+    nothing = F.lit(None).cast("string")
+    lines = F.transform("rules", lambda r: F.struct(F.col("key"), r.alias("rule"), F.lit(1).cast("bigint").alias("n")))
+    counted = F.array(F.struct(nothing.alias("key"), F.lit("wrong count").alias("rule"), F.lit(1).cast("bigint").alias("n")))
+    found = sample_rules(members).select("shard", F.inline(F.concat(lines, counted)))
+    declared = shards.select(
+        "shard", nothing.alias("key"), F.lit("wrong count").alias("rule"), (-F.col("nsamples").cast("bigint")).alias("n")
     )
+    sums = found.unionByName(declared).groupBy("shard", "key", "rule").agg(F.sum("n").alias("n"))
+    return sums.where("n <> 0").drop("n")
 
 
 def verify_store(images: DataFrame, labels: DataFrame, index: DataFrame) -> DataFrame:
