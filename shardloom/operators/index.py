@@ -22,7 +22,7 @@ def total_rows(df: DataFrame) -> Column:
 def with_row_index(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Parquet rows with ``source_file``, ``source_path`` and their physical ``source_row``; no shuffle, no window."""
     df = spark.read.parquet(path)
-    chosen = [F.col(c) for c in (columns or df.columns)]
+    chosen = [F.col(c) for c in (df.columns if columns is None else columns)]
     return df.select(
         *chosen,
         F.col("_metadata.file_name").alias("source_file"),

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ...operators.index import with_global_index
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -60,9 +62,8 @@ LINEITEM_SQL = "SELECT *, row_number() OVER () - 1 AS idx FROM lineitem"
 
 
 def indexed_lineitem(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
-    """lineitem with its physical row index ``idx``: the big sample index of the demos."""
-    rows = table(spark, sf, "lineitem")
-    return rows.select(F.col("_metadata.row_index").alias("idx"), *columns)
+    """lineitem with its global row index ``idx`` over all its files: the big sample index of the demos."""
+    return with_global_index(spark, f"{sf}/lineitem.parquet", columns, "idx").drop("source_file", "source_row")
 
 
 def sized_lineitem(spark: SparkSession, sf: str) -> DataFrame:
