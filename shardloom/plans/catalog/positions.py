@@ -55,8 +55,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = indexed_lineitem(spark, sf, [])
-    url = shard_name(F.lit("train"), F.expr("idx div 1000"))
-    return rows.groupBy(url.alias("url")).agg(F.count(F.lit(1)).alias("nsamples"))
+    sizes = rows.groupBy(F.expr("idx div 1000").alias("no")).agg(F.count(F.lit(1)).alias("nsamples"))
+    return sizes.select(shard_name(F.lit("train"), F.col("no")).alias("url"), "nsamples")
 
 
 @query(
