@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,7 +16,8 @@ OUTPUT = "rank long, bucket string, batch_no long, first_index long, last_index
 class BucketBatcher(StatefulProcessor):
     """State per key: fewer than ``size`` waiting indices and the next batch number.
 
-    A key is one bucket of one worker, so a hot bucket is spread over the workers.
+    A key is one bucket of one worker, and a worker owns an index range of bounded
+    size, so a hot bucket is spread over the workers.
     """
 
     def __init__(self, size: int, flush_after_ms: int | None = None):
@@ -36,10 +38,12 @@ class BucketBatcher(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         buffer = [r[0] for r in self.waiting.get()] if self.waiting.exists() else []
         number = self.next_no.get()[0] if self.next_no.exists() else 0
-        for frame in rows:
+        # Index order inside a micro-batch, whatever order the tasks delivered; only indices are held.
+        arrived = np.sort(np.concatenate([frame["idx"].to_numpy(dtype="int64") for frame in rows]))
+        for at in range(0, len(arrived), 1 << 16):
             out = []
-            for value in frame["idx"]:
-                buffer.append(int(value))
+            for value in arrived[at : at + (1 << 16)].tolist():
+                buffer.append(value)
                 if len(buffer) == self.size:
                     out.append(self._emit(key, number, buffer, True))
                     number, buffer = number + 1, []

@@ -14,6 +14,9 @@ import time
 import duckdb
 
 
+EXACT = os.environ.get("ORACLE_EXACT") == "1"  # doubles bit by bit instead of nine digits
+
+
 def connect(sf_dir: str):
     con = duckdb.connect()
     for path in sorted(glob.glob(f"{sf_dir}/*.parquet")):
@@ -26,7 +29,7 @@ def _plain(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return float(f"{value:.9g}") + 0.0
+        return value + 0.0 if EXACT else float(f"{value:.9g}") + 0.0
     return value
 
 
