@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed_values import SAMPLE_FIELDS, SHARD_EXTENSIONS
+from ..functions.geometry import header_size
+from ..functions.names import split_name
 
 
 def rule(condition: Column, name: str) -> Column:
@@ -17,6 +19,25 @@ def violations(df: DataFrame, keys: list[str], rules: list[Column]) -> DataFrame
     return df.select(*keys, F.explode(F.array_compact(F.array(*rules))).alias("rule"))
 
 
+def describe_members(members: DataFrame) -> DataFrame:
+    """Tar members as ``shard, key, ext, record, width, height``.
+
+    Image sizes come from the payload's header, record sizes from the record;
+    an unreadable image has no size.
+    """
+    key, ext = split_name(F.col("name"))
+    named = members.select("shard", key.alias("key"), F.regexp_replace(ext, r"^\.", "").alias("ext"), "content")
+    is_image = F.col("ext") == "jpg"
+    sized = named.withColumn("image", header_size(F.when(is_image, F.col("content"))))
+    sized = sized.withColumn("record", F.when(F.col("ext") == "json", F.decode("content", "UTF-8")))
+
+    def side(name: str) -> Column:
+        written = F.get_json_object("record", f"$.{name}").try_cast("int")
+        return F.when(is_image, F.col(f"image.{name}")).otherwise(written).alias(name)
+
+    return sized.select("shard", "key", "ext", "record", side("width"), side("height"))
+
+
 def member_flags(members: DataFrame) -> DataFrame:
     """0/1 columns for the rules on single members: ``ext`` and ``record`` (JSON text, null for images).
 
@@ -26,13 +47,14 @@ def member_flags(members: DataFrame) -> DataFrame:
     is_json = F.col("ext") == "json"
     prompt = F.try_variant_get(record, "$.prompt", "string")
     texts = F.coalesce(F.try_variant_get(record, "$.texts", "array<string>"), F.array().cast("array<string>"))
+    present = F.json_object_keys("record")  # a field that holds null is there
     rules = {
         "unexpected member": F.col("ext").isin(SHARD_EXTENSIONS),
         "unreadable record": ~is_json | record.isNotNull(),
         "text not in prompt": ~is_json | F.forall(texts, lambda t: F.contains(prompt, t)),
     }
     for field in SAMPLE_FIELDS:
-        rules[f"missing {field}"] = ~is_json | F.get_json_object("record", f"$.{field}").isNotNull()
+        rules[f"missing {field}"] = ~is_json | F.array_contains(present, field)
     flags = [(~F.coalesce(ok, F.lit(False))).cast("int").alias(name) for name, ok in rules.items()]
     return members.select("shard", "key", "ext", "width", "height", *flags)
 

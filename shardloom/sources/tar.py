@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.functions import udtf
 
@@ -26,25 +26,30 @@ INDEX_SCHEMA = "shard string, member_ordinal int, name string, offset long, size
 
 
 def write_shards(
-    samples: DataFrame, folder: str, index: str, members: dict[str, str], stem: str = "shard", shard_size: int = SHARD_SIZE
+    samples: DataFrame,
+    folder: str,
+    index: str,
+    members: dict[str, str],
+    stem: str | Column = "shard",
+    shard_size: int = SHARD_SIZE,
 ) -> DataFrame:
     """Write tar shards of ``shard_size`` samples and return ``url, nsamples, size_bytes``.
 
-    ``samples`` has ``key``, a dense ``index`` and one binary column per member
+    ``samples`` has ``key``, an ``index`` (dense per stem) and one binary column per member
     (``members`` maps extension to column).  Payloads move once, to the task of
     their shard, where sorted rows stream into the archive: neither a shard nor
     a partition has to fit in memory.  Each archive is written under an attempt
     name and renamed, so a lost or repeated task leaves no half file behind.
     """
     extensions = list(members)
+    prefix = F.concat(F.lit(f"{folder}/"), F.lit(stem) if isinstance(stem, str) else stem)
     chosen = samples.select(
-        F.expr(f"{index} div {shard_size}").alias("shard_no"),
+        shard_name(prefix, F.expr(f"{index} div {shard_size}")).alias("url"),
         F.col(index).alias("sample_no"),
         F.col("key").cast("string").alias("key"),
         *[F.col(c).cast("binary").alias(f"m{i}") for i, c in enumerate(members.values())],
     )
-    arranged = chosen.withColumn("url", shard_name(F.lit(f"{folder}/{stem}"), F.col("shard_no"))).repartition("shard_no")
-    arranged = arranged.sortWithinPartitions("shard_no", "sample_no")
+    arranged = chosen.repartition("url").sortWithinPartitions("url", "sample_no")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, archive, sink, target, temporary, filesystem, count = None, None, None, None, None, None, 0
