@@ -15,7 +15,9 @@ from ...operators import sampling
 from ...operators.buckets import histogram
 from ...operators.joins import caption_or_default
 from ...operators.worklist import parse_class_counts
-from ...sources.tar import keep_sample_members
+from ...session import scratch_path
+from ...sources.tar import keep_sample_members, read_members
+from .. import convert as conversion
 from ..training_slice import prepare_samples
 from .common import (
     ANNOTATED_SQL,
@@ -103,6 +105,36 @@ def _(spark, sf):
     return slice_samples(spark, sf).select("doc_id", "key", "shard_no", "ratio", F.md5("prompt").alias("prompt_md5"))
 
 
+def staged_images(spark, sf):
+    """Documents as image rows: a JPEG header of the right size as payload, lines as annotations."""
+    rows = slice_rows(spark, sf)
+    sizes = F.concat(F.lpad(F.hex("height"), 4, "0"), F.lpad(F.hex("width"), 4, "0"))
+    payload = F.unhex(F.concat(F.lit("FFD8FFC0001108"), sizes, F.lit("03000000000000000000FFD9")))
+    return rows.select(
+        F.struct(payload.alias("bytes"), F.col("doc_id").cast("string").alias("path")).alias("image"), "caption",
+        "annotations", F.col("width").alias("image_width"), F.col("height").alias("image_height"),
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("img_name"),
+    )
+
+
+@query(
+    "flagship_conversion",
+    """SELECT count(*) AS "rows", count(*) AS samples, true AS complete, 0::BIGINT AS violations, count(DISTINCT doc_id)::BIGINT AS prompts FROM documents""",
+)
+def _(spark, sf):
+    source, output = scratch_path(spark, "images"), scratch_path(spark, "converted")
+    staged_images(spark, sf).write.parquet(source)
+    done = conversion.convert(spark, source, output, shard_size=500)
+    members = read_members(spark, f"{output}/shards", extensions="json")
+    prompt = F.get_json_object(F.decode("content", "UTF-8"), "$.prompt")
+    shards = spark.read.parquet(f"{output}/shard-list").select(F.sum("nsamples")).scalar()
+    found = conversion.verify(spark, output).select(F.count(F.lit(1))).scalar()
+    return done.agg(
+        F.sum("rows").alias("rows"), shards.alias("samples"), F.bool_and(F.col("status") == "complete").alias("complete"),
+        found.alias("violations"), members.select(F.count(prompt)).scalar().alias("prompts"),
+    )
+
+
 @query("p1_caption_clean", f"SELECT doc_id, {clean_sql('text')} AS clean FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.clean_caption(F.col("text")).alias("clean"))
