@@ -20,8 +20,10 @@ def prepare_samples(
     Narrow except for the holdout anti-join, which is broadcast when the list is small.
     """
     kept = exclude_holdout(rows, excluded, index)
-    texts = prompt_texts(normalise(F.col("annotations")))
-    prompted = kept.withColumn("clean", clean_caption(F.col("caption"))).withColumn("texts", texts)
+    prompted = kept.withColumn("clean", clean_caption(F.col("caption")))
+    # Texts come from the raw list, so that a plan without the annotations column never normalises it.
+    prompted = prompted.withColumn("texts", prompt_texts(F.col("annotations")))
+    prompted = prompted.withColumn("annotations", normalise(F.col("annotations")))
     prompted = prompted.withColumn("prompt", visible_text_prompt(F.col("clean"), F.col("texts")))
     keyed = prompted.withColumn("key", row_key(F.lit(stem), F.col(index))).withColumn(
         "shard_no", F.expr(f"{index} div {shard_size}")

@@ -22,6 +22,10 @@ def _require(ok: Column, message: str) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
 
 
+def _plain_path(url: Column) -> Column:
+    return F.regexp_replace(url, "^file:/+", "/")
+
+
 def parse_descriptors(docs: DataFrame, text: str) -> DataFrame:
     """Descriptor documents held as JSON text, parsed in place."""
     return docs.withColumn("d", F.from_json(F.col(text), DESCRIPTOR)).drop(text)
@@ -56,7 +60,9 @@ def resolve(docs: DataFrame, components: DataFrame | None = None) -> DataFrame:
         refs = parts.where("c.source_url is not null").select(
             "source", "component", F.col("c.source_url").alias("source_url"), F.col("c.weight").alias("w")
         )
-        linked = refs.join(components, "source_url", "left").where(
+        # The reader names local files by URI; both sides drop that prefix.
+        named = components.select(_plain_path(F.col("source_url")).alias("__at"), "c")
+        linked = refs.withColumn("__at", _plain_path(F.col("source_url"))).join(named, "__at", "left").where(
             _require(F.col("c").isNotNull(), "Component descriptor not found")
         ).select(
             "source", "component",
@@ -100,7 +106,7 @@ def read_descriptor(spark: SparkSession, path: str, base: str | None = None) ->
     if urls:
         loaded = spark.read.schema(DESCRIPTOR).option("multiLine", "true").json(urls)
         components = loaded.select(
-            F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("source_url"), F.struct("*").alias("c")
+            F.col("_metadata.file_path").alias("source_url"), F.struct("*").alias("c")
         )
     return require_rows(resolve(docs, components).orderBy("component", "pos"), "No shards found")
 
