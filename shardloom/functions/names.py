@@ -74,7 +74,10 @@ def url_build(scheme: Column, netloc: Column, path: Column, query: Column, fragm
     rooted = F.when((netloc != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
     return F.concat(
         F.when(scheme != "", F.concat(F.lower(scheme), F.lit(":"))).otherwise(F.lit("")),
-        F.when(netloc != "", F.concat(F.lit("//"), netloc)).otherwise(F.lit("")),
+        # These schemes write an empty authority too: file:///path.
+        F.when((netloc != "") | F.lower(scheme).isin("file", "ftp", "http", "https"), F.concat(F.lit("//"), netloc)).otherwise(
+            F.lit("")
+        ),
         rooted,
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
         F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")),

@@ -24,11 +24,10 @@ from .common import (
     order_shards,
     query,
     sized_lineitem,
-    squeeze_sql,
     table,
     uniform_sql,
 )
-from .projections import SHORT_LINES_SQL, blank_free, short_lines, strip_sql
+from .projections import SHORT_LINES_SQL, blank_free, short_lines
 
 
 @query(

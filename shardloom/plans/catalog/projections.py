@@ -12,7 +12,6 @@ from ...functions.geometry import header_size
 from ...functions.hashing import uniform
 from ...functions.names import file_extension
 from ...operators import sampling
-from ...operators.buckets import histogram
 from ...operators.joins import caption_or_default
 from ...operators.worklist import parse_class_counts
 from ...session import scratch_path

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ...functions.fixed_values import ASPECT_RATIO_512
 from ...functions.names import image_key, row_key
-from ...functions.text import first_line
 from ...operators import index as ix
 from ...operators.buckets import with_bucket
 from ...session import scratch_path

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...functions.fixed_values import ASPECT_RATIO_512, ASPECT_RATIO_1024
+from ...functions.fixed_values import ASPECT_RATIO_1024
 from ...functions.names import image_key
 from ...operators import extensions, metrics
 from ...session import scratch_path
-from ...sources import sinks, tar
+from ...sources import tar
 from ...streaming import batcher, incremental
 from ...streaming import metrics as live
 from .. import registry

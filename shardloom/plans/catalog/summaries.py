@@ -9,14 +9,11 @@ from ...functions.fixed_values import (
     BUCKET_CACHE_ITEM_BYTES,
     BUCKET_CACHE_THRESHOLD_BYTES,
     CONTRASTIVE_TEMPERATURE,
-    SAMPLE_FIELDS,
 )
 from ...functions.names import image_key
 from ...operators import buckets, metrics, routing, sampling, splits, verify
-from ...operators import index as ix
 from ...sources import ledger
 from .common import (
-    LINEITEM_SQL,
     SCORES_SQL,
     SHARDS_SQL,
     SIZED_SQL,
@@ -25,11 +22,10 @@ from .common import (
     order_shards,
     query,
     sized_lineitem,
-    squeeze_sql,
     table,
 )
-from .joins import LEDGER_SQL, priority_inputs, recorded_ledger
-from .positions import CLASS_SQL, PLACED_SQL, PROTO_SQL, ROUTED_SQL, class_counts, placed_rows, prototypes, routed_vectors
+from .joins import priority_inputs, recorded_ledger
+from .positions import CLASS_SQL, PLACED_SQL, PROTO_SQL, ROUTED_SQL, class_counts, prototypes, routed_vectors
 from .projections import slice_samples, SLICE_SQL
 
 

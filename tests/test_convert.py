@@ -4,7 +4,6 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from shardloom.plans import convert as conversion
 from shardloom.sources import descriptors, tar

@@ -173,6 +173,7 @@ def test_names(spark):
     assert one(spark, nm.clean_filename(F.col("t")), t="中") == "untitled"
     assert one(spark, nm.url_merge(F.lit("http://h/a/b;p?q"), F.lit("../c.tar#f"))) == "http://h/a/c.tar#f"
     assert one(spark, nm.url_dir(F.lit("s3://b/x/y.json"))) == "s3://b/x"
+    assert one(spark, nm.url_merge(F.lit("file:///a/b"), F.lit("c.tar"))) == "file:///a/b/c.tar"
 
 
 def test_jpeg_header_size():
