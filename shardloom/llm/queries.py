@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, sharding
+from . import ann, byte_bpe, language, packing, sharding, token_counts, vector_dedup
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -34,3 +34,40 @@ def op10_byte_bpe(spark, sf):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark, sf):
+    docs = table(spark, sf, "documents")
+    counts = token_counts.count_tokens(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark, sf):
+    docs = table(spark, sf, "documents")
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.place(digests, docs.count())
+
+
+def _held_out():
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+@query("op4_language_id")
+def op4_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    dictionaries = language.fit(docs, ~_held_out())
+    found = language.identify(docs.select("doc_id", "text"), dictionaries)
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_multi_index_search")
+def op3_multi_index_search(spark, sf):
+    return ann.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_sorted_projections")
+def op7_sorted_projections(spark, sf):
+    return vector_dedup.near_duplicates(table(spark, sf, "embeddings"))
