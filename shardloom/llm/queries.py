@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, language, packing, sharding, token_counts, vector_dedup
+from . import ann, byte_bpe, language, packing, sharding, simhash, token_counts, vector_dedup
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -71,3 +71,9 @@ def op3_multi_index_search(spark, sf):
 @query("op7_sorted_projections")
 def op7_sorted_projections(spark, sf):
     return vector_dedup.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@query("op5_gray_simhash")
+def op5_gray_simhash(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
