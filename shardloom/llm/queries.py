@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, language, packing, sharding, simhash, token_counts, vector_dedup
+from . import ann, byte_bpe, language, packing, sharding, simhash, substring_dedup, token_counts, vector_dedup
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -77,3 +77,25 @@ def op7_sorted_projections(spark, sf):
 def op5_gray_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+_WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+@query(
+    "op1_recompression",
+    f"""WITH docs AS (SELECT row_number() OVER () AS nr, doc_id, {_WORDS_SQL} AS words FROM documents),
+windows AS (
+  SELECT nr, doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS content
+  FROM (SELECT nr, doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM docs WHERE doc_id IS NOT NULL)),
+repeats AS (SELECT nr, pos FROM (SELECT *, min(doc_id) OVER (PARTITION BY content) AS least FROM windows) WHERE doc_id > least),
+gone AS (SELECT DISTINCT nr, unnest(range(pos, pos + 13)) AS pos FROM repeats),
+placed AS (SELECT nr, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM docs),
+kept AS (SELECT nr, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM placed ANTI JOIN gone USING (nr, pos) GROUP BY nr)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (nr)""",
+)
+def op1_recompression(spark, sf):
+    found = substring_dedup.dedup(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
