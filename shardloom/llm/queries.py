@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, language, packing, sharding, simhash, substring_dedup, token_counts, vector_dedup
+from . import ann, byte_bpe, language, licences, packing, sharding, simhash, substring_dedup, token_counts, vector_dedup
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -99,3 +99,8 @@ FROM docs LEFT JOIN kept USING (nr)""",
 def op1_recompression(spark, sf):
     found = substring_dedup.dedup(table(spark, sf, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark, sf):
+    return licences.scan(table(spark, sf, "documents"))

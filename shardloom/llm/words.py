@@ -7,8 +7,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 class Words(NamedTuple):
@@ -20,8 +20,8 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def split(texts: pa.Array | pa.ChunkedArray) -> Words:
-    """Words between the bytes 0x20 and 0x09 to 0x0D; null texts have none."""
+def split(texts: pa.Array | pa.ChunkedArray, between: np.ndarray = SPACE) -> Words:
+    """Words between the bytes marked in ``between`` (0x20 and 0x09 to 0x0D); null texts have none."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
@@ -33,7 +33,7 @@ def split(texts: pa.Array | pa.ChunkedArray) -> Words:
     base = int(offsets[0])
     data = np.frombuffer(data, np.uint8)[base : int(offsets[-1])] if data is not None else np.zeros(0, np.uint8)
     offsets = offsets - base
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
