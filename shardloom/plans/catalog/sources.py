@@ -27,7 +27,7 @@ from .common import (
 
 @query("s1_directory_scan", "SELECT o_orderkey, o_orderstatus FROM orders")
 def _(spark, sf):
-    return files.scan_directory(spark, sf, "orders.parquet", max_files=1).select("o_orderkey", "o_orderstatus")
+    return files.scan_directory(spark, f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus")
 
 
 @query("s2_schema_gate", "SELECT doc_id, text, lang, source FROM documents")
@@ -50,10 +50,16 @@ def _(spark, sf):
 
 @query("s4_file_inventory")
 def _(spark, sf):
-    found = files.inventory(spark, sf, "lineitem.parquet")
+    found = files.inventory(spark, f"{sf}/lineitem.parquet")
     return found.select("name", "size_bytes", "mtime", "rows", F.to_json("row_groups").alias("rows_per_group"))
 
 
+@query("s4_inventory_rows", "SELECT count(*) AS rows FROM lineitem")
+def _(spark, sf):
+    found = files.inventory(spark, f"{sf}/lineitem.parquet")
+    return found.select(F.explode("row_groups").alias("n")).agg(F.sum("n").alias("rows"))
+
+
 @query(
     "s5_fingerprints",
     "SELECT page_id, sha256(html) AS sha256, md5(html) AS md5, strlen(html)::BIGINT AS size_bytes FROM pages",
@@ -68,7 +74,7 @@ def _(spark, sf):
 
 @query("s5_file_fingerprints")
 def _(spark, sf):
-    return files.fingerprint_files(spark, sf, "lineitem.parquet").drop("path")
+    return files.fingerprint_files(spark, f"{sf}/lineitem.parquet", "*.parquet").drop("path")
 
 
 @query(

@@ -20,7 +20,7 @@ from .summaries import METRICS_SQL, event_metrics
 
 def event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    return incremental.open_stream(spark, sf, "events.parquet", schema)
+    return incremental.open_stream(spark, f"{sf}/events.parquet", "*.parquet", schema)
 
 
 def convert_events(stream):
@@ -44,17 +44,17 @@ def _(spark, sf):
 def _(spark, sf):
     out, state = scratch_path(spark, "converted"), scratch_path(spark, "state")
     config = {"resolution": 256}
-    incremental.convert(event_stream(spark, sf), out, state, config, convert_events, (sf, "events.parquet"))
+    incremental.convert(event_stream(spark, sf), out, state, config, convert_events, (f"{sf}/events.parquet", "*.parquet"))
     # The second run finds every input in the checkpoint and adds nothing.
-    again = incremental.convert(event_stream(spark, sf), out, state, config, convert_events, (sf, "events.parquet"))
+    again = incremental.convert(event_stream(spark, sf), out, state, config, convert_events, (f"{sf}/events.parquet", "*.parquet"))
     return again.groupBy("label").agg(F.count(F.lit(1)).alias("samples"))
 
 
 @query(
     "x3_stateful_batches",
-    """SELECT rank, bucket, pos // 8 AS batch_no, min(event_id) AS first_index, max(event_id) AS last_index, string_agg(event_id, ',' ORDER BY event_id) AS members FROM (
-SELECT event_id // 2500 AS rank, event_type AS bucket, event_id, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY event_id // 2500, event_type) AS n
-FROM events WINDOW w AS (PARTITION BY event_id // 2500, event_type ORDER BY event_id)) WHERE (pos // 8 + 1) * 8 <= n GROUP BY rank, bucket, pos // 8""",
+    """SELECT rank, bucket, pos // 8 AS batch_no, min(event_id) AS first_index, max(event_id) AS last_index, string_agg(event_id, ',' ORDER BY event_id) AS members, count(*) = 8 AS "full" FROM (
+SELECT event_id // 2500 AS rank, event_type AS bucket, event_id, row_number() OVER w - 1 AS pos
+FROM events WINDOW w AS (PARTITION BY event_id // 2500, event_type ORDER BY event_id)) GROUP BY rank, bucket, pos // 8""",
 )
 def _(spark, sf):
     stream = event_stream(spark, sf).select(
@@ -62,7 +62,7 @@ def _(spark, sf):
     )
     batches = batcher.batch_stream(stream, 8)
     done = batcher.run(batches, scratch_path(spark, "batches"), scratch_path(spark, "state"))
-    return done.select("rank", "bucket", "batch_no", "first_index", "last_index", "members")
+    return done.select("rank", "bucket", "batch_no", "first_index", "last_index", "members", "full")
 
 
 @query(
@@ -77,7 +77,7 @@ def _(spark, sf):
 @query(
     "x4_stream_windows",
     f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, name, round(sum(value * n) / sum(n), 6) AS average, count(*) AS n
-FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS w FROM ({METRICS_SQL})) WHERE w + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY w, name""",
+FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS w FROM ({METRICS_SQL})) GROUP BY w, name""",
 )
 def _(spark, sf):
     stream = event_stream(spark, sf).select(
@@ -85,7 +85,9 @@ def _(spark, sf):
         F.from_json("props", "k bigint")["k"].alias("n"),
     )
     result = live.windowed_average(stream, "ts", ["name"], "value", "n", "6 hours")
-    done = live.run_append(result, scratch_path(spark, "windows"), scratch_path(spark, "state"))
+    # The change log also holds the windows that the watermark has not closed yet.
+    keys = ["window_start", "window_end", "name"]
+    done = live.run_updates(result, keys, scratch_path(spark, "windows"), scratch_path(spark, "state"))
     start = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
     return done.select(start.alias("window_start"), "name", F.round("average", 6).alias("average"), "n")
 
@@ -131,10 +133,10 @@ def _(spark, sf):
 # ------------------------------------------------------------ extension points
 
 
-@query("v1_dataset_registry", "SELECT doc_id AS key, text AS caption FROM documents WHERE length(text) >= 200")
+@query("v1_dataset_registry", "SELECT doc_id AS key, text AS caption FROM documents")
 def _(spark, sf):
-    config = {"type": "parquet_captions", "path": f"{sf}/documents.parquet", "key": "doc_id", "caption": "text", "min_chars": 200}
-    return registry.DATASETS.build(config, {"spark": spark, "min_chars": 0})
+    config = {"type": "parquet_captions", "path": f"{sf}/documents.parquet", "key": "doc_id", "caption": "text", "min_chars": 0}
+    return registry.DATASETS.build(config, {"spark": spark, "min_chars": 200})  # the config wins over the defaults
 
 
 @query(

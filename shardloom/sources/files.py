@@ -15,8 +15,12 @@ from .sinks import filesystem_of
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """``path, name, size_bytes, mtime`` of matching files; contents are not read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    """``path, name, size_bytes, mtime`` of the files of a table; contents are not read.
+
+    ``path`` is a file, a folder at any depth, or a glob over either; ``pattern`` holds for file names.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    found = reader.option("pathGlobFilter", pattern).load(path)
     return found.select(
         "path",
         F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
@@ -26,13 +30,16 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> Da
 
 
 def scan_directory(spark: SparkSession, path: str, pattern: str = "*.parquet", max_files: int | None = None) -> DataFrame:
-    """Parquet files of a directory in name order, optionally the first ``max_files``; an empty match is an error.
+    """Parquet files of a file, folder or glob, optionally the first ``max_files`` by name; no match is an error.
 
     A file cap is applied to the listing, so the other files are never opened.
     """
+    listed = list_files(spark, path, pattern)
     if max_files is None:
-        return spark.read.option("pathGlobFilter", pattern).parquet(path)
-    names = list_files(spark, path, pattern).orderBy("name").limit(max_files).select("path").collect()
+        if listed.isEmpty():
+            raise FileNotFoundError(f"No {pattern} files in {path}")
+        return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).parquet(path)
+    names = listed.orderBy("name", "path").limit(max_files).select("path").collect()
     if not names:
         raise FileNotFoundError(f"No {pattern} files in {path}")
     return spark.read.parquet(*[r["path"] for r in names])

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -79,8 +79,25 @@ def batch_stream(stream: DataFrame, size: int, flush_after_ms: int | None = None
     )
 
 
-def run(batches: DataFrame, out: str, state: str) -> DataFrame:
-    """Run the batcher over what is there and return the batches written."""
+def waiting_rows(batches: DataFrame, state: str) -> DataFrame:
+    """The rest of every key as its last, shorter batch, read from the state of a run that has ended."""
+    spark = batches.sparkSession
+    store = spark.read.format("statestore")
+    kept = store.option("stateVarName", "waiting").load(f"{state}/checkpoint")
+    numbers = store.option("stateVarName", "next_no").load(f"{state}/checkpoint")
+    rest = kept.select(F.col("key"), F.explode("list_value").alias("v")) if "list_value" in kept.columns else kept.select(
+        "key", F.col("list_element").alias("v")
+    )
+    rest = rest.groupBy("key").agg(F.sort_array(F.collect_list("v.idx")).alias("rest"))  # fewer than a batch
+    return rest.join(numbers.select("key", F.col("value.n").alias("n")), "key").select(
+        F.col("key.rank").alias("rank"), F.col("key.bucket").alias("bucket"), F.col("n").alias("batch_no"),
+        F.get("rest", F.lit(0)).alias("first_index"), F.element_at("rest", -1).alias("last_index"),
+        F.array_join(F.col("rest").cast("array<string>"), ",").alias("members"), F.lit(False).alias("full"),
+    )
+
+
+def run(batches: DataFrame, out: str, state: str, with_rest: bool = True) -> DataFrame:
+    """Run the batcher over what is there and return the batches written and, unless more is to come, the rest."""
     spark = batches.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     query = (
@@ -91,4 +108,5 @@ def run(batches: DataFrame, out: str, state: str) -> DataFrame:
         .start(out)
     )
     query.awaitTermination()
-    return spark.read.schema(batches.schema).parquet(out)
+    written = spark.read.schema(batches.schema).parquet(out)
+    return written.unionByName(waiting_rows(batches, state)) if with_rest else written

@@ -9,49 +9,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..session import exists
 from ..sources.files import list_files
 
 
-def open_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, files_per_batch: int | None = None):
-    """Parquet files of a folder as a stream; files seen by the checkpoint are not read again."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+# A micro-batch reads about this much, so that a stopped run loses one batch and no more.
+BYTES_PER_BATCH = 64 << 30
+
+
+def open_stream(
+    spark: SparkSession, path: str, pattern: str, schema: StructType, files_per_batch: int | None = None,
+    bytes_per_batch: int = BYTES_PER_BATCH,
+):
+    """Parquet files of a table (file, folder or glob) as a stream; files seen by the checkpoint are not read again.
+
+    Batches are limited by ``files_per_batch`` where it is given, else by ``bytes_per_batch``.
+    """
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    return reader.parquet(folder)
+    else:
+        reader = reader.option("maxBytesPerTrigger", str(bytes_per_batch))
+    return reader.parquet(path)
 
 
 def guard_config(spark: SparkSession, state: str, config: dict) -> None:
     """Remember the conversion settings beside the checkpoint; other settings refuse to resume."""
-    from pyspark.errors import AnalysisException
-
     digest = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
     path = f"{state}/config"
-    try:
-        known = spark.read.text(path).first()
-    except AnalysisException:
-        known = None
+    known = spark.read.text(path).first() if exists(spark, path) else None
     if known is None:
         spark.createDataFrame([(digest,)], "value string").write.mode("overwrite").text(path)
     elif known["value"] != digest:
         raise ValueError("Conversion settings changed: resume refused")
 
 
-def guard_sources(spark: SparkSession, state: str, folder: str, pattern: str) -> None:
+def guard_sources(spark: SparkSession, state: str, table: str, pattern: str) -> None:
     """Inputs seen by an earlier run must be unchanged; new ones are welcome. Remembers the current listing."""
-    from pyspark.errors import AnalysisException
-
     path = f"{state}/sources"
-    current = list_files(spark, folder, pattern).select("name", "size_bytes", "mtime")
+    current = list_files(spark, table, pattern).select("path", "size_bytes", "mtime")
+    if current.isEmpty():
+        raise FileNotFoundError(f"No {pattern} files in {table}")
     run = 0
-    try:
+    if exists(spark, path):
         known = spark.read.parquet(path)
         run = known.agg(F.max("run")).first()[0] + 1
         last = known.where(F.col("run") == run - 1).drop("run")
-        changed = last.join(current, ["name", "size_bytes", "mtime"], "left_anti")
+        changed = last.join(current, ["path", "size_bytes", "mtime"], "left_anti")
         if not changed.isEmpty():
-            raise ValueError(f"Converted input changed: {changed.first()['name']}")
-    except AnalysisException:
-        pass
+            raise ValueError(f"Converted input changed: {changed.first()['path']}")
     current.write.parquet(f"{path}/run={run}")
 
 
@@ -66,7 +72,7 @@ def convert(
     """Convert everything not converted yet and return the whole output table.
 
     Progress is the stream checkpoint; the file sink commits a batch once.
-    With ``source`` (folder, pattern) a changed input refuses to resume as well.
+    With ``source`` (table, pattern) a changed input refuses to resume as well.
     """
     spark = stream.sparkSession
     guard_config(spark, state, config)

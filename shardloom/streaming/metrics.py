@@ -11,7 +11,7 @@ from ..operators.metrics import weighted_mean
 def windowed_average(
     stream: DataFrame, ts: str, keys: list[str], value: str, weight: str, width: str, delay: str = "2 hours"
 ) -> DataFrame:
-    """Weighted mean per key and time window; a window is given out once the watermark has passed it."""
+    """Weighted mean per key and time window; in append mode a window is given out once the watermark has passed it."""
     return (
         stream.withWatermark(ts, delay)
         .groupBy(F.window(ts, width).alias("w"), *keys)
