@@ -93,6 +93,12 @@ def fit_envelope(w: Column, h: Column, max_w: int, max_h: int, divisor: int) ->
     return side(w), side(h)
 
 
+def image_format_of_header(data: bytes) -> str | None:
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return "PNG"
+    return "JPEG" if data[:2] == b"\xff\xd8" else None
+
+
 def image_size_of_header(data: bytes) -> tuple[int, int] | None:
     """(width, height) written in a PNG or JPEG header, None when there is none."""
     if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
@@ -109,7 +115,11 @@ def image_size_of_header(data: bytes) -> tuple[int, int] | None:
 
 
 HEADER_SIZE = (
-    T.StructType().add("width", T.IntegerType()).add("height", T.IntegerType()).add("error", T.StringType())
+    T.StructType()
+    .add("width", T.IntegerType())
+    .add("height", T.IntegerType())
+    .add("format", T.StringType())
+    .add("error", T.StringType())
 )
 
 
@@ -121,6 +131,7 @@ def header_size(payload: pd.Series) -> pd.DataFrame:
         {
             "width": pd.array([s[0] if s else None for s in sizes], dtype="Int32"),
             "height": pd.array([s[1] if s else None for s in sizes], dtype="Int32"),
+            "format": [image_format_of_header(bytes(p)) if s else None for p, s in zip(payload, sizes)],
             "error": [None if s else "unreadable image header" for s in sizes],
         }
     )

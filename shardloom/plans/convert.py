@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.annotations import normalise, prompt_texts
@@ -11,7 +12,7 @@ from ..functions.geometry import header_size
 from ..functions.names import row_key, shard_prefix
 from ..functions.text import clean_caption, visible_text_prompt
 from ..operators.verify import describe_members, verify_shards
-from ..session import materialise
+from ..session import exists, materialise
 from ..sources import descriptors, files, ledger, tar
 
 LEDGER = (
@@ -27,10 +28,11 @@ def fingerprints(spark: SparkSession, source: str, pattern: str) -> DataFrame:
     )
 
 
-def sample_records(rows: DataFrame) -> DataFrame:
+def sample_records(rows: DataFrame, decode: Callable[[Column], Column] | None = None) -> DataFrame:
     """Source rows with ``source_file, source_row`` to ``stem, source_row, key, payload, record``.
 
     Declared sizes must agree with the image header; a row that disagrees or cannot be read stops the job.
+    ``decode`` takes the payload column and gives a text for a payload that a codec cannot read, else null.
     """
     sized = rows.withColumn("actual", header_size(F.col("image.bytes")))
     where = F.concat(F.col("source_file"), F.lit(" row "), F.col("source_row").cast("string"), F.lit(": "))
@@ -43,6 +45,8 @@ def sample_records(rows: DataFrame) -> DataFrame:
         .when(disagrees("width"), "width disagrees with the image")
         .when(disagrees("height"), "height disagrees with the image")
     )
+    if decode is not None:
+        problem = F.coalesce(problem, decode(F.col("image.bytes")))
     sound = F.when(problem.isNull(), True).otherwise(F.raise_error(F.concat(where, problem)).cast("boolean"))
     clean = clean_caption(F.col("caption"))
     texts = sized.where(sound).withColumn("annotations", normalise(F.col("annotations")))
@@ -53,6 +57,7 @@ def sample_records(rows: DataFrame) -> DataFrame:
         "height": F.col("actual.height"),
         "original_caption": F.col("original_caption"),
         "prompt": visible_text_prompt(F.col("original_caption"), F.col("texts")),
+        "source_image_format": F.col("actual.format"),
         "source_img_name": F.col("img_name"),
         "source_parquet": F.col("source_file"),
         "source_path": F.col("image.path"),
@@ -71,28 +76,32 @@ def sample_records(rows: DataFrame) -> DataFrame:
 
 def _latest(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, int]:
     """Newest version of a small versioned table and the number of the next one."""
-    try:
-        runs = spark.read.parquet(path)
-    except AnalysisException:
+    if not exists(spark, path):
         return spark.createDataFrame([], schema), 0
+    runs = spark.read.parquet(path)
     run = runs.agg(F.max("run")).first()[0]
     return runs.where(F.col("run") == run).drop("run"), run + 1
 
 
 def convert(
-    spark: SparkSession, source: str, output: str, pattern: str = "*.parquet", shard_size: int = SHARD_SIZE
+    spark: SparkSession, source: str, output: str, pattern: str = "*.parquet", shard_size: int = SHARD_SIZE,
+    decode: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Convert inputs that the ledger does not list as complete and return the ledger.
 
-    A completed input that changed stops the job before anything is written.
+    A completed input that changed or whose shard file is gone stops the job before anything is written; an
+    input that changes while it is read stops it before its shards are listed.  The ledger is written last,
+    so what it calls complete is in the shard list and in the descriptor, and a run that broke off is redone.
     """
     before = fingerprints(spark, source, pattern)
     old, run = _latest(spark, f"{output}/ledger", LEDGER)
-    old_shards, _ = _latest(spark, f"{output}/shard-list", SHARD_LIST)
-    todo = ledger.pending_inputs(before.select("name", "fp"), old)
+    old_shards, list_run = _latest(spark, f"{output}/shard-list", SHARD_LIST)
+    todo = ledger.pending_inputs(before.select("name", "fp"), old, lost_shards(spark, output, old_shards))
     # The reader needs the paths of its input files; this is the file listing, not data.
     paths = [r["path"] for r in before.join(todo, "name", "left_semi").orderBy("name").select("path").collect()]
     if not paths:
+        if not old.isEmpty() and not exists(spark, f"{output}/descriptor.json"):
+            write_top_descriptor(spark, output)
         return old
     rows = spark.read.parquet(*paths)
     wanted = [c for c in REQUIRED_COLUMNS + OPTIONAL_COLUMNS if c in rows.columns]
@@ -100,7 +109,7 @@ def convert(
     rows = rows.select(
         *wanted, F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.row_index").alias("source_row")
     )
-    samples = sample_records(rows)
+    samples = sample_records(rows, decode)
     written = tar.write_shards(
         samples, f"{output}/shards", "source_row", {"jpg": "payload", "json": "record"}, F.col("stem"), shard_size
     )
@@ -111,14 +120,27 @@ def convert(
     )
     counted = rows.groupBy(F.col("source_file").alias("name")).agg(F.count(F.lit(1)).alias("rows"))
     after = fingerprints(spark, source, pattern)
-    fresh = ledger.ledger_rows(counted, shards, before, after, F.date_format(F.now(), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    ledger.upsert_ledger(old, fresh).write.parquet(f"{output}/ledger/run={run}")
+    finished = F.date_format(F.now(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    fresh = materialise(ledger.ledger_rows(counted, shards, before, after, finished), "ledger")
+    broken = fresh.where("status <> 'complete'").select("name", "status").head()
+    if broken:
+        raise ValueError(f"{broken['name']}: {broken['status']} while it was read")
     kept = old_shards.join(shards.select("name").distinct(), "name", "left_anti")
-    kept.unionByName(shards).write.parquet(f"{output}/shard-list/run={run}")
+    kept.unionByName(shards).write.parquet(f"{output}/shard-list/run={list_run}")
     write_top_descriptor(spark, output)
+    ledger.upsert_ledger(old, fresh).write.parquet(f"{output}/ledger/run={run}")
     return _latest(spark, f"{output}/ledger", LEDGER)[0]
 
 
+def lost_shards(spark: SparkSession, output: str, shards: DataFrame) -> DataFrame:
+    """Recorded shards whose file is not in the output folder."""
+    name = F.regexp_extract("url", r"([^/]*)$", 1).alias("file")
+    if not exists(spark, f"{output}/shards"):
+        return shards
+    there = files.list_files(spark, f"{output}/shards", "*.tar").select(F.col("name").alias("file"))
+    return shards.withColumn("file", name).join(there, "file", "left_anti").drop("file")
+
+
 def write_top_descriptor(spark: SparkSession, output: str, name: str = "captions") -> None:
     """Descriptor over all recorded shards in url order; the shard list is small."""
     recorded, _ = _latest(spark, f"{output}/shard-list", SHARD_LIST)

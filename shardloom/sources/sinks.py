@@ -116,11 +116,18 @@ def write_archive(df: DataFrame, path: str, files: int) -> DataFrame:
 
 
 def cached_table(spark: SparkSession, path: str, build) -> DataFrame:
-    """Read a table written by an earlier job, or build and write it; an unreadable one is built anew beside it."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    """Read a table written by an earlier job, or build and write it; one whose files are broken is built anew beside it."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    from ..session import exists
+
+    for place in (path, f"{path}-rebuilt"):
+        if not exists(spark, place):
+            build().write.parquet(place)
+        try:
+            return spark.read.parquet(place)
+        except (PySparkException, Py4JJavaError):
+            if place != path:
+                raise
+    raise AssertionError("unreachable")

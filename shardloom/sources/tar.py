@@ -32,14 +32,17 @@ def write_shards(
     members: dict[str, str],
     stem: str | Column = "shard",
     shard_size: int = SHARD_SIZE,
+    may_lack: frozenset[str] | set[str] = frozenset(),
 ) -> DataFrame:
     """Write tar shards of ``shard_size`` samples and return ``url, nsamples, size_bytes``.
 
+    A null payload stops the job, unless its extension is in ``may_lack``; then the sample has no such member.
+
     ``samples`` has ``key``, an ``index`` (dense per stem) and one binary column per member
     (``members`` maps extension to column).  Payloads move once, to the task of
     their shard, where sorted rows stream into the archive: neither a shard nor
     a partition has to fit in memory.  Each archive is written under an attempt
-    name and renamed, so a lost or repeated task leaves no half file behind.
+    name and renamed; a task that fails deletes what it has begun.
     """
     extensions = list(members)
     prefix = F.concat(F.lit(f"{folder}/"), F.lit(stem) if isinstance(stem, str) else stem)
@@ -62,28 +65,36 @@ def write_shards(
             filesystem.move(temporary, target)
             done.append((current, count, size))
 
-        for batch in batches:
-            columns = batch.to_pydict()
-            for row in range(batch.num_rows):
-                url = columns["url"][row]
-                if url != current:
-                    if current is not None:
-                        finish()
-                    current, count = url, 0
-                    filesystem, target = open_target(url)
-                    temporary = f"{target}.{uuid.uuid4().hex}.tmp"
-                    sink = filesystem.open_output_stream(temporary)
-                    archive = tarfile.open(fileobj=sink, mode="w|", format=tarfile.PAX_FORMAT)
-                for i, ext in enumerate(extensions):
-                    payload = columns[f"m{i}"][row]
-                    if payload is None:
-                        continue
-                    info = tarfile.TarInfo(f"{columns['key'][row]}.{ext}")
-                    info.size, info.mtime, info.mode = len(payload), 0, 0o644
-                    archive.addfile(info, io.BytesIO(payload))
-                count += 1
-        if current is not None:
-            finish()
+        try:
+            for batch in batches:
+                columns = batch.to_pydict()
+                for row in range(batch.num_rows):
+                    url = columns["url"][row]
+                    if url != current:
+                        if current is not None:
+                            finish()
+                        current, count = url, 0
+                        filesystem, target = open_target(url)
+                        temporary = f"{target}.{uuid.uuid4().hex}.tmp"
+                        sink = filesystem.open_output_stream(temporary)
+                        archive = tarfile.open(fileobj=sink, mode="w|", format=tarfile.PAX_FORMAT)
+                    for i, ext in enumerate(extensions):
+                        payload, name = columns[f"m{i}"][row], f"{columns['key'][row]}.{ext}"
+                        if payload is None:
+                            if ext in may_lack:
+                                continue
+                            raise ValueError(f"{name} has no payload")
+                        info = tarfile.TarInfo(name)
+                        info.size, info.mtime, info.mode = len(payload), 0, 0o644
+                        archive.addfile(info, io.BytesIO(payload))
+                    count += 1
+            if current is not None:
+                finish()
+        except BaseException:
+            if sink is not None and not sink.closed:
+                sink.close()
+                filesystem.delete_file(temporary)
+            raise
         if done:
             yield pa.RecordBatch.from_pydict(
                 {
