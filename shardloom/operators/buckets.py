@@ -91,12 +91,20 @@ def substitutes(df: DataFrame, index: str, bad: Column, seed, bucket: str = "rat
     return wrong.join(pool, [bucket, "__k"], "left").select(index, bucket, "replacement")
 
 
-def next_good(df: DataFrame, index: str, bad: Column, tries: int = 10) -> DataFrame:
-    """Next good index within ``tries`` steps of every bad one, null when there is none."""
+def next_good(df: DataFrame, index: str, bad: Column, tries: int = 10, dense: bool = False) -> DataFrame:
+    """Next good index within ``tries`` steps of every bad one, null when there is none.
+
+    Where indices are ``dense`` from 0, the steps only meet the bad rows and the row count, not all good rows.
+    """
     flagged = df.select(F.col(index), bad.alias("__bad"))
     steps = flagged.where("__bad").select(
         F.col(index), F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("__step")
     ).withColumn("__try", F.col(index) + F.col("__step"))
-    good = flagged.where(~F.col("__bad")).select(F.col(index).alias("__try"))
-    hit = steps.join(good, "__try").groupBy(index).agg(F.min("__try").alias("next_index"))
+    if dense:
+        total = df.agg(F.count(F.lit(1))).scalar()
+        wrong = flagged.where("__bad").select(F.col(index).alias("__try"))
+        landed = steps.where(F.col("__try") < total).join(wrong, "__try", "left_anti")
+    else:
+        landed = steps.join(flagged.where(~F.col("__bad")).select(F.col(index).alias("__try")), "__try")
+    hit = landed.groupBy(index).agg(F.min("__try").alias("next_index"))
     return flagged.where("__bad").select(index).join(hit, index, "left")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 BLOCK_ROWS = 1 << 20
 BIN_ROWS = 4096
+# Tables of files, bins or exclusions up to this many lines (of some 200 bytes) are broadcast; longer ones are joined.
+MAX_BROADCAST_LINES = 200_000
 
 
 def total_rows(df: DataFrame) -> Column:
@@ -19,9 +21,9 @@ def total_rows(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1))).scalar()
 
 
-def with_row_index(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def with_row_index(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
     """Parquet rows with ``source_file``, ``source_path`` and their physical ``source_row``; no shuffle, no window."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(*([path] if isinstance(path, str) else path))
     chosen = [F.col(c) for c in (df.columns if columns is None else columns)]
     return df.select(
         *chosen,
@@ -41,15 +43,43 @@ def file_offsets(spark: SparkSession, path: str) -> DataFrame:
     return running_before(files, "source_path", "rows", "first_index")
 
 
+def _small(table: DataFrame, schema: str) -> DataFrame | None:
+    """``table`` as a broadcast side, or None when it has more than ``MAX_BROADCAST_LINES`` lines."""
+    lines = table.limit(MAX_BROADCAST_LINES + 1).collect()
+    if len(lines) > MAX_BROADCAST_LINES:
+        return None
+    return F.broadcast(table.sparkSession.createDataFrame(lines, schema))
+
+
 def with_global_index(
     spark: SparkSession, path: str, columns: list[str] | None = None, name: str = "global_index"
 ) -> DataFrame:
-    """Global row index over files in path order: file offset plus row index."""
+    """Global row index over files in path order: file offset plus row index.
+
+    The offsets (one line per file, from row counts) are found first, so rows meet them without a shuffle.
+    """
     rows = with_row_index(spark, path, columns)
     offsets = file_offsets(spark, path).select("source_path", "first_index")
-    return rows.join(offsets, "source_path").withColumn(name, F.col("first_index") + F.col("source_row")).drop(
-        "first_index", "source_path"
-    )
+    small = _small(offsets, "source_path string, first_index bigint")
+    joined = rows.join(offsets if small is None else small, "source_path")
+    return joined.withColumn(name, F.col("first_index") + F.col("source_row")).drop("first_index", "source_path")
+
+
+def first_rows(
+    spark: SparkSession, path: str, share: float, columns: list[str] | None = None, name: str = "global_index"
+) -> DataFrame:
+    """The first ``floor(share * rows)`` rows in path order; files beyond them are not read."""
+    offsets = file_offsets(spark, path).select("source_path", "rows", "first_index")
+    ends = offsets.agg(F.coalesce(F.floor(F.sum("rows") * share), F.lit(0)).cast("bigint"))
+    limit = ends.first()[0]
+    wanted = offsets.where(F.col("first_index") < limit).collect()  # one line per file that is read
+    if not wanted:
+        return with_row_index(spark, path, columns).withColumn(name, F.col("source_row")).drop("source_path").limit(0)
+    rows = with_row_index(spark, [r["source_path"] for r in wanted], columns)
+    starts = spark.createDataFrame([(r["source_path"], r["first_index"]) for r in wanted], "source_path string, first_index bigint")
+    joined = rows.join(F.broadcast(starts) if len(wanted) <= MAX_BROADCAST_LINES else starts, "source_path")
+    indexed = joined.withColumn(name, F.col("first_index") + F.col("source_row")).drop("first_index", "source_path")
+    return indexed.where(F.col(name) < limit)
 
 
 def running_before(
@@ -97,13 +127,13 @@ def shard_ranges(shards: DataFrame, order: str = "ordinal", nsamples: str = "nsa
 
 
 def locate(
-    rows: DataFrame, index: str, ranges: DataFrame, bin_rows: int = BIN_ROWS, how: str = "inner"
+    rows: DataFrame, index: str, ranges: DataFrame, bin_rows: int = BIN_ROWS, how: str = "inner", small: bool = False
 ) -> DataFrame:
     """Range join ``start <= index < stop`` as an equi join on index bins plus a residual.
 
     Disjoint ranges add at most one line per bin they touch, so the exploded
     side has ``total / bin_rows + shards`` lines and a huge shard is spread
-    over many bins.  Empty ranges match nothing.
+    over many bins.  Empty ranges match nothing.  ``small`` says that the binned ranges may be broadcast.
     """
     binned = ranges.where(F.col("stop") > F.col("start")).withColumn(
         "__bin", F.explode(F.expr(f"sequence(start div {bin_rows}, (stop - 1) div {bin_rows})"))
@@ -114,7 +144,7 @@ def locate(
         & (left[index] >= binned["start"])
         & (left[index] < binned["stop"])
     )
-    return left.join(binned, inside, how).drop("__bin")
+    return left.join(F.broadcast(binned) if small else binned, inside, how).drop("__bin")
 
 
 def shard_groups(shards: DataFrame, prefix: str = "prefix", order: str = "ordinal") -> DataFrame:
@@ -133,12 +163,14 @@ def shard_groups(shards: DataFrame, prefix: str = "prefix", order: str = "ordina
 def dense_renumber(df: DataFrame, index: str, excluded: DataFrame, source_count: int, name: str = "new_index"):
     """Drop excluded source indices and close the gaps: new = old - number of excluded below.
 
-    The exclusion list is turned into ranges of kept indices with their shift,
-    so samples take part in one binned range join and no window.
+    The exclusion list is turned into ranges of kept indices with their shift, so samples take part in one
+    binned range join and no window.  Bins widen with ``source_count``: the table has at most 50 000 lines
+    plus two per exclusion and is broadcast while it is small.  An index out of range stops the job.
     """
-    listed = excluded.select(F.col(index).cast("bigint").alias("stop")).where(
-        (F.col("stop") >= 0) & (F.col("stop") < source_count)
-    ).distinct()
+    stop = F.col(index).cast("bigint")
+    outside = F.raise_error(F.concat(F.lit("Excluded index out of range: "), stop.cast("string"))).cast("bigint")
+    inside = (stop >= 0) & (stop < source_count)
+    listed = excluded.where(stop.isNotNull()).select(F.when(inside, stop).otherwise(outside).alias("stop")).distinct()
     # An excluded index ends the kept range that starts after its predecessor in the list.
     cuts = positions(listed, "stop", name="shift")
     before = cuts.select((F.col("shift") + 1).alias("shift"), (F.col("stop") + 1).alias("start"))
@@ -151,8 +183,10 @@ def dense_renumber(df: DataFrame, index: str, excluded: DataFrame, source_count:
         F.col("n").cast("bigint").alias("shift"),
     )
     ranges = kept.unionByName(tail)
+    bin_rows = max(1 << 16, -(-source_count // 50_000))
+    small = _small(ranges, "start bigint, stop bigint, shift bigint")
     return (
-        locate(df, index, ranges, bin_rows=1 << 16)
+        locate(df, index, ranges if small is None else small, bin_rows=bin_rows, small=small is not None)
         .withColumn(name, F.col(index) - F.col("shift"))
         .drop("start", "stop", "shift")
     )

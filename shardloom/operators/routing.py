@@ -11,29 +11,74 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.fixed_values import CONTRASTIVE_TEMPERATURE
 from ..functions.vectors import cosine
 
-# Above this many prototypes the list is no longer shipped with the task.
-MAX_SHIPPED_PROTOTYPES = 4096
+# Prototypes are shipped with the tasks in chunks of this many.
+CHUNK_PROTOTYPES = 4096
+# A prototype list is part of a model; a larger one than this is refused.
+MAX_PROTOTYPE_BYTES = 1 << 30
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    return m / np.maximum(np.sqrt(_row_sums(m * m)), 1e-12)[:, None]
 
 
-def _route_with(ids: np.ndarray, matrix: np.ndarray):
-    """Arrow-batched top-1 cosine: one matrix product per batch inside the task."""
-    unit = _unit_rows(matrix)
+def _row_sums(m: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(m))
+    for d in range(m.shape[1]):
+        out += m[:, d]
+    return out
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products summed dimension by dimension, so that a value does not depend on the shape of the batch."""
+    out = np.zeros((len(a), len(b)))
+    for d in range(a.shape[1]):
+        out += a[:, d, None] * b[None, :, d]
+    return out
+
+
+def prototype_chunks(prototypes: DataFrame, vec: str = "vec", chunk: int = CHUNK_PROTOTYPES) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of ``chunk`` prototypes each, by id; rows without id or vector are none.
+
+    The list goes through the driver after its size in bytes was checked against ``MAX_PROTOTYPE_BYTES``.
+    """
+    listed = prototypes.where(F.col("proto").isNotNull() & F.col(vec).isNotNull()).select("proto", F.col(vec).alias("vec"))
+    size = listed.agg(F.coalesce(F.sum(8 + 8 * F.size("vec")), F.lit(0))).first()[0]
+    if size > MAX_PROTOTYPE_BYTES:
+        raise ValueError(f"{size} bytes of prototypes; at most {MAX_PROTOTYPE_BYTES} are shipped")
+    rows = listed.orderBy("proto").collect()
+    ids = np.array([r["proto"] for r in rows], dtype="int64")
+    matrix = np.array([r["vec"] for r in rows], dtype="float64")
+    return [(ids[i : i + chunk], _unit_rows(matrix[i : i + chunk])) for i in range(0, len(ids), chunk)]
+
+
+def _vectors(batch: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows that hold a vector, and the vectors of unit length."""
+    some = np.flatnonzero(batch.notna().to_numpy())
+    return some, _unit_rows(np.stack(batch.iloc[some].to_numpy()).astype("float64")) if len(some) else np.zeros((0, 0))
+
+
+def _best_of(chunks: list[tuple[np.ndarray, np.ndarray]]):
+    """Arrow-batched top-1 cosine over all chunks; a later chunk wins only by a larger cosine."""
 
     @F.pandas_udf("struct<proto:bigint,weight:double>")
-    def route(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for vectors in batches:
-            if len(vectors) == 0:
-                yield pd.DataFrame({"proto": np.array([], dtype="int64"), "weight": np.array([], dtype="float64")})
-                continue
-            cos = _unit_rows(np.stack(vectors.to_numpy()).astype("float64")) @ unit.T
-            best = cos.argmax(axis=1)
-            yield pd.DataFrame({"proto": ids[best], "weight": cos[np.arange(len(best)), best]})
-
-    return route
+            some, unit = _vectors(vectors)
+            weight, proto = np.full(len(some), -np.inf), np.zeros(len(some), np.int64)
+            for at in range(0, len(some), 512):
+                part = slice(at, at + 512)
+                for ids, matrix in chunks:
+                    cos = _cosines(unit[part], matrix)
+                    first = cos.argmax(axis=1)  # the first of equals: the lowest id
+                    value = cos[np.arange(len(first)), first]
+                    larger = value > weight[part]
+                    weight[part] = np.where(larger, value, weight[part])
+                    proto[part] = np.where(larger, ids[first], proto[part])
+            out = pd.DataFrame({"proto": pd.array([None] * len(vectors), "Int64"), "weight": pd.array([None] * len(vectors), "Float64")})
+            out.loc[some, "proto"], out.loc[some, "weight"] = proto, weight
+            yield out
+
+    return best
 
 
 def assign(
@@ -43,55 +88,27 @@ def assign(
     vec: str = "vec",
     null_row: Column | None = None,
     null_proto: int | None = None,
-    max_shipped: int = MAX_SHIPPED_PROTOTYPES,
+    max_shipped: int = CHUNK_PROTOTYPES,
 ) -> DataFrame:
     """Top-1 prototype by cosine, the raw cosine as weight; ties go to the lowest prototype id.
 
-    Null-class rows go to the extra index ``null_proto`` with weight 1 and ``routed`` false.
-    The prototype list (``proto, vec``) is model-sized; its length is checked,
-    and a longer one is joined in chunks with a combinable maximum instead.
+    Null-class rows go to the extra index ``null_proto`` with weight 1 and ``routed`` false; a null vector has
+    no prototype and is not routed.  The list (``proto, vec``) is compared in chunks of ``max_shipped``; results
+    do not depend on it, and the vectors are not shuffled.  ``key`` may repeat.
     """
-    is_null = null_row if null_row is not None else F.lit(False)
-    listed = prototypes.select("proto", "vec").orderBy("proto").limit(max_shipped + 1).collect()
-    if not listed:
+    is_null = F.coalesce(null_row, F.lit(False)) if null_row is not None else F.lit(False)
+    chunks = prototype_chunks(prototypes, chunk=max_shipped)
+    if not chunks:
         raise ValueError("No prototypes")
-    if len(listed) <= max_shipped:
-        ids = np.array([r["proto"] for r in listed], dtype="int64")
-        route = _route_with(ids, np.array([r["vec"] for r in listed], dtype="float64"))
-        out = vectors.withColumn("__r", route(F.col(vec)))
-    else:
-        out = _assign_in_chunks(vectors, prototypes, key, vec)
+    out = vectors.withColumn("__r", _best_of(chunks)(F.col(vec)))
     return out.select(
         *vectors.columns,
         F.when(is_null, F.lit(null_proto)).otherwise(F.col("__r.proto")).cast("bigint").alias("proto"),
         F.when(is_null, F.lit(1.0)).otherwise(F.col("__r.weight")).alias("weight"),
-        (~is_null).alias("routed"),
+        (~is_null & F.col("__r.proto").isNotNull()).alias("routed"),
     )
 
 
-def _assign_in_chunks(vectors: DataFrame, prototypes: DataFrame, key: str, vec: str, width: int = 512) -> DataFrame:
-    """Any number of prototypes: arrays of ``width`` prototypes, joined by chunk number."""
-    chunked = prototypes.groupBy(F.expr(f"proto div {width}").alias("__chunk")).agg(
-        F.sort_array(F.collect_list(F.struct("proto", F.col("vec").alias("pvec")))).alias("__protos")
-    )
-    numbers = prototypes.agg(F.collect_set(F.expr(f"proto div {width}")).alias("c")).scalar()
-    spread = vectors.withColumn("__chunk", F.explode(numbers))
-    best = F.array_max(
-        F.transform(
-            "__protos",
-            lambda p: F.struct(cosine(F.col(vec), p["pvec"]).alias("weight"), (-p["proto"]).alias("neg")),
-        )
-    )
-    winners = (
-        spread.join(chunked, "__chunk")
-        .select(key, best.alias("__b"))
-        .groupBy(key)
-        .agg(F.max("__b").alias("__b"))
-        .select(key, F.struct((-F.col("__b.neg")).alias("proto"), F.col("__b.weight").alias("weight")).alias("__r"))
-    )
-    return vectors.join(winners, key)
-
-
 def usage(assigned: DataFrame, prototypes: DataFrame) -> DataFrame:
     """Vectors and mean weight per prototype; inactive prototypes stay with zero."""
     used = assigned.where("routed").groupBy("proto").agg(
@@ -122,14 +139,24 @@ def contrastive_score(
 ) -> DataFrame:
     """Softmax cross-entropy of prototype-to-centroid cosines over the active prototypes; 0 below two.
 
-    Both sides are prototype-sized; the centroids become one array for a scalar subquery.
+    Centroids are as many as prototypes and shipped in the same checked chunks; a row adds up the exponentials
+    of its cosines chunk by chunk.
     """
     active = prototypes.select(F.col("proto").cast("bigint"), "vec").join(centres, "proto")
-    all_centres = centres.agg(F.sort_array(F.collect_list(F.struct("proto", "centroid")))).scalar()
-    logits = F.transform(F.col("__all"), lambda c: cosine(F.col("vec"), c["centroid"]) / temperature)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v))
+    chunks = prototype_chunks(centres, "centroid")
+
+    @F.pandas_udf("double")
+    def exp_sum(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in batches:
+            some, unit = _vectors(vectors)
+            total = np.zeros(len(vectors))
+            for at in range(0, len(some), 512):
+                for _, matrix in chunks:
+                    total[some[at : at + 512]] += np.exp(_cosines(unit[at : at + 512], matrix) / temperature).sum(axis=1)
+            yield pd.Series(total)
+
     own = cosine(F.col("vec"), F.col("centroid")) / temperature
-    losses = active.withColumn("__all", all_centres).select((F.log(total) - own).alias("loss"))
+    losses = active.select((F.log(exp_sum("vec")) - own).alias("loss"))
     n = F.count(F.lit(1))
     return losses.agg(
         n.alias("active"), F.when(n < 2, F.lit(0.0)).otherwise(F.avg("loss") * scale).alias("score")

@@ -50,16 +50,16 @@ def best_caption(scores: DataFrame, keys: list[str]) -> DataFrame:
 def sample_rows(df: DataFrame, key: str, count: int, seed) -> DataFrame:
     """``count`` rows without replacement; each task keeps only its own best ``count``.
 
-    The action that runs this fails when fewer rows are eligible.
+    The action that runs this fails when fewer rows are eligible: a line that is there whatever is drawn
+    carries the number of rows drawn into the check.
     """
     columns = df.columns
-    drawn = df.withColumn("__u", uniform(seed, F.col(key))).orderBy("__u", key).limit(count)
-    # At most `count` rows by now; one line even when there are none, so that the check always runs.
-    packed = drawn.agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    enough = F.when(
-        F.size("rows") < count, F.raise_error(F.lit("Not enough eligible rows")).cast("boolean")
-    ).otherwise(F.lit(True))
-    return packed.where(enough).select(F.inline("rows"))
+    drawn = df.withColumn("__u", uniform(seed, F.col(key))).orderBy("__u", key).limit(count).withColumn("__drawn", F.lit(True))
+    line = df.sparkSession.range(1).select(F.lit(False).alias("__drawn"))
+    both = drawn.drop("__u").unionByName(line, allowMissingColumns=True)
+    found = drawn.agg(F.count(F.lit(1))).scalar()
+    few = F.raise_error(F.lit("Not enough eligible rows")).cast("boolean")
+    return both.where(F.when(found < count, few).otherwise(F.col("__drawn"))).select(*columns)
 
 
 def epoch_seed(seed: int, epoch: int) -> int:

@@ -8,6 +8,7 @@ from ...functions.fixed_values import ASPECT_RATIO_512
 from ...functions.names import output_name, image_key
 from ...operators import buckets, joins, sets
 from ...operators import index as ix
+from ...session import materialise
 from ...sources import ledger
 from .common import (
     LINEITEM_SQL,
@@ -249,10 +250,10 @@ x AS (SELECT idx, (SELECT min(i) FROM unnest(range(idx + 1, idx + 11)) t(i) WHER
 SELECT w.idx, w.ratio, g.replacement, x.next_index FROM w LEFT JOIN g ON g.ratio = w.ratio AND g.k = w.k JOIN x ON x.idx = w.idx""",
 )
 def _(spark, sf):
-    rows = buckets.with_bucket(sized_lineitem(spark, sf), "height", "width").select("idx", "ratio", "height")
-    bad = F.col("height") == 7
-    drawn = buckets.substitutes(rows, "idx", bad, "again", block_rows=1 << 14)
-    return drawn.join(buckets.next_good(rows, "idx", bad), "idx").select("idx", "ratio", "replacement", "next_index")
+    bucketed = buckets.with_bucket(sized_lineitem(spark, sf), "height", "width")
+    rows = materialise(bucketed.select("idx", "ratio", (F.col("height") == 7).alias("bad")), "bucketed")
+    drawn = buckets.substitutes(rows, "idx", F.col("bad"), "again", block_rows=1 << 14)
+    return drawn.join(buckets.next_good(rows, "idx", F.col("bad"), dense=True), "idx").select("idx", "ratio", "replacement", "next_index")
 
 
 # ------------------------------------------------------------ set operations

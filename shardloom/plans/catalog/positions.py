@@ -243,9 +243,7 @@ def _(spark, sf):
 
 @query("t3_prefix_limit", "SELECT o_orderkey FROM orders WHERE o_orderkey < (SELECT count(*) * 2 // 3 FROM orders)")
 def _(spark, sf):
-    rows = ix.with_global_index(spark, f"{sf}/orders.parquet", ["o_orderkey"])
-    limit = F.floor(ix.total_rows(table(spark, sf, "orders")) * 2 / 3)
-    return rows.where(F.col("global_index") < limit).select("o_orderkey")
+    return ix.first_rows(spark, f"{sf}/orders.parquet", 2 / 3, ["o_orderkey"]).select("o_orderkey")
 
 
 @query("t4_slice", "SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 20 OFFSET 10")

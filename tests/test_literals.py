@@ -201,3 +201,30 @@ def test_raise_error_surfaces(spark):
     for rows in (keys, keys.where("false")):
         with pytest.raises(PySparkException, match="Not enough"):
             sample_rows(rows, "key", 3, 1).collect()
+
+
+def test_routing_does_not_depend_on_the_chunks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    points = rng.integers(-2, 3, (40, 3)).astype(float)
+    points[7], points[12] = points[3], points[3]
+    protos = prototypes(spark, [(i, p.tolist()) for i, p in enumerate(points)])
+    rows = [(i // 2, 0, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(400)] + [(900, 0, None), (901, 1000, None)]
+    given = vectors(spark, rows)
+    got = [
+        sorted(map(tuple, routing.assign(given, protos, "vec_id", "vec", F.col("label") == 1000, 99, max_shipped=n).drop("vec").collect()), key=str)
+        for n in (4096, 7, 1)
+    ]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    assert {r[0]: r[2:] for r in got[0] if r[0] >= 900} == {900: (None, None, False), 901: (99, 1.0, False)}
+    assert all(r[2] not in (7, 12) for r in got[0])
+
+
+def test_exclusions_out_of_range_stop_the_renumbering(spark):
+    from shardloom.operators import index as ix
+
+    rows = spark.range(20).withColumnRenamed("id", "i")
+    bad = spark.createDataFrame([(3,), (25,)], "i bigint")
+    with pytest.raises(PySparkException, match="out of range"):
+        ix.dense_renumber(rows, "i", bad, 20).collect()
