@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..session import exists
 from ..sources.files import list_files
+from .metrics import run_updates
 
 
 # A micro-batch reads about this much, so that a stopped run loses one batch and no more.
@@ -89,31 +90,14 @@ def convert(
     return spark.read.schema(result.schema).parquet(out)
 
 
-def insert_absent(stream: DataFrame, out: str, state: str, keys: list[str], order: str) -> DataFrame:
-    """Insert rows whose key was never seen; the first row by ``order`` wins inside a batch.
+def insert_absent(stream: DataFrame, out: str, state: str, keys: list[str], *order: str) -> DataFrame:
+    """One row per key: the first by ``order``, whatever batch it comes in.
 
-    Each batch owns one folder, so a batch that runs again overwrites only itself.
+    The first row of each key is kept in the state store, so no batch reads what earlier ones wrote; a batch adds
+    a folder with the keys it brought or improved, and one that runs again overwrites only itself.  Put an
+    arrival time in front of ``order`` where a stored row must never give way.
     """
-    spark = stream.sparkSession
     columns = stream.columns
     others = [c for c in columns if c not in keys]
-
-    def insert(batch: DataFrame, batch_id: int) -> None:
-        first = batch.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("r")).select(*keys, "r.*")
-        if batch_id > 0:
-            seen = (
-                spark.read.schema(stream.schema.add("batch", "long"))
-                .parquet(out)
-                .where(F.col("batch") < batch_id)
-            )
-            first = first.join(seen.select(*keys), keys, "left_anti")
-        first.select(*columns).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    query = (
-        stream.writeStream.foreachBatch(insert)
-        .option("checkpointLocation", f"{state}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out).select(*columns)
+    first = stream.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("r")).select(*keys, "r.*")
+    return run_updates(first.select(*columns), keys, out, state)
