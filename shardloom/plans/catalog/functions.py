@@ -9,7 +9,7 @@ from ...functions import geometry as geo
 from ...functions import names as nm
 from ...functions import text as tx
 from ...functions import vectors as vec
-from ...functions.fixed_values import ASPECT_RATIO_512, ASPECT_RATIO_1024
+from ...functions.fixed_values import ASPECT_RATIO_512, ASPECT_RATIO_1024_TEST
 from ...operators.buckets import with_bucket, with_resize
 from .common import (
     SIZED_SQL,
@@ -95,7 +95,7 @@ PROMPT_FLAGS_SQL = rf"""WITH p AS (SELECT item_id, prompt,
 q AS (SELECT *, CASE WHEN a <> '' THEN split_part(a, ':', 1)::DOUBLE / split_part(a, ':', 2)::DOUBLE
   WHEN b <> '' THEN split_part(b, ':', 1)::DOUBLE / split_part(b, ':', 2)::DOUBLE ELSE 1.0 END AS ar FROM p),
 n AS (SELECT item_id, arg_min({{'ratio': ratio, 'h': h, 'w': w}}, {{'d': abs(r - ar), 'o': ordinal}}) AS s
-  FROM q, {ratio_table_sql(ASPECT_RATIO_1024)} GROUP BY item_id)
+  FROM q, {ratio_table_sql(ASPECT_RATIO_1024_TEST)} GROUP BY item_id)
 SELECT item_id, clean, ar, s.ratio AS ratio, s.h::INTEGER AS bucket_h, s.w::INTEGER AS bucket_w,
   CASE WHEN c <> '' THEN split_part(c, ':', 1)::DOUBLE ELSE s.h END::DOUBLE AS out_h,
   CASE WHEN c <> '' THEN split_part(c, ':', 2)::DOUBLE ELSE s.w END::DOUBLE AS out_w FROM q JOIN n USING (item_id)"""
@@ -105,8 +105,8 @@ SELECT item_id, clean, ar, s.ratio AS ratio, s.h::INTEGER AS bucket_h, s.w::INTE
 def _(spark, sf):
     prompt = F.col("prompt")
     rows = flagged_prompts(spark, sf).select("item_id", "prompt", tx.prompt_ratio(prompt).alias("ar"))
-    near = rows.withColumn("b", geo.nearest_bucket(F.col("ar"), ASPECT_RATIO_1024)).withColumn("hw", tx.flag_pair(prompt, "hw"))
-    entry = geo.bucket_entry(F.col("b"), ASPECT_RATIO_1024)
+    near = rows.withColumn("b", geo.nearest_bucket(F.col("ar"), ASPECT_RATIO_1024_TEST)).withColumn("hw", tx.flag_pair(prompt, "hw"))
+    entry = geo.bucket_entry(F.col("b"), ASPECT_RATIO_1024_TEST)
     return near.select(
         "item_id", tx.before_flags(prompt).alias("clean"), "ar", *[c.alias(n) for n, c in entry.items()],
         F.coalesce(F.col("hw")[0], entry["bucket_h"].cast("double")).alias("out_h"),

@@ -10,6 +10,7 @@ from ...operators import index as ix
 from ...operators.buckets import with_bucket
 from ...session import scratch_path
 from ...sources import descriptors, files, ledger, sinks, tar
+from ...streaming import metrics as live
 from .common import (
     LINEITEM_SQL,
     SHARDS_SQL,
@@ -332,6 +333,47 @@ def _(spark, sf):
     )
 
 
+METRIC_FILES_SQL = """SELECT event_type AS name, count(*) AS "lines", round(sum(value), 4) AS total,
+  sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS n FROM events GROUP BY event_type"""
+
+
+def metric_folder(spark, sf):
+    lines = table(spark, sf, "events").select(
+        F.col("event_id").alias("step"), F.col("event_type").alias("name"), "value", F.from_json("props", "k long")["k"].alias("n")
+    )
+    folder = scratch_path(spark, "metric-lines")
+    sinks.append_json_lines(lines, folder)
+    return folder
+
+
+def _metric_totals(lines):
+    return lines.groupBy("name").agg(
+        F.count(F.lit(1)).alias("lines"), F.round(F.sum("value"), 4).alias("total"), F.sum("n").alias("n")
+    )
+
+
+@query("s20_metric_line_files", METRIC_FILES_SQL)
+def _(spark, sf):
+    return _metric_totals(files.read_metric_lines(spark, metric_folder(spark, sf)))
+
+
+@query("s20_metric_line_stream", METRIC_FILES_SQL)
+def _(spark, sf):
+    lines = files.stream_metric_lines(spark, metric_folder(spark, sf))
+    return _metric_totals(live.run_append(lines, scratch_path(spark, "metric-rows"), scratch_path(spark, "state")))
+
+
+@query(
+    "s18_manifest_file",
+    "SELECT row_number() OVER (ORDER BY item_id)::INTEGER - 1 AS ordinal, (item_id * 3)::VARCHAR AS value FROM benchmark",
+)
+def _(spark, sf):
+    listed = table(spark, sf, "benchmark").agg(F.sort_array(F.collect_list(F.col("item_id") * 3)).alias("exclude_indices"))
+    folder = scratch_path(spark, "manifest")
+    listed.select(F.lit(1).alias("format_version"), "exclude_indices").coalesce(1).write.json(folder)
+    return files.holdout_values(files.read_holdout(spark, folder)).select("ordinal", "value")
+
+
 @query(
     "s21_sample_info",
     """SELECT doc_id, printf('doc-%09d', doc_id) AS key, (n_chars % 900 + 1)::INTEGER AS height,
@@ -434,6 +476,22 @@ def _(spark, sf):
     return marked.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query(
+    "k7_append_absent",
+    """SELECT doc_id, quality FROM labels
+UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+)
+def _(spark, sf):
+    folder = scratch_path(spark, "label-store")
+    table(spark, sf, "labels").select("doc_id", "quality").write.parquet(folder)
+    incoming = table(spark, sf, "documents").select("doc_id", F.lit(-1).alias("quality"))
+    for _ in range(2):  # the second time everything is there
+        stored = spark.read.parquet(folder)
+        fresh = sinks.split_new(incoming, stored, "doc_id").where("outcome = 'new'").select("doc_id", "quality")
+        fresh.write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 @query(
     "k8_append_lines",
     f"""SELECT {squeeze_sql('text')} AS line, (2 * count(*))::BIGINT AS times FROM benchmark GROUP BY ALL""",

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...functions.fixed_values import ASPECT_RATIO_1024
+from ...functions.fixed_values import ASPECT_RATIO_1024, ASPECT_RATIO_1024_TEST
 from ...functions.names import image_key
 from ...operators import extensions, metrics
+from ...operators.index import positions
 from ...session import scratch_path
 from ...sources import tar
 from ...streaming import batcher, incremental
@@ -189,7 +190,7 @@ def _(spark, sf):
 
 @query("v6_prompt_flag_function", PROMPT_FLAGS_SQL)
 def _(spark, sf):
-    extensions.register_prompt_flags(spark, ASPECT_RATIO_1024)
+    extensions.register_prompt_flags(spark, ASPECT_RATIO_1024_TEST)
     flagged_prompts(spark, sf).createOrReplaceTempView("shardloom_prompts")
     return spark.sql(
         "SELECT item_id, f.* FROM (SELECT item_id, prompt_flags(prompt) AS f FROM shardloom_prompts)"
@@ -213,3 +214,16 @@ SELECT label, unnest(embedding::DOUBLE[]) / sqrt(list_sum(list_transform(embeddi
 def _(spark, sf):
     centre = table(spark, sf, "embeddings").groupBy("label").agg(extensions.cosine_centroid(F.col("embedding"), 64).alias("c"))
     return centre.select("label", F.round(F.col("c")[0], 6).alias("first"), F.round(F.col("c")[63], 6).alias("last"))
+
+
+@query(
+    "v7_moving_average_function",
+    """WITH RECURSIVE p AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+e AS (SELECT user_id, r, value AS ema FROM p WHERE r = 1
+  UNION ALL SELECT p.user_id, p.r, e.ema * 0.9::DOUBLE + p.value * 0.1::DOUBLE FROM e JOIN p ON p.user_id = e.user_id AND p.r = e.r + 1)
+SELECT user_id, round(arg_max(ema, r), 6) AS ema FROM e GROUP BY user_id""",
+)
+def _(spark, sf):
+    rows = positions(table(spark, sf, "events").select("user_id", "event_id", "value"), "event_id", ("user_id",), "r", "n")
+    average = extensions.ema_at(F.col("value"), F.col("r"), F.col("n"), 0.9)
+    return rows.groupBy("user_id").agg(F.round(average, 6).alias("ema"))

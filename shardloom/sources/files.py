@@ -185,6 +185,19 @@ def holdout_values(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.posexplode("exclude_indices").alias("ordinal", "value"))
 
 
+METRIC_LINE = "step long, name string, value double, n long"
+
+
+def read_metric_lines(spark: SparkSession, path: str, schema: str = METRIC_LINE, strict: bool = True) -> DataFrame:
+    """Metric records of JSON-lines files; a broken line stops the job, or is null in every field."""
+    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+
+
+def stream_metric_lines(spark: SparkSession, path: str, schema: str = METRIC_LINE, files_per_batch: int = 1000) -> DataFrame:
+    """The same files as a stream: lines appended as new files are read once."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_batch)).json(path)
+
+
 def url_scheme(url: Column) -> Column:
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     return F.when(scheme == "", F.lit("file")).otherwise(scheme)
