@@ -10,6 +10,7 @@ from ...operators import buckets, joins, sets
 from ...operators import index as ix
 from ...session import materialise
 from ...sources import ledger
+from ..training_batches import training_batches
 from .common import (
     LINEITEM_SQL,
     SCORES_SQL,
@@ -312,3 +313,47 @@ def _(spark, sf):
     low = docs.join(table(spark, sf, "labels").where("quality = 0").select("doc_id"), "doc_id").select("text")
     existing = sets.append_all(table(spark, sf, "benchmark").select("text"), low)
     return sets.refuse_existing(docs.select("text"), existing, "text", strict=False)
+
+
+# ------------------------------------------------------------ shards to training batches
+
+SIZED_DOCS_SQL = """SELECT doc_id, lang, source, (n_chars % 900 + 1)::INTEGER AS height, (doc_id % 700 + 1)::INTEGER AS width FROM documents"""
+
+
+@query(
+    "flagship_training_batches",
+    f"""WITH c AS (SELECT doc_id, caption_type, arg_max(text, suffix_ordinal) AS text FROM ({CAPTIONS_SQL}) GROUP BY ALL),
+f AS (SELECT doc_id, 'prompt' AS k, lang AS v FROM documents UNION ALL SELECT doc_id, 'short', source FROM documents),
+m AS (SELECT coalesce(f.doc_id, c.doc_id) AS doc_id, coalesce(k, caption_type) AS k, coalesce(text, v) AS v
+  FROM f FULL JOIN (SELECT c.* FROM c JOIN documents USING (doc_id)) c ON f.doc_id = c.doc_id AND k = caption_type),
+s AS (SELECT sc.*, ordinal AS o, pow(score, 1 / 0.5::DOUBLE) AS w FROM ({SCORES_SQL}) sc JOIN m ON m.doc_id = sc.doc_id AND m.k = sc.caption_type),
+r AS (SELECT *, ln(1 - {uniform_sql(23, 'doc_id', 'ordinal')}) / w AS race FROM s WHERE score >= 0.5),
+d AS (SELECT doc_id, arg_max(caption_type, race) AS t FROM r GROUP BY doc_id),
+b AS (SELECT doc_id, arg_max(caption_type, {{'s': score, 'o': -o}}) AS t FROM s GROUP BY doc_id),
+n AS (SELECT count(*) // 5 AS size FROM documents),
+z AS (SELECT x.doc_id, x.ratio, x.doc_id // n.size AS rank, coalesce(d.t, b.t, 'prompt') AS t, x.lang || chr(10) || x.source AS transcript
+  FROM ({bucketed_sql(SIZED_DOCS_SQL, ASPECT_RATIO_512)}) x LEFT JOIN d USING (doc_id) LEFT JOIN b USING (doc_id), n WHERE x.doc_id < n.size * 5),
+p AS (SELECT z.*, coalesce(m.v, q.v) AS caption, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY rank, ratio) AS total
+  FROM z LEFT JOIN m ON m.doc_id = z.doc_id AND m.k = z.t LEFT JOIN m q ON q.doc_id = z.doc_id AND q.k = 'prompt'
+  WINDOW w AS (PARTITION BY rank, ratio ORDER BY z.doc_id))
+SELECT rank, ratio, pos // 8 AS batch_no, bool_and((pos // 8 + 1) * 8 <= total) AS "full", max(doc_id) AS emit_at,
+  string_agg(doc_id, ',' ORDER BY doc_id) AS members, string_agg(t || ':' || caption, '|' ORDER BY doc_id) AS captions,
+  md5(string_agg(transcript, '|' ORDER BY doc_id)) AS transcripts_md5
+FROM p GROUP BY rank, ratio, pos // 8""",
+)
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    samples = docs.select(
+        "doc_id", F.create_map(F.lit("prompt"), F.col("lang"), F.lit("short"), F.col("source")).alias("fields"),
+        F.lit(None).cast("array<struct<polygon:array<array<float>>,text:string,valid:boolean,rec_score:double>>").alias("annotations"),
+        F.array("lang", "source").alias("texts"), (F.col("n_chars") % 900 + 1).cast("int").alias("height"),
+        (F.col("doc_id") % 700 + 1).cast("int").alias("width"),
+    )
+    batches = training_batches(
+        samples, sidecar_captions(spark, sf), caption_scores(spark, sf), "doc_id", 5, 8, 23, block_rows=1 << 12
+    )
+    named = F.zip_with("caption_type", "caption", lambda t, c: F.concat_ws(":", t, c))
+    return batches.select(
+        "rank", "ratio", "batch_no", "full", "emit_at", F.array_join(F.col("doc_id").cast("array<string>"), ",").alias("members"),
+        F.array_join(named, "|").alias("captions"), F.md5(F.array_join("transcript", "|")).alias("transcripts_md5"),
+    )
