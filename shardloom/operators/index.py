@@ -168,9 +168,10 @@ def dense_renumber(df: DataFrame, index: str, excluded: DataFrame, source_count:
     plus two per exclusion and is broadcast while it is small.  An index out of range stops the job.
     """
     stop = F.col(index).cast("bigint")
-    outside = F.raise_error(F.concat(F.lit("Excluded index out of range: "), stop.cast("string"))).cast("bigint")
-    inside = (stop >= 0) & (stop < source_count)
-    listed = excluded.where(stop.isNotNull()).select(F.when(inside, stop).otherwise(outside).alias("stop")).distinct()
+    outside = excluded.select(stop.alias("stop")).where((F.col("stop") < 0) | (F.col("stop") >= source_count)).head()
+    if outside:
+        raise ValueError(f"Excluded index out of range: {outside['stop']}")
+    listed = excluded.where(stop.isNotNull()).select(stop.alias("stop")).distinct()
     # An excluded index ends the kept range that starts after its predecessor in the list.
     cuts = positions(listed, "stop", name="shift")
     before = cuts.select((F.col("shift") + 1).alias("shift"), (F.col("stop") + 1).alias("start"))
