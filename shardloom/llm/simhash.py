@@ -161,11 +161,13 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) ->
     return np.array(chosen, np.int64)
 
 
-def links(values: DataFrame, limit: int, block_rows: int = 4096, max_blocks: int = 1 << 20) -> DataFrame:
+def links(
+    values: DataFrame, limit: int, block_rows: int = 4096, max_blocks: int = 1 << 20, layered: bool = False
+) -> DataFrame:
     """(a, b, distance): a spanning forest, block by block, of the pairs at ``limit`` differing bits or fewer.
 
     ``values`` has the distinct fingerprints in ``fingerprint`` (long).  Linked values stay linked through
-    the forest.  At most ``max_blocks`` block patterns (16 bytes each) are shipped with the tasks; beyond
+    the forest.  ``layered`` gives a forest for every distance apart, for callers that go on to check the links.  At most ``max_blocks`` block patterns (16 bytes each) are shipped with the tasks; beyond
     ``max_blocks * block_rows`` values the blocks grow.
     """
     spark, fan_out = values.sparkSession, 16
@@ -209,8 +211,8 @@ def links(values: DataFrame, limit: int, block_rows: int = 4096, max_blocks: int
                 q, e, distance = block_links(entries, queries, limit)
                 known, at = np.unique(np.concatenate([entries, queries]), return_inverse=True)
                 b, a = at[: len(entries)][e], at[len(entries) :][q]
-                forest = spanning_forest(a, b, np.where(a == b, 255, distance), len(known))
-                forest = forest[a[forest] != b[forest]]
+                rounds = [np.flatnonzero(distance == w) for w in np.unique(distance)] if layered else [np.arange(len(a))]
+                forest = np.concatenate([r[spanning_forest(a[r], b[r], distance[r], len(known))] for r in rounds] or [[]]).astype(np.int64)
                 signed = known.view(np.int64)
                 columns = [pa.array(signed[a[forest]]), pa.array(signed[b[forest]]), pa.array(distance[forest].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["a", "b", "distance"])
@@ -258,7 +260,7 @@ def shingle_set(texts: pa.Array, size: int) -> list[bytes]:
 
 
 def drop_near_copies(
-    docs: DataFrame, shingle: int = 3, limit: int = 10, words: int = 5, similarity: float = 0.8,
+    docs: DataFrame, shingle: int = 3, limit: int = 12, words: int = 5, similarity: float = 0.8,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one of the smallest id.
@@ -279,7 +281,7 @@ def drop_near_copies(
     texts = materialise(marked.groupBy("digest", "content", "fingerprint").agg(F.min("id").alias("id")), "texts")
     least = texts.groupBy("fingerprint").agg(F.min("id").alias("least"))
     same = texts.join(least, "fingerprint").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    far = links(least.select("fingerprint"), limit)
+    far = links(least.select("fingerprint"), limit, layered=True)
     a, b = (least.select(F.col("fingerprint").alias(x), F.col("least").alias(f"id_{x}")) for x in ("a", "b"))
     across = far.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     proposed = materialise(same.unionByName(across).where("a <> b").distinct(), "proposed")
