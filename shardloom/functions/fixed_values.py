@@ -170,3 +170,8 @@ SAMPLE_FIELDS = [
 REQUIRED_COLUMNS = ["caption", "image", "annotations", "image_width", "image_height", "img_name"]
 OPTIONAL_COLUMNS = ["wm_score"]
 IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".webp"]
+
+# Patterns of prompts and file names.
+VISIBLE_TEXT_PATTERN = r"(?is)Render\s+the\s+exact\s+visible\s+text\s+(.*?)\s+clearly\s+in\s+the\s+image"
+SIZE_FLAG_VALUE = r"\s+(\d+:\d+)"
+RECOVERY_NAME = r"^epoch_(\d+)_step_(\d+)_recovery(?:\.pth)?$"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .fixed_values import (
+    SIZE_FLAG_VALUE,
+    VISIBLE_TEXT_PATTERN,
     TEXT_TEMPLATE_HEAD,
     TEXT_TEMPLATE_TAIL,
     VISIBLE_END,
@@ -78,9 +80,7 @@ def first_line(text: Column) -> Column:
 
 def target_text(prompt: Column) -> Column:
     """Visible text asked for by a prompt: quoted words, else the raw phrase, else the whole prompt."""
-    pattern = (
-        r"(?is)Render\s+the\s+exact\s+visible\s+text\s+(.*?)\s+clearly\s+in\s+the\s+image"
-    )
+    pattern = VISIBLE_TEXT_PATTERN
     phrase = F.regexp_extract(prompt, pattern, 1)
     words = F.regexp_extract_all(phrase, F.lit(r'"([^"]*)"'), F.lit(1))
     return (
@@ -99,7 +99,7 @@ def before_flags(prompt: Column) -> Column:
 
 def flag_pair(prompt: Column, flag: str) -> Column:
     """``[a, b]`` of the first ``--flag a:b``; null when the flag is absent."""
-    pattern = rf"--{flag}\s+(\d+:\d+)"
+    pattern = f"--{flag}{SIZE_FLAG_VALUE}"
     pair = F.transform(F.split(F.regexp_extract(prompt, pattern, 1), ":"), lambda s: s.try_cast("double"))
     return F.when(F.regexp_like(prompt, F.lit(pattern)), pair)
 

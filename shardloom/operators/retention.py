@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-RECOVERY_NAME = r"^epoch_(\d+)_step_(\d+)_recovery(?:\.pth)?$"
+from ..functions.fixed_values import RECOVERY_NAME
 
 
 def recovery_ids(files: DataFrame, name: str = "name", link: str = "is_link") -> DataFrame:

@@ -9,7 +9,7 @@ from ...functions import geometry as geo
 from ...functions import names as nm
 from ...functions import text as tx
 from ...functions import vectors as vec
-from ...functions.fixed_values import ASPECT_RATIO_512, ASPECT_RATIO_1024_TEST
+from ...functions.fixed_values import ASPECT_RATIO_512, ASPECT_RATIO_1024_TEST, VISIBLE_TEXT_PATTERN
 from ...operators.buckets import with_bucket, with_resize
 from .common import (
     SIZED_SQL,
@@ -120,7 +120,7 @@ TARGET_SQL = """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Please RENDER the ex
 
 @query(
     "f5_target_text",
-    rf"""WITH p AS (SELECT doc_id, prompt, regexp_extract(prompt, '(?is)Render\s+the\s+exact\s+visible\s+text\s+(.*?)\s+clearly\s+in\s+the\s+image', 1) AS m FROM ({TARGET_SQL}))
+    rf"""WITH p AS (SELECT doc_id, prompt, regexp_extract(prompt, '{VISIBLE_TEXT_PATTERN}', 1) AS m FROM ({TARGET_SQL}))
 SELECT doc_id, CASE WHEN m = '' THEN prompt WHEN len(regexp_extract_all(m, '"([^"]*)"', 1)) > 0
   THEN array_to_string(regexp_extract_all(m, '"([^"]*)"', 1), ' | ') ELSE {strip_sql('m')} END AS target FROM p""",
 )

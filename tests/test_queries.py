@@ -29,3 +29,16 @@ def test_every_oracle_has_a_query():
 def test_entry_runs(spark):
     rows = entry.entry(spark).collect()
     assert rows and sum(r["samples"] for r in rows) > 0
+
+
+@pytest.mark.parametrize(
+    "name, order",
+    [
+        ("t2_global_sort", lambda r: r.key),
+        ("a9_timer_shares", lambda r: -r.mean_ms),
+        ("r3_shard_shuffle", lambda r: (r.shard_order, r.shard, r.row_order, r.idx)),
+    ],
+)
+def test_rows_come_in_order_where_order_is_the_result(spark, name, order):
+    rows = QUERIES[name](spark, SF_DIR).collect()
+    assert len(rows) > 3 and rows == sorted(rows, key=order)
