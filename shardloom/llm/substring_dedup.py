@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .memory import give_back
 from .words import mix, names, split
 
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -41,40 +42,47 @@ _RANGE = np.dtype([("row", "<i4"), ("start", "<i4"), ("end", "<i4")])
 
 
 class Symbols(NamedTuple):
-    """Symbols of one round: names, the words they span, and the words they depend on."""
+    """Symbols of one round: names, the words they span, their texts, and the words they depend on (first rounds only)."""
 
     name: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
     doc: np.ndarray
+    low: np.ndarray | None
+    high: np.ndarray | None
 
 
 def word_symbols(name: np.ndarray, doc: np.ndarray) -> Symbols:
     at = np.arange(len(name))
-    return Symbols(name.copy(), at, at + 1, at, at + 1, doc)
+    return Symbols(name.copy(), at, at + 1, doc, at, at + 1)
 
 
-def name_runs(s: Symbols, number: int) -> Symbols:
-    """Maximal runs of one symbol become one symbol; every symbol now depends on its neighbours being others."""
+def name_runs(s: Symbols, number: int) -> tuple[Symbols, np.ndarray, np.ndarray]:
+    """Maximal runs of one symbol become one symbol; every symbol now depends on its neighbours being others.
+
+    Also gives the first and the last old symbol of each new one.
+    """
     n = len(s.name)
     first = np.flatnonzero(np.concatenate([[True], (s.name[1:] != s.name[:-1]) | (s.doc[1:] != s.doc[:-1])]))
+    if len(first) == n and s.low is None:
+        return s, first, first
     last = np.concatenate([first[1:], [n]]) - 1
     name, times = s.name[first], last - first + 1
     long = np.flatnonzero(times > 1)
     if len(long):
         salt = np.uint64((0xA0761D6478BD642F + 2 * number) & 0xFFFFFFFFFFFFFFFF)
         name[long] = mix(name[long] * _BASE[0] + times[long].astype(np.uint64) * _BASE[1] + salt)
-    low = np.concatenate([[-1], s.low[:-1]])[first]
-    high = np.concatenate([s.high[1:], [s.high[-1] + 1]])[last]
-    return Symbols(name, s.start[first], s.end[last], low, high, s.doc[first])
+    low, high = s.low, s.high
+    if low is not None:
+        low = np.concatenate([[-1], low[:-1]])[first]
+        high = np.concatenate([high[1:], [high[-1] + 1]])[last]
+    return Symbols(name, s.start[first], s.end[last], s.doc[first], low, high), first, last
 
 
-def name_pairs(s: Symbols, number: int) -> Symbols:
-    """Neighbours of the first and the second class become one symbol."""
+def name_pairs(s: Symbols, number: int) -> tuple[Symbols, np.ndarray, np.ndarray]:
+    """Neighbours of the first and the second class become one symbol; results as in :func:`name_runs`."""
     salt = np.uint64((0xE7037ED1A0B428DB * (number + 1)) & 0xFFFFFFFFFFFFFFFF)
-    second = (mix(s.name ^ salt) >> np.uint64(63)).astype(bool)
+    second = ((s.name ^ salt) * _BASE[0]).view(np.int64) < 0
     joins = np.concatenate([~second[:-1] & second[1:] & (s.doc[1:] == s.doc[:-1]), [False]])  # with the next one
     head = np.flatnonzero(np.concatenate([[True], ~joins[:-1]]))
     pair = joins[head]
@@ -83,10 +91,12 @@ def name_pairs(s: Symbols, number: int) -> Symbols:
     left, right = head[pair], tail[pair]
     name[pair] = mix(s.name[left] * _BASE[1] + mix(s.name[right] ^ salt))
     # a single symbol of the first class depends on what follows, one of the second on what precedes
-    single_second, single_first = ~pair & second[head], ~pair & ~second[head]
-    low = np.where(single_second, np.concatenate([[-1], s.low[:-1]])[head], s.low[head])
-    high = np.where(single_first, np.concatenate([s.high[1:], [s.high[-1] + 1]])[tail], s.high[tail])
-    return Symbols(name, s.start[head], s.end[tail], low, high, s.doc[head])
+    low, high = s.low, s.high
+    if low is not None:
+        single_second, single_first = ~pair & second[head], ~pair & ~second[head]
+        low = np.where(single_second, np.concatenate([[-1], low[:-1]])[head], low[head])
+        high = np.where(single_first, np.concatenate([high[1:], [high[-1] + 1]])[tail], high[tail])
+    return Symbols(name, s.start[head], s.end[tail], s.doc[head], low, high), head, tail
 
 
 class Spans:
@@ -119,27 +129,27 @@ def anchors_of_windows(rounds: list[Symbols], window: np.ndarray, size: int, spa
     depends on the words of the window alone.
     """
     anchor, found = np.zeros(len(window), np.uint64), np.zeros(len(window), bool)
-    for s in rounds:
+    words = len(spans.sums[0]) - 1
+    for s in reversed(rounds):
         fits = s.high - s.low <= size
         low, high = s.low[fits], s.high[fits]
-        if not len(low):
+        rest = np.flatnonzero(~found)  # windows without a symbol of a higher round
+        if not len(low) or not len(rest):
             continue
-        name = spans.name(np.maximum(low, 0), np.minimum(high, len(spans.sums[0]) - 1))
-        first = np.searchsorted(low, window)
-        past = np.searchsorted(high, window + size, side="right")
-        best = np.zeros(len(window), np.uint64)
+        name = spans.name(np.maximum(low, 0), np.minimum(high, words))
+        # for every word: how many stretches begin before it, and how many have ended there
+        begun = np.cumsum(np.bincount(low + 1, minlength=words + 2))
+        ended = np.cumsum(np.bincount(high, minlength=words + 2))
+        first, past = begun[window[rest]], ended[window[rest] + size]
         some = past > first
-        at = np.flatnonzero(some)
-        best[at] = name[first[at]]
-        step = 1
-        while True:
-            at = at[first[at] + step < past[at]]
-            if not len(at):
-                break
+        rest, first, count = rest[some], first[some], (past - first)[some]
+        best, step, at = name[first], 1, np.flatnonzero(count > 1)
+        while len(at):
             best[at] = np.minimum(best[at], name[first[at] + step])
             step += 1
-        anchor[some] = best[some]
-        found |= some
+            at = at[count[at] > step]
+        anchor[rest] = best
+        found[rest] = True
     return anchor, found
 
 
@@ -169,17 +179,17 @@ class Block:
             return
         s, number = word_symbols(self.name, self.row), 0
         while True:
-            runs = name_runs(s, number)
-            pairs = name_pairs(runs, number)
-            on_round(s, runs)
-            on_round(runs, pairs)
+            runs, first, last = name_runs(s, number)
+            on_round(s, runs, first, last)
+            pairs, first, last = name_pairs(runs, number)
+            on_round(runs, pairs, first, last)
             if number < self.anchor_rounds:
                 on_anchor_round(runs)
                 on_anchor_round(pairs)
             number += 1
             if len(pairs.name) == len(s.name) and number > 40 or len(pairs.name) == 1 + np.count_nonzero(np.diff(pairs.doc)):
                 return
-            s = pairs
+            s = pairs if number < self.anchor_rounds else pairs._replace(low=None, high=None)
 
     def analyse(self) -> tuple[list[Symbols], np.ndarray, np.ndarray, np.ndarray]:
         """(anchor rounds, and start, end and name of the long symbols): a symbol counts when it first reaches
@@ -189,17 +199,19 @@ class Block:
         least = 2 * self.size
         first, last = self.words.first[:-1], self.words.first[1:]
 
-        def grown(before: Symbols, after: Symbols) -> None:
-            span = after.end - after.start
-            big = np.flatnonzero(span >= self.size)
-            if not len(big):
+        def grown(before: Symbols, after: Symbols, left: np.ndarray, right: np.ndarray) -> None:
+            fresh = np.flatnonzero(right > left)
+            fresh = fresh[after.end[fresh] - after.start[fresh] >= self.size]
+            if not len(fresh):
                 return
-            widest = np.maximum.reduceat(before.end - before.start, np.searchsorted(before.start, after.start))[big]
-            span, doc = span[big], after.doc[big]
-            whole = (after.start[big] == first[doc]) & (after.end[big] == last[doc]) & (widest < span)
+            start, end, doc = after.start[fresh], after.end[fresh], after.doc[fresh]
+            left, right, span = left[fresh], right[fresh], end - start
+            # the parts of a run are alike, a pair has two
+            widest = np.maximum(before.end[left] - before.start[left], before.end[right] - before.start[right])
+            whole = (start == first[doc]) & (end == last[doc])
             tier = lambda x: np.floor(np.log(np.maximum(x, 1) / least) / math.log(8))
             step = (span >= least) & ((widest < least) | (tier(span) > tier(widest)))
-            long.append(np.stack([after.start[big], after.end[big]])[:, (whole | step) & self.known[doc]])
+            long.append(np.stack([start, end])[:, (whole | step) & self.known[doc]])
 
         self.rounds(kept.append, grown)
         start, end = np.concatenate(long, axis=1) if long else np.zeros((2, 0), np.int64)
@@ -302,7 +314,7 @@ def find_entries(a: np.ndarray, b: np.ndarray, entries: np.ndarray) -> tuple[np.
 
 def dedup(
     docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
-    block_rows: int = 2048,
+    block_rows: int = 512,
 ) -> DataFrame:
     """(doc_id, *carry, n_words, n_removed, kept_text), one row per row of ``docs``.
 
@@ -399,7 +411,10 @@ def dedup(
         entries = received(right, _WINDOW, _ENTRY)
         if len(entries):
             a = block.spans.name(block.window, block.window + size)
-            near = np.isin(a, entries["a"])
+            # a bitmap of the high bits leaves few windows to look up
+            seen = np.zeros(1 << 22, bool)
+            seen[entries["a"] >> np.uint64(42)] = True
+            near = seen[a >> np.uint64(42)]
             window, a = block.window[near], a[near]
             hit, least = find_entries(a, block.spans.name(window, window + size, 1), entries)
             window = window[hit[block.ids[block.row[window[hit]]] > least]]
@@ -411,14 +426,19 @@ def dedup(
         out = out.append_column("n_words", pa.array(np.diff(first), pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
         return out.append_column("kept_text", kept_texts(block, ~gone))
 
-    sent = by_block.applyInArrow(name_symbols, _PACKED)
-    answered = sent.groupBy("bucket").applyInArrow(share, _PACKED)
-    asked = by_block.cogroup(answered.groupBy("block")).applyInArrow(name_windows, _PACKED)
-    resolved = asked.groupBy("bucket").applyInArrow(resolve, _PACKED)
-    final = by_block.cogroup(resolved.groupBy("block")).applyInArrow(remove, result)
+    sent = by_block.applyInArrow(lambda table: _then_give_back(name_symbols(table)), _PACKED)
+    answered = sent.groupBy("bucket").applyInArrow(lambda table: _then_give_back(share(table)), _PACKED)
+    asked = by_block.cogroup(answered.groupBy("block")).applyInArrow(lambda key, a, b: _then_give_back(name_windows(key, a, b)), _PACKED)
+    resolved = asked.groupBy("bucket").applyInArrow(lambda table: _then_give_back(resolve(table)), _PACKED)
+    final = by_block.cogroup(resolved.groupBy("block")).applyInArrow(lambda key, a, b: _then_give_back(remove(key, a, b)), result)
     return final.select("doc_id", *[F.col(f"__carry_{c}").alias(c) for c in carry if c != "doc_id"], "n_words", "n_removed", "kept_text")
 
 
+def _then_give_back(table: pa.Table) -> pa.Table:
+    give_back()
+    return table
+
+
 def kept_texts(block: Block, kept: np.ndarray) -> pa.Array:
     """The kept words of each text, joined by one space."""
     words = block.words

@@ -53,18 +53,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BASE = 0x9E3779B97F4A7C15
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of a fixed odd number modulo 2**64, and of its inverse; kept for the next call."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[i] = np.full(size, base, np.uint64)
+            _powers[i][0] = 1
+            np.multiply.accumulate(_powers[i], out=_powers[i])
+    return _powers[0][:n], _powers[1][:n]
+
+
 def names(words: Words) -> np.ndarray:
-    """64-bit name of each word: the sum of mixed (byte, place in the word) values, mixed with the length."""
-    if not len(words.start):
-        return np.zeros(0, np.uint64)
-    size = words.end - words.start
-    begins = np.concatenate([[0], np.cumsum(size)[:-1]])
-    total = int(size.sum())
-    shift = np.repeat(words.start - begins, size)
-    place = np.arange(total)
-    chars = words.data[place + shift].astype(np.uint64)
-    place -= np.repeat(begins, size)
-    chars += (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    out = np.add.reduceat(mix(chars), begins)
-    out += size.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-    return mix(out)
+    """64-bit name of each word: a polynomial of its bytes' random values, mixed with the length.
+
+    Prefix sums over pieces of the text give all polynomials at once; a piece ends between two words.
+    """
+    out = np.empty(len(words.start), np.uint64)
+    at, n = 0, len(words.start)
+    while at < n:
+        base = int(words.start[at])
+        to = max(at + 1, int(np.searchsorted(words.end, base + (1 << 20), side="right")))
+        stop = int(words.end[to - 1])
+        up, down = powers(stop - base)
+        sums = np.zeros(stop - base + 1, np.uint64)
+        np.cumsum(_BYTE[words.data[base:stop]] * up, out=sums[1:])
+        start, end = words.start[at:to] - base, words.end[at:to] - base
+        value = (sums[end] - sums[start]) * down[start]
+        value += (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        out[at:to] = mix(value)
+        at = to
+    return out
