@@ -23,6 +23,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .chunking import arrow_schema, pieces, plain, repeated, short_texts
 
 
+SLICE = 1024  # rows of an Arrow batch that are worked on at once
+
+
 @functools.lru_cache(maxsize=2)
 def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
     """The vocabulary of a rank file; built once per process."""
@@ -60,8 +63,10 @@ def encode(
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [encode_bytes(t, rank_file, pattern) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = [encode_bytes(t, rank_file, pattern) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     short = short_texts(rows, chunk_chars).mapInArrow(whole, "doc_id long, ids binary")
     columns = ["__row", "doc_id", "copies", "chunk_no", "n_chunks", "start", "piece"]
@@ -133,9 +138,16 @@ def encode(
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``encoded`` with the raw bytes of its ids (not always valid UTF-8 by themselves); null ids give null."""
-    @F.pandas_udf("binary")
-    def raw(ids):
-        return ids.map(lambda x: None if x is None else decode_bytes(x, rank_file, pattern))
+    """``encoded`` with the raw bytes of its ids in ``out`` (replaced if there); null ids give null."""
+    rest = encoded.drop(out)
+    spec = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), f"`{out}` binary"])
+
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = part.column(part.schema.get_field_index(ids_col)).to_pylist()
+                decoded = [None if x is None else decode_bytes(x, rank_file, pattern) for x in ids]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*part.schema.names, out])
 
-    return encoded.withColumn(out, raw(F.col(ids_col)))
+    return rest.mapInArrow(raw, spec)
