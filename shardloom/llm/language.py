@@ -15,6 +15,8 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .memory import give_back
+
 UNKNOWN = "und"
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
@@ -87,6 +89,7 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: s
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([classify(t, fixed) for t in texts], columns=["lang_pred", "score"])
+            give_back()
 
     rest = docs.drop("lang_pred", "score")
     return rest.withColumn("__found", predict(F.col(text_col))).select(*rest.columns, "__found.lang_pred", "__found.score")

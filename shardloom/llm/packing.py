@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from .chunking import arrow_schema, plain
+from .memory import give_back
 
 #: Text before this character is split alike by both pre-tokenisers; the rest is left to the library itself.
 _PLAIN_LIMIT = "ɐ"
@@ -33,7 +34,7 @@ class UnitEncoder:
     are looked up.  Texts with other white space, or with a special token, go to the library whole.
     """
 
-    def __init__(self, tokenizer_file: str, max_units: int = 400_000):
+    def __init__(self, tokenizer_file: str, max_units: int = 125_000):
         self.library = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         with open(tokenizer_file, encoding="utf-8") as file:
@@ -46,7 +47,9 @@ class UnitEncoder:
             byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
             ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
             self.core = tiktoken.Encoding("units", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # two generations of at most max_units each: a unit met again moves to the younger one
         self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         self.max_units = max_units
 
     def _by_library(self, text: str) -> bytes:
@@ -77,10 +80,12 @@ class UnitEncoder:
             body = b"".join([known[u] for u in units])
         except (KeyError, TypeError):
             if len(known) > self.max_units:
-                known.clear()
+                self.older, self.known = known, {}
+                known = self.known
+            older = self.older
             for u in units:
                 if u not in known:
-                    known[u] = self._unit(u)
+                    known[u] = older[u] if u in older else self._unit(u)
                 if known[u] is None:
                     return self._by_library(text)
             body = b"".join([known[u] for u in units])
@@ -115,6 +120,7 @@ def token_pieces(
                     for name, value in zip(schema.names, (doc, start, len(own) // 4, own, total)):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
+            give_back()
 
     return plain(docs, id_col, text_col).mapInArrow(cut, spec)
 

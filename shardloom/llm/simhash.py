@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
 from .components import connected_components
+from .memory import give_back
 from .words import mix, names, split
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -49,6 +50,7 @@ def fingerprint(text: Column, shingle: int = 3) -> Column:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([simhash(t, shingle) for t in texts], dtype="int64")
+            give_back()
 
     return of(text)
 
@@ -292,19 +294,24 @@ def drop_near_copies(
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shingle_set(batch.column(1), words), pa.binary())], ["id", "set"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = pa.array(shingle_set(part.column(1), words), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), found], ["id", "set"])
+            give_back()
 
     chosen = own.join(needed, ["__id", "__content"], "left_semi").select("__id", "__text").mapInArrow(sets, "id long, set binary")
     shingles = materialise(chosen, "shingles").dropDuplicates(["id"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
             good = []
-            for x, y in zip(left, right):
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
+            kept = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
     pairs = proposed.join(shingles.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     pairs = pairs.join(shingles.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
