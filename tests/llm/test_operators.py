@@ -269,6 +269,27 @@ def test_near_copies_keep_one_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in odd) == ["3", "5", "5", "None"]
 
 
+def test_near_copies_among_templated_texts(spark):
+    """All pairs of a template lie close together, at a similarity below 0.8; only the planted copies go."""
+    rnd = random.Random(8)
+    template = [f"t{i}" for i in range(200)]
+    texts = [" ".join([*template, *(f"u{rnd.randint(0, 10**6)}" for _ in range(42))]) for _ in range(600)]
+    copies = []
+    for i in range(0, 600, 20):
+        words = texts[i].split()
+        for at in (20, 120, 215):
+            words[at] = f"e{rnd.randint(0, 10**6)}"
+        copies.append(" ".join(words))
+    parts = [np.frombuffer(s, np.uint64) for s in simhash.shingle_set(pa.array([*texts, *copies]), 5)]
+    near = np.argwhere(np.triu(simhash.similar(parts, 0.8), 1)).tolist()
+    assert near == [[i, 600 + i // 20] for i in range(0, 600, 20)]
+    i, j = near[0]
+    assert len(np.intersect1d(parts[i], parts[j])) >= 0.8 * len(np.union1d(parts[i], parts[j]))
+    for block_rows in (256, 100):
+        kept = simhash.drop_near_copies(documents(spark, [*texts, *copies]), block_rows=block_rows)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(600))
+
+
 # ---------------------------------------------------------------- 6 packing
 
 
