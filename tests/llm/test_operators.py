@@ -290,6 +290,25 @@ def test_near_copies_among_templated_texts(spark):
         assert sorted(r.doc_id for r in kept.collect()) == list(range(600))
 
 
+def test_near_copies_with_repeated_lines_and_at_the_limit(spark):
+    rnd = random.Random(5)
+    words, line = [f"w{rnd.randint(0, 10**6)}" for _ in range(200)], [f"l{i}" for i in range(12)]
+    kept = simhash.drop_near_copies(documents(spark, [" ".join(words + line * n) for n in (3, 40)]))
+    assert [r.doc_id for r in kept.collect()] == [0]
+    left, right = [], []
+    for _ in range(1500):
+        words = [f"w{rnd.randint(0, 10**7)}" for _ in range(400)]
+        left.append(" ".join(words))
+        for _ in range(9):
+            words[rnd.randrange(400)] = f"e{rnd.randint(0, 10**7)}"
+        right.append(" ".join(words))
+    left, right = pa.array(left), pa.array(right)
+    sets = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(simhash.shingle_set(left, 5), simhash.shingle_set(right, 5))]
+    near = np.array([len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) for x, y in sets])
+    met = (simhash.band_keys(left, 5, 32, 6) == simhash.band_keys(right, 5, 32, 6)).any(1)
+    assert near.sum() > 500 and (met | ~near).mean() > 0.999
+
+
 # ---------------------------------------------------------------- 6 packing
 
 
