@@ -1,13 +1,15 @@
 """Near duplicates among vectors by sorted projection passes.
 
 Every pass has its own random hyperplanes; a vector's signs form a bit string, vectors are sorted by it and
-each is compared with the next ``window`` ones.  Pairs that reach the cosine join their ends in a forest, and
-the forests of all passes give components.  The links inside a component are then counted in full, block
-against block, so a group larger than any window is counted whole; no pair is ever written as a row.
+all that share it are compared, block against block.  The bits grow with the number of vectors and the passes
+with the bits, so that a pair at the cosine meets with the same probability whatever lies around it.  Pairs that
+reach the cosine give forests, and those of all passes give components.  The links inside a component are then
+counted in full, block against block, so a group of any size is counted whole; no pair is ever written as a row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,44 +28,39 @@ def sign_keys(points: np.ndarray, passes: int, bits: int, seed: int) -> np.ndarr
     return np.stack([((points @ p.T) >= 0) @ weights for p in planes])
 
 
-class Forest:
-    """Union of rows by number, the smaller root on top."""
+def plan_passes(n: int, threshold: float, miss: float, run_rows: int) -> tuple[int, int]:
+    """(passes, bits): runs of about ``run_rows`` evenly spread vectors; a pair at ``threshold`` shares none with probability ``miss``."""
+    bits = min(48, max(0, math.ceil(math.log2(max(1, n) / run_rows))))
+    meet = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return (1 if meet >= 1 - miss else math.ceil(math.log(miss) / math.log1p(-meet))), bits
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+def block_forest(ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning star of each component of the links ``near``."""
+    own = np.flatnonzero(near.any(1))
+    near, label = near[np.ix_(own, own)], np.arange(len(own))
+    while True:
+        least = np.minimum(label, np.where(near, label[None, :], len(own)).min(1, initial=len(own)))
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    apart = label != np.arange(len(own))
+    return ids[own[apart]], ids[own[label[apart]]]
 
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
 
-
-def window_links(ids: np.ndarray, points: np.ndarray, window: int, threshold: float) -> list[tuple[int, int]]:
-    """Forest edges among sorted rows whose pairs within ``window`` places reach the cosine."""
-    unit = points / np.linalg.norm(points, axis=1)[:, None]
-    forest, step = Forest(len(ids)), max(256, window)
-    for at in range(0, len(ids), step):
-        left, right = unit[at : at + step], unit[at : at + step + window]
-        near = left @ right.T >= threshold
-        offset = np.arange(len(right))[None, :] - np.arange(len(left))[:, None]
-        for i, j in zip(*np.nonzero(near & (offset > 0) & (offset <= window))):
-            forest.join(at + int(i), at + int(j))
-    roots = [forest.root(i) for i in range(len(ids))]
-    return [(int(ids[i]), int(ids[r])) for i, r in enumerate(roots) if i != r]
+def group_starts(table: pa.Table, names: list[str]) -> np.ndarray:
+    keys = np.stack([table.column(c).to_numpy() for c in names])
+    return np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])) if table.num_rows else np.array([], int)
 
 
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding",
-    passes: int = 24, bits: int = 32, window: int = 64, block_rows: int = 512, seed: int = 11,
+    miss: float = 1e-4, run_rows: int = 512, block_rows: int = 512, seed: int = 11,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``.
 
+    A pair at exactly ``threshold`` is left uncompared with probability ``miss``, a closer one with less.
     ``n_links`` counts the other vectors at a cosine of at least ``threshold`` in the same component;
     ``component_id`` is the smallest id reachable by links.  Equal vectors are one while comparing and count
     as links of each other.  Vectors that are null, zero, of another dimension than most, or hold null or
@@ -79,6 +76,12 @@ def near_duplicates(
         keyed.groupBy("content").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")), "vector-classes"
     )
 
+    passes, bits = plan_passes(classes.count(), threshold, miss, run_rows)
+
+    def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in project(batches):
+            yield batch.select(["pass", "key"])
+
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -89,29 +92,40 @@ def near_duplicates(
                     [pa.array(np.full(len(key), number, np.int32)), pa.array(key), *batch.columns], ["pass", "key", "rep", "vector"]
                 )
 
-    spark = vectors.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
-        classes.select("rep", "vector")
-        .mapInArrow(project, "pass int, key long, rep long, vector array<double>")
-        .repartitionByRange(n_parts, "pass", "key", "rep")
-        .sortWithinPartitions("pass", "key", "rep")
+    # a run of vectors of the same signs is compared as the components below: it meets itself, or its parts each other
+    projected = classes.select("rep", "vector").mapInArrow(project, "pass int, key long, rep long, vector array<double>")
+    runs = classes.select("rep", "vector").mapInArrow(keys_only, "pass int, key long").groupBy("pass", "key").agg(F.count(F.lit(1)).alias("n"))
+    runs = runs.where("n > 1").select("pass", "key", F.ceil(F.col("n") / (2 * run_rows)).cast("int").alias("n_parts"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("other")
+    dealt = projected.join(runs, ["pass", "key"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n_parts")).cast("int"))
+    dealt = dealt.select("pass", "key", "part", "rep", "vector", "n_parts", other).where("n_parts = 1 or part <> other").select(
+        "pass", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "vector"
     )
+    names = ["pass", "key", "i", "j"]
+    ordered = dealt.repartition(*names).sortWithinPartitions(*names, "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
+        rest: pa.Table | None = None
         for batch in batches:
-            # the last rows of a batch are compared again with the first ones of the next
-            table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
-            numbers = table.column("pass").to_numpy()
-            edges: list[tuple[int, int]] = []
-            for number in np.unique(numbers):
-                own = table.filter(pa.array(numbers == number))
-                edges += window_links(own.column("rep").to_numpy(), matrix(own.column("vector"), dim), window, threshold)
-            if edges:
-                a, b = zip(*edges)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            kept = table.slice(max(0, table.num_rows - window))
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            starts = group_starts(table, names)
+            # the last run may go on in the next batch
+            if len(starts) > 1:
+                yield edges_of(table.slice(0, starts[-1]), starts[:-1])
+            rest = table.slice(starts[-1]) if len(starts) else table
+        if rest is not None and rest.num_rows:
+            yield edges_of(rest, group_starts(rest, names))
+
+    def edges_of(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        points, ids = matrix(table.column("vector"), dim), table.column("rep").to_numpy()
+        unit = points / np.linalg.norm(points, axis=1)[:, None]
+        found = [(ids[:0], ids[:0])]
+        for a, b in zip(starts, [*starts[1:], len(ids)]):
+            near = unit[a:b] @ unit[a:b].T >= threshold
+            np.fill_diagonal(near, False)
+            found.append(block_forest(ids[a:b], near))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     edges = ordered.mapInArrow(compare, "a long, b long")
     found = materialise(connected_components(edges, "vector-links"), "vector-components")
@@ -131,17 +145,13 @@ def near_duplicates(
         rest: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            starts = group_starts(table)
+            starts = group_starts(table, ["component", "i", "j"])
             # the last group may go on in the next batch
             if len(starts) > 1:
                 yield links_of(table.slice(0, starts[-1]), starts[:-1])
             rest = table.slice(starts[-1]) if len(starts) else table
         if rest is not None and rest.num_rows:
-            yield links_of(rest, group_starts(rest))
-
-    def group_starts(table: pa.Table) -> np.ndarray:
-        keys = np.stack([table.column(c).to_numpy() for c in ("component", "i", "j")])
-        return np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])) if table.num_rows else np.array([], int)
+            yield links_of(rest, group_starts(rest, ["component", "i", "j"]))
 
     def links_of(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         points = matrix(table.column("vector"), dim)

@@ -382,6 +382,23 @@ def test_vector_near_duplicates_against_brute_force(spark):
     assert by_id[None].n_links == 0
 
 
+def test_vector_pairs_inside_a_dense_group(spark):
+    """Vectors at a pairwise cosine of 0.8 with planted pairs at 0.91 among them."""
+    rng, n = np.random.default_rng(4), 6000
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal(64))
+    off = lambda x, *axes: unit(x - sum((x * a).sum(-1, keepdims=True) * a for a in axes))
+    own = off(rng.standard_normal((n, 64)), centre)
+    moved = 0.56 * own[:300] + np.sqrt(1 - 0.56**2) * off(rng.standard_normal((300, 64)), centre, own[:300])
+    group, partner = (np.sqrt(0.8) * centre + np.sqrt(0.2) * x for x in (own, unit(moved)))
+    points = np.concatenate([group, partner])
+    near = points @ points.T >= 0.9
+    np.fill_diagonal(near, False)
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), run_rows=64).collect()}
+    assert near.sum() >= 600 and sum(r.n_links for r in got.values()) == near.sum()
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, k) for k in range(1001, 1400)] + [(5, 5), (None, 3), (7, 6)]
     got = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
