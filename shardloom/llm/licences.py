@@ -139,25 +139,35 @@ class Index:
 
 
 def matches(index: Index, name: np.ndarray, hits: list[tuple[int, int]], band: int, least: float) -> list[tuple[Template, Match]]:
-    """Matches of one text, of whose words ``hits`` (fingerprint, place) are known to the index."""
-    shifts: dict[int, set[int]] = defaultdict(set)
+    """Matches of one text, of whose words ``hits`` (fingerprint, place) are known to the index.
+
+    Each shift a fingerprint tells is aligned unless a match found before covers its place; what lies before and
+    after a match is aligned again by itself.  Matches of one template do not overlap.
+    """
+    places: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for value, place in hits:
         for number, at in index.at[value]:
-            shifts[number].add(place - at)
+            places[number].append((place, place - at))
     out = []
-    for number in sorted(shifts):
-        template, done = index.templates[number], -1
-        last: int | None = None
-        for shift in sorted(shifts[number]):
-            if last is not None and shift - last <= band:
-                continue
-            last = shift
-            low = max(0, shift - band)
-            found = align(template.words, name[low : shift + len(template.words) + band + 1], shift - low, band)
-            if found is None or found.matched < least * len(template.words) or found.start + low < done:
-                continue
-            done = found.end + low
-            out.append((template, Match(found.start + low, found.end + low, found.matched)))
+    for number in sorted(places):
+        template, found = index.templates[number], []
+        parts = [(0, len(name), sorted(places[number]))]
+        while parts:
+            first, last, own = parts.pop()
+            for shift in dict.fromkeys(shift for _, shift in own):
+                low, high = max(first, shift - band), min(last, shift + len(template.words) + band + 1)
+                # no alignment matches more words than the two have in common
+                if np.isin(name[low:high], template.words).sum() < least * len(template.words):
+                    continue
+                m = align(template.words, name[low:high], shift - low, band)
+                if m is None or m.matched < least * len(template.words):
+                    continue
+                m = Match(m.start + low, m.end + low, m.matched)
+                found.append(m)
+                parts.append((first, m.start, [x for x in own if x[0] < m.start]))
+                parts.append((m.end, last, [x for x in own if x[0] >= m.end]))
+                break
+        out += [(template, m) for m in sorted(found)]
     return out
 
 

@@ -460,6 +460,18 @@ def test_licence_scan(spark):
             assert text.startswith("Permission is") and 0.8 <= r.coverage < 1
 
 
+def test_licence_lines_in_a_row(spark):
+    lines = [licences.NOTICES[i][1] for i in (6, 2, 0)]
+    edited = licences.NOTICES[7][1].replace("free of charge", "without any charge")
+    texts = [" ".join([line] * n) for line in lines for n in (1, 2, 3, 40)] + [f"{edited}\n{licences.NOTICES[7][1]}\n{edited}"]
+    got = licences.scan(documents(spark, texts)).orderBy("doc_id", "start_word").collect()
+    counts = defaultdict(int)
+    for r in got:
+        counts[r.doc_id] += 1
+    assert [counts[i] for i in range(len(texts))] == [1, 2, 3, 40] * 3 + [3]
+    assert all(a.doc_id != b.doc_id or a.end_word <= b.start_word for a, b in zip(got, got[1:]))
+
+
 # ---------------------------------------------------------------- 10 byte-level BPE
 
 
