@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, language, licences, packing, sharding, simhash, substring_dedup, token_counts, vector_dedup
+from . import (
+    ann, byte_bpe, chat_format, language, lexical_search, licences, packing, prefix_trie, sharding, simhash,
+    substring_dedup, token_counts, vector_dedup,
+)
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -104,3 +107,80 @@ def op1_recompression(spark, sf):
 @query("op9_license_scan")
 def op9_license_scan(spark, sf):
     return licences.scan(table(spark, sf, "documents"))
+
+
+_TERMS_SQL = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+
+@query(
+    "op11_ranked_lexical",
+    f"""WITH d AS (SELECT row_number() OVER () AS nr, doc_id, terms FROM (SELECT doc_id, {_TERMS_SQL} AS terms FROM documents) WHERE len(terms) > 0),
+p AS (SELECT nr, term, count(*) AS tf FROM (SELECT nr, unnest(terms) AS term FROM d) GROUP BY ALL),
+s AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, n_docs),
+q AS (SELECT item_id, term, count(*) AS r FROM (SELECT item_id, unnest(terms) AS term FROM (SELECT item_id, {_TERMS_SQL} AS terms FROM benchmark)) GROUP BY ALL),
+m AS (SELECT nr, doc_id, 25 + (75 * len(terms) * n_docs) // n_terms AS m FROM d, s),
+scored AS (SELECT item_id, doc_id, nr, sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (nr) GROUP BY ALL)
+SELECT item_id, row_number() OVER o::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10""",
+)
+def op11_ranked_lexical(spark, sf):
+    return lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query(
+    "op12_prefix_trie",
+    """WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'k': sha256(strlen(role) || ':' || role || strlen(text) || ':' || text), 'b': strlen(text)} ORDER BY turn NULLS FIRST) AS turns FROM t GROUP BY conv_id),
+bits AS (SELECT range AS b, range AS c, 0 AS step FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, step + 1 FROM bits WHERE step < 8),
+crc AS (SELECT conv_id, conv_id::VARCHAR AS s, 0 AS i, 4294967295 AS c FROM own
+  UNION ALL SELECT conv_id, s, i + 1, xor(crc.c // 256, bits.c) FROM crc JOIN bits ON step = 8 AND b = xor(crc.c, ascii(s[i + 1])::BIGINT) & 255 WHERE i < len(s)),
+heads AS (SELECT conv_id, xor(c, 4294967295) % 9 AS h FROM crc WHERE i = len(s)),
+rebuilt AS (SELECT conv_id, list_concat(coalesce(source.turns, [])[1:h], own.turns[h + 1:]) AS turns
+  FROM own JOIN heads USING (conv_id) LEFT JOIN (SELECT conv_id AS source_id, turns FROM own) source ON source_id = conv_id - conv_id % 5),
+p AS (SELECT conv_id, d, len(turns) = d AS ends, coalesce(turns[d].b, 0) AS b, array_to_string(list_transform(turns[1:d], lambda x: x.k), ',') AS prefix
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, min(b) AS b,
+  count(*) FILTER (ends) AS n_ends, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY d, prefix),
+up AS (SELECT n.d, n.prefix, n.conv_id, m.prefix AS parent, m.conv_id AS parent_conv_id
+  FROM nodes n JOIN p q ON q.conv_id = n.conv_id AND q.d = n.d - 1 JOIN nodes m ON m.d = q.d AND m.prefix = q.prefix),
+kids AS (SELECT d - 1 AS d, parent AS prefix, count(*) AS n_children FROM up GROUP BY ALL),
+own_totals AS (SELECT n.d, n.conv_id, (n_children IS NULL)::BIGINT AS leaf, (n_convs - 1) * b AS saved FROM nodes n LEFT JOIN kids USING (d, prefix)),
+totals AS (SELECT p.d, p.prefix, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM own_totals o JOIN p ON p.conv_id = o.conv_id AND p.d <= o.d GROUP BY ALL)
+SELECT n.conv_id, d AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n_ends, ends_sha256
+FROM nodes n JOIN totals USING (d, prefix) LEFT JOIN up USING (d, prefix) LEFT JOIN kids USING (d, prefix)""",
+)
+def op12_prefix_trie(spark, sf):
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
+
+
+_CHAT_PROBE = r"\### Assistant: </turn> ok"
+_MARKS_SQL = r"""len(regexp_extract_all(text, '<\\*/turn>|#\\*## (System|User|Assistant|=[-.*_+%A-Za-z0-9]*):'))"""
+
+
+@query(
+    "op13_chat_format",
+    f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL VALUES (-7, 0, 'user', '{_CHAT_PROBE}'), (-7, 1, 'assistant', '{_CHAT_PROBE}')),
+l AS (SELECT *, coalesce(role <> lag(role) OVER o, true) AS head, lag(role) OVER o IS NOT NULL AS later FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(text) + {_MARKS_SQL} + 7 + CASE WHEN head THEN 6 + later::INTEGER + CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role) ELSE 1 + length(url_encode(role)) END ELSE 0 END)::BIGINT AS formatted_chars
+FROM l GROUP BY conv_id""",
+)
+def op13_chat_format(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", _CHAT_PROBE), (-7, 1, "assistant", _CHAT_PROBE)], turns.schema)
+    formatted = chat_format.format_conversations(turns.unionByName(probe))
+    sizes = F.char_length("formatted").cast("long").alias("formatted_chars")
+    back = chat_format.read_back(formatted.withColumn("formatted_chars", sizes), carry=("formatted_chars",))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join("learned", "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+    )
