@@ -161,7 +161,7 @@ def _(spark, sf):
     page_shards(spark, sf, folder)
     index_path = scratch_path(spark, "tar-index")
     tar.member_index(spark, folder, index_path)
-    return tar.member_index(spark, folder, index_path).withColumn("shard", _base("shard"))
+    return tar.member_index(spark, folder, index_path).withColumn("shard", _base("shard")).drop("header")
 
 
 @query(
@@ -210,6 +210,55 @@ def _(spark, sf):
     return found.select(_base("shard").alias("shard"), "name", "size")
 
 
+@query(
+    "s11_payload_lookup",
+    f"""SELECT shard, name, md5(body) AS content_md5 FROM ({PAGE_MEMBERS_SQL}) WHERE page_id IN (SELECT item_id * 7 FROM benchmark)""",
+)
+def _(spark, sf):
+    folder = scratch_path(spark, "tars")
+    page_shards(spark, sf, folder)
+    name = F.format_string("page-%09d", F.col("item_id") * 7)
+    names = F.explode(F.array(F.concat(name, F.lit(".html")), F.concat(name, F.lit(".json"))))
+    wanted = table(spark, sf, "benchmark").select(names.alias("name"))
+    lines = tar.find_members(tar.member_index(spark, folder, scratch_path(spark, "tar-index")), wanted)
+    found = tar.fetch_members(lines.select("shard", "name", "offset", "size"))
+    return found.select(_base("shard").alias("shard"), "name", F.md5("content").alias("content_md5"))
+
+
+@query(
+    "s9_block_scan",
+    f"""WITH m AS (SELECT shard, name, md5(body) AS content_md5, (row_number() OVER (PARTITION BY shard ORDER BY page_id, slot) - 1)::INTEGER AS member_ordinal FROM ({PAGE_MEMBERS_SQL}))
+SELECT * FROM m WHERE name LIKE '%.html' AND member_ordinal >= 20""",
+)
+def _(spark, sf):
+    folder = scratch_path(spark, "tars")
+    page_shards(spark, sf, folder)
+    index = tar.member_index(spark, folder, scratch_path(spark, "tar-index"))
+    blocks = tar.member_blocks(index, scratch_path(spark, "tar-blocks"), 64 << 10)
+    found = tar.read_members(spark, folder, blocks=blocks).where("name LIKE '%.html' AND member_ordinal >= 20")
+    return found.select(_base("shard").alias("shard"), "name", F.md5("content").alias("content_md5"), "member_ordinal")
+
+
+@query(
+    "k1_tar_sink",
+    f"""SELECT printf('lang-%s.tar', lang) AS shard, printf('%09d.txt', doc_id) AS name, md5(text) AS content_md5,
+  (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::INTEGER AS member_ordinal FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL""",
+)
+def _(spark, sf):
+    folder = scratch_path(spark, "tars")
+    docs = table(spark, sf, "documents").where("lang IS NOT NULL AND text IS NOT NULL")
+    samples = docs.select(
+        F.format_string("lang-%s.tar", "lang").alias("shard"), F.format_string("%09d", "doc_id").alias("key"),
+        F.encode("text", "UTF-8").alias("txt"),
+    )
+    tar.register(spark)
+    arranged = samples.repartition("shard").sortWithinPartitions("shard", "key")
+    arranged.write.format("tarshards").mode("append").save(folder)
+    arranged.write.format("tarshards").mode("overwrite").save(folder)  # the same shards once more, none beside them
+    found = spark.read.format("tarshards").load(folder)
+    return found.select(_base("shard").alias("shard"), "name", F.md5("content").alias("content_md5"), "member_ordinal")
+
+
 @query(
     "s12_decode_members",
     """SELECT conv_id, turn, text AS as_text, turn::INTEGER AS as_class, role AS json_role FROM conversations""",

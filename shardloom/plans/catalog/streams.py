@@ -169,7 +169,7 @@ def _(spark, sf):
 def _(spark, sf):
     folder = scratch_path(spark, "tars")
     page_shards(spark, sf, folder)
-    found = tar.read_members(spark, folder, extensions="json", content=False)
+    found = tar.read_members(spark, folder, content=False).where("name LIKE '%.json'")  # the source answers the filter
     return found.select(_base("shard").alias("shard"), "name", "size")
 
 
@@ -184,10 +184,27 @@ def _(spark, sf):
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(folder)
     archives.select(_base("path").alias("shard"), "content").createOrReplaceTempView("shardloom_archives")
     return spark.sql(
-        "SELECT shard, name, size, md5(m.content) AS content_md5 FROM shardloom_archives a, LATERAL tar_members(a.content) m"
+        "SELECT shard, name, size, md5(m.content) AS content_md5 FROM shardloom_archives a, LATERAL tar_unpack(a.content) m"
     )
 
 
+@query(
+    "v5_tar_ranges_function",
+    f"""WITH m AS (SELECT shard, page_id, slot, name, strlen(body)::BIGINT AS size, md5(body) AS content_md5 FROM ({PAGE_MEMBERS_SQL}))
+SELECT shard, (512 * row_number() OVER w + coalesce(sum((size + 511) // 512 * 512) OVER
+    (PARTITION BY shard ORDER BY page_id, slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT // 16384 AS part, name, content_md5
+FROM m WINDOW w AS (PARTITION BY shard ORDER BY page_id, slot)""",
+)
+def _(spark, sf):
+    folder = scratch_path(spark, "tars")
+    page_shards(spark, sf, folder)
+    tar.register_functions(spark)
+    index = tar.member_index(spark, folder, scratch_path(spark, "tar-index"))
+    index.withColumn("part", F.expr("offset div 16384")).createOrReplaceTempView("shardloom_index")
+    found = spark.sql("SELECT * FROM tar_members(TABLE(shardloom_index) PARTITION BY (shard, part) ORDER BY offset)")
+    return found.select(_base("shard").alias("shard"), "part", "name", F.md5("content").alias("content_md5"))
+
+
 @query("v6_prompt_flag_function", PROMPT_FLAGS_SQL)
 def _(spark, sf):
     extensions.register_prompt_flags(spark, ASPECT_RATIO_1024_TEST)
