@@ -10,51 +10,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed_values import CONTRASTIVE_TEMPERATURE
 from ..functions.vectors import cosine
+from ..session import materialise
+from . import routing_blocks
+from .vector_math import cosines, finite_vectors
 
 # Prototypes are shipped with the tasks in chunks of this many.
 CHUNK_PROTOTYPES = 4096
-# A prototype list is part of a model; a larger one than this is refused.
-MAX_PROTOTYPE_BYTES = 1 << 30
+# A prototype list up to this size is shipped; a larger one stays in blocks on the executors.
+MAX_SHIPPED_BYTES = 16 << 20
 
 
-def _unit_rows(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(np.sqrt(_row_sums(m * m)), 1e-12)[:, None]
-
-
-def _row_sums(m: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(m))
-    for d in range(m.shape[1]):
-        out += m[:, d]
-    return out
+def _listed(prototypes: DataFrame, vec: str) -> DataFrame:
+    """Prototypes as (id, vec); rows without id or without a vector of finite numbers are none."""
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return prototypes.where(F.col("proto").isNotNull() & F.col(vec).isNotNull() & finite).select(
+        F.col("proto").cast("long").alias("id"), F.col(vec).alias("vec")
+    )
 
 
-def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products summed dimension by dimension, so that a value does not depend on the shape of the batch."""
-    out = np.zeros((len(a), len(b)))
-    for d in range(a.shape[1]):
-        out += a[:, d, None] * b[None, :, d]
-    return out
+def is_large(prototypes: DataFrame, vec: str = "vec") -> bool:
+    """Whether a prototype list is above ``MAX_SHIPPED_BYTES``."""
+    size = _listed(prototypes, vec).agg(F.coalesce(F.sum(8 + 8 * F.size("vec")), F.lit(0))).first()[0]
+    return size > MAX_SHIPPED_BYTES
 
 
 def prototype_chunks(prototypes: DataFrame, vec: str = "vec", chunk: int = CHUNK_PROTOTYPES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of ``chunk`` prototypes each, by id; rows without id or vector are none.
-
-    The list goes through the driver after its size in bytes was checked against ``MAX_PROTOTYPE_BYTES``.
-    """
-    listed = prototypes.where(F.col("proto").isNotNull() & F.col(vec).isNotNull()).select("proto", F.col(vec).alias("vec"))
-    size = listed.agg(F.coalesce(F.sum(8 + 8 * F.size("vec")), F.lit(0))).first()[0]
-    if size > MAX_PROTOTYPE_BYTES:
-        raise ValueError(f"{size} bytes of prototypes; at most {MAX_PROTOTYPE_BYTES} are shipped")
-    rows = listed.orderBy("proto").collect()
-    ids = np.array([r["proto"] for r in rows], dtype="int64")
-    matrix = np.array([r["vec"] for r in rows], dtype="float64")
-    return [(ids[i : i + chunk], _unit_rows(matrix[i : i + chunk])) for i in range(0, len(ids), chunk)]
-
-
-def _vectors(batch: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the rows that hold a vector, and the vectors of unit length."""
-    some = np.flatnonzero(batch.notna().to_numpy())
-    return some, _unit_rows(np.stack(batch.iloc[some].to_numpy()).astype("float64")) if len(some) else np.zeros((0, 0))
+    """(ids, vectors) of ``chunk`` prototypes each, by id, of a list that :func:`is_large` has found small."""
+    rows = _listed(prototypes, vec).orderBy("id").collect()
+    ids = np.array([r["id"] for r in rows], dtype="int64")
+    _, matrix = finite_vectors(pd.Series([r["vec"] for r in rows], dtype=object))
+    return [(ids[i : i + chunk], matrix[i : i + chunk]) for i in range(0, len(ids), chunk)]
 
 
 def _best_of(chunks: list[tuple[np.ndarray, np.ndarray]]):
@@ -63,12 +48,12 @@ def _best_of(chunks: list[tuple[np.ndarray, np.ndarray]]):
     @F.pandas_udf("struct<proto:bigint,weight:double>")
     def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for vectors in batches:
-            some, unit = _vectors(vectors)
+            some, unit = finite_vectors(vectors)
             weight, proto = np.full(len(some), -np.inf), np.zeros(len(some), np.int64)
             for at in range(0, len(some), 512):
                 part = slice(at, at + 512)
                 for ids, matrix in chunks:
-                    cos = _cosines(unit[part], matrix)
+                    cos = cosines(unit[part], matrix)
                     first = cos.argmax(axis=1)  # the first of equals: the lowest id
                     value = cos[np.arange(len(first)), first]
                     larger = value > weight[part]
@@ -81,6 +66,18 @@ def _best_of(chunks: list[tuple[np.ndarray, np.ndarray]]):
     return best
 
 
+def _in_blocks(vectors: DataFrame, prototypes: DataFrame, vec: str, is_null: Column, block_rows: int) -> DataFrame:
+    """``vectors`` with the struct ``__r`` of the best prototype, found block against block.
+
+    Rows get a number that their written table keeps, because ``key`` may repeat.
+    """
+    numbered = materialise(vectors.withColumn("__id", F.monotonically_increasing_id()).withColumn("__null", is_null), "vectors")
+    asked = numbered.where("NOT __null").select(F.col("__id").alias("id"), F.col(vec).alias("vec"))
+    best = routing_blocks.best_matches(asked, _listed(prototypes, "vec"), block_rows)
+    found = best.select(F.col("id").alias("__id"), F.struct("proto", "weight").alias("__r"))
+    return numbered.join(found, "__id", "left").drop("__id", "__null")
+
+
 def assign(
     vectors: DataFrame,
     prototypes: DataFrame,
@@ -89,18 +86,26 @@ def assign(
     null_row: Column | None = None,
     null_proto: int | None = None,
     max_shipped: int = CHUNK_PROTOTYPES,
+    in_blocks: bool | None = None,
+    block_rows: int = routing_blocks.BLOCK_ROWS,
 ) -> DataFrame:
     """Top-1 prototype by cosine, the raw cosine as weight; ties go to the lowest prototype id.
 
-    Null-class rows go to the extra index ``null_proto`` with weight 1 and ``routed`` false; a null vector has
-    no prototype and is not routed.  The list (``proto, vec``) is compared in chunks of ``max_shipped``; results
-    do not depend on it, and the vectors are not shuffled.  ``key`` may repeat.
+    Null-class rows go to the extra index ``null_proto`` with weight 1 and ``routed`` false; a vector that is
+    null or holds a null or a number that is not finite has no prototype and is not routed.  ``key`` may repeat.
+
+    The list (``proto, vec``) is measured first.  A small one is shipped in chunks of ``max_shipped`` and the vectors
+    are not shuffled; one above ``MAX_SHIPPED_BYTES`` meets the vectors in blocks (see ``routing_blocks``).
+    ``in_blocks`` overrides the measure.  The rows are the same, to the last bit of the weight.
     """
     is_null = F.coalesce(null_row, F.lit(False)) if null_row is not None else F.lit(False)
-    chunks = prototype_chunks(prototypes, chunk=max_shipped)
-    if not chunks:
-        raise ValueError("No prototypes")
-    out = vectors.withColumn("__r", _best_of(chunks)(F.col(vec)))
+    if is_large(prototypes) if in_blocks is None else in_blocks:
+        out = _in_blocks(vectors, prototypes, vec, is_null, block_rows)
+    else:
+        chunks = prototype_chunks(prototypes, chunk=max_shipped)
+        if not chunks:
+            raise ValueError("No prototypes")
+        out = vectors.withColumn("__r", _best_of(chunks)(F.col(vec)))
     return out.select(
         *vectors.columns,
         F.when(is_null, F.lit(null_proto)).otherwise(F.col("__r.proto")).cast("bigint").alias("proto"),
@@ -135,28 +140,36 @@ def centroids(assigned: DataFrame, dims: int, vec: str = "vec") -> DataFrame:
 
 
 def contrastive_score(
-    centres: DataFrame, prototypes: DataFrame, temperature: float = CONTRASTIVE_TEMPERATURE, scale: float = 1.0
+    centres: DataFrame, prototypes: DataFrame, temperature: float = CONTRASTIVE_TEMPERATURE, scale: float = 1.0,
+    in_blocks: bool | None = None, block_rows: int = routing_blocks.BLOCK_ROWS,
 ) -> DataFrame:
     """Softmax cross-entropy of prototype-to-centroid cosines over the active prototypes; 0 below two.
 
-    Centroids are as many as prototypes and shipped in the same checked chunks; a row adds up the exponentials
-    of its cosines chunk by chunk.
+    Every active prototype meets every centroid, as the score asks.  Small lists of centroids are shipped; large
+    ones meet the prototypes block against block, a partial sum of exponentials per pair of blocks.
     """
     active = prototypes.select(F.col("proto").cast("bigint"), "vec").join(centres, "proto")
-    chunks = prototype_chunks(centres, "centroid")
-
-    @F.pandas_udf("double")
-    def exp_sum(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for vectors in batches:
-            some, unit = _vectors(vectors)
-            total = np.zeros(len(vectors))
-            for at in range(0, len(some), 512):
-                for _, matrix in chunks:
-                    total[some[at : at + 512]] += np.exp(_cosines(unit[at : at + 512], matrix) / temperature).sum(axis=1)
-            yield pd.Series(total)
-
     own = cosine(F.col("vec"), F.col("centroid")) / temperature
-    losses = active.select((F.log(exp_sum("vec")) - own).alias("loss"))
+    if is_large(centres, "centroid") if in_blocks is None else in_blocks:
+        active = materialise(active, "active")
+        sums = routing_blocks.exponential_sums(
+            active.select(F.col("proto").alias("id"), "vec"), _listed(centres, "centroid"), temperature, block_rows
+        )
+        losses = active.join(sums, F.col("proto") == F.col("id")).select((F.log("total") - own).alias("loss"))
+    else:
+        chunks = prototype_chunks(centres, "centroid")
+
+        @F.pandas_udf("double")
+        def exp_sum(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for vectors in batches:
+                some, unit = finite_vectors(vectors)
+                total = np.zeros(len(vectors))
+                for at in range(0, len(some), 512):
+                    for _, matrix in chunks:
+                        total[some[at : at + 512]] += np.exp(cosines(unit[at : at + 512], matrix) / temperature).sum(axis=1)
+                yield pd.Series(total)
+
+        losses = active.select((F.log(exp_sum("vec")) - own).alias("loss"))
     n = F.count(F.lit(1))
     return losses.agg(
         n.alias("active"), F.when(n < 2, F.lit(0.0)).otherwise(F.avg("loss") * scale).alias("score")

@@ -263,9 +263,9 @@ def prototypes(spark, sf):
     return rows.groupBy(F.col("label").cast("bigint").alias("proto")).agg(F.min_by("embedding", "vec_id").alias("vec"))
 
 
-def routed_vectors(spark, sf):
+def routed_vectors(spark, sf, **how):
     vectors = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
-    return routing.assign(vectors, prototypes(spark, sf), "vec_id", null_row=F.col("label") == 9, null_proto=9)
+    return routing.assign(vectors, prototypes(spark, sf), "vec_id", null_row=F.col("label") == 9, null_proto=9, **how)
 
 
 @query("t5_top1_cosine", f"SELECT vec_id, proto, round(weight, 6) AS weight, routed FROM ({ROUTED_SQL})")
@@ -273,6 +273,27 @@ def _(spark, sf):
     return routed_vectors(spark, sf).select("vec_id", "proto", F.round("weight", 6).alias("weight"), "routed")
 
 
+# A prototype per hundred vectors, so that the list grows with the table and is kept in blocks.
+MANY_SQL = """SELECT vec_id AS proto, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id % 100 = 0"""
+ROUTED_MANY_SQL = f"""SELECT vec_id, arg_max(proto, {{'c': c, 'o': -proto}}) AS proto, max(c) AS weight FROM (
+  SELECT e.vec_id, p.proto, list_cosine_similarity(e.embedding::DOUBLE[], p.vec) AS c FROM embeddings e, ({MANY_SQL}) p) GROUP BY vec_id"""
+
+
+def many_prototypes(spark, sf):
+    rows = table(spark, sf, "embeddings").where("vec_id % 100 = 0")
+    return rows.select(F.col("vec_id").alias("proto"), F.col("embedding").alias("vec"))
+
+
+def routed_in_blocks(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return routing.assign(vectors, many_prototypes(spark, sf), "vec_id", in_blocks=True)
+
+
+@query("t5_blocked_top1", f"SELECT vec_id, proto, round(weight, 6) AS weight, true AS routed FROM ({ROUTED_MANY_SQL})")
+def _(spark, sf):
+    return routed_in_blocks(spark, sf).select("vec_id", "proto", F.round("weight", 6).alias("weight"), "routed")
+
+
 @query(
     "t6_chunks",
     "SELECT doc_id // 32 AS chunk, string_agg(doc_id || lang, ',' ORDER BY doc_id) AS items FROM documents GROUP BY ALL",

@@ -25,7 +25,10 @@ from .common import (
     table,
 )
 from .joins import priority_inputs, recorded_ledger
-from .positions import CLASS_SQL, PLACED_SQL, PROTO_SQL, ROUTED_SQL, class_counts, prototypes, routed_vectors
+from .positions import (
+    CLASS_SQL, MANY_SQL, PLACED_SQL, PROTO_SQL, ROUTED_MANY_SQL, ROUTED_SQL, class_counts, many_prototypes, prototypes,
+    routed_in_blocks, routed_vectors,
+)
 from .projections import slice_samples, SLICE_SQL
 
 
@@ -219,6 +222,43 @@ def _(spark, sf):
     return routing.contrastive_score(centres, prototypes(spark, sf)).withColumn("score", F.round("score", 6))
 
 
+@query(
+    "a13_blocked_usage",
+    f"""SELECT p.proto, count(r.vec_id) AS vectors, round(avg(r.weight), 6) AS mean_weight, count(r.vec_id) > 0 AS active
+FROM ({MANY_SQL}) p LEFT JOIN ({ROUTED_MANY_SQL}) r USING (proto) GROUP BY p.proto""",
+)
+def _(spark, sf):
+    used = routing.usage(routed_in_blocks(spark, sf), many_prototypes(spark, sf))
+    return used.withColumn("mean_weight", F.round("mean_weight", 6))
+
+
+CENTROID_MANY_SQL = f"""SELECT proto, list(m ORDER BY d) AS centroid FROM (SELECT proto, d, avg(v) AS m FROM (
+  SELECT r.proto, unnest(e.embedding::DOUBLE[]) AS v, generate_subscripts(e.embedding, 1) AS d
+  FROM ({ROUTED_MANY_SQL}) r JOIN embeddings e USING (vec_id)) GROUP BY proto, d) GROUP BY proto"""
+
+
+@query(
+    "a14_blocked_centroids",
+    f"SELECT proto, unnest(generate_series(0, 63))::INTEGER AS dim, round(unnest(centroid), 6) AS value FROM ({CENTROID_MANY_SQL})",
+)
+def _(spark, sf):
+    centres = routing.centroids(routed_in_blocks(spark, sf), 64)
+    return centres.select("proto", F.posexplode("centroid").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "a15_blocked_score",
+    f"""WITH c AS ({CENTROID_MANY_SQL}), p AS ({MANY_SQL}),
+l AS (SELECT p.proto AS i, c.proto AS j, list_cosine_similarity(p.vec, c.centroid) / {CONTRASTIVE_TEMPERATURE}::DOUBLE AS z FROM p, c WHERE p.proto IN (SELECT proto FROM c)),
+t AS (SELECT i, ln(sum(exp(z))) - max(z) FILTER (i = j) AS loss FROM l GROUP BY i)
+SELECT count(*) AS active, round(avg(loss), 6) AS score FROM t""",
+)
+def _(spark, sf):
+    centres = routing.centroids(routed_in_blocks(spark, sf), 64)
+    score = routing.contrastive_score(centres, many_prototypes(spark, sf), in_blocks=True)
+    return score.withColumn("score", F.round("score", 6))
+
+
 @query(
     "a16_moving_average",
     """WITH RECURSIVE p AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
