@@ -10,7 +10,7 @@ from ...operators import extensions, metrics
 from ...operators.index import positions
 from ...session import scratch_path
 from ...sources import tar
-from ...streaming import batcher, incremental
+from ...streaming import batcher, incremental, multi_sink
 from ...streaming import metrics as live
 from .. import registry
 from .common import SIZED_SQL, bucketed_sql, query, sized_lineitem, squeeze_sql, table
@@ -41,6 +41,45 @@ def _(spark, sf):
     return incremental.convert(event_stream(spark, sf), out, state, {"resolution": 256}, convert_events)
 
 
+def event_sinks():
+    """Images stay as they came first, labels are replaced, broken payloads are listed with their reason."""
+    key = image_key(F.expr("event_id div 3"))
+    sound = F.col("event_type") != "error"
+    return [
+        multi_sink.Sink(
+            "images", lambda e: e.where(sound).select(key.alias("key"), "event_id", F.round("value", 2).alias("payload")),
+            ("key",), ("event_id",), "first",
+        ),
+        multi_sink.Sink(
+            "labels", lambda e: e.where(sound).select(key.alias("key"), "event_id", F.col("user_id").alias("label")),
+            ("key",), ("event_id",), "last",
+        ),
+        multi_sink.Sink("rejects", lambda e: e.where(~sound).select("event_id", F.concat(F.lit("broken payload of "), key).alias("reason"))),
+    ]
+
+
+EVENT_KEY_SQL = """substr(printf('%08d', event_id // 3), 1, 5) || '/img' || printf('%08d', event_id // 3) || '.png'"""
+
+
+@query(
+    "x1_stream_to_sinks",
+    f"""WITH e AS (SELECT *, {EVENT_KEY_SQL} AS key FROM events)
+SELECT 'image' AS kind, key, min(event_id) AS event_id, round(arg_min(value, event_id), 2)::VARCHAR AS value FROM e WHERE event_type <> 'error' GROUP BY key
+UNION ALL SELECT 'label', key, max(event_id), arg_max(user_id, event_id)::VARCHAR FROM e WHERE event_type <> 'error' GROUP BY key
+UNION ALL SELECT 'reject', NULL, event_id, 'broken payload of ' || key FROM e WHERE event_type = 'error'""",
+)
+def _(spark, sf):
+    events = table(spark, sf, "events")
+    folder, out, state = (scratch_path(spark, n) for n in ("events", "sinks", "state"))
+    events.repartitionByRange(4, "event_id").write.parquet(folder)
+    stream = incremental.open_stream(spark, folder, "*.parquet", events.schema, files_per_batch=2)
+    found = multi_sink.convert(stream, out, state, {"resolution": 256}, event_sinks())
+    label = found["labels"].select(F.lit("label").alias("kind"), "key", "event_id", F.col("label").cast("string").alias("value"))
+    image = found["images"].select(F.lit("image").alias("kind"), "key", "event_id", F.col("payload").cast("string").alias("value"))
+    reject = found["rejects"].select(F.lit("reject").alias("kind"), F.lit(None).cast("string").alias("key"), "event_id", F.col("reason").alias("value"))
+    return image.unionByName(label).unionByName(reject)
+
+
 @query("x2_incremental_skip", f"SELECT label, count(*) AS samples FROM ({CONVERTED_SQL}) GROUP BY label")
 def _(spark, sf):
     out, state = scratch_path(spark, "converted"), scratch_path(spark, "state")
