@@ -10,7 +10,7 @@ from ...operators import extensions, metrics
 from ...operators.index import positions
 from ...session import scratch_path
 from ...sources import tar
-from ...streaming import batcher, incremental, multi_sink
+from ...streaming import batcher, incremental, multi_sink, watch
 from ...streaming import metrics as live
 from .. import registry
 from .common import SIZED_SQL, bucketed_sql, query, sized_lineitem, squeeze_sql, table
@@ -159,6 +159,49 @@ def _(spark, sf):
     return live.run_updates(progress, ["user_id"], scratch_path(spark, "progress"), scratch_path(spark, "state"))
 
 
+@query(
+    "x6_run_totals",
+    "SELECT sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS completed, 0::BIGINT AS errors, 0::BIGINT AS unknown FROM events WHERE event_type = 'view'",
+)
+def _(spark, sf):
+    amount = F.from_json("props", "k bigint")["k"]
+    total = table(spark, sf, "events").where("event_type = 'view'").agg(F.sum(amount)).first()[0]
+    stream = event_stream(spark, sf).where("event_type = 'view'").select(
+        "user_id", "event_id", F.lit("progress").alias("kind"), amount.alias("k")
+    )
+    progress = live.worker_progress(stream, "user_id", "kind", "k", "event_id")
+    done = live.run_updates(progress, ["user_id"], scratch_path(spark, "progress"), scratch_path(spark, "state"))
+    return live.require_success(done, total)
+
+
+@query(
+    "x6_worker_failures",
+    """WITH e AS (SELECT user_id, event_id, ts, json_extract_string(props, '$.k')::BIGINT AS k,
+  CASE event_type WHEN 'signup' THEN 'ready' WHEN 'view' THEN 'progress' WHEN 'purchase' THEN 'done' ELSE event_type END AS kind FROM events),
+g AS (SELECT *, lead(ts) OVER w AS next_ts, (lag(ts) OVER w IS NULL OR lag(kind) OVER w = 'done' OR kind = 'ready' OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 172800000000)::INTEGER AS starts
+  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g),
+r AS (SELECT *, sum(CASE WHEN kind = 'progress' THEN k ELSE 0 END) OVER v AS completed, max(CASE WHEN kind = 'ready' THEN k END) OVER v AS total
+  FROM s WINDOW v AS (PARTITION BY user_id, session ORDER BY ts, event_id)),
+f AS (SELECT user_id, 'error' AS failure, event_id, 'error event ' || event_id AS detail FROM r WHERE kind = 'error'
+  UNION ALL SELECT user_id, 'unknown event', event_id, 'unknown event ' || kind FROM r WHERE kind NOT IN ('ready', 'progress', 'done', 'error')
+  UNION ALL SELECT user_id, 'missing total', event_id, 'completed ' || completed::BIGINT || ' of ' || coalesce(total::VARCHAR, 'no total') FROM r WHERE kind = 'done' AND completed IS DISTINCT FROM total
+  UNION ALL SELECT user_id, 'silent', event_id, 'silent after ' || kind FROM r WHERE kind <> 'done' AND
+    coalesce(epoch_us(next_ts) - epoch_us(ts) > 172800000000, epoch_us(ts) + 172800000000 <= (SELECT max(epoch_us(ts)) - 7200000000 FROM events)))
+SELECT user_id::VARCHAR AS worker, failure, event_id, detail FROM f""",
+)
+def _(spark, sf):
+    kind = F.col("event_type")
+    named = F.when(kind == "signup", "ready").when(kind == "view", "progress").when(kind == "purchase", "done").otherwise(kind)
+    stream = event_stream(spark, sf).select(
+        "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), named.alias("kind"), F.from_json("props", "k bigint")["k"].alias("k")
+    )
+    found = watch.detect_failures(
+        stream, "user_id", "ts", "kind", "k", "event_id", "2 days", scratch_path(spark, "failures"), scratch_path(spark, "state")
+    )
+    return found.drop("at")
+
+
 @query(
     "x7_nan_alerts",
     "SELECT user_id, count(*) AS nans FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) > 20",
