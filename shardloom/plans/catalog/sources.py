@@ -8,8 +8,8 @@ from ...functions.fixed_values import ASPECT_RATIO_512
 from ...functions.names import image_key, row_key
 from ...operators import index as ix
 from ...operators.buckets import with_bucket
-from ...session import scratch_path
-from ...sources import descriptors, files, ledger, sinks, tar
+from ...session import materialise, scratch_path
+from ...sources import cache, descriptors, files, ledger, sinks, tar
 from ...streaming import metrics as live
 from .common import (
     LINEITEM_SQL,
@@ -78,6 +78,33 @@ def _(spark, sf):
     return files.fingerprint_files(spark, f"{sf}/lineitem.parquet", "*.parquet").drop("path")
 
 
+def page_digest_files(spark, sf, folder, changed=False):
+    """A text file per sixty-four pages; ``changed`` rewrites every fifth one and adds one that was not there."""
+    html = F.concat("html", F.lit("!")) if changed else F.col("html")
+    pages = table(spark, sf, "pages").select(F.expr("page_id div 64").alias("part"), "page_id", F.md5(html).alias("digest"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("page_id", "digest"))), lambda p: p["digest"])
+    parts = pages.groupBy("part").agg(F.array_join(lines, "\n").alias("text"))
+    if changed:
+        parts = parts.where("part % 5 = 0").unionByName(spark.createDataFrame([(999_999, "new")], "part long, text string"))
+    sinks.write_documents(parts.select(F.format_string(f"{folder}/part-%06d.txt", "part").alias("path"), "text")).count()
+
+
+@query(
+    "s5_changed_files",
+    """WITH p AS (SELECT page_id // 64 AS part, string_agg(md5(html), chr(10) ORDER BY page_id) AS old, string_agg(md5(html || '!'), chr(10) ORDER BY page_id) AS new FROM pages GROUP BY ALL)
+SELECT printf('part-%06d.txt', part) AS name, sha256(old) AS sha_before, sha256(new) AS sha_after FROM p WHERE part % 5 = 0
+UNION ALL SELECT 'part-999999.txt', NULL, sha256('new')""",
+)
+def _(spark, sf):
+    folder = scratch_path(spark, "files")
+    page_digest_files(spark, sf, folder)
+    before = materialise(files.fingerprint_files(spark, folder, "*.txt"), "prints")
+    files.require_unchanged(before, files.fingerprint_files(spark, folder, "*.txt"))  # nothing changed so far
+    page_digest_files(spark, sf, folder, changed=True)
+    moved = files.changed_files(before, files.fingerprint_files(spark, folder, "*.txt"))
+    return moved.select("name", F.col("before.sha256").alias("sha_before"), F.col("after.sha256").alias("sha_after"))
+
+
 @query(
     "s6_descriptor_scan",
     f"SELECT url, nsamples, 'orders' AS dataset, NULL::DOUBLE AS weight FROM ({SHARDS_SQL})",
@@ -596,6 +623,31 @@ def _(spark, sf):
     return packed.select("vec_id", F.size("embedding").alias("dims"), F.round(total, 6).alias("total"))
 
 
+@query(
+    "k12_incremental_cache",
+    """SELECT event_id, user_id, CASE WHEN event_id % 5 = 2 THEN event_type || '!' ELSE event_type END AS kind FROM events WHERE event_id % 5 <> 4""",
+)
+def _(spark, sf):
+    events, source, path = table(spark, sf, "events"), scratch_path(spark, "sources"), scratch_path(spark, "cache")
+
+    def put(part, rows):
+        rows.write.mode("overwrite").parquet(f"{source}/part={part}")
+
+    def build(paths):
+        rows = spark.read.option("basePath", source).parquet(*paths)
+        return rows.select("event_id", "user_id", F.col("event_type").alias("kind"), files.file_of_row().alias("source"))
+
+    def current(parts):
+        listed = files.list_files(spark, source).where(F.regexp_extract("path", r"part=(\d)", 1).isin(parts))
+        return cache.cached(spark, path, cache.stamped(listed), build)
+
+    for part in range(5):
+        put(part, events.where(F.col("event_id") % 5 == part).repartition(2))
+    current(["0", "1", "2", "3", "4"])
+    put(2, events.where("event_id % 5 = 2").withColumn("event_type", F.concat("event_type", F.lit("!"))))
+    return current(["0", "1", "2", "3"]).drop("source")  # part 2 changed, part 4 is gone
+
+
 @query(
     "k12_bucket_cache",
     f"""SELECT idx, height, width, ratio AS closest_ratio, printf('%09d', l_orderkey) AS key

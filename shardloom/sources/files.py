@@ -29,6 +29,11 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> Da
     )
 
 
+def file_of_row() -> Column:
+    """Path of the file that a row was read from, spelled as :func:`list_files` does."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+
+
 def scan_directory(spark: SparkSession, path: str, pattern: str = "*.parquet", max_files: int | None = None) -> DataFrame:
     """Parquet files of a file, folder or glob, optionally the first ``max_files`` by name; no match is an error.
 
@@ -105,11 +110,20 @@ def fingerprint_files(spark: SparkSession, path: str, pattern: str = "*") -> Dat
     return listed.mapInPandas(hashed, schema)
 
 
-def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Files whose name, size or hash differs between two fingerprints."""
-    b = before.select("name", F.struct("size_bytes", "sha256").alias("before"))
-    a = after.select("name", F.struct("size_bytes", "sha256").alias("after"))
-    return b.join(a, "name", "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
+def changed_files(
+    before: DataFrame, after: DataFrame, key: str = "name", facts: tuple[str, ...] = ("size_bytes", "sha256")
+) -> DataFrame:
+    """(key, before, after) of the files whose facts differ between two listings; null on the side that lacks the file."""
+    b = before.select(key, F.struct(*facts).alias("before"))
+    a = after.select(key, F.struct(*facts).alias("after"))
+    return b.join(a, key, "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def require_unchanged(before: DataFrame, after: DataFrame) -> None:
+    """Stop where a file changed, came or went between two fingerprints."""
+    found = changed_files(before, after).orderBy("name").head()
+    if found:
+        raise ValueError(f"{found['name']} changed while it was read")
 
 
 def explode_sidecar(files: DataFrame, text: str, value_type: str = "string") -> DataFrame:

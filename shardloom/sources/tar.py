@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -19,7 +20,8 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 from ..functions.fixed_values import SHARD_SIZE
 from ..functions.names import shard_name, split_name
 from ..session import scratch_path
-from .sinks import cached_table, filesystem_of
+from . import cache
+from .sinks import filesystem_of
 from .tar_sink import TarShardWriter, visible_shards
 
 MEMBER_SCHEMA = "shard string, member_ordinal int, name string, header long, offset long, size long, content binary"
@@ -119,6 +121,7 @@ class TarShardReader(DataSourceReader):
         wanted = options.get("extensions")
         self.extensions = {e.strip().lstrip(".") for e in wanted.split(",")} if wanted else None
         self.path, self.blocks = options["path"], options.get("blocks")
+        self.paths = set(json.loads(options["archives"])) if "archives" in options else None
         self.filters: list[tuple[str, Filter]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -152,7 +155,7 @@ class TarShardReader(DataSourceReader):
         return True
 
     def partitions(self):
-        shards = [u for u in visible_shards(self.path) if self._passes("shard", u)]
+        shards = [u for u in visible_shards(self.path) if self._passes("shard", u) and (self.paths is None or u in self.paths)]
         if not self.blocks:
             return [_Range(u) for u in shards] or [_Range(NOTHING)]
         import pyarrow.dataset as ds
@@ -205,7 +208,7 @@ class TarShardSource(DataSource):
 
     An archive is one input partition; with ``blocks`` (a table of :func:`member_blocks`) it is cut into byte
     ranges and only blocks that can hold what is asked for are opened.  Filters on shard, name and member_ordinal
-    are answered by the source.  Options for reading: ``extensions`` (comma list of wanted ones), ``blocks``; give
+    are answered by the source.  Options for reading: ``extensions`` (comma list of wanted ones), ``blocks``, ``archives`` (JSON list of those to read); give
     ``INDEX_SCHEMA`` to leave payloads unread.  Writing: see :class:`TarShardWriter`.
     """
 
@@ -311,9 +314,26 @@ def fetch_members(wanted: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFram
     return dealt.mapInArrow(fetch, spec)
 
 
+def shard_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, size_bytes, mtime`` of the archives that readers see."""
+    uris = visible_shards(folder)
+    filesystem, _ = filesystem_of(folder)
+    found = filesystem.get_file_info([filesystem_of(u)[1] for u in uris])
+    lines = [(u, f.size, f.mtime_ns) for u, f in zip(uris, found)]
+    return spark.createDataFrame(lines, "path string, size_bytes long, mtime long")
+
+
 def member_index(spark: SparkSession, folder: str, index_path: str) -> DataFrame:
-    """Index table ``(shard, ordinal, name, header, offset, size)``: built once, reused, rebuilt when unreadable."""
-    return cached_table(spark, index_path, lambda: read_members(spark, folder, content=False))
+    """Index table ``(shard, member_ordinal, name, header, offset, size)``, kept at ``index_path``.
+
+    Archives that came or changed since the last call are read, the lines of others are reused.
+    """
+
+    def build(paths: list[str]) -> DataFrame:
+        register(spark)
+        return spark.read.format("tarshards").schema(INDEX_SCHEMA).option("archives", json.dumps(paths)).load(folder)
+
+    return cache.cached(spark, index_path, cache.stamped(shard_listing(spark, folder)), build, "shard")
 
 
 def find_members(index: DataFrame, names: DataFrame) -> DataFrame:
