@@ -1,13 +1,11 @@
-"""Image geometry as integer columns: bucket ratio, resize and crop sizes, header sizes."""
+"""Image geometry as integer columns: bucket ratio, resize and crop sizes."""
 
 from __future__ import annotations
 
 import bisect
 import math
-import struct
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 
 def _constants(values: list) -> Column:
@@ -91,47 +89,3 @@ def fit_envelope(w: Column, h: Column, max_w: int, max_h: int, divisor: int) ->
         return F.greatest(F.lit(divisor), (F.floor(v * scale / divisor) * divisor).cast("int"))
 
     return side(w), side(h)
-
-
-def image_format_of_header(data: bytes) -> str | None:
-    if data[:8] == b"\x89PNG\r\n\x1a\n":
-        return "PNG"
-    return "JPEG" if data[:2] == b"\xff\xd8" else None
-
-
-def image_size_of_header(data: bytes) -> tuple[int, int] | None:
-    """(width, height) written in a PNG or JPEG header, None when there is none."""
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-        return struct.unpack(">II", data[16:24])
-    if data[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 <= len(data) and data[at] == 0xFF:
-            marker, length = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
-            if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-                height, width = struct.unpack(">HH", data[at + 5 : at + 9])
-                return width, height
-            at += 2 + length
-    return None
-
-
-HEADER_SIZE = (
-    T.StructType()
-    .add("width", T.IntegerType())
-    .add("height", T.IntegerType())
-    .add("format", T.StringType())
-    .add("error", T.StringType())
-)
-
-
-@F.pandas_udf(HEADER_SIZE)
-def header_size(payload: pd.Series) -> pd.DataFrame:
-    """Arrow-batched header reader; an unreadable payload gives an error text instead of failing the job."""
-    sizes = [image_size_of_header(bytes(p)) if p is not None else None for p in payload]
-    return pd.DataFrame(
-        {
-            "width": pd.array([s[0] if s else None for s in sizes], dtype="Int32"),
-            "height": pd.array([s[1] if s else None for s in sizes], dtype="Int32"),
-            "format": [image_format_of_header(bytes(p)) if s else None for p, s in zip(payload, sizes)],
-            "error": [None if s else "unreadable image header" for s in sizes],
-        }
-    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed_values import SAMPLE_FIELDS, SHARD_EXTENSIONS
-from ..functions.geometry import header_size
+from ..functions.image_header import image_header
 from ..functions.names import split_name
 
 
@@ -28,7 +28,7 @@ def describe_members(members: DataFrame) -> DataFrame:
     key, ext = split_name(F.col("name"))
     named = members.select("shard", key.alias("key"), F.regexp_replace(ext, r"^\.", "").alias("ext"), "content")
     is_image = F.col("ext") == "jpg"
-    sized = named.withColumn("image", header_size(F.when(is_image, F.col("content"))))
+    sized = named.withColumn("image", image_header(F.when(is_image, F.col("content"))))
     sized = sized.withColumn("record", F.when(F.col("ext") == "json", F.decode("content", "UTF-8")))
 
     def side(name: str) -> Column:
@@ -98,26 +98,38 @@ def verify_shards(members: DataFrame, shards: DataFrame) -> DataFrame:
 def verify_store(images: DataFrame, labels: DataFrame, index: DataFrame) -> DataFrame:
     """Counts of a converted store, keys without image or label, images that are not square.
 
-    ``images`` is ``key, width, height``; every row is checked.
+    ``images`` is ``key, width, height``; every row is checked.  With a column ``mode`` images that are not RGB are
+    counted too (``not_rgb``); an unknown size or mode is not right.
     """
     zero = F.lit(0)
     one = F.lit(1)
+    modes = [("not_rgb", F.col("mode") == "RGB")] if "mode" in images.columns else []
+    rules = [("not_square", F.col("width") == F.col("height")), *modes]
+    broken = [(~F.coalesce(ok, F.lit(False))).cast("int").alias(name) for name, ok in rules]
+    none = [zero.alias(name) for name, _ in rules]
     tagged = (
-        images.select("key", one.alias("i"), zero.alias("l"), zero.alias("x"), (F.col("width") != F.col("height")).cast("int").alias("bad"))
-        .unionByName(labels.select("key", zero.alias("i"), one.alias("l"), zero.alias("x"), zero.alias("bad")))
-        .unionByName(index.select("key", zero.alias("i"), zero.alias("l"), one.alias("x"), zero.alias("bad")))
+        images.select("key", one.alias("i"), zero.alias("l"), zero.alias("x"), *broken)
+        .unionByName(labels.select("key", zero.alias("i"), one.alias("l"), zero.alias("x"), *none))
+        .unionByName(index.select("key", zero.alias("i"), zero.alias("l"), one.alias("x"), *none))
     )
-    per_key = tagged.groupBy("key").agg(*[F.max(c).alias(c) for c in ("i", "l", "x", "bad")])
+    names = [name for name, _ in rules]
+    per_key = tagged.groupBy("key").agg(*[F.max(c).alias(c) for c in ("i", "l", "x", *names)])
     return per_key.agg(
         F.sum("i").alias("images"),
         F.sum("l").alias("labels"),
         F.sum("x").alias("indexed"),
         F.count_if((F.col("x") == 1) & (F.col("i") == 0)).alias("index_without_image"),
         F.count_if((F.col("i") == 1) & (F.col("l") == 0)).alias("image_without_label"),
-        F.sum("bad").alias("not_square"),
+        *[F.sum(name).alias(name) for name in names],
     )
 
 
+def describe_images(images: DataFrame, payload: str = "payload") -> DataFrame:
+    """``key, width, height, mode`` of stored images for :func:`verify_store`, read from their headers."""
+    found = images.withColumn("__header", image_header(F.col(payload)))
+    return found.select("key", *[F.col(f"__header.{f}").alias(f) for f in ("width", "height", "mode")])
+
+
 def holdout_violations(listed: DataFrame, value: str, source_count: int) -> DataFrame:
     """Rules on a holdout list given as raw JSON text values: integers, not booleans, in range, no duplicates."""
     raw = F.trim(F.col(value))

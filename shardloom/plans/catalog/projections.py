@@ -8,7 +8,7 @@ from ...functions import annotations as ann
 from ...functions import text as tx
 from ...functions.fixed_values import TEXT_TEMPLATE_HEAD, TEXT_TEMPLATE_TAIL
 from ...functions.binding import with_value_where
-from ...functions.geometry import header_size
+from ...functions.image_header import image_header
 from ...functions.hashing import uniform
 from ...functions.names import file_extension
 from ...operators import sampling
@@ -225,7 +225,7 @@ def _(spark, sf):
     # The first bytes of a PNG: signature, header chunk, width, height.
     png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex(w), 8, "0"), F.lpad(F.hex(h), 8, "0")))
     rows = parts.select(
-        "p_partkey", header_size(png).alias("actual"),
+        "p_partkey", image_header(png).alias("actual"),
         F.when(F.col("p_partkey") % 7 != 0, F.when(F.col("p_partkey") % 11 == 0, w + 1).otherwise(w)).alias("declared_w"),
         F.when(F.col("p_partkey") % 13 == 0, h + 1).otherwise(h).alias("declared_h"),
     ).withColumn("declared_w", F.when(F.col("p_partkey") % 11 == 0, F.col("actual.width") + 1).otherwise(F.col("declared_w")))

@@ -10,6 +10,7 @@ from ...functions.fixed_values import (
     BUCKET_CACHE_THRESHOLD_BYTES,
     CONTRASTIVE_TEMPERATURE,
 )
+from ...functions.image_header import image_header
 from ...functions.names import image_key
 from ...operators import buckets, metrics, routing, sampling, splits, verify
 from ...sources import ledger
@@ -394,6 +395,57 @@ def _(spark, sf):
     return verify.verify_store(images, labels, index)
 
 
+def part_image(kind, width, height):
+    """Headers of images as their formats write them: RGB, grey and palette PNG, JPEG behind a long comment, WebP."""
+
+    def number(value, digits, little=False):
+        text = F.lpad(F.hex(value), digits, "0")
+        swapped = F.concat(*[F.substring(text, digits - 1 - 2 * i, 2) for i in range(digits // 2)])
+        return swapped if little else text
+
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(width, 8), number(height, 8))
+    comment = F.concat(F.lit("FFFE7000"), F.repeat(F.lit("20"), 0x6FFE))  # longer than the prefix that is read first
+    frame = F.concat(number(height, 4), number(width, 4))
+    return F.unhex(
+        F.when(kind == 0, F.concat(png, F.lit("0802000000")))
+        .when(kind == 1, F.concat(png, F.lit("0800000000")))
+        .when(kind == 2, F.concat(png, F.lit("0803000000")))
+        .when(kind == 3, F.concat(F.lit("FFD8"), comment, F.lit("FFC0001108"), frame, F.lit("03")))
+        .when(kind == 4, F.concat(F.lit("FFD8FFC2000B08"), frame, F.lit("01")))
+        .when(kind == 5, F.concat(F.lit("5249464600000000574542505650382000000000" "000000" "9D012A"), number(width, 4, True), number(height, 4, True)))
+        .otherwise(F.lit("00"))
+    )
+
+
+@query(
+    "q3_rgb_store",
+    """WITH p AS (SELECT p_partkey, p_partkey % 7 AS kind, p_partkey % 7 <> 6 AND p_partkey % 5 <> 0 AS square FROM part)
+SELECT count(*) AS images, count(*) AS labels, count(*) AS indexed, 0::BIGINT AS index_without_image, 0::BIGINT AS image_without_label,
+  count(*) FILTER (NOT square) AS not_square, count(*) FILTER (kind NOT IN (0, 3, 5)) AS not_rgb FROM p""",
+)
+def _(spark, sf):
+    number = F.col("p_partkey")
+    width, height = F.lit(256), F.when(number % 5 == 0, 255).otherwise(256)
+    stored = table(spark, sf, "part").select(
+        image_key(number).alias("key"), part_image(number % 7, width, height).alias("payload")
+    )
+    keys = stored.select("key")
+    return verify.verify_store(verify.describe_images(stored), keys, keys)
+
+
+@query(
+    "p8_image_headers",
+    """SELECT p_partkey, CASE WHEN p_partkey % 7 < 6 THEN p_size * 16 END::INTEGER AS width, CASE WHEN p_partkey % 7 < 6 THEN p_size * 12 END::INTEGER AS height,
+  ['PNG', 'PNG', 'PNG', 'JPEG', 'JPEG', 'WebP', NULL][p_partkey % 7 + 1] AS format, ['RGB', 'L', 'P', 'RGB', 'L', 'RGB', NULL][p_partkey % 7 + 1] AS mode,
+  CASE WHEN p_partkey % 7 = 6 THEN 'unreadable image header' END AS error FROM part""",
+)
+def _(spark, sf):
+    parts = table(spark, sf, "part").select(
+        "p_partkey", part_image(F.col("p_partkey") % 7, F.col("p_size") * 16, F.col("p_size") * 12).alias("payload")
+    )
+    return parts.select("p_partkey", image_header(F.col("payload")).alias("h")).select("p_partkey", "h.*")
+
+
 @query(
     "q4_holdout_rules",
     """WITH v AS (SELECT CASE event_type WHEN 'error' THEN 'true' WHEN 'view' THEN (user_id - 20)::VARCHAR ELSE (event_id * 3 % 20011)::VARCHAR END AS value FROM events),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.annotations import normalise, prompt_texts
 from ..functions.fixed_values import OPTIONAL_COLUMNS, REQUIRED_COLUMNS, SHARD_SIZE
-from ..functions.geometry import header_size
+from ..functions.image_header import image_header
 from ..functions.names import row_key, shard_prefix
 from ..functions.text import clean_caption, visible_text_prompt
 from ..operators.verify import describe_members, verify_shards
@@ -34,7 +34,7 @@ def sample_records(rows: DataFrame, decode: Callable[[Column], Column] | None =
     Declared sizes must agree with the image header; a row that disagrees or cannot be read stops the job.
     ``decode`` takes the payload column and gives a text for a payload that a codec cannot read, else null.
     """
-    sized = rows.withColumn("actual", header_size(F.col("image.bytes")))
+    sized = rows.withColumn("actual", image_header(F.col("image.bytes")))
     where = F.concat(F.col("source_file"), F.lit(" row "), F.col("source_row").cast("string"), F.lit(": "))
 
     def disagrees(side: str) -> Column:

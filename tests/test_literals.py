@@ -11,6 +11,7 @@ from shardloom.functions import geometry as geo
 from shardloom.functions import names as nm
 from shardloom.functions import text as tx
 from shardloom.functions.fixed_values import ASPECT_RATIO_512, ASPECT_RATIO_1024
+from shardloom.functions.image_header import image_size
 from shardloom.operators import routing, splits, verify
 from shardloom.operators.worklist import parse_class_counts
 
@@ -178,8 +179,8 @@ def test_names(spark):
 
 def test_jpeg_header_size():
     frame = bytes.fromhex("ffd8ffe000104a46494600010100000100010000ffc0001108012c01900301220002110103110 1".replace(" ", ""))
-    assert geo.image_size_of_header(frame) == (400, 300)
-    assert geo.image_size_of_header(b"not an image") is None
+    assert image_size(frame) == (400, 300)
+    assert image_size(b"not an image") is None
 
 
 def test_holdout_rules(spark):
