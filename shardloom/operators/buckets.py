@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import functools
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.fixed_values import ASPECT_RATIO_512
 from ..functions.geometry import bucket_entry, cover_resize, nearest_bucket
@@ -76,6 +78,38 @@ def collate(batched: DataFrame, index: str, fields: list[str], rank: str = "rank
     )
 
 
+def collate_micro(batched: DataFrame, index: str, micro: str, rank: str = "rank", bucket: str = "ratio") -> DataFrame:
+    """One row per batch out of rows that hold a list of samples each: the lists are joined in arrival order first.
+
+    ``micro`` is an array of structs.  Every field becomes a parallel array, a nested struct a struct of arrays, so no
+    field has to be named.  A row with a null or empty list adds nothing, a null sample in a list is left out.
+    ``samples`` is the number of samples; a group never holds more than the lists of one batch.
+    """
+    element = batched.schema[micro].dataType.elementType
+
+    def picker(path: tuple[str, ...]):
+        return lambda sample: functools.reduce(lambda c, name: c[name], path, sample)
+
+    def stacked(samples: Column, fields: list[T.StructField], path: tuple[str, ...] = ()) -> list[Column]:
+        out = []
+        for f in fields:
+            own = (*path, f.name)
+            if isinstance(f.dataType, T.StructType):
+                out.append(F.struct(*stacked(samples, f.dataType.fields, own)).alias(f.name))
+            else:
+                out.append(F.transform(samples, picker(own)).alias(f.name))
+        return out
+
+    packed = batched.groupBy(rank, bucket, "batch_no", "full").agg(
+        F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), F.array_compact(F.coalesce(micro, F.array().cast(batched.schema[micro].dataType))).alias("m")))).alias("__rows"),
+        F.max(index).alias("emit_at"),
+    )
+    flat = packed.withColumn("__flat", F.flatten(F.transform("__rows", lambda r: r["m"])))
+    return flat.select(
+        rank, bucket, "batch_no", "full", "emit_at", F.size("__flat").alias("samples"), *stacked(F.col("__flat"), element.fields)
+    )
+
+
 def substitutes(df: DataFrame, index: str, bad: Column, seed, bucket: str = "ratio", block_rows: int = BLOCK_ROWS):
     """A good sample drawn uniformly from the same bucket for every bad one; null when the bucket has none.
 

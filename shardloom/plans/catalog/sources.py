@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import gzip
+import io
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F, types as T
 
 from ...functions.fixed_values import ASPECT_RATIO_512
 from ...functions.names import image_key, row_key
@@ -136,6 +141,21 @@ def _(spark, sf):
     return descriptors.merge(lines, scalars)
 
 
+@query(
+    "s7_merged_list",
+    """WITH s AS (SELECT substr(o_orderpriority, 1, 1)::INTEGER AS source_no, o_orderpriority AS dir, o_orderkey // 100 AS pos, count(*) AS nsamples FROM orders GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY source_no, pos) - 1 AS ordinal, dir || '/' || printf('part-%05d.tar', pos) AS url, nsamples FROM s""",
+)
+def _(spark, sf):
+    orders = table(spark, sf, "orders")
+    number = F.substring("o_orderpriority", 1, 1).cast("int").alias("source_no")
+    lines = orders.groupBy(number, F.col("o_orderpriority").alias("dir"), F.expr("o_orderkey div 100").alias("pos")).agg(
+        F.count(F.lit(1)).alias("nsamples")
+    )
+    url = F.concat("dir", F.format_string("/part-%05d.tar", "pos"))
+    return descriptors.merged_list(lines).select("ordinal", url.alias("url"), "nsamples")
+
+
 def page_samples(spark, sf):
     pages = table(spark, sf, "pages")
     return pages.select(
@@ -306,6 +326,49 @@ def _(spark, sf):
     )
 
 
+PAYLOADS = T.StructType([T.StructField(n, T.BinaryType()) for n in ("vector", "packed_vector", "text", "packed_text")])
+
+
+@F.pandas_udf(PAYLOADS)
+def packed_payloads(vectors: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    """Members as other tools write them: npy arrays and texts, plain and gzipped."""
+    arrays, plain = [], [t.encode() for t in texts]
+    for v in vectors:
+        buffer = io.BytesIO()
+        np.save(buffer, np.asarray(v, dtype="float32").reshape(2, -1))
+        arrays.append(buffer.getvalue())
+    return pd.DataFrame({
+        "vector": arrays, "packed_vector": [gzip.compress(a) for a in arrays], "text": plain,
+        "packed_text": [gzip.compress(t) for t in plain],
+    })
+
+
+@query(
+    "s12_decode_packed",
+    """SELECT vec_id, kind, CASE kind WHEN 'npy' THEN round(list_sum(embedding::DOUBLE[]), 4) END AS total,
+  CASE kind WHEN 'npy' THEN '2x' || len(embedding) // 2 END AS shape, CASE WHEN kind = 'cls' THEN label END AS as_class,
+  CASE kind WHEN 'txt' THEN label::VARCHAR WHEN 'json' THEN label::VARCHAR END AS text, kind = 'pkl' AS refused, packed
+FROM embeddings, (VALUES ('npy'), ('cls'), ('txt'), ('json'), ('pkl')) k(kind), (VALUES (true), (false)) p(packed)""",
+)
+def _(spark, sf):
+    rows = table(spark, sf, "embeddings").select(
+        "vec_id", packed_payloads("embedding", F.col("label").cast("string")).alias("p")
+    )
+    kinds = [("npy", "vector"), *[(k, "text") for k in ("cls", "txt", "json", "pkl")]]
+    named = [
+        F.struct(F.lit(f"x.{k}{tail}").alias("name"), F.col(f"p.{pre}{c}").alias("content"))
+        for k, c in kinds for pre, tail in (("", ""), ("packed_", ".gz"))
+    ]
+    members = rows.select("vec_id", F.explode(F.array(*named)).alias("m")).select("vec_id", "m.*")
+    found = files.decode_members(members, on_pickle="list")
+    total = F.aggregate("as_npy.numbers", F.lit(0.0), lambda a, v: a + v)
+    return found.select(
+        "vec_id", "kind", F.round(total, 4).alias("total"), F.array_join(F.col("as_npy.shape").cast("array<string>"), "x").alias("shape"),
+        "as_class", F.coalesce("as_text", F.try_variant_get("as_json", "$", "string")).alias("text"), "refused",
+        F.col("name").endswith(".gz").alias("packed"),
+    )
+
+
 @query(
     "s13_sidecar_scan",
     """SELECT d.doc_id, u.caption_type, CASE u.caption_type WHEN 'quality' THEN quality ELSE toxic END::VARCHAR AS value
@@ -444,10 +507,10 @@ def _(spark, sf):
     "SELECT row_number() OVER (ORDER BY item_id)::INTEGER - 1 AS ordinal, (item_id * 3)::VARCHAR AS value FROM benchmark",
 )
 def _(spark, sf):
-    listed = table(spark, sf, "benchmark").agg(F.sort_array(F.collect_list(F.col("item_id") * 3)).alias("exclude_indices"))
+    listed = ix.positions(table(spark, sf, "benchmark").select("item_id"), "item_id", name="ordinal")
     folder = scratch_path(spark, "manifest")
-    listed.select(F.lit(1).alias("format_version"), "exclude_indices").coalesce(1).write.json(folder)
-    return files.holdout_values(files.read_holdout(spark, folder)).select("ordinal", "value")
+    files.write_holdout_parts(listed.withColumn("value", F.col("item_id") * 3), folder, "ordinal", "value", part_values=64)
+    return files.read_holdout_parts(spark, folder).select(F.col("ordinal").cast("int").alias("ordinal"), "value")
 
 
 @query(

@@ -297,6 +297,31 @@ def _(spark, sf):
     )
 
 
+@query(
+    "a18_micro_batches",
+    """WITH o AS (SELECT l_orderkey, l_orderkey % 4 AS rank, (row_number() OVER (PARTITION BY l_orderkey % 4 ORDER BY l_orderkey) - 1) // 16 AS batch_no FROM (SELECT DISTINCT l_orderkey FROM lineitem)),
+l AS (SELECT *, row_number() OVER (PARTITION BY rank, batch_no ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag) AS nr FROM o JOIN lineitem USING (l_orderkey) WHERE l_returnflag <> 'N')
+SELECT rank, batch_no, coalesce(n, 0)::INTEGER AS samples, emit_at, coalesce(parts, '') AS parts, coalesce(flags, '') AS flags, coalesce(total, 0.0) AS total
+FROM (SELECT rank, batch_no, max(l_orderkey) AS emit_at FROM o GROUP BY ALL) LEFT JOIN (SELECT rank, batch_no, count(*) AS n, string_agg(l_partkey, ',' ORDER BY nr) AS parts, string_agg(l_returnflag, ',' ORDER BY nr) AS flags, sum(l_quantity) AS total
+  FROM l GROUP BY ALL) USING (rank, batch_no)""",
+)
+def _(spark, sf):
+    # An order is a micro-batch of its lines; one without a line that counts is empty.
+    line = F.struct(
+        F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("x"),
+        F.struct(F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag")).alias("metadata"),
+    )
+    kept = F.collect_list(F.when(F.col("l_returnflag") != "N", line))
+    orders = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(kept).alias("micro"))
+    placed = orders.withColumn("rank", F.col("l_orderkey") % 4).withColumn("ratio", F.lit("all"))
+    batched = buckets.same_bucket_batches(placed, "l_orderkey", 16, drop_last=False)
+    packed = buckets.collate_micro(batched, "l_orderkey", "micro")
+    return packed.select(
+        "rank", "batch_no", "samples", "emit_at", F.array_join(F.col("x").cast("array<string>"), ",").alias("parts"),
+        F.array_join("metadata.flag", ",").alias("flags"), F.aggregate("metadata.quantity", F.lit(0.0), lambda a, v: a + v).alias("total"),
+    )
+
+
 @query("a19_distinct_keys", "SELECT DISTINCT source || '/' || lang AS key FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select(F.concat_ws("/", "source", "lang").alias("key")).distinct()

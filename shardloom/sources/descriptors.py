@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.fixed_values import DESCRIPTOR_VERSION, DESCRIPTOR_VERSION_FIELD
 from ..functions.names import url_dir, url_merge
+from ..operators.index import positions, running_before
 from .files import require_rows
 from .sinks import write_documents
 
@@ -123,6 +124,18 @@ def merge(lines: DataFrame, scalars: DataFrame) -> DataFrame:
     ).unionByName(last.select(F.lit("field").alias("kind"), F.col("field").alias("name"), "value"))
 
 
+def merged_list(lines: DataFrame, order: str = "pos") -> DataFrame:
+    """The shard list of merged descriptors: every line with its dense ``ordinal``, list after list.
+
+    ``lines`` has ``source_no`` and ``order`` (unique integers inside a list) and any other columns.  Lists are
+    numbered in parallel; only their lengths meet in one place.
+    """
+    placed = positions(lines, order, ("source_no",), "__at")
+    lengths = running_before(lines.groupBy("source_no").agg(F.count(F.lit(1)).alias("__n")), "source_no", "__n", "__before")
+    found = placed.join(lengths.drop("__n"), "source_no")
+    return found.select(*lines.columns, (F.col("__before") + F.col("__at")).alias("ordinal"))
+
+
 def write_descriptor(shards: DataFrame, folder: str, name: str, part_size: int = 10_000) -> DataFrame:
     """Write a descriptor for ``ordinal, url, nsamples``: parts of at most ``part_size`` shards plus one
     top document that names them as component datasets.  Returns the written files.

@@ -199,6 +199,41 @@ def holdout_values(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.posexplode("exclude_indices").alias("ordinal", "value"))
 
 
+#: Values of one line of a manifest in parts.
+PART_VALUES = 1 << 16
+
+
+def write_holdout_parts(
+    listed: DataFrame, folder: str, ordinal: str, value: str, source_sample_count: int | None = None, part_values: int = PART_VALUES
+) -> None:
+    """Write a manifest of any length: lines of at most ``part_values`` values, each with the ordinal of its first.
+
+    ``ordinal`` is dense from 0 (see ``operators.index.positions``).  Every part is put together by the task that
+    its ordinals fall to; nothing sees the whole list.
+    """
+    part = F.expr(f"`{ordinal}` div {part_values}").cast("long")
+    held = listed.groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(value).alias("v")))).alias("l"))
+    lines = held.select(
+        F.lit(1).alias("format_version"), F.lit(source_sample_count).cast("long").alias("source_sample_count"),
+        (F.col("part") * part_values).alias("first_ordinal"), F.transform("l", lambda x: x["v"]).alias("exclude_indices"),
+    )
+    lines.write.json(folder)
+
+
+def read_holdout_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(ordinal, value) of a manifest in parts, line by line in parallel; a part that is broken stops the job.
+
+    Parts must follow each other without gap: a lost file would shift what the list means.
+    """
+    parts = spark.read.schema(f"{MANIFEST}, first_ordinal long").option("mode", "FAILFAST").json(path)
+    sizes = parts.select("first_ordinal", F.size("exclude_indices").cast("long").alias("n"))
+    total, last = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.col("first_ordinal") + F.col("n")), F.lit(0))).first()
+    if total != last or not sizes.groupBy("first_ordinal").count().where("count > 1").isEmpty():
+        raise ValueError(f"Manifest parts hold {total} values for {last} places")
+    values = parts.select("first_ordinal", F.posexplode("exclude_indices").alias("pos", "value"))
+    return values.select((F.col("first_ordinal") + F.col("pos")).alias("ordinal"), "value")
+
+
 METRIC_LINE = "step long, name string, value double, n long"
 
 
@@ -217,20 +252,27 @@ def url_scheme(url: Column) -> Column:
     return F.when(scheme == "", F.lit("file")).otherwise(scheme)
 
 
-def decode_members(members: DataFrame) -> DataFrame:
-    """Typed columns for members ``name, content``: text, cls, json, npy; gz is inflated first; pickle is refused.
+def decode_members(members: DataFrame, on_pickle: str = "raise") -> DataFrame:
+    """Typed columns for members ``name, content``: as_text, as_class, as_json, as_npy; gz is inflated first.
 
-    Unknown extensions keep their raw content.
+    Unknown extensions keep their raw content.  Pickles are never opened: the first stops the job, or with
+    ``on_pickle="list"`` they lose their content and the column ``refused`` says so.  ``as_npy`` has the shape and
+    the values in C order; an array of objects is a pickle as well and stops the job.
     """
     parts = F.split(F.col("name"), r"\.")
     last = F.element_at(parts, -1)
     inner = F.when(last == "gz", F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))).otherwise(last)
     packed = members.withColumn("kind", inner)
-    # Inflating needs Python; plain members never take that path.
-    raw = F.when(last == "gz", inflate(F.when(last == "gz", F.col("content")))).otherwise(F.col("content"))
-    refused = F.raise_error(F.concat(F.lit("Pickle members are refused: "), F.col("name"))).cast("binary")
-    plain = packed.withColumn("content", F.when(F.col("kind").isin("pickle", "pkl"), refused).otherwise(raw))
-    return decode_plain(plain)
+    refused = F.col("kind").isin("pickle", "pkl")
+    if on_pickle == "list":
+        packed = packed.withColumn("refused", refused)
+        answer = F.lit(None).cast("binary")
+    else:
+        answer = F.raise_error(F.concat(F.lit("Pickle members are refused: "), F.col("name"))).cast("binary")
+    # Inflating needs Python; plain members never take that path, and a refused one is not inflated.
+    raw = F.when(last == "gz", inflate(F.when((last == "gz") & ~refused, F.col("content")))).otherwise(F.col("content"))
+    plain = decode_plain(packed.withColumn("content", F.when(refused, answer).otherwise(raw)))
+    return plain.withColumn("as_npy", npy_arrays(F.when(F.col("kind") == "npy", F.col("content"))))
 
 
 def decode_plain(members: DataFrame, kind: str = "kind") -> DataFrame:
@@ -263,3 +305,19 @@ def npy_values(content: pd.Series) -> pd.Series:
         return None if c is None else np.load(io.BytesIO(bytes(c)), allow_pickle=False).astype("float64").ravel()
 
     return content.map(load)
+
+
+@F.pandas_udf(T.StructType().add("shape", T.ArrayType(T.IntegerType())).add("numbers", T.ArrayType(T.DoubleType())))
+def npy_arrays(content: pd.Series) -> pd.DataFrame:
+    """Shape and values of npy payloads; object arrays are refused."""
+    import io
+
+    import numpy as np
+
+    found = [None if c is None else np.load(io.BytesIO(bytes(c)), allow_pickle=False) for c in content]
+    return pd.DataFrame(
+        {
+            "shape": [None if a is None else list(a.shape) for a in found],
+            "numbers": [None if a is None else a.astype("float64").ravel() for a in found],
+        }
+    )
