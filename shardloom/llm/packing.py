@@ -1,9 +1,9 @@
 """Packing documents into fixed windows by best-fit decreasing.
 
 Tokens of a document are cut into full windows first; what is left of it is placed whole.  A segment tree
-over remaining capacities finds the tightest open window.  Pieces are dealt out to groups of bounded size by
-hash and each group is packed by itself: with thousands of pieces in a group the padding is that of its last
-windows.
+over remaining capacities finds the tightest open window.  Pieces are numbered, dealt out by hash to groups of
+bounded size, and each group is packed by itself: with thousands of pieces in a group the padding is that of its
+last windows.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,24 +20,30 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
+from ..session import materialise
 from .chunking import arrow_schema, plain
 from .memory import give_back
 
-#: Text before this character is split alike by both pre-tokenisers; the rest is left to the library itself.
-_PLAIN_LIMIT = "ɐ"
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value: the split of byte-level BPE
+#: Text before U+0250 is classed alike by both pre-tokenisers; words with later characters are left to the library itself.
+_LATER = re.compile("[\u0250-\U0010ffff]")
+#: A place that no pre-token crosses: after a word, before a single space or line break with a word behind it.
+_BETWEEN = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Bytes of text whose ids are held at once.
+_SLICE = 4 << 20
 
 
-class UnitEncoder:
-    """Ids of a byte-level BPE tokenizer file, with a bounded memory of the units already encoded.
+class TextEncoder:
+    """Ids of a byte-level BPE tokenizer file.
 
-    A word after a single space or line break is split the same way whatever stands around it, so its ids
-    are looked up.  Texts with other white space, or with a special token, go to the library whole.
+    Texts are encoded whole by a second implementation of the same merges.  Stretches of words that hold later
+    characters, and texts that hold a special token, go to the library; short stretches met before are looked up.
     """
 
-    def __init__(self, tokenizer_file: str, max_units: int = 125_000):
+    def __init__(self, tokenizer_file: str, max_known: int = 50_000):
         self.library = Tokenizer.from_file(tokenizer_file)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
         with open(tokenizer_file, encoding="utf-8") as file:
             spec = json.load(file)
         split = spec.get("pre_tokenizer") or {}
@@ -45,56 +52,49 @@ class UnitEncoder:
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
             hidden = [b for b in range(256) if b not in set(shown)]
             byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-            ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-            self.core = tiktoken.Encoding("units", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        # two generations of at most max_units each: a unit met again moves to the younger one
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-        self.max_units = max_units
-
-    def _by_library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _unit(self, unit: str) -> bytes | None:
-        """Ids of a unit with its leading space or line break; None if it depends on what stands around it."""
-        core = unit[1:] if unit[:1] == "\n" else unit
-        if not core or core.split() != [core]:
-            return None
-        text = unit if unit[0] == "\n" else " " + unit
-        if max(core) < _PLAIN_LIMIT:
-            return np.array(self.core.encode_ordinary(text), "<u4").tobytes()
-        return self._by_library(text)
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+            ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
+            self.core = tiktoken.Encoding("whole", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.known: dict[str, np.ndarray] = {}
+        self.max_known = max_known
+
+    def _by_library(self, text: str) -> np.ndarray:
+        if text in self.known:
+            return self.known[text]
+        ids = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        if len(text) < 64:
+            if len(self.known) >= self.max_known:
+                self.known.clear()
+            self.known[text] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids as unsigned 32-bit integers."""
         if not text:
-            return b""
-        if not self.direct or any(s in text for s in self.special):
+            return np.zeros(0, np.uint32)
+        if not self.direct or (self.special and self.special.search(text)):
             return self._by_library(text)
-        known = self.known
-        units = text.replace("\n", " \n").split(" ")
-        first = units.pop(0)
-        if first and first.split() != [first]:
-            return self._by_library(text)
-        try:
-            body = b"".join([known[u] for u in units])
-        except (KeyError, TypeError):
-            if len(known) > self.max_units:
-                self.older, self.known = known, {}
-                known = self.known
-            older = self.older
-            for u in units:
-                if u not in known:
-                    known[u] = older[u] if u in older else self._unit(u)
-                if known[u] is None:
-                    return self._by_library(text)
-            body = b"".join([known[u] for u in units])
-        return (self._by_library(first) if first else b"") + body
+        if text.isascii() or not _LATER.search(text):
+            return self.core.encode_to_numpy(text, disallowed_special=())
+        out, plain = [], []
+
+        def flush():
+            if plain:
+                out.append(self.core.encode_to_numpy("".join(plain), disallowed_special=()))
+                plain.clear()
+
+        for stretch in _BETWEEN.split(text):
+            if _LATER.search(stretch):
+                flush()
+                out.append(self._by_library(stretch))
+            else:
+                plain.append(stretch)
+        flush()
+        return np.concatenate(out)
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(tokenizer_file: str) -> UnitEncoder:
-    return UnitEncoder(tokenizer_file)
+def encoder(tokenizer_file: str) -> TextEncoder:
+    return TextEncoder(tokenizer_file)
 
 
 def token_pieces(
@@ -103,23 +103,39 @@ def token_pieces(
     """(doc_id, start, length, ids, doc_tokens): the full windows of each document and the piece that is left.
 
     Every document ends with ``end_id``, so an empty or null text is one piece of one token.  A document
-    whose tokens fill its windows exactly has no further piece.  Nothing is shuffled.
+    whose tokens fill its windows exactly has no further piece.  Columns beside id and text are ignored, whatever
+    their names; repeated rows are documents of their own.  A very long text is encoded by one task, which holds
+    its ids.  Nothing is shuffled.
     """
     spec = "doc_id long, start long, length long, ids binary, doc_tokens long"
-    schema, end = arrow_schema(spec), np.array([end_id], "<u4").tobytes()
+    schema, end = arrow_schema(spec), np.array([end_id], np.uint32)
+
+    def pieces(docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
+        total = np.array([len(i) + 1 for i in ids], np.int64)
+        held = np.concatenate([x for i in ids for x in (i, end)]).astype("<u4")
+        count = -(-total // window)
+        doc = np.repeat(np.arange(len(ids)), count)
+        start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * window
+        length = np.minimum(total[doc] - start, window)
+        ends = np.zeros(len(doc) + 1, np.int64)
+        np.cumsum(length, out=ends[1:])  # the pieces follow each other as the ids do
+        own = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(4 * ends), pa.py_buffer(held)])
+        columns = [pa.array(docs, pa.int64()).take(pa.array(doc)), start, length, own.cast(pa.binary()), total[doc]]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_file).encode
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in schema.names}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    own = ids[4 * start : 4 * (start + window)]
-                    for name, value in zip(schema.names, (doc, start, len(own) // 4, own, total)):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+            names, ids, size = [], [], 0
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                names.append(doc.as_py())
+                ids.append(encode(text.as_py()))
+                size += ids[-1].nbytes
+                if size >= _SLICE:
+                    yield pieces(names, ids)
+                    names, ids, size = [], [], 0
+            if names:
+                yield pieces(names, ids)
             give_back()
 
     return plain(docs, id_col, text_col).mapInArrow(cut, spec)
@@ -176,21 +192,22 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return number, offset
 
 
-def place(pieces: DataFrame, n_rows: int, window: int = 2048, group_rows: int = 16_384) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; ``n_rows`` is about the number of pieces.
+def place(pieces: DataFrame, n_rows: int | None = None, window: int = 2048, group_rows: int = 16_384) -> DataFrame:
+    """``pieces`` with ``sequence_id`` and ``offset``.
 
-    Pieces are dealt out by a hash of (doc_id, start) to groups of about ``group_rows``; sequence ids carry
+    Pieces are written once with a number of their own, counted, and dealt out by a hash of that number to groups of
+    about ``group_rows``, so neither one long document nor an id that repeats fills a group.  Sequence ids carry
     the group in their upper half.  All columns of ``pieces`` are carried along.  Equal lengths are placed by
-    doc_id and start; repeated rows are pieces like any other.
+    doc_id, start and number; repeated rows are pieces like any other.  ``n_rows`` is not used any more.
     """
-    groups = max(1, math.ceil(n_rows / group_rows))
     columns = pieces.columns
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    numbered = materialise(pieces.withColumn("__number", F.monotonically_increasing_id()), "pieces")
+    groups = max(1, math.ceil(numbered.count() / group_rows))
+    dealt = numbered.withColumn("__group", F.pmod(F.xxhash64("__number"), F.lit(groups)))
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
 
     def pack(table: pa.Table) -> pa.Table:
-        order = [("doc_id", "ascending"), ("start", "ascending")]
-        table = table.sort_by(order)
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "start", "__number")])
         number, offset = best_fit_decreasing(table.column("length").to_numpy(), window)
         group = table.column("__group").to_numpy()
         out = table.select(columns).append_column("sequence_id", pa.array((group << 32) + number))
@@ -201,4 +218,4 @@ def place(pieces: DataFrame, n_rows: int, window: int = 2048, group_rows: int =
 
 def pack(docs: DataFrame, tokenizer_file: str, window: int = 2048, end_id: int = 1) -> DataFrame:
     """Pieces of ``docs`` with their ids and places: (doc_id, start, length, ids, doc_tokens, sequence_id, offset)."""
-    return place(token_pieces(docs, tokenizer_file, window, end_id), docs.count(), window)
+    return place(token_pieces(docs, tokenizer_file, window, end_id), window=window)

@@ -51,7 +51,7 @@ def op6_best_fit_packing(spark, sf):
     docs = table(spark, sf, "documents")
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
     digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.place(digests, docs.count())
+    return packing.place(digests)
 
 
 def _held_out():

@@ -312,12 +312,13 @@ def test_near_copies_with_repeated_lines_and_at_the_limit(spark):
 # ---------------------------------------------------------------- 6 packing
 
 
-def test_unit_encoder_equals_the_library():
-    encoder, rnd = packing.UnitEncoder(vocabularies.path("byte_bpe_50k.json"), max_units=60), random.Random(3)
-    pieces = ["a", "the", " ", " ", "\n", "é", "日", "😀", "'s", "1", "<|endoftext|>", "\u0001", "\t", " ", "\x1c", "  ", " of"]
-    for _ in range(3000):
-        text = "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 12)))
-        assert encoder.encode(text) == np.array(encoder.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+def test_text_encoder_gives_the_ids_of_the_library():
+    encoder, rnd = packing.TextEncoder(vocabularies.path("byte_bpe_50k.json"), max_known=20), random.Random(3)
+    letters = [*"abcXYZ019'.,-sdt \n\t\r\x0b\x1c\x85\xa0", *map(chr, range(0xC0, 0x250)), *"日本語テキスト😀🏽ﬁعربيक्षिǅɐʼ\u3000\u200b\u2028"]
+    texts = ["".join(rnd.choice(letters if rnd.random() < 0.5 else "ab c\n") for _ in range(rnd.randint(1, 60))) for _ in range(4000)]
+    texts += [*filter(None, AWKWARD), "ends <|endoftext|> here", "日本語 words between 日本語 and\nlines ẞ", " ", "\n\n", "a  b", "日 本", " 日"]
+    for text in texts:
+        assert encoder.encode(text).tolist() == encoder.library.encode(text, add_special_tokens=False).ids, text
 
 
 def test_best_fit_takes_the_tightest_window():
@@ -351,6 +352,28 @@ def test_packing_places_every_token_once(spark):
         assert own.length.sum() <= 256 and (own.offset == own.length.cumsum() - own.length).all()
 
 
+def test_packing_deals_pieces_not_documents(spark):
+    # one document of many pieces and an id that repeats: several groups of even size
+    rows = [(1, i * 8, 8, 100_000) for i in range(20_000)] + [(2, 0, 3, 3)] * 5_000 + [(None, 0, 1, 1)] * 100
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, doc_tokens long").repartition(4)
+    got = packing.place(pieces, window=16, group_rows=4096).withColumn("group_no", F.expr("sequence_id >> 32"))
+    sizes = [r["count"] for r in got.groupBy("group_no").count().collect()]
+    assert len(sizes) == 7 and sum(sizes) == 25_100 and max(sizes) < 4300
+    table = got.toPandas()
+    assert table.groupby("sequence_id").length.sum().max() <= 16
+    for _, own in table.sort_values("offset").groupby("sequence_id"):
+        assert (own.offset == own.length.cumsum() - own.length).all()
+
+
+def test_a_very_long_document_has_all_its_windows(spark):
+    text = "".join(f"w{i} " for i in range(700_000))  # some three million tokens
+    found = packing.token_pieces(documents(spark, [text, "b"]), vocabularies.path("byte_bpe_50k.json"))
+    got = found.select("doc_id", "start", "length", "doc_tokens", (F.octet_length("ids") / 4).cast("long").alias("n")).toPandas()
+    own = got[got.doc_id == 0].sort_values("start")
+    assert len(own) > 700 and (own.start == 2048 * np.arange(len(own))).all() and (own.n == own.length).all()
+    assert own.length.sum() == own.doc_tokens.iloc[0] and (own.length.iloc[:-1] == 2048).all()
+
+
 # ---------------------------------------------------------------- 7 vectors
 
 
