@@ -15,11 +15,11 @@ their texts is made once and read by all three steps.
    which anchors lie in more than one document and the smallest document of each long symbol.
 2. A long symbol that a smaller document holds covers its words at once: all windows inside are repeats
    (a copied document is covered by the symbol of its whole text).  Windows outside whose anchor is shared, and
-   those without a certain symbol, are sent by their 128-bit names to find their smallest document.
+   those without a certain symbol, are sent by their names of twice 61 bits to find their smallest document.
 3. Words covered by a repeated window go.
 
 Anchors only rule windows out, so their 64 bits cannot make a wrong result; windows and long symbols are
-told apart by 128 bits.
+told apart by two names of 61 bits over two independent halves of the words' 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .memory import give_back
-from .words import mix, names, split
+from .words import PRIME, mix, names128, powers, reduced, running_sums, split, times
 
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_P61 = np.uint64(PRIME)
 _ANCHOR, _LONG, _RANGES, _WINDOW = 0, 1, 2, 3
 _PACKED = "bucket long, block long, kind int, data binary"
 _ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8")])
@@ -100,26 +101,50 @@ def name_pairs(s: Symbols, number: int) -> tuple[Symbols, np.ndarray, np.ndarray
 
 
 class Spans:
-    """128-bit names of any stretch of words from prefix sums."""
+    """64-bit names of any stretch of words from prefix sums; for anchors, which only rule windows out."""
 
     def __init__(self, name: np.ndarray):
         n = len(name)
-        self.sums, self.inverse = [], []
-        for base in _BASE:
-            power = np.full(n + 1, base, np.uint64)
-            power[0] = 1
-            np.multiply.accumulate(power, out=power)
-            back = np.full(n + 1, pow(int(base), -1, 1 << 64), np.uint64)
-            back[0] = 1
-            np.multiply.accumulate(back, out=back)
-            total = np.zeros(n + 1, np.uint64)
-            np.add.accumulate(name * power[:-1], out=total[1:])
-            self.sums.append(total)
-            self.inverse.append(back)
+        base = _BASE[0]
+        power = np.full(n + 1, base, np.uint64)
+        power[0] = 1
+        np.multiply.accumulate(power, out=power)
+        self.inverse = np.full(n + 1, pow(int(base), -1, 1 << 64), np.uint64)
+        self.inverse[0] = 1
+        np.multiply.accumulate(self.inverse, out=self.inverse)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.add.accumulate(name * power[:-1], out=self.sums[1:])
+
+    def name(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+
+
+class Stretches:
+    """Names of any stretch of words that decide: two polynomials modulo 2**61 - 1 over the halves of the words' names.
+
+    Polynomials modulo a power of two, as the anchors have them, give some unequal stretches equal values
+    whatever the base (those in Thue-Morse order); modulo a prime with a base of its own nothing of the kind is known.
+    """
+
+    _BASES = (0x1B873593CC9E2D51 % PRIME, 0x0F58FE1D5A3C9B27 % PRIME)
+
+    def __init__(self, halves: tuple[np.ndarray, np.ndarray]):
+        self.halves = halves
+        self.ready: list[tuple[np.ndarray, np.ndarray] | None] = [None, None]
+
+    def _sums(self, which: int) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums and powers of the inverse; a half that is never asked for is never summed."""
+        if self.ready[which] is None:
+            base, half = self._BASES[which], self.halves[which]
+            sums = running_sums(times(reduced(half), powers(base, len(half))))
+            self.ready[which] = sums, powers(pow(base, -1, PRIME), len(half) + 1)
+        return self.ready[which]
 
     def name(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-        total = self.sums[which]
-        return mix((total[end] - total[start]) * self.inverse[which][start] + (end - start).astype(np.uint64))
+        """Mixed with the length; ``which`` half of the name, 61 bits of it each."""
+        sums, inverse = self._sums(which)
+        value = times(reduced(sums[end] + (_P61 - sums[start])), inverse[start])
+        return mix(value + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def anchors_of_windows(rounds: list[Symbols], window: np.ndarray, size: int, spans: Spans) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +154,7 @@ def anchors_of_windows(rounds: list[Symbols], window: np.ndarray, size: int, spa
     depends on the words of the window alone.
     """
     anchor, found = np.zeros(len(window), np.uint64), np.zeros(len(window), bool)
-    words = len(spans.sums[0]) - 1
+    words = len(spans.sums) - 1
     for s in reversed(rounds):
         fits = s.high - s.low <= size
         low, high = s.low[fits], s.high[fits]
@@ -165,8 +190,10 @@ class Block:
         ids = self.table.column("doc_id")
         known = ids.is_valid().to_numpy()
         self.ids = ids.fill_null(0).to_numpy()
-        self.name = names(self.words)
+        halves = names128(self.words)
+        self.name = halves[0]
         self.spans = Spans(self.name)
+        self.stretches = Stretches(halves)
         at = np.arange(max(0, len(self.name) - size + 1))
         same = self.row[at] == self.row[at + size - 1] if len(at) else np.zeros(0, bool)
         self.window = at[same & known[self.row[at]]] if len(at) else at
@@ -215,7 +242,7 @@ class Block:
 
         self.rounds(kept.append, grown)
         start, end = np.concatenate(long, axis=1) if long else np.zeros((2, 0), np.int64)
-        return kept, start, end, self.spans.name(start, end)
+        return kept, start, end, self.stretches.name(start, end)
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> bytes:
         """Stretches of words as (row, start, end) inside their texts."""
@@ -314,7 +341,7 @@ def find_entries(a: np.ndarray, b: np.ndarray, entries: np.ndarray) -> tuple[np.
 
 def dedup(
     docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
-    block_rows: int = 512,
+    block_bytes: int = 7 << 18, bucket_bytes: int = 16 << 20,
 ) -> DataFrame:
     """(doc_id, *carry, n_words, n_removed, kept_text), one row per row of ``docs``.
 
@@ -322,13 +349,20 @@ def dedup(
     over it also starts in a document of smaller id; windows are judged on the input.  Null texts have no
     words.  Texts shorter than a window lose nothing.  Rows without id neither lose words nor take any from
     others; rows of one id are one document to this rule.  ``kept_text`` joins the kept words by one space.
+    Columns of ``carry`` come along under their names, all others are ignored; the names of the result are not to
+    be carried.
+
+    Documents are dealt by hash of id and text to blocks of about ``block_bytes`` of text, names to buckets for
+    about ``bucket_bytes`` of it, so neither grows with the table and an id that repeats is spread by its texts.
+    A very long text is worked on by one task, which holds some ten times its bytes.
     """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(2 * buckets, math.ceil(docs.count() / block_rows))
     text = F.coalesce(F.col(text_col), F.lit(""))
+    size_all = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, math.ceil(size_all / bucket_bytes))
+    blocks = max(2 * partitions, math.ceil(size_all / block_bytes))
     own_hash = F.xxhash64(text)
-    spread = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), own_hash))
+    spread = F.xxhash64(F.col(id_col).cast("long"), own_hash)
     rows = docs.select(
         F.pmod(spread, F.lit(blocks)).alias("block"), F.col(id_col).cast("long").alias("doc_id"),
         own_hash.alias("__text_hash"), text.alias("__text"), *[F.col(c).alias(f"__carry_{c}") for c in carry],
@@ -348,7 +382,7 @@ def dedup(
         lasts = np.concatenate([firsts[1:], [len(anchor)]])[: len(firsts)] - 1
         several = (doc[firsts] != doc[lasts]).astype(np.uint64)
         sent = (anchor[firsts] << np.uint64(1)) | several  # the last bit: more than one document here
-        long = least_per_name(name, block.spans.name(start, end, 1), block.ids[block.row[start]])
+        long = least_per_name(name, block.stretches.name(start, end, 1), block.ids[block.row[start]])
         return as_table(packed(number, _ANCHOR, sent, anchor[firsts], buckets) + packed(number, _LONG, long, long["a"], buckets))
 
     def share(table: pa.Table) -> pa.Table:
@@ -370,7 +404,7 @@ def dedup(
         block = Block(left, size)
         kept, start, end, name = block.analyse()
         # long symbols of smaller documents, in other blocks or in this one
-        second, doc = block.spans.name(start, end, 1), block.ids[block.row[start]]
+        second, doc = block.stretches.name(start, end, 1), block.ids[block.row[start]]
         known = np.concatenate([received(right, _LONG, _ENTRY), least_per_name(name, second, doc)])
         known = least_per_name(known["a"], known["b"], known["doc"])
         hit, least = find_entries(name, second, known)
@@ -385,7 +419,7 @@ def dedup(
         at = np.searchsorted(shared, anchor)
         at[at == len(shared)] = 0
         open_windows = window[~found | ((shared[at] == anchor) if len(shared) else False)]
-        a, b = (block.spans.name(open_windows, open_windows + size, w) for w in (0, 1))
+        a, b = (block.stretches.name(open_windows, open_windows + size, w) for w in (0, 1))
         doc = block.ids[block.row[open_windows]]
         entries = least_per_name(a, b, doc)
         hit, least = find_entries(a, b, entries)
@@ -410,13 +444,13 @@ def dedup(
         start, end = base + done["start"], base + done["end"]
         entries = received(right, _WINDOW, _ENTRY)
         if len(entries):
-            a = block.spans.name(block.window, block.window + size)
+            a = block.stretches.name(block.window, block.window + size)
             # a bitmap of the high bits leaves few windows to look up
             seen = np.zeros(1 << 22, bool)
             seen[entries["a"] >> np.uint64(42)] = True
             near = seen[a >> np.uint64(42)]
             window, a = block.window[near], a[near]
-            hit, least = find_entries(a, block.spans.name(window, window + size, 1), entries)
+            hit, least = find_entries(a, block.stretches.name(window, window + size, 1), entries)
             window = window[hit[block.ids[block.row[window[hit]]] > least]]
             start, end = np.concatenate([start, window]), np.concatenate([end, window + size])
         gone = covered(len(block.name), start, end)

@@ -1,4 +1,4 @@
-"""Words of whole Arrow text columns as numpy positions and 64-bit names."""
+"""Words of whole Arrow text columns as numpy positions and names by hash; residues for names of stretches."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -53,39 +54,94 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_KEYS = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of a fixed odd number modulo 2**64, and of its inverse; kept for the next call."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _powers[i] = np.full(size, base, np.uint64)
-            _powers[i][0] = 1
-            np.multiply.accumulate(_powers[i], out=_powers[i])
-    return _powers[0][:n], _powers[1][:n]
+def names128(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit name of each word in two halves.
+
+    The bytes of a word of at most 16 are shuffled by three invertible rounds, so such words of one length have
+    one name only if they are equal; a longer word is named by the XXH3 hash of its bytes.
+    """
+    size = words.end - words.start
+    padded = np.concatenate([words.data, np.zeros(16, np.uint8)])
+    at = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(padded) - 7,), (1,), writeable=False)
+    left, right = at[words.start], at[words.start + 8]
+    bits = np.arange(9, dtype=np.uint64) * np.uint64(8)
+    kept = np.append((np.uint64(1) << bits[:8]) - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF))
+    left &= kept[np.minimum(size, 8)]
+    right &= kept[np.clip(size - 8, 0, 8)]
+    right ^= mix(left + size.astype(np.uint64) * _KEYS[0])
+    left ^= mix(right + _KEYS[1])
+    right ^= mix(left + _KEYS[2])
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        data = words.data.data
+        digests = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(words.start[long].tolist(), words.end[long].tolist())]
+        own = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2)
+        left[long], right[long] = own[:, 0], own[:, 1]
+    return left, right
 
 
 def names(words: Words) -> np.ndarray:
-    """64-bit name of each word: a polynomial of its bytes' random values, mixed with the length.
+    """64-bit name of each word: the first half of its 128-bit name."""
+    return names128(words)[0]
 
-    Prefix sums over pieces of the text give all polynomials at once; a piece ends between two words.
-    """
-    out = np.empty(len(words.start), np.uint64)
-    at, n = 0, len(words.start)
-    while at < n:
-        base = int(words.start[at])
-        to = max(at + 1, int(np.searchsorted(words.end, base + (1 << 20), side="right")))
-        stop = int(words.end[to - 1])
-        up, down = powers(stop - base)
-        sums = np.zeros(stop - base + 1, np.uint64)
-        np.cumsum(_BYTE[words.data[base:stop]] * up, out=sums[1:])
-        start, end = words.start[at:to] - base, words.end[at:to] - base
-        value = (sums[end] - sums[start]) * down[start]
-        value += (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        out[at:to] = mix(value)
-        at = to
+
+# ---------------------------------------------------------------- arithmetic modulo 2**61 - 1
+
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit integers modulo 2**61 - 1."""
+    x = (x >> np.uint64(61)) + (x & _P)
+    return np.minimum(x, x - _P)  # the difference wraps around where there is nothing to take away
+
+
+#: Products that are formed at a time: their parts stay in the processor's cache.
+_AT_ONCE = 1 << 14
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Product modulo 2**61 - 1 of two arrays of residues, by halves of 30 and 31 bits."""
+    out = np.empty(len(a), np.uint64)
+    for at in range(0, len(a), _AT_ONCE):
+        part = slice(at, at + _AT_ONCE)
+        x, y = a[part], b if np.ndim(b) == 0 else b[part]
+        x_high, x_low, y_high, y_low = x >> np.uint64(31), x & np.uint64(0x7FFFFFFF), y >> np.uint64(31), y & np.uint64(0x7FFFFFFF)
+        middle = x_low * y_high
+        middle += x_high * y_low
+        total = x_high * y_high
+        total += total
+        total += middle >> np.uint64(30)
+        middle &= np.uint64(0x3FFFFFFF)
+        middle <<= np.uint64(31)
+        total += middle
+        x_low *= y_low
+        total += x_low
+        out[part] = reduced(total)
     return out
+
+
+def running_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... n residues, modulo 2**61 - 1."""
+    low, high = np.zeros(len(x) + 1, np.uint64), np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x & np.uint64(0xFFFFFFFF), out=low[1:])
+    np.cumsum(x >> np.uint64(32), out=high[1:])
+    total = times(reduced(high), np.uint64(1 << 32))
+    total += reduced(low)
+    return reduced(total)
+
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of a residue; kept for the next call."""
+    known = _powers.get(base, np.ones(1, np.uint64))
+    while len(known) < n:
+        known = np.concatenate([known, times(known, np.uint64(pow(base, len(known), PRIME)))])
+    _powers[base] = known
+    return known[:n]

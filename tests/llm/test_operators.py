@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shardloom.llm import (
     ann, byte_bpe, components, language, licences, packing, sharding, simhash, substring_dedup, token_counts,
-    vector_dedup,
+    vector_dedup, words as words_of,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -93,11 +93,72 @@ def test_substring_dedup_against_brute_force(spark):
         ids.append(n + 100)
     texts += [texts[20], texts[30], texts[40], texts[40]]
     ids += [900, ids[30], None, None]
-    got = substring_dedup.dedup(documents(spark, texts, ids), block_rows=16)
+    got = substring_dedup.dedup(documents(spark, texts, ids), block_bytes=5000, bucket_bytes=3000)
     rows = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect()), key=str)
     assert rows == brute_windows(list(zip(ids, texts)))
 
 
+def thue_morse(n, zero, one):
+    return [one if bin(i).count("1") % 2 else zero for i in range(n)]
+
+
+def test_words_and_stretches_in_thue_morse_order_are_told_apart(spark):
+    word, other = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    unique = [f"u{i}" for i in range(9 * 1024)]
+    texts = [" ".join([*unique[:6], word, *unique[6:12]]), " ".join([*unique[:6], other, *unique[6:12]])]
+    for marks in (("yes", "no"), ("no", "yes")):
+        order = thue_morse(1024, *marks)
+        texts.append(" ".join(w for i in range(1024) for w in [*(f"v{9 * i + k}" for k in range(9)), order[i]]))
+    texts += [" ".join(thue_morse(1024, "x", "y")), " ".join(thue_morse(1024, "y", "x"))]
+    rows = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.dedup(documents(spark, texts)).collect()]
+    assert sorted(rows, key=str) == brute_windows(list(enumerate(texts)))
+    assert {i: n for i, _, n, _ in rows if i < 4} == dict.fromkeys(range(4), 0)
+    sets = simhash.shingle_set(pa.array([word, other, " ".join([word] * 5), " ".join([other] * 5)]), 5)
+    assert len({bytes(x) for x in sets}) == 4
+
+
+def test_arithmetic_of_stretch_names():
+    rnd = random.Random(7)
+    p = words_of.PRIME
+    a, b = ([rnd.choice([0, 1, p - 1, p - 2, rnd.randrange(p)]) for _ in range(3000)] for _ in range(2))
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    assert words_of.times(x, y).tolist() == [i * j % p for i, j in zip(a, b)]
+    sums = [0]
+    for i in a:
+        sums.append((sums[-1] + i) % p)
+    assert words_of.running_sums(x).tolist() == sums
+    assert words_of.powers(12345678901234567, 70).tolist() == [pow(12345678901234567, i, p) for i in range(70)]
+    full = np.array([0, p, p + 1, 2**64 - 1, 2**63], np.uint64)
+    assert words_of.reduced(full).tolist() == [int(v) % p for v in full]
+
+
+def test_words_have_one_name_each():
+    rnd = random.Random(12)
+    bytes_of = lambda n: bytes(rnd.choice(b"ab\x00\xc3z") for _ in range(n))
+    found = list({bytes_of(rnd.randint(1, 20)) for _ in range(6000)} | {b"a" * n for n in range(1, 40)} | {b"a" + b"\x00" * n for n in range(18)})
+    data = np.frombuffer(b" ".join(found), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    words = words_of.Words(data, ends - [len(w) for w in found], ends, np.array([0, len(found)]))
+    high, low = words_of.names128(words)
+    assert len(set(zip(high.tolist(), low.tolist()))) == len(found) == len(set(high.tolist())) == len(set(low.tolist()))
+    # the same words elsewhere, without anything behind them
+    for i in rnd.sample(range(len(found)), 200):
+        own = words_of.Words(np.frombuffer(found[i], np.uint8), np.array([0]), np.array([len(found[i])]), np.array([0, 1]))
+        assert [int(x[0]) for x in words_of.names128(own)] == [int(high[i]), int(low[i])]
+        if len(found[i]) > 16:
+            assert int(high[i]) << 64 | int(low[i]) == xxhash.xxh3_128_intdigest(found[i])
+    none = words_of.split(pa.array(["", None]))
+    assert [len(x) for x in words_of.names128(none)] == [0, 0]
+
+
+def test_rows_of_one_id_are_one_document_in_many_blocks(spark):
+    texts = [" ".join(f"x{(17 * n + k) % 90}" for k in range(40)) for n in range(120)]
+    ids = [5] * 100 + list(range(20))
+    got = substring_dedup.dedup(documents(spark, texts, ids), block_bytes=400, bucket_bytes=400).collect()
+    rows = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str)
+    assert rows == brute_windows(list(zip(ids, texts)))
+
+
 def test_recompression_names_equal_substrings_alike():
     rnd = random.Random(2)
     shared = [f"s{k}" for k in range(60)]
