@@ -2,7 +2,7 @@
 
 Per language a raw-content dictionary is filled with text of labelled rows.  A text is lower-cased, reduced
 to its letters, cut into blocks and each block is compressed with every dictionary; the sum of the sizes
-decides.  Repeated words of a text are taken once, as repetition compresses alike under any dictionary.
+decides.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import functools
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -22,34 +23,42 @@ _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str | None) -> str:
-    """The distinct lower-case words of letters, in order of first sight."""
-    return "" if text is None else " ".join(dict.fromkeys(_OTHER.sub(" ", text.lower()).split()))
+    """The lower-case words of letters of a whole text."""
+    return "" if text is None else _OTHER.sub(" ", text.lower()).strip()
 
 
 def fit(
     docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    dictionary_bytes: int = 1 << 16, sample_docs: int = 300, sample_text_bytes: int = 16_384,
+    dictionary_bytes: int = 1 << 16, sample_docs: int = 300, sample_text_chars: int = 16_384,
 ) -> list[tuple[str, bytes]]:
     """(language, dictionary) pairs, the language with most labelled rows first.
 
-    The sample is bounded: per language the ``sample_docs`` usable rows of at most ``sample_text_bytes`` that
-    come first by a hash of their id.  Rows without id, text or language are not used; without any usable
-    row the list is empty.
+    The sample is bounded: per language the ``sample_docs`` distinct usable texts that come first by hash; of each
+    the first ``sample_text_chars`` characters teach (texts are always classified whole).  Rows without id, text or
+    language are not used; repeated ids and texts change nothing; without any usable row the list is empty.  A
+    language is filled by one task out of its sample; what reaches the driver is a dictionary per label.
     """
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    fits = rows.where(F.octet_length(text_col) <= sample_text_bytes)
-    first = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    # ids alone are ranked; the texts of the few chosen rows are fetched afterwards
-    chosen = fits.select(lang_col, id_col).withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= sample_docs)
-    ids = chosen.select(F.col(id_col).alias("__id"), "__rank").distinct()
-    texts = fits.join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select(lang_col, "__rank", text_col).collect()
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    filled: dict[str, bytes] = {}
-    for lang, _, text in sorted(texts):
-        if len(filled.get(lang, b"")) < dictionary_bytes:
-            filled[lang] = filled.get(lang, b"") + letters(text).encode() + b" "
-    order = sorted(filled, key=lambda lang: (-counts[lang], lang))
-    return [(lang, filled[lang][:dictionary_bytes]) for lang in order if filled[lang].strip()]
+    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    first = Window.partitionBy("lang").orderBy("hash")
+    # hashes alone are ranked; the texts of the few chosen rows are fetched afterwards, once each
+    hashes = rows.groupBy("lang", "hash").agg(F.count(F.lit(1)).alias("n"))
+    chosen = hashes.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs)
+    texts = rows.join(F.broadcast(chosen.select("lang", "hash")), ["lang", "hash"])  # sample_docs lines per language
+    texts = texts.groupBy("lang", "hash").agg(F.min(F.left("text", F.lit(sample_text_chars))).alias("text"))
+
+    def fill(table: pa.Table) -> pa.Table:
+        table = table.sort_by("hash")
+        content = b""
+        for text in table.column("text").to_pylist():
+            if len(content) < dictionary_bytes:
+                content += letters(text).encode() + b" "
+        return pa.table({"lang": table.column("lang").slice(0, 1), "content": pa.array([content[:dictionary_bytes]], pa.binary())})
+
+    filled = texts.groupBy("lang").applyInArrow(fill, "lang string, content binary")
+    counts = hashes.groupBy("lang").agg(F.sum("n").alias("n"))
+    found = filled.join(counts, "lang").orderBy(F.desc("n"), "lang").select("lang", "content").collect()
+    return [(r["lang"], bytes(r["content"])) for r in found if bytes(r["content"]).strip()]
 
 
 @functools.lru_cache(maxsize=2)
@@ -76,13 +85,8 @@ def classify(text: str | None, dictionaries: tuple[tuple[str, bytes], ...], leve
     return dictionaries[best][0], (second - sizes[best]) / second
 
 
-def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, from the text alone and without a shuffle.
-
-    Null texts, texts without a letter, and all texts when there are no dictionaries: ``und`` with score 0.
-    Equal texts get equal results; equal sizes go to the language with more labelled rows.  Columns of the
-    names ``lang_pred`` and ``score`` are replaced.
-    """
+def prediction(text: Column, dictionaries: list[tuple[str, bytes]]) -> Column:
+    """Struct of ``lang_pred`` and ``score`` for a text column, from the text alone."""
     fixed = tuple(dictionaries)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -91,10 +95,26 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: s
             yield pd.DataFrame([classify(t, fixed) for t in texts], columns=["lang_pred", "score"])
             give_back()
 
+    return predict(text)
+
+
+def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, from the text alone and without a shuffle.
+
+    Null texts, texts without a letter, and all texts when there are no dictionaries: ``und`` with score 0.
+    Equal texts get equal results; equal sizes go to the language with more labelled rows.  Columns of the
+    names ``lang_pred`` and ``score`` are replaced.  A very long text is compressed block by block in one task.
+    """
     rest = docs.drop("lang_pred", "score")
-    return rest.withColumn("__found", predict(F.col(text_col))).select(*rest.columns, "__found.lang_pred", "__found.score")
+    found = rest.withColumn("__found", prediction(F.col(text_col), dictionaries))
+    return found.select(*rest.columns, "__found.lang_pred", "__found.score")
+
+
+def is_clear(found: Column, min_margin: float = 0.002) -> Column:
+    """Whether a prediction names a language by a margin that is not narrow."""
+    return (found["lang_pred"] != UNKNOWN) & (found["score"] >= min_margin)
 
 
 def accepted(identified: DataFrame, min_margin: float = 0.002) -> DataFrame:
     """Rows with a language whose margin is not narrow."""
-    return identified.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_margin))
+    return identified.where(is_clear(F.struct("lang_pred", "score"), min_margin))

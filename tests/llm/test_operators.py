@@ -233,6 +233,27 @@ def test_language_held_out_accuracy(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_a_language_of_long_texts_only_is_learned(spark):
+    english = [f"the quick brown fox number {i} jumps over that lazy dog and would have been there" for i in range(50)]
+    dutch = [f"de snelle bruine vos {i} springt over die luie hond en zou daar zijn geweest " * 400 for i in range(50)]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([*((t, "en") for t in english), *((t, "nl") for t in dutch)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = language.fit(docs, F.lit(True))
+    assert {x for x, _ in fitted} == {"en", "nl"}
+    assert all(r.lang == r.lang_pred for r in language.identify(docs, fitted).collect())
+
+
+def test_fitting_holds_no_more_than_its_sample(spark):
+    # one id ten thousand times, one text ten thousand times
+    rows = [(7, f"words of text {i}", "en") for i in range(10_000)] + [(i, "the same words again", "en") for i in range(10_000)]
+    rows += [(7, f"woorden van tekst {i}", "nl") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = dict(language.fit(docs, F.lit(True), sample_docs=20))
+    assert list(fitted) == ["en", "nl"]
+    assert len(fitted["en"].split(b"words")) <= 21 and len(fitted["nl"].split(b"woorden")) == 21
+    assert fitted == dict(language.fit(docs.repartition(7), F.lit(True), sample_docs=20))
+
+
 def test_language_awkward_texts(spark):
     found = language.identify(documents(spark, [*AWKWARD, "123 !!"]), [("xx", b"a word line"), ("yy", b"other things")])
     assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "block", "lang_pred", "score"]

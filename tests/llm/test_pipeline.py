@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 
@@ -55,3 +56,16 @@ def test_run_takes_null_columns_and_repeated_rows(spark, tmp_path):
     odd = spark.createDataFrame([(None, None, None, None, None), (3, None, "en", None, None), (70_000, "", None, None, 0), (70_001, "a b", None, None, 3), (70_001, "a b", None, None, 3)], docs.schema)
     docs.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(80)
+    names = ("score", "lang_pred", "n_words", "n_removed", "kept_text", "fingerprint", "component_id", "block", "hash", "rank")
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} of "), F.col("doc_id").cast("string")))
+    for name, stage in pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF_DIR)
+        assert after.dtypes == docs.dtypes, name
+        rows = after.collect()
+        assert rows and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in names), name
+    assert pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() >= 80
