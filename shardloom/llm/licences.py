@@ -8,6 +8,7 @@ shipped with the tasks and nothing is shuffled.
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -17,20 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .chunking import arrow_schema
+from .licence_texts import NOTICES, all_notices
 from .words import Words, mix, names, split
 
-# Notices as their licences word them.
-NOTICES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-)
+__all__ = ["NOTICES", "scan"]
+
+#: Templates of fewer words must stand in the text word for word: one other word may be another licence.
+SHORT_WORDS = 13
 
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -139,47 +133,75 @@ class Index:
 
 
 def matches(index: Index, name: np.ndarray, hits: list[tuple[int, int]], band: int, least: float) -> list[tuple[Template, Match]]:
-    """Matches of one text, of whose words ``hits`` (fingerprint, place) are known to the index.
+    """Matches of one text, of whose words ``hits`` (fingerprint, place; by place) are known to the index.
 
-    Each shift a fingerprint tells is aligned unless a match found before covers its place; what lies before and
-    after a match is aligned again by itself.  Matches of one template do not overlap.
+    Each template goes through its fingerprints from left to right, and each shift that a fingerprint tells is
+    aligned unless a match covers its place or the shift has failed.  Of the matches that overlap, whatever their
+    templates, the one stays that explains most: matched words times coverage, then the earlier template.
     """
     places: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for value, place in hits:
         for number, at in index.at[value]:
             places[number].append((place, place - at))
-    out = []
+    found: list[tuple[float, int, Match]] = []
     for number in sorted(places):
-        template, found = index.templates[number], []
-        parts = [(0, len(name), sorted(places[number]))]
-        while parts:
-            first, last, own = parts.pop()
-            for shift in dict.fromkeys(shift for _, shift in own):
-                low, high = max(first, shift - band), min(last, shift + len(template.words) + band + 1)
-                # no alignment matches more words than the two have in common
-                if np.isin(name[low:high], template.words).sum() < least * len(template.words):
-                    continue
-                m = align(template.words, name[low:high], shift - low, band)
-                if m is None or m.matched < least * len(template.words):
-                    continue
-                m = Match(m.start + low, m.end + low, m.matched)
-                found.append(m)
-                parts.append((first, m.start, [x for x in own if x[0] < m.start]))
-                parts.append((m.end, last, [x for x in own if x[0] >= m.end]))
-                break
-        out += [(template, m) for m in sorted(found)]
-    return out
+        words = index.templates[number].words
+        done, failed = 0, set()
+        for place, shift in sorted(places[number]):
+            if place < done or shift in failed:
+                continue
+            stop, ends = len(name), done
+            while True:  # to the left of what it finds, as long as the place itself is not covered
+                m = _aligned(words, name, max(done, shift - band), min(stop, shift + len(words) + band + 1), shift, band, least)
+                if m is None:
+                    break
+                found.append((m.matched * m.matched / len(words), number, m))
+                ends = max(ends, m.end)
+                if m.start <= place:
+                    break
+                stop = m.start
+            if ends == done:
+                failed.add(shift)
+            done = ends
+    chosen: list[tuple[int, int, int, Match]] = []
+    taken: list[int] = []  # starts of what was chosen, and beside them the ends
+    until: list[int] = []
+    for _, number, m in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
+        at = bisect.bisect_left(taken, m.end)
+        if at and until[at - 1] > m.start:
+            continue
+        taken.insert(at, m.start)
+        until.insert(at, m.end)
+        chosen.append((m.start, m.end, number, m))
+    return [(index.templates[number], m) for _, _, number, m in sorted(chosen)]
+
+
+def _aligned(words: np.ndarray, name: np.ndarray, low: int, high: int, shift: int, band: int, least: float) -> Match | None:
+    """Alignment of a template inside ``[low, high)`` of a text, if it covers enough."""
+    if len(words) < SHORT_WORDS:
+        first, last = max(low, shift), shift + len(words)
+        whole = shift >= low and last <= high and bool((name[first:last] == words).all())
+        return Match(shift, last, len(words)) if whole else None
+    # no alignment matches more words than the two have in common
+    if high <= low or np.isin(name[low:high], words).sum() < least * len(words):
+        return None
+    m = align(words, name[low:high], shift - low, band)
+    if m is None or m.matched < least * len(words):
+        return None
+    return Match(m.start + low, m.end + low, m.matched)
 
 
 def scan(
-    docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, gram: int = 3, guarantee: int = 5, band: int = 8,
+    docs: DataFrame, notices: tuple[tuple[str, str], ...] = all_notices(), gram: int = 3, guarantee: int = 4, band: int = 8,
     min_coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, licence, template, coverage, start_word, end_word, start_byte, end_byte): one row per match.
 
-    ``coverage`` is the share of the template's words that the alignment matches; spans are half open.
-    Several matches of a template in a text are several rows, as are matches of several templates.  Null and
-    empty texts have none; repeated rows give repeated results; a null id stays null.  Nothing is shuffled.
+    ``coverage`` is the share of the template's words that the alignment matches; spans are half open and do not
+    overlap: where templates compete for words, the one that explains most of them stays, so the two-clause text
+    is not taken for the three-clause one.  Templates below ``SHORT_WORDS`` words must stand word for word.  Null and
+    empty texts have none; repeated rows give repeated results; a null id stays null; other columns are ignored.  A
+    very long text is scanned by one task, in time that grows with its length.  Nothing is shuffled.
     """
     spec = "doc_id long, licence string, template int, coverage double, start_word int, end_word int, start_byte long, end_byte long"
     schema, index = arrow_schema(spec), Index(notices, gram, guarantee)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -577,6 +578,78 @@ def test_licence_lines_in_a_row(spark):
     assert all(a.doc_id != b.doc_id or a.end_word <= b.start_word for a, b in zip(got, got[1:]))
 
 
+def licences_in(spark, texts):
+    out = defaultdict(list)
+    for r in licences.scan(documents(spark, texts)).orderBy("doc_id", "start_word").collect():
+        out[r.doc_id].append(r.licence)
+    return [out[i] for i in range(len(texts))]
+
+
+def test_licence_families_and_versions(spark):
+    by_name = defaultdict(list)
+    for name, text in licences.NOTICES:
+        by_name[name].append(text)
+    bsd2, bsd3, mit = by_name["BSD-2-Clause"][0], by_name["BSD-3-Clause"][0], max(by_name["MIT"], key=len)
+    cases = {
+        "// SPDX-License-Identifier: MIT": ["MIT"], "# SPDX-License-Identifier: MPL-2.0": ["MPL-2.0"], "SPDX-License-Identifier: LGPL-2.1-or-later": ["LGPL-2.1-or-later"],
+        "SPDX-License-Identifier: EUPL-1.2": [], "SPDX-License-Identifier: AGPL-1.0-only": [], "Text under CC BY-SA 4.0, see below": ["CC-BY-SA-4.0"],
+        "licensed under CC BY-XX 4.0": [], "Released under the XYZ License.": [], by_name["LGPL-2.1"][0]: ["LGPL-2.1"], by_name["GPL-2.0"][1]: ["GPL-2.0"],
+        by_name["GPL-2.0"][0]: ["GPL-2.0"], by_name["AGPL-3.0"][1]: ["AGPL-3.0"], by_name["MPL-2.0"][0]: ["MPL-2.0"], bsd2: ["BSD-2-Clause"], bsd3: ["BSD-3-Clause"],
+        "Copyright 2020 Nobody\n\n" + mit: ["MIT"], by_name["ISC"][0]: ["ISC"], by_name["Unlicense"][0]: ["Unlicense"],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 International License.": ["CC-BY-NC-SA-3.0"],
+        f"{mit}\n---\n{bsd3}\n---\nReleased under the MIT License.": ["MIT", "BSD-3-Clause", "MIT"], bsd3.replace("copyright holder nor", "University of Nowhere nor"): ["BSD-3-Clause"],
+    }
+    assert licences_in(spark, list(cases)) == list(cases.values())
+
+
+def test_every_template_is_found_as_itself(spark):
+    notices = licences.all_notices()
+    got = licences_in(spark, [f"before these words {text} come others" for _, text in notices])
+    assert got == [[name] for name, _ in notices]
+
+
+def test_many_licence_lines_take_linear_time():
+    index, times_taken = licences.Index(licences.all_notices(), 3, 4), []
+    for n in (2000, 8000):
+        text = pa.array(["\n".join(["Released under the MIT License."] * n)])
+        words, name = licences.words_of(text)
+        value, place = licences.winnow(name, np.zeros(len(name), np.int64), 3, 4)
+        hit = np.isin(value, index.known)
+        start = time.process_time()
+        found = licences.matches(index, name, list(zip(value[hit].tolist(), place[hit].tolist())), 8, 0.8)
+        times_taken.append(time.process_time() - start)
+        assert len(found) == n
+    assert times_taken[1] < 8 * times_taken[0] + 0.2
+
+
+def brute_alignment(template, text):
+    """Best local alignment over the whole table: matches score 1, mismatches and gaps cost 1; (score, matches)."""
+    row, best = [(0, 0)] * (len(text) + 1), (0, 0)
+    for a in template:
+        new = [(0, 0)]
+        for j, b in enumerate(text):
+            s, m = row[j]
+            cells = [(s + 1, m + 1) if a == b else (s - 1, m), (row[j + 1][0] - 1, row[j + 1][1]), (new[j][0] - 1, new[j][1]), (0, 0)]
+            new.append(max(cells) if max(cells)[0] > 0 else (0, 0))
+        best, row = max([best, *new]), new
+    return best
+
+
+def test_banded_alignment_against_the_whole_table():
+    rnd = random.Random(21)
+    for _ in range(150):
+        template = [rnd.randint(0, 30) for _ in range(rnd.randint(13, 40))]
+        copy = list(template)
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randrange(len(copy))
+            copy[at : at + rnd.randint(0, 1)] = [rnd.randint(100, 120)] * rnd.randint(0, 2)
+        lead = [rnd.randint(200, 300) for _ in range(rnd.randint(0, 20))]
+        text = [*lead, *copy, *(rnd.randint(200, 300) for _ in range(10))]
+        m = licences.align(np.array(template, np.uint64), np.array(text, np.uint64), len(lead), 8)
+        assert m.matched == brute_alignment(template, text)[1] or m.matched >= 0.9 * brute_alignment(template, text)[1]
+        assert m.matched <= len(set(range(m.start, m.end)))
+
+
 # ---------------------------------------------------------------- 10 byte-level BPE
 
 
