@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialise
+from ..session import materialise, scratch_path
+from .chunking import arrow_schema
 
 #: Letters of 2**6 turns are digests of at most so many digests, so no group grows with a conversation.
 _FAN = 6
@@ -32,6 +33,21 @@ def _digest(parts: list[Column]) -> Column:
     return F.unhex(F.sha2(F.concat(*told), 256))
 
 
+class Parts:
+    """A table that grows by parts, each written whole; any number of parts is read in one scan."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.schema, self.folder, self.paths = df.sparkSession, df.schema, scratch_path(df.sparkSession, name), []
+        self.add(df)
+
+    def add(self, df: DataFrame) -> None:
+        self.paths.append(f"{self.folder}/part-{len(self.paths)}")
+        df.select(self.schema.fieldNames()).write.parquet(self.paths[-1])
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
 def numbered_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, pos, digest, n_bytes): the turns of each conversation in order, ``pos`` from 0.
 
@@ -108,7 +124,7 @@ def name_nodes(convs: DataFrame, turns: DataFrame, height: int, root: int | None
     ``root`` is the smallest conversation of all.
     """
     at_root = [F.lit(0).cast("long").alias("depth"), F.lit(root).cast("long").alias("name")]
-    named = [convs.select("conv_id", *at_root)]
+    named = Parts(convs.select("conv_id", *at_root), "trie-names")
     letters = _letters(turns, height)
     for k in reversed(range(height)):
         half, base = 1 << k, k // _FAN
@@ -119,57 +135,74 @@ def name_nodes(convs: DataFrame, turns: DataFrame, height: int, root: int | None
         cut = _joined(whole.select("conv_id", "block", "letter"), k % _FAN).select(
             "conv_id", (F.col("block") * half).alias("depth"), "letter"
         )
-        above = reduce(DataFrame.unionAll, named).where(F.col("depth") % (2 * half) == 0)
+        above = named.read().where(F.col("depth") % (2 * half) == 0)
         asked = cut.join(above, ["conv_id", "depth"])
-        least = asked.groupBy("depth", "name", "letter").agg(F.min("conv_id").alias("below"))
-        level = asked.join(least, ["depth", "name", "letter"])
-        level = level.select("conv_id", (F.col("depth") + half).alias("depth"), F.col("below").alias("name"))
-        named.append(materialise(level, "trie-names"))
-    return reduce(DataFrame.unionAll, named)
+        same = asked.groupBy("depth", "name", "letter").agg(F.min("conv_id").alias("below"), F.count(F.lit(1)).alias("n"))
+        # A prefix of one conversation is named by it.  The others are written, so that the join with a prefix that
+        # very many share is one of two plain exchanges, which adaptive execution splits.
+        shared = materialise(same.where("n > 1").drop("n"), "trie-shared")
+        level = asked.join(shared, ["depth", "name", "letter"], "left")
+        level = level.select("conv_id", (F.col("depth") + half).alias("depth"), F.coalesce("below", "conv_id").alias("name"))
+        named.add(level)
+    return named.read()
 
 
 def _graft(named: DataFrame, own: DataFrame, height: int, columns: list[str]) -> DataFrame:
     """(depth, name, *columns): sums over the subtree of each node, itself included."""
-    grafts = [own.select("depth", "name", *columns)]
+    grafts = Parts(own.select("depth", "name", *columns), "trie-totals")
     for k in range(height):
         half = 1 << k
-        cuts = reduce(DataFrame.unionAll, grafts).where(F.col("depth") % (2 * half) == half)
+        cuts = grafts.read().where(F.col("depth") % (2 * half) == half)
         lower = cuts.groupBy("depth", "name").agg(*[F.sum(c).alias(c) for c in columns])
         lower = lower.select(F.col("name").alias("conv_id"), F.expr(f"depth div {2 * half}").alias("problem"), *columns)
         # The way up from a cut node is that of the conversation it is named by.
         way = named.where(F.col("depth") % (2 * half) < half).withColumn("problem", F.expr(f"depth div {2 * half}"))
         onto = way.join(lower, ["conv_id", "problem"]).groupBy("depth", "name").agg(*[F.sum(c).alias(c) for c in columns])
-        grafts.append(materialise(onto, "trie-totals"))
-    return reduce(DataFrame.unionAll, grafts).groupBy("depth", "name").agg(*[F.sum(c).alias(c) for c in columns])
+        grafts.add(onto)
+    return grafts.read().groupBy("depth", "name").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def _ends(convs: DataFrame, named: DataFrame) -> DataFrame:
     """(depth, name, n_ends, ends_sha256) of the nodes where a conversation ends: ids in order, joined by commas.
 
-    The ids of a node stream through its digest in sorted order, however many they are.
+    The ids are sorted by range, so those of one node may lie in many tasks, and joined to stretches there.  A
+    digest has to be taken in order; the task of a node streams its stretches through it, however many they are.
     """
+    stretch = "depth long, name long, first long, n long, ids binary"
     spec = "depth long, name long, n_ends long, ends_sha256 string"
-    schema = pa.schema([("depth", pa.int64()), ("name", pa.int64()), ("n_ends", pa.int64()), ("ends_sha256", pa.string())])
+    schemas = arrow_schema(stretch), arrow_schema(spec)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            depth, name, conv = (c.to_numpy() for c in batch.columns)
+            cuts = np.flatnonzero((np.diff(depth) != 0) | (np.diff(name) != 0)) + 1
+            lines = [
+                (int(depth[a]), int(name[a]), int(conv[a]), int(z - a), ",".join(map(str, conv[a:z].tolist())).encode())
+                for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(conv)]) if z > a
+            ]
+            yield pa.RecordBatch.from_pylist([dict(zip(schemas[0].names, x)) for x in lines], schema=schemas[0])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, count, done = None, None, 0, []
         for batch in batches:
-            for depth, name, conv in zip(*(c.to_pylist() for c in batch.columns)):
+            for depth, name, _, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if (depth, name) != current:
                     if current is not None:
                         done.append((*current, count, state.hexdigest()))
                     current, state, count = (depth, name), hashlib.sha256(), 0
-                state.update(b"%s%d" % (b"," if count else b"", conv))
-                count += 1
+                state.update(b"," + ids if count else ids)
+                count += n
             if len(done) >= 4096:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, d)) for d in done], schema=schema)
+                yield pa.RecordBatch.from_pylist([dict(zip(schemas[1].names, d)) for d in done], schema=schemas[1])
                 done = []
         if current is not None:
             done.append((*current, count, state.hexdigest()))
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, d)) for d in done], schema=schema)
+        yield pa.RecordBatch.from_pylist([dict(zip(schemas[1].names, d)) for d in done], schema=schemas[1])
 
     last = convs.join(named, ["conv_id", "depth"]).select("depth", "name", "conv_id")
-    return last.repartition("depth", "name").sortWithinPartitions("depth", "name", "conv_id").mapInArrow(digest, spec)
+    ranged = last.repartitionByRange("depth", "name", "conv_id").sortWithinPartitions("depth", "name", "conv_id")
+    stretches = ranged.mapInArrow(join, stretch)
+    return stretches.repartition("depth", "name").sortWithinPartitions("depth", "name", "first").mapInArrow(digest, spec)
 
 
 def prefix_trie(turns: DataFrame, group: int = 5, heads: int = 9) -> DataFrame:

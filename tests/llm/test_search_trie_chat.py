@@ -184,6 +184,17 @@ def test_trie_of_one_turnless_conversation_and_of_none(spark):
     assert prefix_trie.prefix_trie(conversations(spark, rows).limit(0)).count() == 0
 
 
+def test_a_node_where_very_many_conversations_end(spark):
+    rows = [(5 * c, 0, "user", "hello") for c in range(3000)]  # each its own source, all the same
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = sorted(map(tuple, prefix_trie.prefix_trie(conversations(spark, rows)).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == brute_trie(rows) and len(got) == 2
+
+
 def test_turns_are_numbered_across_range_partitions(spark):
     rows = [(1, t, "user", f"x{t}") for t in range(3000)] + [(1, 7, "user", "x7")] * 400 + [(2, 5, "user", "z")]
     old = spark.conf.get("spark.sql.shuffle.partitions")
