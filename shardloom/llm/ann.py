@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .chunking import arrow_schema
-from .vectors import matrix, usable
+from .vectors import dimensions, matrix, usable
 
 
 class Codebook(NamedTuple):
@@ -85,11 +86,21 @@ def search(
     ``is_query`` is a condition on ``vec_id``.  The codebook is fitted on at most ``sample_rows`` rows (the
     first by a hash of their id); every row is indexed.  ``visit_share`` of the entries are reranked per
     query, which sets the recall at every size.  Ties go to the smaller id; rows of the query's own id are no
-    candidates; repeated rows of another id are.  Vectors that are null, zero, of another dimension than
-    most, or hold null or non-finite components take no part.  No usable vector: no rows.
+    candidates; repeated rows of another id are.  Vectors that are null, zero, or hold null or non-finite
+    components take no part; candidates are those of the query's dimension.  No usable vector: no rows.
     """
+    dims = dimensions(vectors, id_col, vector_col) or [0]
+    settings = (is_query, top, id_col, vector_col, k, sample_rows, visit_share, block_rows, query_rows)
+    return reduce(DataFrame.unionByName, [_search(vectors, dim, *settings) for dim in dims])
+
+
+def _search(
+    vectors: DataFrame, dim: int, is_query, top: int, id_col: str, vector_col: str, k: int, sample_rows: int, visit_share: float,
+    block_rows: int, query_rows: int,
+) -> DataFrame:
+    """:func:`search` among the vectors of one dimension."""
     spark = vectors.sparkSession
-    rows, dim = usable(vectors, id_col, vector_col)
+    rows, dim = usable(vectors, id_col, vector_col, dim)
     spec = "query_id long, vec_id long, score double"
     final = "query_id long, rank int, vec_id long, score double"
     if dim == 0:

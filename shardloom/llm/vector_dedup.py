@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
 from .components import connected_components
-from .vectors import finite, matrix, usable
+from .vectors import dimensions, finite, matrix, usable
 
 
 def sign_keys(points: np.ndarray, passes: int, bits: int, seed: int) -> np.ndarray:
@@ -63,11 +63,26 @@ def near_duplicates(
     A pair at exactly ``threshold`` is left uncompared with probability ``miss``, a closer one with less.
     ``n_links`` counts the other vectors at a cosine of at least ``threshold`` in the same component;
     ``component_id`` is the smallest id reachable by links.  Equal vectors are one while comparing and count
-    as links of each other.  Vectors that are null, zero, of another dimension than most, or hold null or
-    non-finite components link with nothing; rows without id are kept alone.  Repeated ids count as vectors
-    of their own and share a component.
+    as links of each other.  Vectors that are null, zero, or hold null or non-finite components link with
+    nothing, and none links with one of another dimension; rows without id are kept alone.  Repeated ids count as
+    vectors of their own and share a component among those of their dimension.  Other columns are ignored.
     """
-    rows, dim = usable(vectors, id_col, vector_col)
+    settings = (threshold, id_col, vector_col, miss, run_rows, block_rows, seed)
+    dims = dimensions(vectors, id_col, vector_col)
+    rest = dims[1:]
+    of = F.coalesce(F.size(F.col(vector_col)), F.lit(-1))
+    common = vectors.where(~of.isin(rest)) if rest else vectors
+    found = _of_dimension(common, dims[0] if dims else 0, *settings)
+    for dim in rest:
+        found = found.unionByName(_of_dimension(vectors.where(of == dim), dim, *settings))
+    return found
+
+
+def _of_dimension(
+    vectors: DataFrame, dim: int, threshold: float, id_col: str, vector_col: str, miss: float, run_rows: int, block_rows: int, seed: int
+) -> DataFrame:
+    """:func:`near_duplicates` where all vectors that take part have one dimension."""
+    rows, dim = usable(vectors, id_col, vector_col, dim)
     out_id = F.col(id_col).cast("long").alias("vec_id")
     if dim == 0:
         return vectors.select(out_id, F.lit(0).cast("long").alias("n_links"), out_id.alias("component_id"), F.lit(True).alias("kept"))

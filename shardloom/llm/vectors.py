@@ -14,19 +14,26 @@ def finite(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(vec_id, vector as array<double>) of the rows that take part, and their dimension.
+def usable(vectors: DataFrame, id_col: str, vector_col: str, dim: int | None = None) -> tuple[DataFrame, int]:
+    """(vec_id, vector as array<double>) of the rows of a dimension that take part, and that dimension.
 
-    The dimension is the most common one; vectors of another one take no part, nor do rows without id.
+    Without ``dim`` it is the most common one; rows without id take no part.
     """
     rows = vectors.where(finite(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")
     )
-    most = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").head()
-    dim = most["d"] if most else 0
+    if dim is None:
+        dim = next(iter(dimensions(vectors, id_col, vector_col)), 0)
     return rows.where(F.size("vector") == dim), dim
 
 
+def dimensions(vectors: DataFrame, id_col: str, vector_col: str) -> list[int]:
+    """The dimensions of the rows that take part, the most common first; tables have few."""
+    rows = vectors.where(finite(F.col(vector_col)) & F.col(id_col).isNotNull())
+    counts = rows.groupBy(F.size(vector_col).alias("d")).count().orderBy(F.desc("count"), "d")
+    return [r["d"] for r in counts.collect()]
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Rows of an Arrow list column without nulls as a matrix."""
     if isinstance(column, pa.ChunkedArray):

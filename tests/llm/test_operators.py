@@ -488,6 +488,18 @@ def test_vector_near_duplicates_against_brute_force(spark):
     assert by_id[None].n_links == 0
 
 
+def test_vectors_of_a_rarer_dimension_take_part(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(3).tolist()) for i in range(30)] + [(100, [1.0, 2.0]), (101, [1.0, 2.0]), (102, [-2.0, 1.0]), (103, [2.0]), (104, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.near_duplicates(vectors).collect()}
+    assert len(got) == len(rows) and got[100] == (1, 100, True) and got[101] == (1, 100, False)
+    assert got[102] == (0, 102, True) and got[103] == (0, 103, True) and got[104] == (0, 104, True)
+    found = [(r.query_id, r.rank, r.vec_id) for r in ann.search(vectors, F.col("vec_id").isin(0, 101, 103)).collect()]
+    assert [(r, v) for q, r, v in sorted(found) if q == 101] == [(1, 100), (2, 102)]
+    assert not [v for q, _, v in found if q == 103] and {v for q, _, v in found if q == 0} < set(range(30))
+
+
 def test_vector_pairs_inside_a_dense_group(spark):
     """Vectors at a pairwise cosine of 0.8 with planted pairs at 0.91 among them."""
     rng, n = np.random.default_rng(4), 6000
