@@ -22,10 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import materialise
 from .components import connected_components
 from .memory import give_back
-from .words import mix, names, split
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -221,202 +219,53 @@ def links(
     return held.join(sent, "block").select("entries", "queries").mapInArrow(search, "a long, b long, distance int")
 
 
+def _firsts(values: DataFrame, limit: int) -> DataFrame:
+    """(fingerprint, first): the smallest ``least`` of the group of each line of ``values`` (fingerprint, least)."""
+    found = connected_components(links(values.select("fingerprint"), limit), "simhash")
+    joined = values.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
+        "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")
+    )
+    first = joined.groupBy("component").agg(F.min("least").alias("first"))
+    return materialise(joined.join(first, "component").select("fingerprint", "first"), "simhash-labels")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint as long, component_id), one row per row of ``docs``.
 
     Fingerprints at ``limit`` differing bits or fewer link; ``component_id`` is the smallest doc_id reachable.
-    Texts without a word (null ones too) have fingerprint 0 and link like others.  Rows without id take part
-    and get the component of what they link with, null if no row with an id is reachable.  Repeated rows give
-    repeated results.  No rows give no rows.
+    Texts without a word (null ones too) have fingerprint 0 and link like others; texts of any length are read
+    whole.  Rows without id take part and get the component of what they link with, null if no row with an id is
+    reachable.  Repeated rows give repeated results.  Other columns are not looked at.  No rows give no rows.
     """
     marked = materialise(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fingerprint")), "fingerprints"
     )
-    values = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    found = connected_components(links(values.select("fingerprint"), limit), "simhash")
-    joined = values.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")
-    )
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = materialise(joined.join(least, "component").select("fingerprint", "component_id"), "simhash-labels")
-    return marked.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id")
-
-
-def shingle_names(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit names of the word shingles of all texts, lower-cased A to Z, and where each text starts; a shorter text is one shingle."""
-    words = split(texts)
-    data = np.frombuffer(words.data.tobytes().translate(_LOWER), np.uint8)
-    name, counts = names(words._replace(data=data)), np.diff(words.first)
-    n = np.where(counts > 0, np.maximum(1, counts - size + 1), 0)
-    at = np.concatenate([[0], np.cumsum(n)])
-    start = np.arange(at[-1]) - np.repeat(at[:-1] - words.first[:-1], n)
-    length = np.repeat(np.minimum(counts, size), n)
-    total = np.zeros(at[-1], np.uint64)
-    for step in range(size):
-        live = step < length
-        total[live] = total[live] * np.uint64(0x9E3779B97F4A7C15) + name[start[live] + step]
-    return mix(total), at
-
-
-def shingle_set(texts: pa.Array, size: int) -> list[bytes]:
-    """Sorted distinct names of the word shingles of each text."""
-    name, at = shingle_names(texts, size)
-    return [np.unique(name[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-
-
-def band_keys(texts: pa.Array, size: int, bands: int, rows: int, seed: int = 17) -> np.ndarray:
-    """(texts, bands): a name of the least of the shingles under ``rows`` orders a band; equal for texts without words."""
-    name, at = shingle_names(texts, size)
-    factor = np.random.default_rng(seed).integers(0, 1 << 64, (bands, rows), np.uint64) | np.uint64(1)
-    some = np.flatnonzero(np.diff(at))
-    out = np.empty((len(texts), bands), np.uint64)
-    for band in range(bands):
-        key = np.full(len(texts), band, np.uint64)
-        for f in factor[band]:
-            least = np.full(len(texts), _ALL)
-            if len(some):
-                least[some] = np.minimum.reduceat(name * f, at[:-1][some])
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
-        out[:, band] = key
-    return out
-
+    labels = _firsts(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), limit)
+    return marked.join(labels.withColumnRenamed("first", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
-def similar(sets: list[np.ndarray], similarity: float, columns: int = 4096) -> np.ndarray:
-    """(sets, sets): whether the Jaccard similarity of two sets reaches ``similarity``; sets of distinct values."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    values, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    # a value that one set holds alone adds nothing
-    shared = held > 1
-    place = np.cumsum(shared) - 1
-    row, column = row[shared[column]], place[column[shared[column]]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both = np.zeros((len(sets), len(sets)))
-    for first in range(0, int(shared.sum()), columns):
-        a, b = np.searchsorted(column, [first, first + columns])
-        part = np.zeros((len(sets), columns), np.float32)
-        part[row[a:b], column[a:b] - first] = 1
-        both += part @ part.T
-    return both >= similarity * (sizes[:, None] + sizes[None, :] - both)
-
-
-def drop_near_copies(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 6, block_rows: int = 256,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one of the smallest id.
-
-    Two texts are near copies when their sets of ``words``-word shingles have a Jaccard similarity of at least
-    ``similarity``.  Min-hash bands of these sets propose pairs: texts that share one of ``bands`` keys of
-    ``rows`` least shingles meet (all but 6 in 10^5 of the pairs at exactly 0.8, fewer above).  Every proposed
-    pair is compared by its sets unless its ends are linked already: first each text with the least one of its
-    key, then, block against block, what those links leave apart.  Equal texts are one before that.  Rows equal
-    in id and text stay or go together; rows without id are kept.  Texts without words are copies of each
-    other.  All columns are returned as they are.
-    """
-    content = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
-    @F.pandas_udf("array<long>")
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            parts = [band_keys(pa.array(texts[at : at + 512], pa.string()), words, bands, rows) for at in range(0, len(texts), 512)]
-            yield pd.Series([k for part in parts for k in part.view(np.int64)])
-            give_back()
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of :func:`near_duplicates`, all columns as they are.
 
+    The row of the smallest id stays; of rows that share it, that of the least SHA-256 of the text; of rows equal
+    in both, any one.  Rows without id come last: one stays only where its whole group has no id.
+    """
+    content = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    own_id = F.col(id_col).cast("long")
     marked = materialise(
-        docs.where(F.col(id_col).isNotNull()).select(
-            F.col(id_col).cast("long").alias("id"), content.alias("content"),
-            F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"),
-            keys(F.col(text_col)).alias("keys"),
-        ), "marked",
-    )
-    texts = materialise(marked.groupBy("digest", "content").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "texts")
-    held = texts.select("id", F.explode("keys").alias("key"))
-    buckets = held.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(held.join(buckets, "key"), "members")
-    proposed = materialise(members.select(F.col("id").alias("a"), F.col("least").alias("b")).where("a <> b").distinct(), "proposed")
-
-    needed = members.select("id").distinct()
-    needed = texts.join(needed, "id", "left_semi").select(F.col("id").alias("__id"), F.col("content").alias("__content"))
-    own = docs.select(F.col(id_col).cast("long").alias("__id"), content.alias("__content"), F.col(text_col).alias("__text"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = pa.array(shingle_set(part.column(1), words), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), found], ["id", "set"])
-            give_back()
-
-    chosen = own.join(needed, ["__id", "__content"], "left_semi").select("__id", "__text").mapInArrow(sets, "id long, set binary")
-    shingles = materialise(chosen.dropDuplicates(["id"]), "shingles")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            kept = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
-
-    pairs = proposed.join(shingles.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    pairs = pairs.join(shingles.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    verified = materialise(pairs.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"), "verified")
-    linked = materialise(connected_components(verified, "near-stars"), "near-stars-found")
-
-    # what a bucket leaves apart: texts outside the component of its least one meet all others
-    ends = members.join(linked.withColumnRenamed("node", "id"), "id", "left")
-    ends = ends.join(linked.select(F.col("node").alias("least"), F.col("component").alias("__centre")), "least", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("own"), (F.coalesce("component", "id") != F.coalesce("__centre", "least")).alias("apart")
+        docs.select(own_id.alias("doc_id"), content.alias("content"), fingerprint(F.col(text_col), shingle).alias("fingerprint")), "fingerprints"
     )
-    ends = materialise(ends, "near-ends")
-    size = ends.groupBy("key").agg(F.count_if("apart").alias("out"), F.count_if(~F.col("apart")).alias("in")).where("out > 0 and out + in > 2")
-    size = size.select("key", *[F.ceil(F.col(c) / block_rows).cast("int").alias(c) for c in ("out", "in")])
-    dealt = F.pmod(F.xxhash64("id"), F.when(F.col("apart"), F.col("out")).otherwise(F.col("in"))).cast("int")
-    placed = ends.join(size, "key").withColumn("part", F.when(F.col("apart"), dealt).otherwise(F.col("out") + dealt))
-    met = F.explode(F.sequence(F.lit(0), F.when(F.col("apart"), F.col("out") + F.col("in")).otherwise(F.col("out")) - 1)).alias("other")
-    met = placed.select("key", "id", "own", "part", met).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "own")
-    met = met.join(shingles, "id").select("key", "i", "j", "own", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def starts_of(table: pa.Table) -> np.ndarray:
-        groups = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
-        return np.flatnonzero(np.concatenate([[True], (groups[:, 1:] != groups[:, :-1]).any(0)])) if table.num_rows else np.array([], int)
-
-    def joined(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        own = table.column("own").to_numpy()
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
-            label, number = np.unique(own[a:b], return_inverse=True)
-            if len(label) == 1:
-                continue
-            found = similar([np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("set").slice(a, b - a)], similarity)
-            x, y = np.nonzero(found & (number[:, None] < number[None, :]))
-            x, y = number[x], number[y]
-            forest = spanning_forest(x, y, np.zeros(len(x), np.int8), len(label))
-            yield pa.RecordBatch.from_arrays([pa.array(label[x[forest]]), pa.array(label[y[forest]])], ["a", "b"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = pa.Table.from_batches([batch.slice(at, 512)])
-                table = part if rest is None else pa.concat_tables([rest, part])
-                starts = starts_of(table)
-                # the last group may go on in the next rows
-                if len(starts) > 1:
-                    yield from joined(table.slice(0, starts[-1]), starts[:-1])
-                rest = table.slice(starts[-1])
-            give_back()
-        if rest is not None:
-            yield from joined(rest, starts_of(rest))
-
-    links_found = verified.unionByName(met.mapInArrow(compare, "a long, b long"))
-    groups = connected_components(links_found, "near-copies").where("node <> component").select(F.col("node").alias("id"))
-    gone_texts = texts.join(groups, "id", "left_semi").select("digest")
-    rest = marked.join(texts.select("digest", F.col("id").alias("first")), "digest").where("id <> first")
-    gone = materialise(
-        marked.join(gone_texts, "digest", "left_semi").select("id", "content").unionByName(rest.select("id", "content")).distinct(), "gone"
-    ).select(F.col("id").alias("__id"), F.col("content").alias("__content"))
-    return docs.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (content == F.col("__content")), "left_anti")
+    rows = marked.groupBy("doc_id", "content", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "content")
+    firsts = _firsts(rows.groupBy("fingerprint").agg(F.min(order).alias("least")), limit)
+    lost = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("content") == F.col("first.content")))
+    tag = "__"  # in front of names that no column of docs has
+    while any(c.startswith(tag) for c in docs.columns):
+        tag += "_"
+    decided = rows.join(firsts, "fingerprint").select(F.col("doc_id").alias(f"{tag}id"), F.col("content").alias(f"{tag}content"), lost.alias("lost"), "n")
+    decided = materialise(decided.where("lost or n > 1").drop("n"), "simhash-decided")
+    same = own_id.eqNullSafe(F.col(f"{tag}id")) & (content == F.col(f"{tag}content"))
+    alone = docs.join(decided.drop("lost"), same, "left_anti")
+    again = docs.join(decided.where("not lost").drop("lost"), same, "left_semi")
+    one = again.groupBy(own_id.alias("__id"), content.alias("__content")).agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return alone.unionByName(one.select("__row.*"))

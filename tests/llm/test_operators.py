@@ -51,7 +51,7 @@ def test_all_operators_take_empty_tables(spark):
     assert language.identify(docs, language.fit(docs, F.lit(True))).count() == 0
     assert licences.scan(docs).count() == 0
     assert simhash.near_duplicates(docs).count() == 0
-    assert simhash.drop_near_copies(docs).count() == 0
+    assert simhash.drop_near_duplicates(docs).count() == 0
     assert substring_dedup.dedup(docs).count() == 0
     assert ann.search(vectors, F.col("vec_id") % 20 == 0).count() == 0
     assert vector_dedup.near_duplicates(vectors).count() == 0
@@ -114,8 +114,6 @@ def test_words_and_stretches_in_thue_morse_order_are_told_apart(spark):
     rows = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.dedup(documents(spark, texts)).collect()]
     assert sorted(rows, key=str) == brute_windows(list(enumerate(texts)))
     assert {i: n for i, _, n, _ in rows if i < 4} == dict.fromkeys(range(4), 0)
-    sets = simhash.shingle_set(pa.array([word, other, " ".join([word] * 5), " ".join([other] * 5)]), 5)
-    assert len({bytes(x) for x in sets}) == 4
 
 
 def test_arithmetic_of_stretch_names():
@@ -333,63 +331,28 @@ def test_gray_key_orders_like_the_code(spark):
     assert [r.v for r in rows] == values[order].tolist()
 
 
-def test_near_copies_keep_one_of_each_group(spark):
+def test_one_row_of_each_group_stays(spark):
     rnd = random.Random(6)
-    texts = []
-    for _ in range(12):
+    texts, ids = [], []
+    for n in range(40):
         words = [f"w{rnd.randint(0, 4000)}" for _ in range(220)]
-        texts.append(" ".join(words))
-        for _ in range(3):
-            edited = list(words)
-            edited[rnd.randrange(220)] = "edit"
-            texts.append(" ".join(edited))
-        texts += [" ".join(words), " ".join(f"w{rnd.randint(0, 4000)}" for _ in range(150))]
-    docs = documents(spark, texts)
-    kept = simhash.drop_near_copies(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in range(len(texts)) if i % 6 in (0, 5))
-    odd = simhash.drop_near_copies(documents(spark, [None, "", "x y", "x y", "x y"], [3, 4, None, 5, 5])).collect()
-    assert sorted(str(r.doc_id) for r in odd) == ["3", "5", "5", "None"]
-
-
-def test_near_copies_among_templated_texts(spark):
-    """All pairs of a template lie close together, at a similarity below 0.8; only the planted copies go."""
-    rnd = random.Random(8)
-    template = [f"t{i}" for i in range(200)]
-    texts = [" ".join([*template, *(f"u{rnd.randint(0, 10**6)}" for _ in range(42))]) for _ in range(600)]
-    copies = []
-    for i in range(0, 600, 20):
-        words = texts[i].split()
-        for at in (20, 120, 215):
-            words[at] = f"e{rnd.randint(0, 10**6)}"
-        copies.append(" ".join(words))
-    parts = [np.frombuffer(s, np.uint64) for s in simhash.shingle_set(pa.array([*texts, *copies]), 5)]
-    near = np.argwhere(np.triu(simhash.similar(parts, 0.8), 1)).tolist()
-    assert near == [[i, 600 + i // 20] for i in range(0, 600, 20)]
-    i, j = near[0]
-    assert len(np.intersect1d(parts[i], parts[j])) >= 0.8 * len(np.union1d(parts[i], parts[j]))
-    for block_rows in (256, 100):
-        kept = simhash.drop_near_copies(documents(spark, [*texts, *copies]), block_rows=block_rows)
-        assert sorted(r.doc_id for r in kept.collect()) == list(range(600))
-
-
-def test_near_copies_with_repeated_lines_and_at_the_limit(spark):
-    rnd = random.Random(5)
-    words, line = [f"w{rnd.randint(0, 10**6)}" for _ in range(200)], [f"l{i}" for i in range(12)]
-    kept = simhash.drop_near_copies(documents(spark, [" ".join(words + line * n) for n in (3, 40)]))
-    assert [r.doc_id for r in kept.collect()] == [0]
-    left, right = [], []
-    for _ in range(1500):
-        words = [f"w{rnd.randint(0, 10**7)}" for _ in range(400)]
-        left.append(" ".join(words))
-        for _ in range(9):
-            words[rnd.randrange(400)] = f"e{rnd.randint(0, 10**7)}"
-        right.append(" ".join(words))
-    left, right = pa.array(left), pa.array(right)
-    sets = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(simhash.shingle_set(left, 5), simhash.shingle_set(right, 5))]
-    near = np.array([len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) for x, y in sets])
-    met = (simhash.band_keys(left, 5, 32, 6) == simhash.band_keys(right, 5, 32, 6)).any(1)
-    assert near.sum() > 500 and (met | ~near).mean() > 0.999
+        edited = list(words)
+        edited[rnd.randrange(220)] = "edit"
+        texts += [" ".join(words), " ".join(words).upper(), " ".join(edited), " ".join(words)]
+        ids += [None if n % 5 == 0 else rnd.randint(0, 30) for _ in range(3)] + [None]
+    texts += [None, "", " ", "x y", "x y", "x y"]
+    ids += [501, 500, None, 502, 502, None]
+    prints = [brute_simhash(t) for t in texts]
+    label = brute_components(len(texts), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
+    order = [(i is None, i or 0, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in zip(ids, texts)]
+    expected = [min((order[i], ids[i], texts[i]) for i in range(len(texts)) if label[i] == own)[1:] for own in set(label)]
+    docs = documents(spark, texts, ids).withColumn("__id", F.lit("mine")).withColumn("fingerprint", F.create_map(F.lit(1), "doc_id"))
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.dtypes == docs.dtypes
+    rows = kept.collect()
+    assert sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted(expected, key=str)
+    assert all(r["__id"] == "mine" and r.fingerprint == {1: r.doc_id} for r in rows)
+    assert len({label[texts.index(r.text)] for r in rows}) == len(rows) == len(set(label)) < len(texts)
 
 
 # ---------------------------------------------------------------- 6 packing
