@@ -1,16 +1,18 @@
 """Near duplicates among vectors by sorted projection passes.
 
-Every pass has its own random hyperplanes; a vector's signs form a bit string, vectors are sorted by it and
-all that share it are compared, block against block.  The bits grow with the number of vectors and the passes
-with the bits, so that a pair at the cosine meets with the same probability whatever lies around it.  Pairs that
-reach the cosine give forests, and those of all passes give components.  The links inside a component are then
-counted in full, block against block, so a group of any size is counted whole; no pair is ever written as a row.
+Every pass has its own random hyperplanes; the signs of a vector are its bit string, and the vectors of a pass are
+put in order by it.  Along that order each is compared with the window of vectors that follow it.  Vectors that
+share the leading bits are a run.  A run that the window does not cover, because it is longer or cut by the border
+of a task, is compared in full, block against block.  The leading bits grow with the number of vectors and the
+passes with these bits, so a pair at the cosine shares a run with the same probability whatever lies around it.
+Pairs that reach the cosine give forests, and those of all passes give components.  The links inside a component
+are then counted in full, block against block, so a group of any size is counted whole; no pair is a row.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
 from .components import connected_components
-from .vectors import dimensions, finite, matrix, usable
+from .vectors import bytes_of, dimensions, finite, near, points_of, usable
+
+KEY_BITS = 60
 
 
 def sign_keys(points: np.ndarray, passes: int, bits: int, seed: int) -> np.ndarray:
@@ -30,17 +34,17 @@ def sign_keys(points: np.ndarray, passes: int, bits: int, seed: int) -> np.ndarr
 
 def plan_passes(n: int, threshold: float, miss: float, run_rows: int) -> tuple[int, int]:
     """(passes, bits): runs of about ``run_rows`` evenly spread vectors; a pair at ``threshold`` shares none with probability ``miss``."""
-    bits = min(48, max(0, math.ceil(math.log2(max(1, n) / run_rows))))
+    bits = min(KEY_BITS, max(0, math.ceil(math.log2(max(1, n) / run_rows))))
     meet = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
     return (1 if meet >= 1 - miss else math.ceil(math.log(miss) / math.log1p(-meet))), bits
 
 
-def block_forest(ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning star of each component of the links ``near``."""
-    own = np.flatnonzero(near.any(1))
-    near, label = near[np.ix_(own, own)], np.arange(len(own))
+def block_forest(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning star of each component of the symmetric links ``linked``."""
+    own = np.flatnonzero(linked.any(1))
+    linked, label = linked[np.ix_(own, own)], np.arange(len(own))
     while True:
-        least = np.minimum(label, np.where(near, label[None, :], len(own)).min(1, initial=len(own)))
+        least = np.minimum(label, np.where(linked, label[None, :], len(own)).min(1, initial=len(own)))
         least = least[least]
         if (least == label).all():
             break
@@ -50,24 +54,81 @@ def block_forest(ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def group_starts(table: pa.Table, names: list[str]) -> np.ndarray:
-    keys = np.stack([table.column(c).to_numpy() for c in names])
+    keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in names])
     return np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])) if table.num_rows else np.array([], int)
 
 
+def by_group(batches: Iterator[pa.RecordBatch], names: list[str], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``work`` on sorted rows and the places where their groups start; a group is never cut."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        starts = group_starts(table, names)
+        # the last group may go on in the next batch
+        if len(starts) > 1:
+            yield work(table.slice(0, starts[-1]), starts[:-1])
+        rest = table.slice(starts[-1]) if len(starts) else table
+    if rest is not None and rest.num_rows:
+        yield work(rest, group_starts(rest, names))
+
+
+def window_links(ids: np.ndarray, points: np.ndarray, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the links of the first ``window`` vectors with the ``window`` that follow each of them."""
+    i, j = np.nonzero(near(points[:window], points, threshold))
+    meant = (j > i) & (j - i <= window) & (ids[i] != ids[j])
+    linked = np.zeros((len(ids), len(ids)), bool)
+    linked[i[meant], j[meant]] = linked[j[meant], i[meant]] = True
+    return block_forest(ids, linked) if meant.any() else (ids[:0], ids[:0])
+
+
+class LongRuns:
+    """Rows of the runs that the window does not cover, as the sorted rows of a task pass by."""
+
+    def __init__(self, window: int):
+        self.window, self.run, self.held, self.size, self.open = window, None, [], 0, True
+
+    def _end(self) -> list[tuple[tuple[int, int], np.ndarray]]:
+        return [(self.run, ids) for ids in self.held] if self.open else []
+
+    def take(self, number: np.ndarray, run: np.ndarray, ids: np.ndarray) -> list[tuple[tuple[int, int], np.ndarray]]:
+        """Lines (run, ids) that are known to belong to such runs by now; the first run of a task is one of them."""
+        out: list[tuple[tuple[int, int], np.ndarray]] = []
+        cuts = [0, *(np.flatnonzero((np.diff(number) != 0) | (np.diff(run) != 0)) + 1).tolist(), len(ids)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = (int(number[a]), int(run[a]))
+            if own != self.run:
+                if self.open:
+                    out += self._end()
+                self.open, self.run, self.held, self.size = self.run is None, own, [], 0
+            self.held.append(ids[a:b])
+            self.size += b - a
+            self.open = self.open or self.size > self.window + 1
+            if self.open:
+                out += self._end()
+                self.held = []
+        return out
+
+    def finish(self) -> list[tuple[tuple[int, int], np.ndarray]]:
+        """The last run may go on in the next task."""
+        self.open = True
+        return self._end()
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding",
-    miss: float = 1e-4, run_rows: int = 512, block_rows: int = 512, seed: int = 11,
+    miss: float = 1e-4, run_rows: int = 256, window: int = 512, block_rows: int = 512, seed: int = 11,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``.
 
     A pair at exactly ``threshold`` is left uncompared with probability ``miss``, a closer one with less.
     ``n_links`` counts the other vectors at a cosine of at least ``threshold`` in the same component;
     ``component_id`` is the smallest id reachable by links.  Equal vectors are one while comparing and count
-    as links of each other.  Vectors that are null, zero, or hold null or non-finite components link with
+    as links of each other.  Cosines near ``threshold`` are summed in doubles, dimension by dimension, so a pair is
+    judged alike in every block.  Vectors that are null, zero, or hold null or non-finite components link with
     nothing, and none links with one of another dimension; rows without id are kept alone.  Repeated ids count as
     vectors of their own and share a component among those of their dimension.  Other columns are ignored.
     """
-    settings = (threshold, id_col, vector_col, miss, run_rows, block_rows, seed)
+    settings = (threshold, id_col, vector_col, miss, run_rows, window, block_rows, seed)
     dims = dimensions(vectors, id_col, vector_col)
     rest = dims[1:]
     of = F.coalesce(F.size(F.col(vector_col)), F.lit(-1))
@@ -79,71 +140,95 @@ def near_duplicates(
 
 
 def _of_dimension(
-    vectors: DataFrame, dim: int, threshold: float, id_col: str, vector_col: str, miss: float, run_rows: int, block_rows: int, seed: int
+    vectors: DataFrame, dim: int, threshold: float, id_col: str, vector_col: str, miss: float, run_rows: int, window: int, block_rows: int, seed: int
 ) -> DataFrame:
     """:func:`near_duplicates` where all vectors that take part have one dimension."""
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = np.float32 if single else np.float64
     rows, dim = usable(vectors, id_col, vector_col, dim)
     out_id = F.col(id_col).cast("long").alias("vec_id")
     if dim == 0:
         return vectors.select(out_id, F.lit(0).cast("long").alias("n_links"), out_id.alias("component_id"), F.lit(True).alias("kept"))
-    keyed = rows.select("vec_id", "vector", F.sha2(F.to_json(F.struct("vector")), 256).alias("content"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), bytes_of(batch.column(1), dim, kind)], ["vec_id", "vector"])
+
+    keyed = rows.mapInArrow(pack, "vec_id long, vector binary").withColumn("content", F.sha2("vector", 256))
     classes = materialise(
         keyed.groupBy("content").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")), "vector-classes"
     )
-
     passes, bits = plan_passes(classes.count(), threshold, miss, run_rows)
 
-    def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in project(batches):
-            yield batch.select(["pass", "key"])
-
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = sign_keys(matrix(batch.column(1), dim), passes, bits, seed)
-            for number, key in enumerate(keys):
+            for number, key in enumerate(sign_keys(points_of(batch.column(1), dim, kind), passes, KEY_BITS, seed)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(key), number, np.int32)), pa.array(key), *batch.columns], ["pass", "key", "rep", "vector"]
                 )
 
-    # a run of vectors of the same signs is compared as the components below: it meets itself, or its parts each other
-    projected = classes.select("rep", "vector").mapInArrow(project, "pass int, key long, rep long, vector array<double>")
-    runs = classes.select("rep", "vector").mapInArrow(keys_only, "pass int, key long").groupBy("pass", "key").agg(F.count(F.lit(1)).alias("n"))
-    runs = runs.where("n > 1").select("pass", "key", F.ceil(F.col("n") / (2 * run_rows)).cast("int").alias("n_parts"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("other")
-    dealt = projected.join(runs, ["pass", "key"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n_parts")).cast("int"))
-    dealt = dealt.select("pass", "key", "part", "rep", "vector", "n_parts", other).where("n_parts = 1 or part <> other").select(
-        "pass", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "vector"
-    )
-    names = ["pass", "key", "i", "j"]
-    ordered = dealt.repartition(*names).sortWithinPartitions(*names, "rep")
+    projected = classes.select("rep", "vector").mapInArrow(project, "pass int, key long, rep long, vector binary")
+    ordered = projected.repartitionByRange("pass", "key", "rep").sortWithinPartitions("pass", "key", "rep")
+    found_spec = "pass int, run long, a long, b long"
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+    def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([*none, pa.array(a), pa.array(b)], ["pass", "run", "a", "b"])
+
+    def long_runs(lines: list[tuple[tuple[int, int], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for (number, run), ids in lines:
+            n = len(ids)
+            columns = [pa.array(np.full(n, number, np.int32)), pa.array(np.full(n, run)), pa.array(ids), pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["pass", "run", "a", "b"])
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, ids, points = LongRuns(window), np.zeros(0, np.int64), np.zeros((0, dim))
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            starts = group_starts(table, names)
-            # the last run may go on in the next batch
-            if len(starts) > 1:
-                yield edges_of(table.slice(0, starts[-1]), starts[:-1])
-            rest = table.slice(starts[-1]) if len(starts) else table
-        if rest is not None and rest.num_rows:
-            yield edges_of(rest, group_starts(rest, names))
+            if not batch.num_rows:
+                continue
+            number, key, own = (batch.column(i).to_numpy() for i in range(3))
+            yield from long_runs(runs.take(number, key >> (KEY_BITS - bits), own))
+            ids, points = np.concatenate([ids, own]), np.concatenate([points, points_of(batch.column(3), dim, kind)])
+            done = 0
+            while len(ids) - done >= 2 * window:
+                yield edges(*window_links(ids[done : done + 2 * window], points[done : done + 2 * window], window, threshold))
+                done += window
+            ids, points = ids[done:], points[done:]
+        yield from long_runs(runs.finish())
+        for at in range(0, len(ids), window):
+            yield edges(*window_links(ids[at : at + 2 * window], points[at : at + 2 * window], window, threshold))
+
+    found = materialise(ordered.mapInArrow(along, found_spec), "vector-passes")
+
+    # runs that the window did not cover meet themselves, or their parts each other
+    left = found.where("b is null").select("pass", "run", F.col("a").alias("rep"))
+    sizes = left.groupBy("pass", "run").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = sizes.select("pass", "run", F.ceil(F.col("n") / (2 * block_rows)).cast("int").alias("n_parts"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("other")
+    dealt = left.join(sizes, ["pass", "run"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n_parts")).cast("int"))
+    dealt = dealt.select("pass", "run", "part", "rep", "n_parts", other).where("n_parts = 1 or part <> other").select(
+        "pass", "run", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep"
+    )
+    names = ["pass", "run", "i", "j"]
+    blocks = dealt.join(classes.select("rep", "vector"), "rep").repartition(*names).sortWithinPartitions(*names, "rep")
 
     def edges_of(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        points, ids = matrix(table.column("vector"), dim), table.column("rep").to_numpy()
-        unit = points / np.linalg.norm(points, axis=1)[:, None]
-        found = [(ids[:0], ids[:0])]
+        points, ids = points_of(table.column("vector"), dim, kind), table.column("rep").to_numpy()
+        forests = [(ids[:0], ids[:0])]
         for a, b in zip(starts, [*starts[1:], len(ids)]):
-            near = unit[a:b] @ unit[a:b].T >= threshold
-            np.fill_diagonal(near, False)
-            found.append(block_forest(ids[a:b], near))
-        a, b = (np.concatenate(x) for x in zip(*found))
+            linked = near(points[a:b], points[a:b], threshold)
+            linked &= ids[a:b, None] != ids[None, a:b]
+            forests.append(block_forest(ids[a:b], linked))
+        a, b = (np.concatenate(x) for x in zip(*forests))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    edges = ordered.mapInArrow(compare, "a long, b long")
-    found = materialise(connected_components(edges, "vector-links"), "vector-components")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return by_group(batches, names, edges_of)
+
+    links = found.where("b is not null").select("a", "b").unionByName(blocks.mapInArrow(compare, "a long, b long"))
+    found = materialise(connected_components(links, "vector-links"), "vector-components")
     grouped = found.withColumnRenamed("node", "rep").join(classes.drop("content"), "rep")
     parts = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select(
         "component", F.ceil(F.col("n") / block_rows).cast("int").alias("n_parts")
@@ -157,29 +242,19 @@ def _of_dimension(
     counted = paired.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "part", "rep")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            starts = group_starts(table, ["component", "i", "j"])
-            # the last group may go on in the next batch
-            if len(starts) > 1:
-                yield links_of(table.slice(0, starts[-1]), starts[:-1])
-            rest = table.slice(starts[-1]) if len(starts) else table
-        if rest is not None and rest.num_rows:
-            yield links_of(rest, group_starts(rest, ["component", "i", "j"]))
+        return by_group(batches, ["component", "i", "j"], links_of)
 
     def links_of(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        points = matrix(table.column("vector"), dim)
-        unit = points / np.linalg.norm(points, axis=1)[:, None]
+        points = points_of(table.column("vector"), dim, kind)
         copies, part = (table.column(c).to_numpy() for c in ("copies", "part"))
         i, j = (table.column(c).to_numpy() for c in ("i", "j"))
         links = np.zeros(len(copies), np.int64)
         for a, b in zip(starts, [*starts[1:], len(copies)]):
-            near = unit[a:b] @ unit[a:b].T >= threshold
+            linked = near(points[a:b], points[a:b], threshold)
             if i[a] != j[a]:
-                near &= part[a:b, None] != part[None, a:b]
-            np.fill_diagonal(near, False)
-            links[a:b] = near @ copies[a:b]
+                linked &= part[a:b, None] != part[None, a:b]
+            np.fill_diagonal(linked, False)
+            links[a:b] = linked @ copies[a:b]
         return pa.RecordBatch.from_arrays([table.column("rep").combine_chunks(), pa.array(links)], ["rep", "links"])
 
     links = counted.mapInArrow(count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))

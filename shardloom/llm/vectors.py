@@ -39,3 +39,36 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def bytes_of(column: pa.Array, dim: int, kind: type) -> pa.Array:
+    """Each vector as the bytes of its components; equal vectors (zeros of either sign too) have equal bytes."""
+    rows = np.ascontiguousarray(matrix(column, dim) + 0.0, dtype=kind)
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def points_of(column: pa.Array | pa.ChunkedArray, dim: int, kind: type) -> np.ndarray:
+    """Vectors of :func:`bytes_of` in doubles, each scaled by a power of two (exactly) so that squares stay finite."""
+    points = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.float64)
+    _, exponent = np.frexp(np.abs(points).max(1, initial=0.0))
+    return np.ldexp(points, -exponent[:, None])
+
+
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row, summed dimension by dimension: the same double for the same two vectors always."""
+    total = np.zeros(len(a))
+    for x, y in zip(a.T, b.T):
+        total += x * y
+    return total
+
+
+def near(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """(rows of a, rows of b): whether the cosine reaches ``threshold``; what single precision leaves open is told by :func:`dots`."""
+    single = [(x / np.sqrt(dots(x, x))[:, None]).astype(np.float32) for x in (a, b)]
+    rough, slack = single[0] @ single[1].T, 1e-6 + 2.5e-7 * a.shape[1]
+    found = rough >= threshold + slack
+    i, j = np.nonzero((rough >= threshold - slack) & ~found)
+    for at in range(0, len(i), 1 << 16):
+        x, y = a[i[at : at + (1 << 16)]], b[j[at : at + (1 << 16)]]
+        found[i[at : at + (1 << 16)], j[at : at + (1 << 16)]] = dots(x, y) / np.sqrt(dots(x, x) * dots(y, y)) >= threshold
+    return found

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shardloom.llm import (
     ann, byte_bpe, components, language, licences, packing, sharding, simhash, substring_dedup, token_counts,
-    vector_dedup, words as words_of,
+    vector_dedup, vectors as vectors_of, words as words_of,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -463,7 +463,8 @@ def test_vectors_of_a_rarer_dimension_take_part(spark):
     assert not [v for q, _, v in found if q == 103] and {v for q, _, v in found if q == 0} < set(range(30))
 
 
-def test_vector_pairs_inside_a_dense_group(spark):
+@pytest.mark.parametrize("window", [512, 16])
+def test_vector_pairs_inside_a_dense_group(spark, window):
     """Vectors at a pairwise cosine of 0.8 with planted pairs at 0.91 among them."""
     rng, n = np.random.default_rng(4), 6000
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
@@ -476,10 +477,49 @@ def test_vector_pairs_inside_a_dense_group(spark):
     near = points @ points.T >= 0.9
     np.fill_diagonal(near, False)
     rows = [(i, p.tolist()) for i, p in enumerate(points)]
-    got = {r.vec_id: r for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), run_rows=64).collect()}
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), run_rows=64, window=window).collect()}
     assert near.sum() >= 600 and sum(r.n_links for r in got.values()) == near.sum()
 
 
+def test_sorted_windows_and_the_runs_they_leave():
+    rng = np.random.default_rng(6)
+    run = np.sort(rng.integers(0, 12, 400))
+    run[100:180] = run[100]
+    run.sort()
+    number, ids, window = np.zeros(400, int), rng.permutation(400), 20
+    for step in (400, 37, 1):
+        runs, lines = vector_dedup.LongRuns(window), []
+        for at in range(0, 400, step):
+            lines += runs.take(number[at : at + step], run[at : at + step], ids[at : at + step])
+        lines += runs.finish()
+        got = sorted((r, i) for (_, r), own in lines for i in own.tolist())
+        whole = {r for r in set(run.tolist()) if (run == r).sum() > window + 1} | {run[0], run[-1]}
+        assert got == sorted((r, i) for r, i in zip(run.tolist(), ids.tolist()) if r in whole)
+    points = rng.standard_normal((40, 3))
+    i, j = vector_dedup.window_links(np.arange(40), points, 20, 0.8)
+    linked = {(a, b) for a in range(20) for b in range(a + 1, min(40, a + 21)) if vectors_of.near(points[[a]], points[[b]], 0.8)[0, 0]}
+    expected, got = [brute_components(40, lambda a, b: (a, b) in edges or (b, a) in edges) for edges in (linked, set(zip(i.tolist(), j.tolist())))]
+    assert got == expected and len(i) == 40 - len(set(expected))
+    i, j = vector_dedup.window_links(np.full(40, 7), points, 20, -1.0)
+    assert len(i) == 0
+
+
+def test_cosines_at_the_threshold_do_not_depend_on_the_block():
+    rng = np.random.default_rng(7)
+    points = rng.integers(-3, 4, (300, 16)).astype(float)
+    points = points[(points != 0).any(1)]
+    exact = [[int(a @ b) for b in points] for a in points]
+    # cosine >= 0.5 in whole numbers: dot > 0 and 4 dot^2 >= |a|^2 |b|^2
+    expected = np.array([[d > 0 and 4 * d * d > exact[i][i] * exact[j][j] for j, d in enumerate(own)] for i, own in enumerate(exact)])
+    border = np.array([[d > 0 and 4 * d * d == exact[i][i] * exact[j][j] for j, d in enumerate(own)] for i, own in enumerate(exact)])
+    whole = vectors_of.near(points, points, 0.5)
+    assert (whole == expected)[~border].all() and border.any()
+    for at in range(0, len(points), 7):
+        assert (vectors_of.near(points[at : at + 7], points, 0.5) == whole[at : at + 7]).all()
+    big = vectors_of.points_of(pa.array([np.array([1e300, -1e300]).tobytes(), np.array([1e-300, -1e-300]).tobytes()]), 2, np.float64)
+    assert vectors_of.near(big, big, 0.999).all()
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, k) for k in range(1001, 1400)] + [(5, 5), (None, 3), (7, 6)]
     got = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
