@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
 from .components import connected_components
-from .vectors import bytes_of, dimensions, finite, near, points_of, usable
+from .vectors import bytes_of, dimensions, finite, near, near_pairs, points_of, usable
 
 KEY_BITS = 60
 
@@ -74,11 +74,15 @@ def by_group(batches: Iterator[pa.RecordBatch], names: list[str], work: Callable
 
 def window_links(ids: np.ndarray, points: np.ndarray, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Forest of the links of the first ``window`` vectors with the ``window`` that follow each of them."""
-    i, j = np.nonzero(near(points[:window], points, threshold))
+    i, j = near_pairs(points[:window], points, threshold)
     meant = (j > i) & (j - i <= window) & (ids[i] != ids[j])
-    linked = np.zeros((len(ids), len(ids)), bool)
-    linked[i[meant], j[meant]] = linked[j[meant], i[meant]] = True
-    return block_forest(ids, linked) if meant.any() else (ids[:0], ids[:0])
+    if not meant.any():
+        return ids[:0], ids[:0]
+    rows, at = np.unique(np.concatenate([i[meant], j[meant]]), return_inverse=True)
+    linked = np.zeros((len(rows), len(rows)), bool)
+    i, j = np.split(at, 2)
+    linked[i, j] = linked[j, i] = True
+    return block_forest(ids[rows], linked)
 
 
 class LongRuns:

@@ -62,13 +62,20 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def near_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and of b whose cosine reaches ``threshold``; what single precision leaves open is told by :func:`dots`."""
+    single = [(x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32) for x in (a, b)]
+    rough, slack = (single[0] @ single[1].T).ravel(), 1e-6 + 2.5e-7 * a.shape[1]
+    at = np.flatnonzero(rough >= threshold - slack)
+    kept, unsure = np.ones(len(at), bool), np.flatnonzero(rough[at] < threshold + slack)
+    for some in (unsure[n : n + (1 << 16)] for n in range(0, len(unsure), 1 << 16)):
+        x, y = a[at[some] // len(b)], b[at[some] % len(b)]
+        kept[some] = dots(x, y) / np.sqrt(dots(x, x) * dots(y, y)) >= threshold
+    return at[kept] // len(b), at[kept] % len(b)
+
+
 def near(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """(rows of a, rows of b): whether the cosine reaches ``threshold``; what single precision leaves open is told by :func:`dots`."""
-    single = [(x / np.sqrt(dots(x, x))[:, None]).astype(np.float32) for x in (a, b)]
-    rough, slack = single[0] @ single[1].T, 1e-6 + 2.5e-7 * a.shape[1]
-    found = rough >= threshold + slack
-    i, j = np.nonzero((rough >= threshold - slack) & ~found)
-    for at in range(0, len(i), 1 << 16):
-        x, y = a[i[at : at + (1 << 16)]], b[j[at : at + (1 << 16)]]
-        found[i[at : at + (1 << 16)], j[at : at + (1 << 16)]] = dots(x, y) / np.sqrt(dots(x, x) * dots(y, y)) >= threshold
+    """(rows of a, rows of b): the pairs of :func:`near_pairs` as a matrix."""
+    found = np.zeros((len(a), len(b)), bool)
+    found[near_pairs(a, b, threshold)] = True
     return found
