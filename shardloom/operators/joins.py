@@ -93,12 +93,16 @@ def condition_seeds(conditions: DataFrame, index: str, seeds_each: Column) -> Da
     return spread.withColumn("row_no", F.col(index) * F.col("__s") + F.col("seed_no")).drop("__s")
 
 
-def cyclic_zip(tiles: DataFrame, labels: DataFrame, n_tiles: Column, n_labels: Column, pos: str = "pos") -> DataFrame:
-    """Tile ``p`` gets label ``p mod n``; fails when the counts do not divide."""
-    fits = F.when(n_tiles % n_labels == 0, True).otherwise(
-        F.raise_error(F.lit("Tile count is not a multiple of the label count")).cast("boolean")
-    )
-    keyed = tiles.withColumn("label_pos", F.pmod(F.col(pos), n_labels)).where(fits)
+def cyclic_zip(
+    tiles: DataFrame, labels: DataFrame, n_tiles: Column, n_labels: Column, pos: str = "pos", whole_rounds: bool = True
+) -> DataFrame:
+    """Tile ``p`` gets label ``p mod n``; fails when the counts do not divide, unless the last round may be cut short."""
+    keyed = tiles.withColumn("label_pos", F.pmod(F.col(pos), n_labels))
+    if whole_rounds:
+        fits = F.when(n_tiles % n_labels == 0, True).otherwise(
+            F.raise_error(F.lit("Tile count is not a multiple of the label count")).cast("boolean")
+        )
+        keyed = keyed.where(fits)
     return keyed.join(labels.withColumnRenamed(pos, "label_pos"), "label_pos")
 
 
