@@ -4,6 +4,9 @@ Both sides are cut into blocks of nearby vectors, each with its centre and the l
 triangle inequality the angle between two members is at most, and at least, the angle of the centres with both
 radii added, or taken away.  A pair of blocks is compared only if it could hold a better prototype than the
 block that is certainly near; the best of the compared blocks are merged by an aggregate.
+
+Blocks travel in sets that are bounded by bytes, so a vector is sent once per set of prototypes, not once per
+block, and gives one line there.
 """
 
 from __future__ import annotations
@@ -23,14 +26,18 @@ from .vector_math import cosines, finite_vectors
 BLOCK_ROWS = 2048
 #: Vectors that blocks form around; they are drawn by hash and set what is pruned, never what is found.
 PIVOTS = 256
-#: Blocks of the searched side that one task holds next to a block of prototypes.
-GROUP_BLOCKS = 8
+#: The searched side is cut into about so many sets of blocks, each between these bytes.
+PARTS, PART_BYTES = 96, (1 << 20, 1 << 25)
+#: Bytes of the prototype blocks that one task holds.
+HELD_BYTES = 1 << 24
+#: Rows of both sides whose cosines are computed at once.
+TILE = 128, 512
 #: Slack of angles, well above the rounding of an arc cosine.
 SLACK = 1e-6
 
-_BLOCK = "block long, centre array<double>, radius double, ids binary, vectors binary"
+_BLOCK = "block long, part long, centre array<double>, radius double, ids binary, vectors binary"
 _BLOCK_ARROW = pa.schema(
-    [("block", pa.int64()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary())]
+    [("block", pa.int64()), ("part", pa.int64()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary())]
 )
 
 
@@ -45,11 +52,14 @@ def draw_pivots(rows: DataFrame, count: int = PIVOTS) -> np.ndarray:
     return unit
 
 
-def vector_blocks(rows: DataFrame, pivots: np.ndarray, name: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+def vector_blocks(
+    rows: DataFrame, pivots: np.ndarray, name: str, block_rows: int = BLOCK_ROWS, part_bytes: int | None = None
+) -> tuple[DataFrame, int]:
     """Blocks of (id, vec) around the pivots, written out, and how many numbers they use.
 
     Rows without a finite vector are left out.  A cell with many rows has many blocks, which rows are dealt to
-    by hash; zero vectors have a cell of their own, because they are near nothing.
+    by hash; zero vectors have a cell of their own, because they are near nothing.  ``part`` is the set that a block
+    travels in: of about ``part_bytes``, or a share of the whole (``PARTS``).
     """
 
     @F.pandas_udf("int")
@@ -63,14 +73,21 @@ def vector_blocks(rows: DataFrame, pivots: np.ndarray, name: str, block_rows: in
 
     placed = materialise(rows.select("id", "vec", cell("vec").alias("cell")).where("cell IS NOT NULL"), f"{name}-cells")
     sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # a line per pivot
-    first, lines = 0, []
-    for c, n in sorted(sizes.items()):
-        lines += [F.lit(c), F.struct(F.lit(first).cast("long").alias("first"), F.lit(-(-n // block_rows)).cast("long").alias("n"))]
-        first += -(-n // block_rows)
+    row_bytes, total = 8 * pivots.shape[1] + 8, sum(sizes.values())
+    share = part_bytes or min(max(total * row_bytes // PARTS, PART_BYTES[0]), PART_BYTES[1])
+    part_rows = max(1, share // row_bytes)
+    first, before, lines = 0, 0, []
+    for c, rows_in in sorted(sizes.items()):
+        n = -(-rows_in // block_rows)
+        numbers = {"first": first, "n": n, "before": before, "rows": rows_in}
+        lines += [F.lit(c), F.struct(*[F.lit(v).cast("long").alias(k) for k, v in numbers.items()])]
+        first, before = first + n, before + rows_in
     if not lines:
         return rows.sparkSession.createDataFrame([], _BLOCK), 0
     place = F.create_map(*lines)[F.col("cell")]
-    dealt = placed.select("id", "vec", (place["first"] + F.pmod(F.xxhash64("id"), place["n"])).alias("block"))
+    dealt = placed.select("id", "vec", place.alias("p"), F.pmod(F.xxhash64("id"), place["n"]).alias("k"))
+    part = F.expr(f"(p.before + k * p.rows div p.n) div {part_rows}")
+    dealt = dealt.select("id", "vec", (F.col("p.first") + F.col("k")).alias("block"), part.alias("part"))
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
@@ -82,7 +99,8 @@ def vector_blocks(rows: DataFrame, pivots: np.ndarray, name: str, block_rows: in
             mean = mean / length
             radius = float(_angles(cosines(unit, mean[None]))[:, 0].max())
         ids = table.column("id").to_numpy().astype(np.int64)
-        line = {"block": table.column("block")[0].as_py(), "centre": mean.tolist(), "radius": radius, "ids": ids.tobytes(), "vectors": unit.tobytes()}
+        block, part = (table.column(c)[0].as_py() for c in ("block", "part"))
+        line = {"block": block, "part": part, "centre": mean.tolist(), "radius": radius, "ids": ids.tobytes(), "vectors": unit.tobytes()}
         return pa.Table.from_pylist([line], schema=_BLOCK_ARROW)
 
     return materialise(dealt.groupBy("block").applyInArrow(build, _BLOCK), name), first
@@ -132,13 +150,16 @@ def all_pairs(left: DataFrame, n_right: int) -> DataFrame:
 
 
 def compare(left: DataFrame, right: DataFrame, pairs: DataFrame, fn: Callable, spec: str) -> DataFrame:
-    """Rows of ``fn(ids, vectors, other ids, other vectors)``, a dict of columns, for each pair of blocks.
+    """Rows of ``fn(ids, vectors, other ids, other vectors)``, a dict of columns, for each block of the left side and
+    each set of the right, which is cut down to the blocks that are paired with it; other ids ascend.
 
-    A task holds one block of the right side and at most ``GROUP_BLOCKS`` of the left, however many ask for it.
+    A task holds one set of each side, and of these only the blocks that ask and are asked for.
     """
-    asked = materialise(pairs.withColumn("part", F.expr(f"left_block div {GROUP_BLOCKS}")), "block-pairs")
-    a = asked.join(left.select(F.col("block").alias("left_block"), "ids", "vectors"), "left_block")
-    groups = asked.select(F.col("right_block").alias("block"), F.col("part").alias("group")).distinct()
+    homes = right.select(F.col("block").alias("right_block"), F.col("part").alias("set"))
+    asked = materialise(pairs.join(homes, "right_block").join(left.select(F.col("block").alias("left_block"), "part"), "left_block"), "block-pairs")
+    lists = asked.groupBy("left_block", "set").agg(F.collect_list("right_block").alias("asked"))
+    a = lists.join(left.select(F.col("block").alias("left_block"), "part", "ids", "vectors"), "left_block")
+    groups = asked.select(F.col("right_block").alias("block"), F.col("set").alias("held"), F.col("part").alias("by")).distinct()
     b = groups.join(right.select("block", "ids", "vectors"), "block")
     kinds = {"long": pa.int64(), "double": pa.float64()}
     schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in spec.split(", "))])
@@ -147,16 +168,29 @@ def compare(left: DataFrame, right: DataFrame, pairs: DataFrame, fn: Callable, s
         ids = np.frombuffer(ids.as_py(), np.int64)
         return ids, np.frombuffer(vectors.as_py(), np.float64).reshape(len(ids), -1)
 
-    def meet(key, many: pa.Table, one: pa.Table) -> pa.Table:
+    def meet(key, many: pa.Table, held: pa.Table) -> pa.Table:
+        if not held.num_rows or not many.num_rows:
+            return schema.empty_table()
+        blocks = held.column("block").to_pylist()
+        parts = [unpack(held.column("ids")[i], held.column("vectors")[i]) for i in range(len(blocks))]
+        ids, home = np.concatenate([p[0] for p in parts]), np.repeat(blocks, [len(p[0]) for p in parts])
+        order = np.argsort(ids, kind="stable")
+        vectors = np.concatenate([p[1] for p in parts])[order]
+        ids, home = ids[order], home[order]
+        del parts
         out = []
-        if one.num_rows:
-            other = unpack(one.column("ids")[0], one.column("vectors")[0])
-            for row in range(many.num_rows):
-                own = unpack(many.column("ids")[row], many.column("vectors")[row])
-                out.append(pa.table(fn(*own, *other), schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
+        for row in range(many.num_rows):
+            wanted = many.column("asked")[row].as_py()
+            own = unpack(many.column("ids")[row], many.column("vectors")[row])
+            if len(wanted) == len(blocks):
+                found = fn(*own, ids, vectors)
+            else:
+                some = np.isin(home, wanted)
+                found = fn(*own, ids[some], vectors[some])
+            out.append(pa.table(found, schema=schema))
+        return pa.concat_tables(out)
 
-    return a.groupBy("right_block", "part").cogroup(b.groupBy("block", "group")).applyInArrow(meet, spec)
+    return a.groupBy("set", "part").cogroup(b.groupBy("held", "by")).applyInArrow(meet, spec)
 
 
 def best_matches(vectors: DataFrame, prototypes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -168,14 +202,19 @@ def best_matches(vectors: DataFrame, prototypes: DataFrame, block_rows: int = BL
     if not len(pivots):
         raise ValueError("No prototypes")
     left, n_left = vector_blocks(vectors, pivots, "vector-blocks", block_rows)
-    right, n_right = vector_blocks(prototypes, pivots, "prototype-blocks", block_rows)
+    right, n_right = vector_blocks(prototypes, pivots, "prototype-blocks", block_rows, HELD_BYTES)
 
     def nearest(ids, own, protos, others) -> dict:
-        proto, weight = np.empty(len(ids), np.int64), np.empty(len(ids))
-        for at in range(0, len(ids), 512):
-            cos = cosines(own[at : at + 512], others)
-            first = cos.argmax(axis=1)  # the first of equals: the lowest id
-            proto[at : at + 512], weight[at : at + 512] = protos[first], cos[np.arange(len(first)), first]
+        proto, weight = np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf)
+        for at in range(0, len(ids), TILE[0]):
+            part = slice(at, at + TILE[0])
+            for there in range(0, len(protos), TILE[1]):
+                cos = cosines(own[part], others[there : there + TILE[1]])
+                first = cos.argmax(axis=1)  # the first of equals: the lowest id
+                value = cos[np.arange(len(first)), first]
+                larger = value > weight[part]
+                weight[part] = np.where(larger, value, weight[part])
+                proto[part] = np.where(larger, protos[there + first], proto[part])
         return {"id": ids, "proto": proto, "weight": weight}
 
     found = compare(left, right, near_pairs(left, n_left, right, n_right), nearest, "id long, proto long, weight double")
@@ -184,15 +223,19 @@ def best_matches(vectors: DataFrame, prototypes: DataFrame, block_rows: int = BL
 
 
 def exponential_sums(vectors: DataFrame, others: DataFrame, temperature: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, total): for each vector the sum over all others of ``exp(cosine / temperature)``; each pair of blocks adds one line."""
+    """(id, total): for each vector the sum over all others of ``exp(cosine / temperature)``; each set of blocks adds one line."""
     pivots = draw_pivots(others)
     if not len(pivots):
         return vectors.select("id", F.lit(0.0).alias("total"))
     left, _ = vector_blocks(vectors, pivots, "vector-blocks", block_rows)
-    right, n_right = vector_blocks(others, pivots, "prototype-blocks", block_rows)
+    right, n_right = vector_blocks(others, pivots, "prototype-blocks", block_rows, HELD_BYTES)
 
     def sums(ids, own, _, against) -> dict:
-        total = np.concatenate([np.exp(cosines(own[at : at + 512], against) / temperature).sum(axis=1) for at in range(0, len(ids), 512)])
+        total = np.zeros(len(ids))
+        for at in range(0, len(ids), TILE[0]):
+            for there in range(0, len(against), TILE[1]):
+                cos = cosines(own[at : at + TILE[0]], against[there : there + TILE[1]])
+                total[at : at + TILE[0]] += np.exp(cos / temperature).sum(axis=1)
         return {"id": ids, "total": total}
 
     found = compare(left, right, all_pairs(left, n_right), sums, "id long, total double")
