@@ -148,6 +148,7 @@ def contrastive_score(
     Every active prototype meets every centroid, as the score asks.  Small lists of centroids are shipped; large
     ones meet the prototypes block against block, a partial sum of exponentials per pair of blocks.
     """
+    centres = materialise(centres, "centres")  # a line per prototype, read three times below
     active = prototypes.select(F.col("proto").cast("bigint"), "vec").join(centres, "proto")
     own = cosine(F.col("vec"), F.col("centroid")) / temperature
     if is_large(centres, "centroid") if in_blocks is None else in_blocks:
