@@ -299,11 +299,13 @@ def _(spark, sf):
         F.encode("text", "UTF-8").alias("txt"),
     )
     tar.register(spark)
-    arranged = samples.repartition("shard").sortWithinPartitions("shard", "key")
-    arranged.write.format("tarshards").mode("append").save(folder)
-    arranged.write.format("tarshards").mode("overwrite").save(folder)  # the same shards once more, none beside them
-    found = spark.read.format("tarshards").load(folder)
-    return found.select(_base("shard").alias("shard"), "name", F.md5("content").alias("content_md5"), "member_ordinal")
+    # A shard a language grows with the table: ranges of keys are written as parts of it.
+    arranged = samples.repartitionByRange("shard", "key").sortWithinPartitions("shard", "key")
+    write = arranged.write.format("tarshards").option("parts", "true")
+    write.mode("append").save(folder)
+    write.mode("overwrite").save(folder)  # the same shards once more, none beside them
+    found = spark.read.format("tarshards").option("parts", "true").load(folder)
+    return found.select(_base(tar.shard_of_part(F.col("shard"))).alias("shard"), "name", F.md5("content").alias("content_md5"), "member_ordinal")
 
 
 @query(

@@ -22,7 +22,7 @@ from ..functions.names import shard_name, split_name
 from ..session import scratch_path
 from . import cache
 from .sinks import filesystem_of
-from .tar_sink import TarShardWriter, visible_shards
+from .tar_sink import TarShardWriter, first_ordinal, visible_shards
 
 MEMBER_SCHEMA = "shard string, member_ordinal int, name string, header long, offset long, size long, content binary"
 MEMBER_ARROW = [
@@ -121,6 +121,7 @@ class TarShardReader(DataSourceReader):
         wanted = options.get("extensions")
         self.extensions = {e.strip().lstrip(".") for e in wanted.split(",")} if wanted else None
         self.path, self.blocks = options["path"], options.get("blocks")
+        self.parts = options.get("parts", "false").lower() == "true"
         self.paths = set(json.loads(options["archives"])) if "archives" in options else None
         self.filters: list[tuple[str, Filter]] = []
 
@@ -157,7 +158,7 @@ class TarShardReader(DataSourceReader):
     def partitions(self):
         shards = [u for u in visible_shards(self.path) if self._passes("shard", u) and (self.paths is None or u in self.paths)]
         if not self.blocks:
-            return [_Range(u) for u in shards] or [_Range(NOTHING)]
+            return [_Range(u, first_ordinal(u) if self.parts else 0) for u in shards] or [_Range(NOTHING)]
         import pyarrow.dataset as ds
 
         filesystem, path = filesystem_of(self.blocks)
@@ -208,7 +209,8 @@ class TarShardSource(DataSource):
 
     An archive is one input partition; with ``blocks`` (a table of :func:`member_blocks`) it is cut into byte
     ranges and only blocks that can hold what is asked for are opened.  Filters on shard, name and member_ordinal
-    are answered by the source.  Options for reading: ``extensions`` (comma list of wanted ones), ``blocks``, ``archives`` (JSON list of those to read); give
+    are answered by the source.  Options for reading: ``extensions`` (comma list of wanted ones), ``blocks``, ``archives`` (JSON list of those to read); ``parts``
+    (archives written with ``parts``: ordinals go on through the parts of a shard, see :func:`shard_of_part`); give
     ``INDEX_SCHEMA`` to leave payloads unread.  Writing: see :class:`TarShardWriter`.
     """
 
@@ -245,6 +247,11 @@ def read_members(
     return reader.load(folder)
 
 
+def shard_of_part(uri: Column) -> Column:
+    """URI of the shard that the archive of a part belongs to."""
+    return F.regexp_replace(uri, r"@\d{9,}\.tar$", ".tar")
+
+
 def member_blocks(index: DataFrame, path: str, split_bytes: int = SPLIT_BYTES) -> str:
     """Write the block table of an index: a line per ``split_bytes`` of an archive, with where its members begin and
     end and the range of their names.  100 TB make some 1.6 million lines, which readers load when they plan.

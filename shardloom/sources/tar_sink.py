@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import tarfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,23 @@ from pyspark.sql.types import BinaryType, StructType
 from .sinks import filesystem_of
 
 STAGING, JOURNAL = "_staging-", "_commit-"
+#: Name of a part of a shard: the ordinal of its first member stands before the ending.
+_PART = re.compile(r"@(\d{9,})\.tar$")
+
+
+def part_name(shard: str, first: int) -> str:
+    return f"{shard.removesuffix('.tar')}@{first:09d}.tar"
+
+
+def first_ordinal(name: str) -> int:
+    """Ordinal of the first member of an archive that was written in parts."""
+    found = _PART.search(name)
+    return int(found[1]) if found else 0
+
+
+def whole_name(name: str) -> str:
+    """The shard that a part belongs to."""
+    return _PART.sub(".tar", name)
 
 
 @dataclass
@@ -27,6 +45,9 @@ class Archive:
     staged: str
     nsamples: int
     size_bytes: int
+    members: int = 0
+    first_key: str = ""
+    last_key: str = ""
 
 
 @dataclass
@@ -42,7 +63,9 @@ class TarShardWriter(DataSourceArrowWriter):
     fails before that leaves nothing, and one that dies while moving is finished by the next writer
     (:func:`finish_commits`).  Readers leave the shards of an unfinished journal out.
 
-    All rows of a shard must come together in one task.  Options: ``may_lack`` (extensions that a sample may do
+    All rows of a shard must come together in one task, or, with ``parts``, in ranges of ascending keys that do not
+    overlap: then a shard is as many archives as tasks had rows of it, named by the ordinal of their first member
+    (:func:`part_name`), and no task holds more than its range.  Options: ``may_lack`` (extensions that a sample may do
     without, any other null payload stops the job), ``replace`` (a shard of the same name gives way instead of
     stopping the job), ``report`` (folder for a JSON-lines list of ``shard, nsamples, size_bytes``).  Mode
     overwrite also removes the shards that the job has not written.
@@ -53,6 +76,7 @@ class TarShardWriter(DataSourceArrowWriter):
         self.overwrite = overwrite
         self.replace = options.get("replace", "false").lower() == "true"
         self.report = options.get("report")
+        self.parts = options.get("parts", "false").lower() == "true"
         self.may_lack = {e for e in options.get("may_lack", "").split(",") if e}
         self.extensions = [f.name for f in schema.fields if f.name not in ("shard", "key")]
         wrong = [f.name for f in schema.fields if f.name in self.extensions and f.dataType != BinaryType()]
@@ -66,7 +90,7 @@ class TarShardWriter(DataSourceArrowWriter):
         place = f"{root}/{STAGING}{self.job}/{uuid.uuid4().hex}"
         filesystem.create_dir(place, recursive=True)
         done: dict[str, Archive] = {}
-        sink = archive = current = None
+        sink = archive = current = key = None
         count = 0
 
         def close():
@@ -85,12 +109,19 @@ class TarShardWriter(DataSourceArrowWriter):
                             close()
                         if not shard or shard in done:
                             raise ValueError(f"Rows of shard {shard!r} are nameless or do not come together")
-                        current, count = shard, 0
+                        current, count, key = shard, 0, None
                         done[shard] = Archive(shard, f"{place}/{len(done)}.tar", 0, 0)
                         sink = filesystem.open_output_stream(done[shard].staged)
                         archive = tarfile.open(fileobj=sink, mode="w|", format=tarfile.PAX_FORMAT)
+                    before, key = key, keys[row].as_py()
+                    if self.parts:
+                        if key is None or (before is not None and key < before):
+                            raise ValueError(f"Keys of shard {shard!r} do not ascend at {key!r}")
+                        if before is None:
+                            done[shard].first_key = key
+                        done[shard].last_key = key
                     for ext, payload in zip(self.extensions, payloads):
-                        name = f"{keys[row].as_py()}.{ext}"
+                        name = f"{key}.{ext}"
                         if not payload[row].is_valid:
                             if ext in self.may_lack:
                                 continue
@@ -99,6 +130,7 @@ class TarShardWriter(DataSourceArrowWriter):
                         info = tarfile.TarInfo(name)
                         info.size, info.mtime, info.mode = content.size, 0, 0o644
                         archive.addfile(info, io.BytesIO(content))
+                        done[shard].members += 1
                     count += 1
             if current is not None:
                 close()
@@ -111,17 +143,22 @@ class TarShardWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[TarCommit | None]) -> None:
         filesystem, root = filesystem_of(self.folder)
-        archives = sorted((a for m in messages if m is not None for a in m.archives), key=lambda a: a.shard)
+        archives = sorted((a for m in messages if m is not None for a in m.archives), key=lambda a: (a.shard, a.first_key))
+        wholes = {a.shard for a in archives}
+        if self.parts:
+            _name_parts(archives)
         names = [a.shard for a in archives]
         twice = {a for a, b in zip(names, names[1:]) if a == b}
         if twice:
             raise ValueError(f"Rows of shard {min(twice)} came to several tasks")
         there = _shards(filesystem, root)
-        if not (self.overwrite or self.replace) and (known := there & set(names)):
+        known = {n for n in there if (whole_name(n) if self.parts else n) in wholes}
+        if not (self.overwrite or self.replace) and known:
             raise FileExistsError(f"Shard {min(known)} exists")
+        given_up = there if self.overwrite else known
         journal = {
             "moves": [[a.staged, f"{root}/{a.shard}"] for a in archives],
-            "deletes": [f"{root}/{name}" for name in sorted(there - set(names))] if self.overwrite else [],
+            "deletes": [f"{root}/{name}" for name in sorted(given_up - set(names))],
             "staging": f"{root}/{STAGING}{self.job}",
         }
         filesystem.create_dir(root, recursive=True)
@@ -142,6 +179,17 @@ class TarShardWriter(DataSourceArrowWriter):
             filesystem.delete_dir(place)
 
 
+def _name_parts(archives: list[Archive]) -> None:
+    """Names the archives of each shard, which are in order, by the ordinal of their first member."""
+    whole, last, first = None, None, 0
+    for a in archives:
+        if a.shard != whole:
+            whole, first = a.shard, 0
+        elif a.first_key <= last:
+            raise ValueError(f"Key {a.first_key!r} of shard {whole} came to several tasks")
+        last, a.shard, first = a.last_key, part_name(whole, first), first + a.members
+
+
 def _write(filesystem, path: str, text: str) -> None:
     filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
     with filesystem.open_output_stream(f"{path}.tmp") as out:
