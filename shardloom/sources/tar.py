@@ -32,6 +32,8 @@ MEMBER_ARROW = [
 INDEX_SCHEMA = "shard string, member_ordinal int, name string, header long, offset long, size long"
 #: About so many bytes of an archive are one input partition where its index is known.
 SPLIT_BYTES = 64 << 20
+#: Many small ranges are bundled into about so many input partitions.
+PARTITIONS = 256
 #: Ranges this close together are read at once, up to the second number of bytes.
 READ_GAP, READ_BYTES = 1 << 16, 8 << 20
 #: Arrow batches of payloads end at about so many bytes.
@@ -92,16 +94,42 @@ def _members(uri: str, wanted: Callable[[str, int], bool], with_content: bool, f
                 ordinal += 1
 
 
-class _Range(InputPartition):
+class _Range:
     """The members of an archive from one header to another, or all."""
 
     def __init__(self, uri: str, first: int = 0, start: int = 0, stop: int | None = None):
-        super().__init__((uri, start))
         self.uri, self.first, self.start, self.stop = uri, first, start, stop
 
 
-#: URI of the only partition of a read without archives; Spark wants one.
-NOTHING = ""
+class _Ranges(InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    def __init__(self, ranges: list[_Range]):
+        super().__init__(tuple((r.uri, r.start) for r in ranges[:1]))
+        self.ranges = ranges
+
+
+def _bundled(ranges: list[tuple[_Range, int]]) -> list[_Ranges]:
+    """Ranges (with their bytes) of many blocks or small archives as partitions of like size, in order.
+
+    There are about ``PARTITIONS`` of them, as long as none gets above ``SPLIT_BYTES``, so their number does not
+    follow the number of blocks.  Spark wants one partition at least.
+    """
+    most = min(SPLIT_BYTES, max(1, sum(n for _, n in ranges) // PARTITIONS))
+    out, held = [], 0
+    for r, n in ranges:
+        if not out or held + n > most:
+            out.append([])
+            held = 0
+        held += n
+        last = out[-1][-1] if out[-1] else None
+        if last is not None and last.uri == r.uri and last.stop is not None and last.stop == r.start:
+            last.stop = r.stop  # neighbours are one range
+        else:
+            out[-1].append(r)
+    return [_Ranges(rs) for rs in out or [[]]]
+
+
 #: Filters that the reader answers by itself, as tests of a value.
 _TESTS: dict[type[Filter], Callable] = {
     EqualTo: lambda x, v: x == v,
@@ -158,7 +186,7 @@ class TarShardReader(DataSourceReader):
     def partitions(self):
         shards = [u for u in visible_shards(self.path) if self._passes("shard", u) and (self.paths is None or u in self.paths)]
         if not self.blocks:
-            return [_Range(u, first_ordinal(u) if self.parts else 0) for u in shards] or [_Range(NOTHING)]
+            return _bundled(self._whole(shards))
         import pyarrow.dataset as ds
 
         filesystem, path = filesystem_of(self.blocks)
@@ -170,30 +198,35 @@ class TarShardReader(DataSourceReader):
             known.add(b["shard"])
             held = self._may_hold("name", b["min_name"], b["max_name"])
             if held and self._may_hold("member_ordinal", b["first_ordinal"], b["last_ordinal"]):
-                ranges.append(_Range(b["shard"], b["first_ordinal"], b["start"], b["stop"]))
+                ranges.append((_Range(b["shard"], b["first_ordinal"], b["start"], b["stop"]), b["stop"] - b["start"]))
         visible = set(shards)
-        ranges = [r for r in ranges if r.uri in visible] + [_Range(u) for u in shards if u not in known]
-        return sorted(ranges, key=lambda r: (r.uri, r.start)) or [_Range(NOTHING)]
+        ranges = [r for r in ranges if r[0].uri in visible] + self._whole([u for u in shards if u not in known])
+        return _bundled(sorted(ranges, key=lambda r: (r[0].uri, r[0].start)))
 
-    def read(self, partition):
-        if partition.uri == NOTHING:
-            return
+    def _whole(self, shards: list[str]) -> list[tuple[_Range, int]]:
+        """Whole archives with their sizes."""
+        if not shards:
+            return []
+        filesystem = filesystem_of(shards[0])[0]
+        sizes = [f.size or 0 for f in filesystem.get_file_info([filesystem_of(u)[1] for u in shards])]
+        return [(_Range(u, first_ordinal(u) if self.parts else 0), n) for u, n in zip(shards, sizes)]
 
+    def read(self, partition):
         def wanted(name: str, ordinal: int) -> bool:
             named = self.extensions is None or name.rsplit(".", 1)[-1] in self.extensions
             return named and self._passes("name", name) and self._passes("member_ordinal", ordinal)
 
         rows, held = [], 0
-        found = _members(partition.uri, wanted, "content" in self.fields, partition.first, partition.start, partition.stop)
-        for ordinal, name, header, offset, size, content in found:
-            rows.append(
-                {"shard": partition.uri, "member_ordinal": ordinal, "name": name, "header": header, "offset": offset,
-                 "size": size, "content": content}
-            )
-            held += len(content) if content is not None else 0
-            if len(rows) == 4096 or held > BATCH_BYTES:
-                yield self._batch(rows)
-                rows, held = [], 0
+        for r in partition.ranges:
+            for ordinal, name, header, offset, size, content in _members(r.uri, wanted, "content" in self.fields, r.first, r.start, r.stop):
+                rows.append(
+                    {"shard": r.uri, "member_ordinal": ordinal, "name": name, "header": header, "offset": offset,
+                     "size": size, "content": content}
+                )
+                held += len(content) if content is not None else 0
+                if len(rows) == 4096 or held > BATCH_BYTES:
+                    yield self._batch(rows)
+                    rows, held = [], 0
         if rows:
             yield self._batch(rows)
 
@@ -207,7 +240,7 @@ class TarShardReader(DataSourceReader):
 class TarShardSource(DataSource):
     """``spark.read.format("tarshards").load(folder)`` and ``df.write.format("tarshards").save(folder)``.
 
-    An archive is one input partition; with ``blocks`` (a table of :func:`member_blocks`) it is cut into byte
+    An archive, or a bundle of small ones, is one input partition; with ``blocks`` (a table of :func:`member_blocks`) it is cut into byte
     ranges and only blocks that can hold what is asked for are opened.  Filters on shard, name and member_ordinal
     are answered by the source.  Options for reading: ``extensions`` (comma list of wanted ones), ``blocks``, ``archives`` (JSON list of those to read); ``parts``
     (archives written with ``parts``: ordinals go on through the parts of a shard, see :func:`shard_of_part`); give
