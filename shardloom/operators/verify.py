@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.binding import let
 from ..functions.fixed_values import SAMPLE_FIELDS, SHARD_EXTENSIONS
 from ..functions.image_header import image_header
 from ..functions.names import split_name
@@ -45,13 +46,14 @@ def member_flags(members: DataFrame) -> DataFrame:
     """
     record = F.try_parse_json(F.col("record"))
     is_json = F.col("ext") == "json"
-    prompt = F.try_variant_get(record, "$.prompt", "string")
     texts = F.coalesce(F.try_variant_get(record, "$.texts", "array<string>"), F.array().cast("array<string>"))
+    # Bound, because a lambda would parse the record anew for each text.
+    said = let(F.try_variant_get(record, "$.prompt", "string"), lambda prompt: F.forall(texts, lambda t: F.contains(prompt, t)))
     present = F.json_object_keys("record")  # a field that holds null is there
     rules = {
         "unexpected member": F.col("ext").isin(SHARD_EXTENSIONS),
         "unreadable record": ~is_json | record.isNotNull(),
-        "text not in prompt": ~is_json | F.forall(texts, lambda t: F.contains(prompt, t)),
+        "text not in prompt": ~is_json | said,
     }
     for field in SAMPLE_FIELDS:
         rules[f"missing {field}"] = ~is_json | F.array_contains(present, field)
