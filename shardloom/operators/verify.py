@@ -44,21 +44,25 @@ def member_flags(members: DataFrame) -> DataFrame:
 
     Texts are judged where they are read; only the flags travel further.
     """
-    record = F.try_parse_json(F.col("record"))
     is_json = F.col("ext") == "json"
-    texts = F.coalesce(F.try_variant_get(record, "$.texts", "array<string>"), F.array().cast("array<string>"))
-    # Bound, because a lambda would parse the record anew for each text.
-    said = let(F.try_variant_get(record, "$.prompt", "string"), lambda prompt: F.forall(texts, lambda t: F.contains(prompt, t)))
-    present = F.json_object_keys("record")  # a field that holds null is there
-    rules = {
-        "unexpected member": F.col("ext").isin(SHARD_EXTENSIONS),
-        "unreadable record": ~is_json | record.isNotNull(),
-        "text not in prompt": ~is_json | said,
-    }
-    for field in SAMPLE_FIELDS:
-        rules[f"missing {field}"] = ~is_json | F.array_contains(present, field)
-    flags = [(~F.coalesce(ok, F.lit(False))).cast("int").alias(name) for name, ok in rules.items()]
-    return members.select("shard", "key", "ext", "width", "height", *flags)
+
+    def judged(parsed: Column) -> Column:
+        record, present = parsed["record"], parsed["present"]
+        texts = F.coalesce(F.try_variant_get(record, "$.texts", "array<string>"), F.array().cast("array<string>"))
+        # Bound, because a lambda would read the prompt anew for each text.
+        said = let(F.try_variant_get(record, "$.prompt", "string"), lambda prompt: F.forall(texts, lambda t: F.contains(prompt, t)))
+        rules = {
+            "unexpected member": F.col("ext").isin(SHARD_EXTENSIONS),
+            "unreadable record": ~is_json | record.isNotNull(),
+            "text not in prompt": ~is_json | said,
+        }
+        for field in SAMPLE_FIELDS:
+            rules[f"missing {field}"] = ~is_json | F.array_contains(present, field)
+        return F.struct(*[(~F.coalesce(ok, F.lit(False))).cast("int").alias(name) for name, ok in rules.items()])
+
+    # A record is parsed once for all rules; a field that holds null is present.
+    parsed = F.struct(F.try_parse_json("record").alias("record"), F.json_object_keys("record").alias("present"))
+    return members.select("shard", "key", "ext", "width", "height", F.inline(F.transform(F.array(parsed), judged)))
 
 
 def sample_rules(members: DataFrame) -> DataFrame:
