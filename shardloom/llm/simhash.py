@@ -24,6 +24,7 @@ from .components import connected_components
 from .memory import give_back
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_LINE = 1 << 15  # bits in one line of a bitmap
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -244,6 +245,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2, id_col: s
     return marked.join(labels.withColumnRenamed("first", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def _parted(rows: DataFrame, key: Column, keys: DataFrame, tag: str, max_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``key`` is not among ``keys``, all others): the latter hold every row whose key is, and a few more.
+
+    ``key`` and the one column of ``keys`` are non-null longs, hashes already; no column of ``rows`` starts with
+    ``tag``.  A bitmap with 32 bits or more for each key tells the rows apart where they are read, so that only the
+    others need a join.  It is broadcast in lines of 4 KiB, 16 MiB at most: beyond four million keys it tells fewer
+    rows apart.
+    """
+    bits = min(max_bits, max(_LINE, 1 << (32 * keys.count()).bit_length()))
+    cut = lambda k: k.bitwiseAND(F.lit(bits - 1))
+    line, bit = f"{tag}line", f"{tag}bit"
+    places = keys.select(cut(F.col(keys.columns[0])).alias(bit))
+    # each line is made in one task from its keys, not merged from a line of every task
+    lines = places.select(F.shiftright(bit, 15).alias(line), F.col(bit).bitwiseAND(F.lit(_LINE - 1)).alias(bit)).repartition(line)
+    lines = lines.groupBy(line).agg(F.bitmap_construct_agg(bit).alias(f"{tag}bits"))
+    own = rows.withColumn(bit, cut(key)).withColumn(line, F.shiftright(bit, 15)).withColumn(bit, F.col(bit).bitwiseAND(F.lit(_LINE - 1)))
+    met = own.join(F.broadcast(lines), line, "left")
+    byte = F.col(f"{tag}bits").substr((F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    among = F.coalesce(F.getbit(value, F.col(bit).bitwiseAND(F.lit(7)).cast("int")), F.lit(0)) == 1
+    return met.where(~among).select(*rows.columns), met.where(among).select(*rows.columns)
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of :func:`near_duplicates`, all columns as they are.
 
@@ -264,8 +288,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2, id_c
         tag += "_"
     decided = rows.join(firsts, "fingerprint").select(F.col("doc_id").alias(f"{tag}id"), F.col("content").alias(f"{tag}content"), lost.alias("lost"), "n")
     decided = materialise(decided.where("lost or n > 1").drop("n"), "simhash-decided")
-    same = own_id.eqNullSafe(F.col(f"{tag}id")) & (content == F.col(f"{tag}content"))
-    alone = docs.join(decided.drop("lost"), same, "left_anti")
-    again = docs.join(decided.where("not lost").drop("lost"), same, "left_semi")
-    one = again.groupBy(own_id.alias("__id"), content.alias("__content")).agg(F.first(F.struct(*docs.columns)).alias("__row"))
-    return alone.unionByName(one.select("__row.*"))
+    # Texts stay where they are read, but for rows that the bitmap of the decided ones cannot rule out.
+    own = f"{tag}own_content"
+    named = docs.withColumn(own, F.coalesce(content, F.lit("")))
+    clear, open_rows = _parted(named, F.xxhash64(own_id, own), decided.select(F.xxhash64(f"{tag}id", f"{tag}content")), tag)
+    same = own_id.eqNullSafe(F.col(f"{tag}id")) & (F.col(own) == F.col(f"{tag}content"))
+    alone = open_rows.join(decided.drop("lost"), same, "left_anti")
+    again = open_rows.join(decided.where("not lost").drop("lost"), same, "left_semi")
+    one = again.groupBy(own_id.alias("__id"), F.col(own).alias("__content")).agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return clear.unionByName(alone).drop(own).unionByName(one.select("__row.*"))

@@ -29,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .memory import give_back
@@ -363,9 +364,10 @@ def dedup(
     blocks = max(2 * partitions, math.ceil(size_all / block_bytes))
     own_hash = F.xxhash64(text)
     spread = F.xxhash64(F.col(id_col).cast("long"), own_hash)
+    # a text that comes along is the one that is worked on, null or not; it travels once
     rows = docs.select(
-        F.pmod(spread, F.lit(blocks)).alias("block"), F.col(id_col).cast("long").alias("doc_id"),
-        own_hash.alias("__text_hash"), text.alias("__text"), *[F.col(c).alias(f"__carry_{c}") for c in carry],
+        F.pmod(spread, F.lit(blocks)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), own_hash.alias("__text_hash"),
+        text.alias("__text"), *[F.col(c).isNull().alias("__no_text") if c == text_col else F.col(c).alias(f"__carry_{c}") for c in carry],
     )
     by_block = rows.groupBy("block")
 
@@ -456,7 +458,9 @@ def dedup(
         gone = covered(len(block.name), start, end)
         running = np.concatenate([[0], np.cumsum(gone)])
         removed = running[first[1:]] - running[first[:-1]]
-        out = block.table.select(["doc_id", *[f"__carry_{c}" for c in carry]])
+        out = block.table.select(["doc_id"])
+        for c in carry:
+            out = out.append_column(f"__carry_{c}", given_texts(block) if c == text_col else block.table.column(f"__carry_{c}"))
         out = out.append_column("n_words", pa.array(np.diff(first), pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
         return out.append_column("kept_text", kept_texts(block, ~gone))
 
@@ -473,6 +477,12 @@ def _then_give_back(table: pa.Table) -> pa.Table:
     return table
 
 
+def given_texts(block: Block) -> pa.ChunkedArray:
+    """The texts as they came, null ones too."""
+    texts, none = block.table.column("__text"), block.table.column("__no_text")
+    return pc.if_else(none, pa.scalar(None, texts.type), texts) if pc.any(none).as_py() else texts
+
+
 def kept_texts(block: Block, kept: np.ndarray) -> pa.Array:
     """The kept words of each text, joined by one space."""
     words = block.words
