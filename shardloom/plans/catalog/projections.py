@@ -122,7 +122,7 @@ def staged_images(spark, sf):
 )
 def _(spark, sf):
     source, output = scratch_path(spark, "images"), scratch_path(spark, "converted")
-    staged_images(spark, sf).write.parquet(source)
+    staged_images(spark, sf).write.option("compression", "zstd").parquet(source)
     done = conversion.convert(spark, source, output, shard_size=500)
     members = read_members(spark, f"{output}/shards", extensions="json")
     prompt = F.get_json_object(F.decode("content", "UTF-8"), "$.prompt")

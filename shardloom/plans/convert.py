@@ -11,6 +11,7 @@ from ..functions.fixed_values import OPTIONAL_COLUMNS, REQUIRED_COLUMNS, SHARD_S
 from ..functions.image_header import image_header
 from ..functions.names import row_key, shard_prefix
 from ..functions.text import clean_caption, visible_text_prompt
+from ..operators.index import MAX_BROADCAST_LINES, running_before
 from ..operators.verify import describe_members, verify_shards
 from ..session import exists, materialise
 from ..sources import descriptors, files, ledger, tar
@@ -28,6 +29,48 @@ def fingerprints(spark: SparkSession, source: str, pattern: str) -> DataFrame:
     )
 
 
+def _stem(source_file: Column) -> Column:
+    """Name of an input as its shards and keys begin with it."""
+    return F.regexp_replace(source_file, r"\.parquet$", "")
+
+
+def cut_shards(spark: SparkSession, paths: list[str], shard_size: int) -> tuple[DataFrame, int]:
+    """``stem, number`` of the shards whose rows lie in several row groups, out of the footers, and how many others there are.
+
+    Inputs of one stem have their shards in common, so these count as cut.
+    """
+    found = files.inventory(spark, paths, "*").select("path", _stem(F.col("name")).alias("stem"), "rows", "row_groups")
+    footers = materialise(found, "footers")
+    groups = footers.select("path", "stem", F.posexplode("row_groups").alias("pos", "n"))
+    begun = running_before(groups, "pos", "n", "start", ("path",)).where(F.col("start") % shard_size != 0)
+    stems = footers.groupBy("stem").agg(
+        F.count("path").alias("inputs"), F.ceil(F.max("rows") / shard_size).cast("bigint").alias("shards")
+    )
+    shared = stems.where("inputs > 1 and shards > 0").select("stem", F.explode(F.expr("sequence(0, shards - 1)")).alias("number"))
+    cut = begun.select("stem", F.expr(f"start div {shard_size}").alias("number")).unionByName(shared).distinct()
+    cut = materialise(cut, "cut")
+    return cut, (stems.agg(F.sum("shards")).first()[0] or 0) - cut.count()
+
+
+def shards_together(rows: DataFrame, cut: DataFrame, others: int, shard_size: int) -> DataFrame:
+    """Rows with ``source_file, source_row`` so that every shard is in one partition, in row order.
+
+    A row group is read by one task in row order, so shards inside a row group are together where they are read and
+    only the rows of ``cut`` ones (see :func:`cut_shards`) move.  They are source rows, not yet the longer records.
+    """
+    keyed = rows.withColumn("stem", _stem(F.col("source_file"))).withColumn("number", F.expr(f"source_row div {shard_size}"))
+    n_cut = cut.count()
+    if not n_cut:
+        return rows
+    apart = others > 0 and n_cut <= MAX_BROADCAST_LINES
+    moving = keyed.join(F.broadcast(cut), ["stem", "number"], "left_semi") if apart else keyed
+    moved = moving.repartition("stem", "number").sortWithinPartitions("stem", "number", "source_row")
+    if not apart:
+        return moved.select(*rows.columns)
+    staying = keyed.join(F.broadcast(cut), ["stem", "number"], "left_anti")
+    return staying.select(*rows.columns).unionByName(moved.select(*rows.columns))
+
+
 def sample_records(rows: DataFrame, decode: Callable[[Column], Column] | None = None) -> DataFrame:
     """Source rows with ``source_file, source_row`` to ``stem, source_row, key, payload, record``.
 
@@ -67,7 +110,7 @@ def sample_records(rows: DataFrame, decode: Callable[[Column], Column] | None =
         "wm_score": wm_score,
     }
     text = F.to_json(F.struct(*[c.alias(n) for n, c in record.items()]), {"ignoreNullFields": "false"})
-    stem = F.regexp_replace("source_file", r"\.parquet$", "")
+    stem = _stem(F.col("source_file"))
     return texts.select(
         stem.alias("stem"), "source_row", row_key(stem, F.col("source_row")).alias("key"),
         F.col("image.bytes").alias("payload"), F.encode(text, "UTF-8").alias("record"),
@@ -109,9 +152,9 @@ def convert(
     rows = rows.select(
         *wanted, F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.row_index").alias("source_row")
     )
-    samples = sample_records(rows, decode)
+    samples = sample_records(shards_together(rows, *cut_shards(spark, paths, shard_size), shard_size), decode)
     written = tar.write_shards(
-        samples, f"{output}/shards", "source_row", {"jpg": "payload", "json": "record"}, F.col("stem"), shard_size
+        samples, f"{output}/shards", "source_row", {"jpg": "payload", "json": "record"}, F.col("stem"), shard_size, together=True
     )
     shards = written.select(
         F.concat(shard_prefix(F.col("url")), F.lit(".parquet")).alias("name"),

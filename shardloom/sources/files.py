@@ -14,10 +14,10 @@ from ..functions.text import squeeze, strip
 from .sinks import filesystem_of
 
 
-def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+def list_files(spark: SparkSession, path: str | list[str], pattern: str = "*.parquet") -> DataFrame:
     """``path, name, size_bytes, mtime`` of the files of a table; contents are not read.
 
-    ``path`` is a file, a folder at any depth, or a glob over either; ``pattern`` holds for file names.
+    ``path`` is a file, a folder at any depth, a glob over either, or a list of these; ``pattern`` holds for file names.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     found = reader.option("pathGlobFilter", pattern).load(path)
@@ -67,7 +67,7 @@ def image_payload(df: DataFrame, image: str = "image") -> DataFrame:
     ).drop(image)
 
 
-def inventory(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+def inventory(spark: SparkSession, path: str | list[str], pattern: str = "*.parquet") -> DataFrame:
     """Listing plus rows and rows per row group, read from the footers, one task per file."""
 
     def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -48,6 +48,7 @@ def write_shards(
     stem: str | Column = "shard",
     shard_size: int = SHARD_SIZE,
     may_lack: frozenset[str] | set[str] = frozenset(),
+    together: bool = False,
 ) -> DataFrame:
     """Write tar shards of ``shard_size`` samples and return ``url, nsamples, size_bytes``.
 
@@ -56,7 +57,8 @@ def write_shards(
     ``samples`` has ``key``, an ``index`` (dense per stem) and one binary column per member (``members`` maps
     extension to column).  Payloads move once, to the task of their shard, where sorted rows stream into the
     archive: neither a shard nor a partition has to fit in memory.  The archives become visible when the whole
-    job is done; shards of the same name are replaced.
+    job is done; shards of the same name are replaced.  With ``together`` every shard is in one partition of
+    ``samples`` already, in order, and nothing moves.
     """
     spark = samples.sparkSession
     register(spark)
@@ -65,7 +67,9 @@ def write_shards(
         name.alias("shard"), F.col(index).alias("sample_no"), F.col("key").cast("string").alias("key"),
         *[F.col(c).cast("binary").alias(ext) for ext, c in members.items()],
     )
-    arranged = chosen.repartition("shard").sortWithinPartitions("shard", "sample_no").drop("sample_no")
+    if not together:
+        chosen = chosen.repartition("shard").sortWithinPartitions("shard", "sample_no")
+    arranged = chosen.drop("sample_no")
     report = scratch_path(spark, "shards")
     writer = arranged.write.format("tarshards").mode("append").option("replace", "true").option("report", report)
     writer.option("may_lack", ",".join(sorted(may_lack))).save(folder)
