@@ -11,7 +11,7 @@ from ..functions.fixed_values import OPTIONAL_COLUMNS, REQUIRED_COLUMNS, SHARD_S
 from ..functions.image_header import image_header
 from ..functions.names import row_key, shard_prefix
 from ..functions.text import clean_caption, visible_text_prompt
-from ..operators.index import MAX_BROADCAST_LINES, running_before
+from ..operators.index import MAX_BROADCAST_LINES
 from ..operators.verify import describe_members, verify_shards
 from ..session import exists, materialise
 from ..sources import descriptors, files, ledger, tar
@@ -34,41 +34,44 @@ def _stem(source_file: Column) -> Column:
     return F.regexp_replace(source_file, r"\.parquet$", "")
 
 
-def cut_shards(spark: SparkSession, paths: list[str], shard_size: int) -> tuple[DataFrame, int]:
-    """``stem, number`` of the shards whose rows lie in several row groups, out of the footers, and how many others there are.
+def cut_shards(spark: SparkSession, paths: list[str], shard_size: int) -> DataFrame:
+    """``stem, shards, cut``: how many shards an input has and the numbers of those whose rows lie in several row groups.
 
-    Inputs of one stem have their shards in common, so these count as cut.
+    Only footers are read.  Inputs of one stem have their shards in common, so all of these count as cut.
     """
-    found = files.inventory(spark, paths, "*").select("path", _stem(F.col("name")).alias("stem"), "rows", "row_groups")
-    footers = materialise(found, "footers")
-    groups = footers.select("path", "stem", F.posexplode("row_groups").alias("pos", "n"))
-    begun = running_before(groups, "pos", "n", "start", ("path",)).where(F.col("start") % shard_size != 0)
-    stems = footers.groupBy("stem").agg(
-        F.count("path").alias("inputs"), F.ceil(F.max("rows") / shard_size).cast("bigint").alias("shards")
+    begun = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    starts = F.aggregate(
+        "row_groups", begun,
+        lambda b, n: F.struct((b["at"] + n).alias("at"), F.concat(b["starts"], F.array(b["at"])).alias("starts")),
+    )["starts"]
+    inside = F.filter(starts, lambda s: s % shard_size != 0)
+    found = files.inventory(spark, paths, "*").select(
+        _stem(F.col("name")).alias("stem"), "rows", F.array_distinct(F.transform(inside, lambda s: F.floor(s / shard_size))).alias("own")
     )
-    shared = stems.where("inputs > 1 and shards > 0").select("stem", F.explode(F.expr("sequence(0, shards - 1)")).alias("number"))
-    cut = begun.select("stem", F.expr(f"start div {shard_size}").alias("number")).unionByName(shared).distinct()
-    cut = materialise(cut, "cut")
-    return cut, (stems.agg(F.sum("shards")).first()[0] or 0) - cut.count()
+    stems = found.groupBy("stem").agg(
+        F.count(F.lit(1)).alias("inputs"), F.ceil(F.max("rows") / shard_size).cast("bigint").alias("shards"), F.flatten(F.collect_list("own")).alias("own")
+    )
+    shared = F.when(F.col("shards") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).otherwise(F.col("own"))
+    return materialise(stems.select("stem", "shards", F.when(F.col("inputs") > 1, shared).otherwise(F.col("own")).alias("cut")), "cut")
 
 
-def shards_together(rows: DataFrame, cut: DataFrame, others: int, shard_size: int) -> DataFrame:
+def shards_together(rows: DataFrame, listed: DataFrame, shard_size: int) -> DataFrame:
     """Rows with ``source_file, source_row`` so that every shard is in one partition, in row order.
 
     A row group is read by one task in row order, so shards inside a row group are together where they are read and
-    only the rows of ``cut`` ones (see :func:`cut_shards`) move.  They are source rows, not yet the longer records.
+    only the rows of cut ones (``listed`` by :func:`cut_shards`) move.  They are source rows, not yet the longer records.
     """
-    keyed = rows.withColumn("stem", _stem(F.col("source_file"))).withColumn("number", F.expr(f"source_row div {shard_size}"))
-    n_cut = cut.count()
+    n_shards, n_cut = listed.agg(F.sum("shards"), F.sum(F.size("cut"))).first()
     if not n_cut:
         return rows
-    apart = others > 0 and n_cut <= MAX_BROADCAST_LINES
-    moving = keyed.join(F.broadcast(cut), ["stem", "number"], "left_semi") if apart else keyed
-    moved = moving.repartition("stem", "number").sortWithinPartitions("stem", "number", "source_row")
+    keyed = rows.withColumn("stem", _stem(F.col("source_file"))).withColumn("number", F.expr(f"source_row div {shard_size}"))
+    cut = F.broadcast(listed.select("stem", F.explode("cut").alias("number")))
+    apart = n_cut < n_shards and n_cut <= MAX_BROADCAST_LINES
+    moving = keyed.join(cut, ["stem", "number"], "left_semi") if apart else keyed
+    moved = moving.repartition("stem", "number").sortWithinPartitions("stem", "number", "source_row").select(*rows.columns)
     if not apart:
-        return moved.select(*rows.columns)
-    staying = keyed.join(F.broadcast(cut), ["stem", "number"], "left_anti")
-    return staying.select(*rows.columns).unionByName(moved.select(*rows.columns))
+        return moved
+    return keyed.join(cut, ["stem", "number"], "left_anti").select(*rows.columns).unionByName(moved)
 
 
 def sample_records(rows: DataFrame, decode: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -152,7 +155,7 @@ def convert(
     rows = rows.select(
         *wanted, F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.row_index").alias("source_row")
     )
-    samples = sample_records(shards_together(rows, *cut_shards(spark, paths, shard_size), shard_size), decode)
+    samples = sample_records(shards_together(rows, cut_shards(spark, paths, shard_size), shard_size), decode)
     written = tar.write_shards(
         samples, f"{output}/shards", "source_row", {"jpg": "payload", "json": "record"}, F.col("stem"), shard_size, together=True
     )
