@@ -84,11 +84,14 @@ class TarShardWriter(DataSourceArrowWriter):
             raise ValueError(f"Shards need the columns shard and key and binary members; not binary: {wrong}")
         self.job = uuid.uuid4().hex
         finish_commits(self.folder)
+        # Tasks write below it but never make it: one that starts after the job was aborted fails and leaves nothing.
+        filesystem, root = filesystem_of(self.folder)
+        filesystem.create_dir(f"{root}/{STAGING}{self.job}", recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> TarCommit:
         filesystem, root = filesystem_of(self.folder)
         place = f"{root}/{STAGING}{self.job}/{uuid.uuid4().hex}"
-        filesystem.create_dir(place, recursive=True)
+        filesystem.create_dir(place, recursive=False)
         done: dict[str, Archive] = {}
         sink = archive = current = key = None
         count = 0
